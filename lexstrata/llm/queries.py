@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.llm import chat, warc
+from lexstrata.llm import chat, nbsvm, packing, rules, warc
 from lexstrata.llm.shared import table
 
 #: A conversation that writes the template's own marks.
 MARKED_TEXT = "\\### Assistant: </turn> ok"
 
 
+#: The vocabulary file that op8 and the pipeline use.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_pages(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(archives, with_payload=False).drop("url")
@@ -58,7 +80,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_warc": op7_warc, "op9_chat": op9_chat}
+    return {"op1_nbsvm": op1_nbsvm, "op4_rules": op4_rules, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:

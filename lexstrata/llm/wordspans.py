@@ -154,10 +154,9 @@ class RollingHash:
         if n <= 0:
             return np.zeros(0, np.uint64)
         out = np.zeros(n, np.uint64)
-        factor = np.uint64(1)
+        base = int(self.base[1])
         for j in range(k):
-            out += words[j : j + n] * factor
-            factor = factor * self.base[1]
+            out += words[j : j + n] * np.uint64(pow(base, j, 1 << 64))
         return mix(out)
 
 
