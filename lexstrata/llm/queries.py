@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.llm import chat, nbsvm, packing, rules, warc
+from lexstrata.llm import chat, decontam, htmlmain, nbsvm, packing, rules, warc
 from lexstrata.llm.shared import table
 
 #: A conversation that writes the template's own marks.
@@ -28,6 +28,10 @@ def op1_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,24 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.chat_examples(rows.unionByName(marked)))
 
 
+def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS k
+      FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+s AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM q), unnest(range(1, len(w) - n + 2)) AS r(i)),
+h AS (SELECT doc_id, s.n, i, item_id FROM s JOIN q ON s.k = q.k AND s.n = q.n),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM h), unnest(range(0, n)) AS r(j) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      f AS (SELECT body, min(page_id) AS first FROM p GROUP BY body),
@@ -80,8 +102,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nbsvm": op1_nbsvm, "op4_rules": op4_rules, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat}
+    return {"op1_nbsvm": op1_nbsvm, "op2_fm_index": op2_fm_index, "op4_rules": op4_rules, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_host_paths": op10_host_paths}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op9_chat": OP9_SQL}
+    return {"op2_fm_index": OP2_SQL, "op7_warc": OP7_SQL, "op9_chat": OP9_SQL}
