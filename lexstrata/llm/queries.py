@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.llm import chat, decontam, htmlmain, nbsvm, packing, rules, warc
+from lexstrata.llm import chat, decontam, htmlmain, nbsvm, packing, rules, simhash, warc
 from lexstrata.llm.shared import table
 
 #: A conversation that writes the template's own marks.
@@ -36,6 +36,10 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -102,7 +106,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nbsvm": op1_nbsvm, "op2_fm_index": op2_fm_index, "op4_rules": op4_rules, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_host_paths": op10_host_paths}
+    return {"op1_nbsvm": op1_nbsvm, "op2_fm_index": op2_fm_index, "op4_rules": op4_rules, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_host_paths": op10_host_paths}
 
 
 def oracle_sql() -> dict[str, str]:
