@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.llm import chat, decontam, htmlmain, nbsvm, packing, rules, simhash, warc
+from lexstrata.llm import chat, decontam, htmlmain, nbsvm, packing, rules, simhash, substrings, warc
 from lexstrata.llm.shared import table
 
 #: A conversation that writes the template's own marks.
@@ -32,6 +32,10 @@ def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) AS r(i)),
+m AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM s JOIN m USING (k), unnest(range(0, 13)) AS r(j) WHERE first < doc_id),
+k AS (SELECT d.doc_id, p.p, d.w[p.p] AS word FROM d, unnest(range(1, len(w) + 1)) AS p(p)),
+t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS kept, count(*) AS n FROM k ANTI JOIN g ON k.doc_id = g.doc_id AND k.p = g.p GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      f AS (SELECT body, min(page_id) AS first FROM p GROUP BY body),
@@ -106,8 +121,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nbsvm": op1_nbsvm, "op2_fm_index": op2_fm_index, "op4_rules": op4_rules, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_host_paths": op10_host_paths}
+    return {"op1_nbsvm": op1_nbsvm, "op2_fm_index": op2_fm_index, "op3_suffix_trees": op3_suffix_trees, "op4_rules": op4_rules, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_host_paths": op10_host_paths}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fm_index": OP2_SQL, "op7_warc": OP7_SQL, "op9_chat": OP9_SQL}
+    return {"op2_fm_index": OP2_SQL, "op3_suffix_trees": OP3_SQL, "op7_warc": OP7_SQL, "op9_chat": OP9_SQL}
