@@ -7,23 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.llm import chat, decontam, htmlmain, nbsvm, packing, rules, simhash, substrings, warc
-from lexstrata.llm.shared import table
+import corpus_pipeline
+from lexstrata.llm import chat, decontam, htmlmain, licenses, nbsvm, packing, rules, simhash, substrings, warc
+from lexstrata.llm.shared import table, vocabulary_path
 
 #: A conversation that writes the template's own marks.
 MARKED_TEXT = "\\### Assistant: </turn> ok"
 
 
-#: The vocabulary file that op8 and the pipeline use.
-VOCABULARY = "word_bpe_49k.json"
-
-
-def vocabulary_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(VOCABULARY)
-
-
 def op1_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +35,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they are laid out as source/lang/number/id, some in the directories above."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    leaf = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 97).cast("string"), name)
+    path = F.when(F.col("doc_id") % 31 == 0, F.concat_ws("/", "source", name)).when(F.col("doc_id") % 7 == 0, F.concat_ws("/", "source", "lang", name)).otherwise(leaf)
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -121,7 +121,19 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nbsvm": op1_nbsvm, "op2_fm_index": op2_fm_index, "op3_suffix_trees": op3_suffix_trees, "op4_rules": op4_rules, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_chat": op9_chat, "op10_host_paths": op10_host_paths}
+    return {
+        "op1_nbsvm": op1_nbsvm,
+        "op2_fm_index": op2_fm_index,
+        "op3_suffix_trees": op3_suffix_trees,
+        "op4_rules": op4_rules,
+        "op5_simhash": op5_simhash,
+        "op6_licenses": op6_licenses,
+        "op7_warc": op7_warc,
+        "op8_packing": op8_packing,
+        "op9_chat": op9_chat,
+        "op10_host_paths": op10_host_paths,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,3 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The vocabulary file of a public tokenizer that op8 and the pipeline use.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the installed tokenizer files have this one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
