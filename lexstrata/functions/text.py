@@ -97,7 +97,11 @@ class Phrase:
 
 def instances(phrases: list[Phrase], listed: Column) -> Column:
     """How many stretches of an array of tokens any of the phrases marks; overlapping ones count once."""
-    spans = [F.transform(p.starts_in(listed), lambda i, n=len(p.tokens): F.struct(i.cast("int").alias("b"), (i + n).cast("int").alias("e"))) for p in phrases]
+
+    def marked(p: Phrase) -> Column:
+        return F.transform(p.starts_in(listed), lambda i: F.struct(i.cast("int").alias("b"), (i + len(p.tokens)).cast("int").alias("e")))
+
+    spans = [marked(p) for p in phrases]
     if len(phrases) == 1 and len(phrases[0].tokens) == 1 or all(len(p.tokens) == 1 for p in phrases):
         return F.size(F.array_distinct(F.flatten(F.array(*[p.starts_in(listed) for p in phrases]))))
     start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("e"))
