@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
 Each page is parsed into containers, which are scored by the text they hold
-and by how little of their text is boilerplate.  The best containers vote with
+and by how little of it is links.  The best containers vote with
 their generalised path (tags and classes, numbers masked) for the page's host;
 votes are summed in Spark, and every page is extracted again from the
 containers on its host's winning path.  A page without them, or of which they
@@ -107,7 +107,7 @@ def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
         words = _names(_NEGATED.sub(" ", named))
         doubtful = not BOILERPLATE.isdisjoint(words)
         if not doubtful and not CONTENT.isdisjoint(words):
-            bonus = 1.2
+            bonus = 1.3
     elif tag == "article" and named:
         words = _names(named)
         doubtful = not {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"}.isdisjoint(words)
@@ -224,8 +224,8 @@ def _sum(page: Page) -> None:
     for k, (owner, text, links, _) in enumerate(page.blocks):
         kept = not nodes[owner].dropped and not (clean and nodes[owner].doubtful)
         page.blocks[k] = (owner, text, links, kept)
-        nodes[owner].total += len(text)
         if kept:
+            nodes[owner].total += len(text)
             nodes[owner].content += max(0, len(text) - 2 * links) + 1
     for node in reversed(nodes[1:]):
         up = nodes[node.parent]

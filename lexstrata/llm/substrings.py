@@ -106,7 +106,7 @@ def _runs_of(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (group[1:] != group[:-1])
     first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(at)) - 1
+    return first, np.append(first[1:], len(at))[: len(first)] - 1
 
 
 PIECES = "q int, row int, doc_id long, begin int, stop int, at int, words string"
