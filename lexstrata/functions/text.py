@@ -92,7 +92,11 @@ class Phrase:
         if len(self.tokens) == 1:
             t = self.tokens[0]
             return F.exists(listed, lambda w: w.startswith(t)) if self.prefix else F.array_contains(listed, t)
-        return F.size(self.starts_in(listed)) > 0
+        words = self.tokens[:-1] if self.prefix else self.tokens
+        there = F.lit(True)
+        for t in dict.fromkeys(words):
+            there = there & F.array_contains(listed, t)
+        return there & (F.size(self.starts_in(listed)) > 0)
 
 
 def instances(phrases: list[Phrase], listed: Column) -> Column:

@@ -89,9 +89,15 @@ def ancestry(records: DataFrame) -> DataFrame:
 
 
 def neighbours(records: DataFrame) -> DataFrame:
-    """Each record with the ids before and after it in its package."""
-    here = Window.partitionBy("package_digest").orderBy("ordinal")
-    return records.select("package_digest", "record_id", F.lag("record_id").over(here).alias("previous_id"), F.lead("record_id").over(here).alias("next_id"))
+    """Each record with the ids before and after it in its package.
+
+    Ordinals have no gaps, so this joins on (package, ordinal) and needs no
+    window over a whole package, which may be a third of the corpus.
+    """
+    rows = records.select("package_digest", "ordinal", "record_id")
+    beside = lambda step, name: rows.select("package_digest", (F.col("ordinal") + step).alias("ordinal"), F.col("record_id").alias(name))
+    key = ["package_digest", "ordinal"]
+    return rows.join(beside(1, "previous_id"), key, "left").join(beside(-1, "next_id"), key, "left").select("package_digest", "record_id", "previous_id", "next_id")
 
 
 def edges_of(edges: DataFrame, record_ids: DataFrame, direction: str) -> DataFrame:

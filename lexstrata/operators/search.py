@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from lexstrata.functions.text import Phrase, Query, fold_word, instances, parse, porter, tokens
+from lexstrata.functions.text import Phrase, Query, fold_word, folded, instances, parse, porter, tokens
 
 COLUMNS = ("clause_reference", "heading", "text")
 
@@ -28,9 +28,23 @@ def stems(listed: pd.Series) -> pd.Series:
 
 
 def token_columns(records: DataFrame, stemmed: bool) -> DataFrame:
-    """Adds clause_tokens, heading_tokens and text_tokens."""
+    """Adds clause_tokens, heading_tokens and text_tokens.
+
+    They come out of a generator of one row: a plain projection would be put
+    into every predicate and lambda that uses it and tokenize again in each.
+    """
     make = (lambda c: stems(tokens(F.col(c)))) if stemmed else (lambda c: tokens(F.col(c)))
-    return records.withColumns({"clause_tokens": F.array().cast("array<string>") if stemmed else tokens(F.col("clause_reference")), "heading_tokens": make("heading"), "text_tokens": make("text")})
+    clause = F.array().cast("array<string>") if stemmed else tokens(F.col("clause_reference"))
+    once = F.struct(clause.alias("clause_tokens"), make("heading").alias("heading_tokens"), make("text").alias("text_tokens"))
+    return records.select("*", F.inline(F.array(once)))
+
+
+def possible(query: Query) -> Column:
+    """A cheap test before tokenizing: the folded row holds the letters of the phrases' tokens."""
+    if query.stemmed:
+        return F.lit(True)
+    row = folded(F.concat_ws("\n", *COLUMNS))
+    return _all([_all([_all([F.contains(row, F.lit(t)) for t in p.tokens], True) for p in group], False) for group in query.groups], query.every)
 
 
 def _row_has(phrase: Phrase) -> Column:
@@ -73,7 +87,7 @@ def ranked(records: DataFrame, packages: DataFrame, query: Query, limit: int | N
         rows = rows.where(F.col("package_digest") == package_digest)
     if scope is not None:
         rows = rows.where(in_scope(F.col("clause_reference"), scope))
-    rows = token_columns(rows, query.stemmed).where(matches(query))
+    rows = token_columns(rows.where(possible(query)), query.stemmed).where(matches(query))
     rows = rows.withColumn("score", F.round(score(query), 6))
     kept = [c for c in ("package_digest", "record_id", "clause_reference", "ordinal", "heading", "text", "kind", "parent_record_id", "doc_id", "pos") if c in rows.columns]
     rows = rows.select(*kept, "score")

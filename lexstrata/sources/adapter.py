@@ -11,9 +11,8 @@ the same ones read from real packs (``lexstrata.sources.packs``).
   unless n is a multiple of 3.
 * grant: ``local-user`` is served en and fr, had de revoked, and has no es.
 
-Each DataFrame is one scan and at most one exchange (record ordinals are a
-window by package).  The line number comes from ``posexplode``, so records need
-no shuffle where the ordinal isn't used; Catalyst drops the window then.
+The line number comes from ``posexplode``, so records need no shuffle where the
+ordinal isn't used; Catalyst drops the window then.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PRINCIPAL = "local-user"
+#: Ids in a range that is numbered by one task.
+ID_RANGE = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +86,21 @@ class Corpus:
 
     @cached_property
     def records(self) -> DataFrame:
-        here = Window.partitionBy("package_digest").orderBy("doc_id", "pos")
-        return self.unnumbered.withColumn("ordinal", (F.row_number().over(here) - 1).cast("long"))
+        """Records with their ordinal in the package, in the order of doc_id and line.
+
+        A package may hold a third of all rows, so rows are numbered within
+        (package, range of ids), and a running sum over the ranges' counts,
+        one row each, says where a range starts.
+        """
+        span = F.floor(F.col("doc_id") / ID_RANGE)
+        per_text = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""))
+        digest = F.sha2(edition_of(F.col("source"), F.col("lang")), 256)
+        counts = self.documents.groupBy(digest.alias("package_digest"), span.alias("span")).agg(F.sum(per_text).alias("n"))
+        before = Window.partitionBy("package_digest").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("package_digest", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_ordinal"))
+        here = Window.partitionBy("package_digest", "span").orderBy("doc_id", "pos")
+        rows = self.unnumbered.withColumn("span", span).join(starts, ["package_digest", "span"])
+        return rows.withColumn("ordinal", (F.col("first_ordinal") + F.row_number().over(here) - 1).cast("long")).drop("span", "first_ordinal")
 
     @cached_property
     def roles(self) -> DataFrame:
