@@ -3,20 +3,18 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entries
-from lexstrata.plans import oracles, queries
+from lexstrata.plans.registry import QUERIES, SQL
 from tests.oracle import same
 
-SQL = oracles.oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, name):
-    same(spark, sf_dir, queries.QUERIES[name], SQL[name])
+    same(spark, sf_dir, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
-    df = queries.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     assert df.count() > 0
 
 

@@ -186,3 +186,17 @@ def test_locators_and_cursors():
     for now, binding, key, code in ((901, {"principal": "u"}, b"k", "expired_cursor"), (1, {"principal": "v"}, b"k", "invalid_cursor"), (1, {"principal": "u"}, b"j", "invalid_cursor")):
         with pytest.raises(EvidenceError, match=code):
             cursors.decode(key, c, binding, now=now)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexstrata.cli import main
+
+    digest = make_pack(tmp_path / "packs/a", "a", 80)
+    (tmp_path / "policy.json").write_text(json.dumps({"policy_id": "p", "principal_id": "user", "allow_admin_install": True, "allow_serve": True, "allowed_pack_ids": ["pack.a"], "allowed_content_classes": ["synthetic"]}))
+    call = lambda *a: (main(["--store", str(tmp_path / "store"), "--principal", "user", *a], spark), json.loads(capsys.readouterr().out))
+    assert call("verify", str(tmp_path / "packs"))[1]["result"] == {"violations": []}
+    assert call("install", str(tmp_path / "packs"), str(tmp_path / "policy.json"))[1]["result"]["installed"] == [digest]
+    assert [r["record_id"] for r in call("get-clause", digest, "--clause-reference", "4.2.1")[1]["result"]["records"]] == ["c1", "n1"]
+    assert call("search", "load")[1]["result"]["results"][0]["record_id"] == "c1"
+    code, out = call("get-clause", digest, "--record-id", "none")
+    assert code == 2 and out["error"]["code"] == "not_found"
