@@ -116,6 +116,7 @@ def instances(phrases: list[Phrase], listed: Column) -> Column:
     return F.aggregate(F.array_sort(F.flatten(F.array(*spans))), start, step, lambda acc: acc["n"])
 
 
+# Fixed value: terms whose last token may be the beginning of an identifier.
 _IDENTIFIER_LIKE = re.compile(r"(?:[A-Za-z]+[-/][A-Za-z0-9./-]*\d[A-Za-z0-9./-]*|\d{3,}[A-Za-z])")
 
 
