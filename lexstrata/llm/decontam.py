@@ -30,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.wordspans import FOLDED_WORDS, Block, text_blocks
 
 WINDOW = 13
 SAMPLE_EVERY = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 #: A document is contaminated if it is hit and 20 times its hit words reach its words.
 SHARE = 20
@@ -279,7 +280,7 @@ def hits(documents: DataFrame, phrases: Phrases, names: tuple[str, str, str]) ->
                 span_type = pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(block.first_row, len(block)) for c in carried), pa.array(block.counts(), pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.int64()))], names=[*carried, *names])
 
-    return documents.mapInArrow(searched, schema)
+    return documents.mapInArrow(tidy(searched), schema)
 
 
 def merged(spans: Column) -> Column:

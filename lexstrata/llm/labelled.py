@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.wordspans import PLAIN_WORDS, Block, RollingHash, mix, text_blocks, whole_runs
 
 BITS = 18
@@ -85,7 +86,7 @@ def binary_rows(rows: DataFrame) -> DataFrame:
                 raw = bucket.astype("<i4")
                 yield pa.RecordBatch.from_arrays([label.slice(block.first_row, len(block)), pa.array([raw[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["label", "features"])
 
-    return rows.select("label", "text").mapInArrow(features, "label int, features binary")
+    return rows.select("label", "text").mapInArrow(tidy(features), "label int, features binary")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

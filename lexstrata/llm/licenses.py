@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.shared import stored
 from lexstrata.llm.wordspans import FOLDED_WORDS, Block, _spans, text_blocks
 
@@ -136,7 +137,7 @@ def files_with_terms(files: DataFrame) -> Weights:
                 n += np.bincount(key % len(VOCABULARY), minlength=len(VOCABULARY))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(n)), -1), pa.int32()), pa.array(np.append(n, b.num_rows))], names=["term", "n"])
 
-    found = {r["term"]: r["n"] for r in files.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per template term
+    found = {r["term"]: r["n"] for r in files.select("text").mapInArrow(tidy(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per template term
     return Weights.of(found.pop(-1, 0), found)
 
 
@@ -166,7 +167,7 @@ def matches(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(licence, pa.string()), pa.array(cosine, pa.float64()), pa.array(n_lines, pa.int64()), pa.array(heads, pa.bool_())], names=[*names, "licence", "cosine", "n_lines", "heads"])
 
     schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in names)
-    return files.mapInArrow(scan, f"{schema}, licence string, cosine double, n_lines long, heads boolean")
+    return files.mapInArrow(tidy(scan), f"{schema}, licence string, cosine double, n_lines long, heads boolean")
 
 
 def directory(path: Column) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.llm.labelled import BITS, SAMPLE_ROWS, binary_rows, distinct, in_fold, labelled_sample, platt, sigmoid, word_and_shape_grams
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.wordspans import PLAIN_WORDS, text_blocks
 
 SMOOTHING = 1.0
@@ -117,7 +118,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())], names=["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, score double")
+    return rows.mapInArrow(tidy(scored), "doc_id long, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.llm.labelled import SAMPLE_ROWS, labelled_sample, platt, sigmoid
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.wordspans import PLAIN_WORDS, Block, RollingHash, _spans, mix, text_blocks, whole_runs
 
 BITS = 17
@@ -104,18 +105,29 @@ def _features(rows: DataFrame) -> DataFrame:
                 pick = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([b.column("label").slice(block.first_row, len(block)), pick(key), pick(share)], names=["label", "buckets", "shares"])
 
-    return rows.select("label", "text").mapInArrow(features, "label int, buckets binary, shares binary")
+    return rows.select("label", "text").mapInArrow(tidy(features), "label int, buckets binary, shares binary")
 
 
-def logistic_regression(key: np.ndarray, value: np.ndarray, row: np.ndarray, label: np.ndarray, size: int, steps: int = 150, penalty: float = 1e-4, rate: float = 0.5) -> np.ndarray:
-    """Weights and bias by full-batch gradient steps with per-weight scaling (Adam)."""
+def logistic_regression(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, size: int, steps: int = 150, penalty: float = 1e-4, rate: float = 0.5, part: int = 1 << 20) -> np.ndarray:
+    """Weights and bias by full-batch gradient steps with per-weight scaling (Adam).
+
+    rows: (bucket, value) arrays.  They are gone through about ``part``
+    features at a time, so a step's temporaries stay small.
+    """
     w, m, v = (np.zeros(size + 1) for _ in range(3))
     n1 = max(1, label.sum())
     cost = np.where(label == 1, len(label) / (2 * n1), len(label) / (2 * max(1, len(label) - n1))) / len(label)
+    ends = np.cumsum([len(k) for k, _ in rows])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(part, ends[-1] + part, part)) + 1, [len(rows)]]))
+    cuts = cuts[cuts <= len(rows)]
+    parts = [(lo, hi, np.repeat(np.arange(hi - lo, dtype=np.int32), [len(k) for k, _ in rows[lo:hi]])) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     for t in range(1, steps + 1):
-        p = sigmoid(np.bincount(row, value * w[key], len(label)) + w[-1])
-        r = cost * (p - label)
-        g = np.append(np.bincount(key, value * r[row], size), r.sum()) + penalty * w
+        g = penalty * w
+        for lo, hi, row in parts:
+            key, value = (np.concatenate([r[i] for r in rows[lo:hi]]) for i in (0, 1))
+            r = cost[lo:hi] * (sigmoid(np.bincount(row, value * w[key], hi - lo) + w[-1]) - label[lo:hi])
+            g[:-1] += np.bincount(key, value * r[row], size)
+            g[-1] += r.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
     return w
@@ -128,9 +140,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Rule:
         return Rule(np.append(np.zeros(size), 40.0))
 
     def fitted(keep: np.ndarray) -> np.ndarray:
-        key = np.concatenate([rows[i][0] for i in keep]).astype(np.int64)
-        value = np.concatenate([rows[i][1] for i in keep]).astype(np.float64)
-        return logistic_regression(key, value, np.repeat(np.arange(len(keep)), [len(rows[i][0]) for i in keep]), label[keep], size)
+        return logistic_regression([rows[i] for i in keep], label[keep], size)
 
     part = np.arange(len(rows)) % 4
     keep, out = np.flatnonzero(part), np.flatnonzero(part == 0)
@@ -197,7 +207,7 @@ def judge(documents: DataFrame, rule: Rule, min_probability: float = MIN_PROBABI
                 yield pa.RecordBatch.from_arrays(values, names=["doc_id", *COUNTS, "base_failed", "kept", "probability"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judged, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, probability double")
+    return rows.mapInArrow(tidy(judged), f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, probability double")
 
 
 def kept_rows(documents: DataFrame, rule: Rule, min_probability: float = MIN_PROBABILITY) -> DataFrame:
@@ -215,7 +225,7 @@ def kept_rows(documents: DataFrame, rule: Rule, min_probability: float = MIN_PRO
                 keep.append(~failed & (small.probabilities(block) >= min_probability))
             yield b.filter(pa.array(np.concatenate(keep)))
 
-    return documents.mapInArrow(filtered, documents.schema)
+    return documents.mapInArrow(tidy(filtered), documents.schema)
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS // 2) -> DataFrame:

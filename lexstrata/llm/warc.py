@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.shared import stored
 
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -205,7 +206,7 @@ def write_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHI
         if held:
             yield flush()
 
-    return stored(rows.mapInArrow(archives, "archive string, data binary"), "warc")
+    return stored(rows.mapInArrow(tidy(archives), "archive string, data binary"), "warc")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -220,7 +221,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             for data in b.column(0):
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in kept} for r in read_archive(data.as_py())], schema)
 
-    return archives.select("data").mapInArrow(records, RECORDS if with_payload else RECORDS.rpartition(",")[0])
+    return archives.select("data").mapInArrow(tidy(records), RECORDS if with_payload else RECORDS.rpartition(",")[0])
 
 
 def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
