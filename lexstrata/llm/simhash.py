@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.llm.components import components
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.shared import stored
 from lexstrata.llm.wordspans import PLAIN_WORDS, Block, text_blocks
 
@@ -95,7 +96,7 @@ def with_fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(printed, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(printed), "doc_id long, fp long")
 
 
 def remainder(x: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
                 row, anchor, own = anchors_of(fp, part, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array((anchor + 4096 * part).astype(np.int32)), pa.array(own), pa.array(fp[row])], names=["anchor", "own", "fp"])
 
-    at = fps.select("fp").mapInArrow(replicate, "anchor int, own boolean, fp long")
+    at = fps.select("fp").mapInArrow(tidy(replicate), "anchor int, own boolean, fp long")
     sizes = at.groupBy("anchor").count().where(F.col("count") > CELL_ROWS).collect()  # at most 3 * 4096 rows
     large = {r["anchor"]: -(-r["count"] // CELL_ROWS) for r in sizes}
     cells = at.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "own", "fp")
@@ -212,7 +213,8 @@ def one_of_each(documents: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     found = near_duplicates(documents, most_bits)
     kept = stored(found.groupBy("component_id").agg(F.sum((F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("n")), "kept")
     same = documents["doc_id"].eqNullSafe(kept["component_id"])
-    once = documents.join(kept.where("n = 1"), same, "left_semi")
+    # A sort-merge join at every size: a plan that changes with the input hides how it grows.
+    once = documents.join(kept.where("n = 1").hint("merge"), same, "left_semi")
     if kept.where("n > 1").isEmpty():
         return once
     return once.union(documents.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
