@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexstrata.llm.memory import tidy
+from lexstrata.llm.shared import stored
+
 # The HTML elements of each kind, and words that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes"
@@ -57,6 +60,7 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 VOTES = 3
 #: Winning containers with less than this share of the page's own best are passed over.
 LEAST_SHARE = 0.3
+LARGE_HOSTS = 512
 
 
 @dataclass(slots=True)
@@ -282,31 +286,49 @@ def host(url: str | None) -> str:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, winner: the path with the most votes.  Votes are summed within tasks first."""
+    """host, winner (the path with the most votes) and n_pages.  Votes are summed within tasks first."""
 
     def vote(batches):
         for b in batches:
-            hosts, paths, counts = [], [], []
+            hosts, paths, counts, firsts = [], [], [], []
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                for path, n in votes(html):
+                for k, (path, n) in enumerate(votes(html)):
                     hosts.append(host(url))
                     paths.append(path)
                     counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["host", "path", "votes"])
+                    firsts.append(int(k == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64())], names=["host", "path", "votes", "n_pages"])
+
+    rows = pages.select("url", "html").mapInArrow(tidy(vote), "host string, path string, votes long, n_pages long")
+    counted = rows.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("n_pages").alias("n_pages"))
+    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("winner"), F.sum("n_pages").alias("n_pages"))
+
+
+def with_winners(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows with their host's winner.
 
-    counted = pages.select("url", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("winner"))
+    Hosts of more than 1 / LARGE_HOSTS of the pages are less than LARGE_HOSTS,
+    so their winners are broadcast.  Their rows pass the join of the others
+    under keys that match nothing, and so are spread over all tasks.
+    """
+    total = winners.agg(F.sum("n_pages")).first()[0] or 0
+    large = winners.where(F.col("n_pages") * LARGE_HOSTS > total).select("host", F.col("winner").alias("large_winner"))
+    rows = rows.join(F.broadcast(large), "host", "left")
+    spread = F.concat(F.lit("/"), F.xxhash64("page_id", "url", "html").cast("string"))
+    rows = rows.withColumn("key", F.when(F.col("large_winner").isNull(), F.col("host")).otherwise(spread))
+    rest = winners.select(F.col("host").alias("key"), "winner")
+    return rows.join(rest, "key", "left").withColumn("winner", F.coalesce("large_winner", "winner"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    joined = rows.withColumn("host", name).join(winning_paths(rows), "host", "left")
+    joined = with_winners(rows.withColumn("host", name), stored(winning_paths(rows), "winners"))
 
     def extract(batches):
         for b in batches:
             texts = [extracted(h, w) for h, w in zip(b.column("html").to_pylist(), b.column("winner").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "winner").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "winner").mapInArrow(tidy(extract), "page_id long, url string, text string, n_chars long")
