@@ -33,14 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexstrata.llm.memory import tidy
 from lexstrata.llm.shared import stored
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a task remembers; beyond it the memory starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 800_000
 #: Bytes of text that are tokenized at a time.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 
 
 class FreeSpace:
@@ -140,7 +141,8 @@ class WordIds:
     """Token ids of texts through a memory of words' ids.
 
     The vocabulary's rules never join characters across white space, so a
-    text's ids are those of its white-space words one after another.
+    text's ids are those of its white-space words one after another.  Words are
+    remembered as an Arrow array, about 45 bytes a word with its ids.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -151,7 +153,7 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str | None, int] = {None: 0}
+        self.known = pa.array([" "], pa.string())  # word 0 stands for the separator; no word is a space
         self.at = np.zeros(1, np.int32)
         self.sizes = np.ones(1, np.int32)
         self.ids = np.array([SEPARATOR], np.uint32)
@@ -159,30 +161,31 @@ class WordIds:
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them); each text ends with SEPARATOR."""
         words = pc.ascii_split_whitespace(texts)
-        per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
         coded = pc.list_flatten(words).dictionary_encode()
-        number, code = self._numbers(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False)
-        # The separator is word 0, put after each text's words.
-        ends = np.cumsum(per_text)
-        code = np.insert(number[code], ends, 0)
+        number = self._numbers(coded.dictionary.cast(pa.string()))
+        code = np.insert(number[coded.indices.to_numpy(zero_copy_only=False)], ends, 0)
         start, size = self.at[code], self.sizes[code]
         stop = np.cumsum(size)
         out = self.ids[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
         return out, np.concatenate([[0], stop[ends + np.arange(len(ends))]])
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: pa.Array) -> np.ndarray:
         if len(self.known) > KNOWN_WORDS:
             self._clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+        found = pc.index_in(words, value_set=self.known)
+        missing = pc.is_null(found)
+        new = words.filter(missing)
+        number = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).copy()
+        if len(new):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            number[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        return number
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -234,7 +237,7 @@ def pieces_of(documents: DataFrame, vocabulary: str, capacity: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task), pa.int32()), pa.array(rank)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def pack(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
