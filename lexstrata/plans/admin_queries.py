@@ -19,6 +19,14 @@ def structure_assemble(c: Corpus) -> DataFrame:
     return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "content_sha256")
 
 
+@query
+def structure_assemble_all(c: Corpus) -> DataFrame:
+    """Every line of each document, put together again from byte spans."""
+    spans = _with_spans(c).select("doc_id", F.col("pos").alias("place"), "start_byte", "end_byte")
+    out = structure.assembled(spans, c.documents, ["doc_id"], "doc_id")
+    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "content_sha256")
+
+
 @query
 def structure_span_faults(c: Corpus) -> DataFrame:
     spans = _with_spans(c).select("doc_id", F.col("pos").alias("place"), (F.col("start_byte") - F.when((F.col("doc_id") % 40 == 9) & (F.col("pos") == 1), 3).otherwise(0)).alias("start_byte"), "end_byte")
@@ -118,6 +126,7 @@ def benchmark_cases(c: Corpus) -> DataFrame:
 
 SQL = {
     "structure_assemble": "SELECT doc_id, length(t) AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM span WHERE pos IN (0, 2, 4) GROUP BY doc_id)",
+    "structure_assemble_all": "SELECT doc_id, length(t) AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM span GROUP BY doc_id)",
     "structure_span_faults": """, s AS (SELECT doc_id, pos, start_byte - CASE WHEN doc_id % 40 = 9 AND pos = 1 THEN 3 ELSE 0 END AS b, end_byte AS e FROM span),
 f AS (SELECT *, b >= e OR b < lag(e, 1, 0) OVER w OR row_number() OVER w > 64 AS bad FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, count(*) AS n_faults FROM f WHERE bad GROUP BY doc_id""",

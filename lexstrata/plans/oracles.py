@@ -137,6 +137,9 @@ SELECT query, package_digest, record_id, score, place FROM (SELECT *, row_number
     "closure_required": _CLOSURE.format("pos % 10 = 7") + "SELECT DISTINCT package_digest, record_id FROM near",
     "closure_multi_root": _CLOSURE.format("pos % 10 = 7") + "SELECT package_digest, root_id, count(*) AS n_records, max(depth)::BIGINT AS depth, min(record_id) AS first_id FROM near GROUP BY ALL",
     "closure_depth_histogram": _CLOSURE.format("pos % 10 = 7") + "SELECT depth::BIGINT AS depth, count(*) AS n FROM near GROUP BY ALL",
+    "closure_required_all": _CLOSURE.format("true") + "SELECT DISTINCT package_digest, record_id FROM near",
+    "closure_multi_root_all": _CLOSURE.format("true") + "SELECT package_digest, root_id, count(*) AS n_records, max(depth)::BIGINT AS depth, min(record_id) AS first_id FROM near GROUP BY ALL",
+    "closure_depth_histogram_all": _CLOSURE.format("true") + "SELECT depth::BIGINT AS depth, count(*) AS n FROM near GROUP BY ALL",
     "nav_all": f"SELECT record_id, kind, ordinal FROM rec WHERE package_digest = {EN} ORDER BY ordinal, record_id LIMIT 51",
     "nav_roots": "SELECT package_digest, record_id, heading FROM rec WHERE parent_record_id IS NULL",
     "nav_children": "SELECT record_id, clause_reference, heading FROM rec WHERE parent_record_id = 'd0-l0'",
@@ -145,6 +148,9 @@ SELECT query, package_digest, record_id, score, place FROM (SELECT *, row_number
     "nav_outgoing": "SELECT DISTINCT source_record_id AS anchor_id, relationship, target_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS source_record_id FROM rec WHERE pos % 10 = 9) USING (package_digest, source_record_id)",
     "nav_incoming": "SELECT DISTINCT target_record_id AS anchor_id, relationship, source_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS target_record_id FROM rec WHERE pos = 2) USING (package_digest, target_record_id)",
     "ancestor_paths": "SELECT package_digest, record_id, coalesce(parent_record_id, '') AS ancestors FROM tree WHERE pos < 4",
+    "nav_outgoing_all": "SELECT DISTINCT source_record_id AS anchor_id, relationship, target_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS source_record_id FROM rec) USING (package_digest, source_record_id)",
+    "nav_incoming_all": "SELECT DISTINCT target_record_id AS anchor_id, relationship, source_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS target_record_id FROM rec) USING (package_digest, target_record_id)",
+    "ancestor_paths_all": "SELECT package_digest, record_id, coalesce(parent_record_id, '') AS ancestors FROM tree",
     "enumerate_obligations_with_context": _CLOSURE.format(f"(package_digest, record_id) IN (SELECT package_digest, record_id FROM role WHERE package_digest = {EN} AND statement_role = 'obligation' ORDER BY ordinal, record_id LIMIT 50)") + "SELECT root_id, record_id, depth::BIGINT AS depth FROM near",
     "diff_status": "SELECT * FROM status",
     "diff_counts": "SELECT package_digest, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "removed", "modified", "moved", "unchanged")) + " FROM status GROUP BY ALL",

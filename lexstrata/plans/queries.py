@@ -234,6 +234,9 @@ def _roots(c: Corpus, rest: int) -> DataFrame:
     return c.unnumbered.where(F.col("pos") % 10 == rest).select("package_digest", "record_id")
 
 
+# Queries named ..._all take every record; those of the same name without it take a part, as their SQL does.
+
+
 @query
 def closure_required(c: Corpus) -> DataFrame:
     return graph.closure(_roots(c, 7), c.dependencies).select("package_digest", "record_id")
@@ -250,10 +253,26 @@ def closure_depth_histogram(c: Corpus) -> DataFrame:
     return graph.closure(_roots(c, 7), c.dependencies, by_root=True).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def closure_required_all(c: Corpus) -> DataFrame:
+    return graph.closure(c.unnumbered, c.dependencies).select("package_digest", "record_id")
+
+
+@query
+def closure_multi_root_all(c: Corpus) -> DataFrame:
+    found = graph.closure(c.unnumbered, c.dependencies, by_root=True)
+    return found.groupBy("package_digest", "root_id").agg(F.count(F.lit(1)).alias("n_records"), F.max("depth").alias("depth"), F.min("record_id").alias("first_id"))
+
+
+@query
+def closure_depth_histogram_all(c: Corpus) -> DataFrame:
+    return graph.closure(c.unnumbered, c.dependencies, by_root=True).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def closure_ordered(c: Corpus) -> DataFrame:
     roots = c.spark.createDataFrame([("d0-l10", 0), ("d0-l7", 1), ("d0-l10", 2)], "record_id string, root_pos long")
-    return graph.ordered_closure(roots, c.dependencies.where("source_record_id like 'd0-%'"))
+    return graph.ordered_closure(roots, c.dependencies)
 
 
 @query
@@ -296,6 +315,21 @@ def ancestor_paths(c: Corpus) -> DataFrame:
     return graph.ancestry(c.unnumbered.where("pos < 4")).select("package_digest", "record_id", F.concat_ws("/", "path").alias("ancestors"))
 
 
+@query
+def nav_outgoing_all(c: Corpus) -> DataFrame:
+    return graph.edges_of(c.dependencies, c.unnumbered, "outgoing").select("anchor_id", "relationship", "record_id", "required")
+
+
+@query
+def nav_incoming_all(c: Corpus) -> DataFrame:
+    return graph.edges_of(c.dependencies, c.unnumbered, "incoming").select("anchor_id", "relationship", "record_id", "required")
+
+
+@query
+def ancestor_paths_all(c: Corpus) -> DataFrame:
+    return graph.ancestry(c.unnumbered).select("package_digest", "record_id", F.concat_ws("/", "path").alias("ancestors"))
+
+
 @query
 def enumerate_obligations_with_context(c: Corpus) -> DataFrame:
     page = c.with_roles(c.records.where(F.col("package_digest") == digest_of(EN_PACKAGE))).where("statement_role = 'obligation'").orderBy("ordinal", "record_id").limit(50)
