@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.llm.components import components
@@ -86,17 +86,19 @@ def fingerprints(block: Block) -> np.ndarray:
     return out
 
 
-def with_fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def with_fingerprints(documents: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, the carried columns and fp (the fingerprint as a signed long) of every row."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
+    names = rows.columns[:-1]
 
     def printed(batches):
         for b in batches:
             found = [fingerprints(block) for block in text_blocks(b.column("text"), PLAIN_WORDS, fold=True)]
             fp = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fp)], names=[*names, "fp"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(printed), "doc_id long, fp long")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(tidy(printed), f"{schema}, fp long")
 
 
 def remainder(x: np.ndarray) -> np.ndarray:
@@ -194,12 +196,12 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def classes(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """(fp, component_id): each distinct fingerprint's class by its smallest doc_id."""
+    """(fp, root, component_id): each distinct fingerprint's class, by a fingerprint of it and by its smallest doc_id."""
     fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     roots = components(links(fps, most_bits)).withColumnsRenamed({"node": "fp"})
     members = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return members.join(least, "root").select("fp", "component_id")
+    return members.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(documents: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
@@ -209,12 +211,20 @@ def near_duplicates(documents: DataFrame, most_bits: int = MOST_BITS) -> DataFra
 
 
 def one_of_each(documents: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """The documents' rows, all columns, with one row of each class: the smallest doc_id's."""
-    found = near_duplicates(documents, most_bits)
-    kept = stored(found.groupBy("component_id").agg(F.sum((F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("n")), "kept")
-    same = documents["doc_id"].eqNullSafe(kept["component_id"])
+    """The documents' rows, all columns, with one row of each class: the smallest doc_id's.
+
+    Ids may be null or stand for several texts, so classes are told apart by
+    their root, and the row that stays is found by its id and its text's hash.
+    """
+    text_key = lambda text: F.unhex(F.sha2(text.cast("string"), 256))
+    prints = stored(with_fingerprints(documents, text_key(F.col("text")).alias("text_key")), "prints")
+    first = prints.join(classes(prints, most_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = first.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    least = counted.groupBy("root", "doc_id").agg(F.min(F.struct("text_key", "n")).alias("least"))
+    kept = stored(least.select("doc_id", "least.text_key", "least.n"), "kept")
+    same = documents["doc_id"].eqNullSafe(kept["doc_id"]) & text_key(documents["text"]).eqNullSafe(kept["text_key"])
     # A sort-merge join at every size: a plan that changes with the input hides how it grows.
     once = documents.join(kept.where("n = 1").hint("merge"), same, "left_semi")
     if kept.where("n > 1").isEmpty():
         return once
-    return once.union(documents.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
+    return once.union(documents.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

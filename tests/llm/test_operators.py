@@ -117,6 +117,19 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(rows).collect()) == [3, 8]
 
 
+def test_one_of_each_with_null_and_shared_ids(spark):
+    a, b, c, d, e = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black", "north south east west up", "salt sugar flour butter milk")
+
+    def kept(*rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"]) for r in simhash.one_of_each(docs).collect())
+
+    assert kept((None, a), (None, b), (None, a), (5, c)) == [(-1, a), (-1, b), (5, c)]
+    assert kept((None, a), (2, b), (None, b), (None, b)) == [(-1, a), (2, b)]
+    assert kept((4, a), (4, b), (4, b), (9, a), (4, c), (None, d), (None, d), (None, e), (7, e)) == [(-1, d), (4, a), (4, b), (4, c), (7, e)]
+    assert kept((1, None), (1, None), (1, "")) in ([(1, None)], [(1, "")])
+
+
 def test_links_over_blocks_of_a_large_anchor(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", 8)
     rng = np.random.default_rng(2)
