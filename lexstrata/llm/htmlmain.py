@@ -264,7 +264,8 @@ def extracted(html: str | None, winner: str | None) -> str:
     own = best[0][1]
     on_path = {i for _, i in best if page.nodes[i].path == winner}
     if on_path and sum(page.nodes[i].content for i in on_path) >= LEAST_SHARE * page.nodes[own].content:
-        return _text(page, on_path)
+        # Within an article or main the host's path adds to the page's own container and takes nothing from it.
+        return _text(page, on_path | {own} if page.nodes[own].in_article else on_path)
     return _text(page, {own})
 
 

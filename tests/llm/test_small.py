@@ -218,6 +218,12 @@ def test_winning_path_is_used():
     assert htmlmain.host("HTTP://user@Ex.org:80/a") == "ex.org:80" and htmlmain.host(None) == ""
 
 
+def test_winning_path_drops_no_part_of_an_article():
+    page = "<body><main><article><p>four of ten words are here</p></article><section><p>and the six others of the page are in this one</p></section></main>"
+    path = next(p for p, _ in htmlmain.votes("<body><main><article><p>words of the article go here</p></article></main>") if p.endswith("main>article"))
+    assert htmlmain.extracted(page, path) == "four of ten words are here\n\nand the six others of the page are in this one"
+
+
 def test_whole_runs():
     block = next(text_blocks(pa.array(["a b c", "d", "e f"]), PLAIN_WORDS))
     assert whole_runs(block, 2).tolist() == [0, 1, 4] and whole_runs(block, 9).tolist() == []
