@@ -30,18 +30,22 @@ from lexstrata.llm.shared import stored
 # The HTML elements of each kind, and words that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes"
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp"
+    " math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mstyle mpadded mphantom mtable mtr mtd semantics".split()
+)
 CONTAINERS = frozenset("body main article section div td".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPES = frozenset("table ul ol dl select body html div article section main".split())
-DROPPED = frozenset("head nav footer aside form script style title textarea xmp iframe noembed noframes noscript template svg math button select object audio video canvas dialog menu".split())
+DROPPED = frozenset("head nav footer aside form script style title textarea xmp iframe noembed noframes noscript template svg annotation annotation-xml button select object audio video canvas dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay"
     " newsletter subscribe subscription signup sidebar rail aside nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus"
     " reply replies respond discussion share sharing social related recommended recommendations widget widgets pagination pager toolbar skip alert paywall legal copyright login search".split()
 )
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 CONTENT = frozenset("article content post entry story main text body articlebody".split())
 
 _EVENT = re.compile(
@@ -91,6 +95,7 @@ def _names(text: str) -> set[str]:
 def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
     up = nodes[parent] if parent >= 0 else None
     classes, named, role = "", "", ""
+    anchored = bool(up and up.in_article) and tag in ANCHORED  # ids are the names of the article's own parts
     if "=" in rest:
         for m in _ATTRIBUTE.finditer(rest):
             value = unescape(m[2] or m[3] or m[4] or "")
@@ -99,7 +104,7 @@ def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
                 classes = value
             if kind == "role":
                 role = value.lower()
-            else:
+            elif kind != "id" or not anchored:
                 named += " " + value
     in_article = bool(up and up.in_article) or tag in ("article", "main")
     dropped = tag in DROPPED or role in ROLES

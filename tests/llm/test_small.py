@@ -224,6 +224,14 @@ def test_winning_path_drops_no_part_of_an_article():
     assert htmlmain.extracted(page, path) == "four of ten words are here\n\nand the six others of the page are in this one"
 
 
+def test_ids_and_formulas_of_an_article_stay():
+    page = (
+        "<body><article><p>first words</p><section id='discussion'><h2 id='related-work'>Related</h2><p id='comment'>said here</p></section><h3 id='copyright'>Rights</h3>"
+        "<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds</p><div id='comments'>me too</div><section class='related'>more</section></article><section id='discussion'>outside</section>"
+    )
+    assert htmlmain.extracted(page, None) == "first words\n\nRelated\n\nsaid here\n\nRights\n\nso x+1 holds"
+
+
 def test_whole_runs():
     block = next(text_blocks(pa.array(["a b c", "d", "e f"]), PLAIN_WORDS))
     assert whole_runs(block, 2).tolist() == [0, 1, 4] and whole_runs(block, 9).tolist() == []
