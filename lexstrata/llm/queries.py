@@ -36,10 +36,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: they are laid out as source/lang/number/id, some in the directories above."""
+    """Documents have no paths: they are laid out as source/lang/id div 10000/id div 100/id, some in the directories above."""
     docs = table(spark, sf_dir, "documents")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    leaf = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 11).cast("string"), name)
+    leaf = F.concat_ws("/", "source", "lang", F.expr("doc_id div 10000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
     path = F.when(F.col("doc_id") % 31 == 0, F.concat_ws("/", "source", name)).when(F.col("doc_id") % 7 == 0, F.concat_ws("/", "source", "lang", name)).otherwise(leaf)
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
 

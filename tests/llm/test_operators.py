@@ -287,6 +287,13 @@ def test_licenses(spark):
         assert found["licence"] == name and found["cosine"] > 0.99
 
 
+def test_licence_folders_grow_with_documents(spark, tmp_path):
+    for n in (1000, 4000):
+        frame(spark, ["some words"] * n).write.parquet(str(tmp_path / str(n) / "documents.parquet"))
+    folders = [len({r["path"].rpartition("/")[0] for r in queries.op6_licenses(spark, str(tmp_path / str(n))).collect()}) for n in (1000, 4000)]
+    assert folders[1] > 3 * folders[0]
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "http://a", "<p>x"), (1, None, "<p>x"), (2, "u", None), (5, "u", ""), (7, "u", "only"), (1, "v", "<p>x"), (None, "u", "only"), (None, "u", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("data", F.lit("clash"))
