@@ -1,16 +1,16 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file, and every licence file as a whole, is a sparse
-TF-IDF vector that is compared with the notices and licence texts below.  The
+Every line of every file, its leading block (the lines before the first blank
+one) and the file as a whole are each a sparse TF-IDF vector, which is compared with the notices and licence texts below.  The
 document frequencies of the templates' terms are counted over all files; a
 term outside the templates counts as seen once.  A file has the licence of its
-best line if that reaches the threshold.  A file without one takes that of the
+best vector if that reaches the threshold.  A file without one takes that of the
 nearest directory at or above its own that has a licence file, found by joining
 directories with their ancestors; of several licence files in a directory the
 best match counts, then the first path.
 
 A licence file is one named like one (LICENSE, LICENCE, COPYING, NOTICE,
-UNLICENSE, with any extension), or one whose first line with a word is a notice.
+UNLICENSE, with any extension), or one whose first line with a word, or leading block, is a notice.
 
 Cases: null and empty texts match nothing; ties between templates go to the one
 listed first; a null path has no directory and inherits nothing; repeated rows
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm.memory import tidy
 from lexstrata.llm.shared import stored
-from lexstrata.llm.wordspans import FOLDED_WORDS, Block, _spans, text_blocks
+from lexstrata.llm.wordspans import FOLDED_WORDS, PLAIN_WORDS, Block, _spans, text_blocks
 
 THRESHOLD = 0.7
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)([.-][^/]*)?$"
@@ -124,6 +124,16 @@ def line_of_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return number, lines.text_of_word()[kept]
 
 
+def in_leading_block(block: Block) -> np.ndarray:
+    """Whether each word stands before the first blank line after its text's first non-blank one."""
+    seen = _spans(block.data, block.text_at, PLAIN_WORDS, 0)
+    text, line = seen.text_of_word(), np.cumsum(block.data == 0x0A)[seen.starts]
+    later = np.flatnonzero((text[1:] == text[:-1]) & (line[1:] - line[:-1] > 1)) + 1
+    stop = block.text_at[1:].copy()
+    np.minimum.at(stop, text[later], seen.starts[later])
+    return block.starts < stop[block.text_of_word()]
+
+
 def files_with_terms(files: DataFrame) -> Weights:
     """Count in how many files each template term occurs."""
 
@@ -142,7 +152,7 @@ def files_with_terms(files: DataFrame) -> Weights:
 
 
 def matches(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """The files' columns but text, with licence, cosine, n_lines (matching) and heads (the first line matches)."""
+    """The files' columns but text, with licence, cosine, n_lines (matching) and heads (the first line or leading block matches)."""
     names = [c for c in files.columns if c != "text"]
 
     def scan(batches):
@@ -153,17 +163,21 @@ def matches(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) ->
                 line, text = line_of_words(block)
                 score, which = weights.cosines(term, line, len(text))
                 whole, whole_which = weights.cosines(term, block.text_of_word(), n)
+                lead = in_leading_block(block)
+                header, header_which = weights.cosines(term[lead], block.text_of_word()[lead], n)
                 hit = score >= threshold
                 first = np.zeros(len(text), bool)
                 first[np.flatnonzero(np.insert(text[1:] != text[:-1], 0, True)) if len(text) else []] = True
                 best, of = np.where(whole >= threshold, whole, 0.0), whole_which.copy()
+                better = (header >= threshold) & (header > best + 1e-9)
+                best[better], of[better] = header[better], header_which[better]
                 for i in np.flatnonzero(hit).tolist():
                     if score[i] > best[text[i]] + 1e-9:
                         best[text[i]], of[text[i]] = score[i], which[i]
                 licence += [TEMPLATES[k][0] if c else None for k, c in zip(of.tolist(), best.tolist(), strict=True)]
                 cosine += [round(c, 6) if c else None for c in best.tolist()]
                 n_lines += np.bincount(text[hit], minlength=n).tolist()
-                heads += (np.bincount(text[hit & first], minlength=n) > 0).tolist()
+                heads += ((np.bincount(text[hit & first], minlength=n) > 0) | (header >= threshold)).tolist()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(licence, pa.string()), pa.array(cosine, pa.float64()), pa.array(n_lines, pa.int64()), pa.array(heads, pa.bool_())], names=[*names, "licence", "cosine", "n_lines", "heads"])
 
     schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in names)

@@ -287,6 +287,16 @@ def test_licenses(spark):
         assert found["licence"] == name and found["cosine"] > 0.99
 
 
+def test_wrapped_notices_lead_long_files(spark):
+    code = "\n\n" + "\n".join(f"value{i} = call{i}(other{i})" for i in range(400))
+    mit, bsd = (next(t for name, t in licenses.TEMPLATES if name == k and len(t) > 100).split() for k in ("MIT", "BSD-3-Clause"))
+    wrapped = lambda words: "\n".join("# " + " ".join(words[i : i + 6]) for i in range(0, len(words), 6))
+    rows = [(1, "a/x.py", wrapped(mit) + code), (2, "b/x.py", "\n\n" + wrapped(bsd).replace("\n", "\r\n") + "\r\n \r\n" + code), (3, "c/x.py", "first words" + code), (4, "d/x.py", None), (5, "e/x.py", "")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(files).collect()}
+    assert got == {1: "MIT", 2: "BSD-3-Clause", 3: None, 4: None, 5: None}
+
+
 def test_licence_folders_grow_with_documents(spark, tmp_path):
     for n in (1000, 4000):
         frame(spark, ["some words"] * n).write.parquet(str(tmp_path / str(n) / "documents.parquet"))
