@@ -50,6 +50,14 @@ def semantic_checks(c: Corpus) -> DataFrame:
     return c.unnumbered.select(F.explode(faults).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def semantic_checks_all(c: Corpus) -> DataFrame:
+    """Whole lines as statements; those of every tenth document cite a text without their first character."""
+    cited = F.when(F.col("doc_id") % 10 == 3, F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    faults = structure.semantic_faults(F.col("text"), cited, F.lit("the"), F.lit("with"))
+    return c.unnumbered.select(F.explode(faults).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def unresolved_issues(c: Corpus) -> DataFrame:
     raised = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("doc_id") % 3 == 0, "unreviewed")))
@@ -134,6 +142,9 @@ SELECT doc_id, count(*) AS n_faults FROM f WHERE bad GROUP BY doc_id""",
     "semantic_checks": """, x AS (SELECT substr(text, 1, 40) AS e, text, lower(substr(text, 1, 4)) AS s FROM rec),
 y AS (SELECT unnest([CASE WHEN NOT contains(text, e) THEN 'text_not_cited' END, CASE WHEN NOT contains(lower(e), s) THEN 'subject_not_in_text' END,
   CASE WHEN NOT list_contains(regexp_split_to_array(lower(e), '\\s+'), 'the') THEN 'modality_not_in_text' END]) AS code FROM x)
+SELECT code, count(*) AS n FROM y WHERE code IS NOT NULL GROUP BY code""",
+    "semantic_checks_all": """, y AS (SELECT unnest([CASE WHEN doc_id % 10 = 3 THEN 'text_not_cited' END, CASE WHEN NOT contains(lower(text), 'with') THEN 'subject_not_in_text' END,
+  CASE WHEN NOT list_contains(regexp_split_to_array(lower(text), '\\s+'), 'the') THEN 'modality_not_in_text' END]) AS code FROM rec)
 SELECT code, count(*) AS n FROM y WHERE code IS NOT NULL GROUP BY code""",
     "unresolved_issues": """, x AS (SELECT DISTINCT doc_id % 25 AS part, unnest([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 3 = 0 THEN 'unreviewed' END]) AS issue FROM labels)
 SELECT part, string_agg(issue, ',' ORDER BY issue) AS issues, count(*) AS n_issues FROM x WHERE issue IS NOT NULL GROUP BY part""",

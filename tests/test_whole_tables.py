@@ -57,3 +57,14 @@ def test_navigation_takes_every_record(spark, corpus):
 def test_every_line_is_assembled(spark, corpus):
     want = sorted((i, len(t), sha256(t.encode()).hexdigest()) for i, t in TEXTS.items())
     assert rows(spark, corpus, "structure_assemble_all", "doc_id", "n_chars", "content_sha256") == want
+
+
+def test_every_statement_fault_occurs(spark, tmp_path):
+    long = "x" * 50
+    rows = [(3, f"{long} with the end"), (4, f"{long} with the end\nno more"), (5, "the rest")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(spark, str(tmp_path)) == {"text_not_cited": 1, "subject_not_in_text": 2, "modality_not_in_text": 1}
+
+
+def rows_of(spark, folder):
+    return {r["code"]: r["n"] for r in QUERIES["semantic_checks_all"](spark, folder).collect()}
