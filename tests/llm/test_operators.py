@@ -8,14 +8,16 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexstrata.llm import chat, decontam, htmlmain, licenses, nbsvm, packing, queries, rules, simhash, substrings, warc
+from lexstrata.llm import chat, decontam, htmlmain, licenses, nbsvm, packing, queries, rules, shared, simhash, substrings, warc
 from lexstrata.llm.components import components
 from lexstrata.llm.shared import vocabulary_path
+from lexstrata.llm.wordspans import PLAIN_WORDS, text_blocks
 from tests.oracle import same
 
 PLAIN = re.compile("[^\x20\x09-\x0d]+")
@@ -108,6 +110,37 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
                 label = [min(a, b) if x in (a, b) else x for x in label]
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert found == {i: (f"{p:016x}", c) for i, (p, c) in enumerate(zip(prints, label, strict=True))}
+
+
+def test_one_of_each_equals_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    texts = [None, "", "a b", "a b", "A  B"]
+    for _ in range(60):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(w))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            for _ in range(rng.randint(1, max(1, len(w) // 60))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    prints = [row for b in text_blocks(pa.array(texts, pa.string()), PLAIN_WORDS, fold=True) for row in simhash.wide_fingerprints(b)]
+    shingles = []
+    for t in texts:
+        w = (t or "").lower().split()
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label, alike, caught = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near = np.bitwise_count(prints[i] ^ prints[j])
+            linked = near[:2].min() <= simhash.WORD_BITS and near[2:].sum() <= simhash.WIDE_BITS
+            same = len(shingles[i] & shingles[j]) / max(1, len(shingles[i] | shingles[j]))
+            assert not linked or same > 0.5 or not shingles[i] | shingles[j]
+            alike, caught = alike + (same >= 0.8), caught + (same >= 0.8 and linked)
+            if linked:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert caught >= 0.9 * alike > 30
+    docs = frame(spark, texts)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
@@ -130,14 +163,15 @@ def test_one_of_each_with_null_and_shared_ids(spark):
     assert kept((1, None), (1, None), (1, "")) in ([(1, None)], [(1, "")])
 
 
-def test_links_over_blocks_of_a_large_anchor(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL_ROWS", 8)
+@pytest.mark.parametrize("cell_rows", [2, 8, 40])
+def test_links_in_refined_and_cut_anchors(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
     rng = np.random.default_rng(2)
     base = int(rng.integers(1 << 62))
     values = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a in range(0, 60, 2) for b in (a + 1, a + 3)} | set(rng.integers(0, 1 << 62, 50).tolist()))
-    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    fps = spark.createDataFrame([(v, v) for v in values], "node long, fp long")
     found = defaultdict(set)
-    for r in components(simhash.links(fps)).collect():
+    for r in components(simhash.links(fps, ["fp"], 4)).collect():
         found[r["root"]].add(r["node"])
     label = {v: v for v in values}
     for a in values:
@@ -151,6 +185,20 @@ def test_links_over_blocks_of_a_large_anchor(spark, monkeypatch):
     assert {frozenset(s) for s in found.values()} == {frozenset(s) for s in want.values() if len(s) > 1}
 
 
+def test_spread_join_and_removal(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_SHARE", 4)
+    since = shared.mark()
+    rows = shared.stored(spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(40)], "k long, i long"), "rows")
+    values = shared.stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("most")), "values")
+    got = sorted((r["i"], r["k"], r["most"]) for r in shared.spread_join(rows, values, "k", "n").collect())
+    most = {r["k"]: r["most"] for r in values.collect()}
+    assert got == sorted((r["i"], r["k"], most[r["k"]]) for r in rows.collect())
+    shared.remove_stored(spark, since, but=1)
+    assert values.count() == 4 and shared.mark() == since + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        rows.collect()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(3, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
