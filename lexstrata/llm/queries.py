@@ -50,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_pages(table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_archives(archives, with_payload=False).drop("url")
+    return warc.read_archives(archives, with_payload=False).drop("url", "record_id", "refers_to_id")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

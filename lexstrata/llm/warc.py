@@ -7,13 +7,22 @@ revisit records that name it.
 
 Archives are rows (archive, data BINARY) of a Parquet table in the shared
 folder, so that any executor and any file system can read them; ``read_files``
-takes real ``.warc.zst`` files through Spark's binaryFile source.
+takes real ``.warc.zst`` files through Spark's binaryFile source, whoever wrote
+them: the dictionary may be a Zstandard frame itself, frames need not tell the
+size of their content, other skippable frames are passed over, and records of
+all types are returned (``payload`` is the body of a response, null for a
+revisit, and the block for other types).  Ids are text (``record_id``,
+``refers_to_id``); page_id and refers_to are the numbers in ids of this writer
+and null in others.  Files and records are held whole in a task, so neither may
+exceed 2 GB, the most that a value in Spark can have.
 
 Cases: a null html is an empty payload; a null page_id is written as ``-`` and
 is never a response to others unless all rows of the payload lack ids; rows
 that repeat the smallest page_id of a payload are all responses; the empty
 table gives no archive.  Extra columns are ignored.  A damaged archive raises
 ``WarcError``: bad magic, truncated frame, wrong length, digest or header.
+SHA-1 digests of payloads and blocks are checked where a record has them; a
+chunked body may be digested with or without its chunk marks.
 """
 
 from __future__ import annotations
@@ -40,7 +49,10 @@ LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:lexstrata:page:"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, url string, payload binary"
+SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+#: No record may be longer once it is decompressed.
+RECORD_BYTES = (1 << 31) - 1
 
 
 class WarcError(ValueError):
@@ -115,63 +127,138 @@ def frame_end(data: memoryview, at: int) -> int:
     return at
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
+def skippable_end(data: memoryview, at: int) -> int | None:
+    """Offset after a skippable frame, or None if another frame starts at ``at``."""
+    if len(data) - at < 8 or struct.unpack_from("<I", data, at)[0] not in SKIPPABLE:
+        return None
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    if end > len(data):
+        raise WarcError("truncated dictionary or skippable frame")
+    return end
+
+
+def decompressed(unpacker: zstandard.ZstdDecompressor, frame: memoryview, most: int) -> bytes:
+    """The content of a frame, whether or not its header tells the size."""
+    out, size = [], 0
+    try:
+        with unpacker.stream_reader(frame) as content:
+            while part := content.read(min(1 << 20, most + 1 - size)):
+                out.append(part)
+                size += len(part)
+                if size > most:
+                    raise WarcError(f"a record has more than {most} bytes")
+    except zstandard.ZstdError as e:
+        raise WarcError(str(e)) from e
+    return b"".join(out)
+
+
+def read_archive(data: bytes, most: int = RECORD_BYTES) -> Iterator[dict]:
     """The records of an archive, each checked against its headers."""
     view = memoryview(data)
     at, unpacker = 0, zstandard.ZstdDecompressor()
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE_MAGIC:
-        size = struct.unpack_from("<I", data, 4)[0]
-        at = 8 + size
-        if at > len(data):
-            raise WarcError("truncated dictionary")
-        if size:
-            unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:at]))
+    if (end := skippable_end(view, 0)) and struct.unpack_from("<I", data)[0] == SKIPPABLE_MAGIC:
+        content = bytes(view[8:end])
+        if content[:4] == struct.pack("<I", FRAME_MAGIC):
+            content = decompressed(unpacker, memoryview(content), most)
+        if content:
+            unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+        at = end
     while at < len(data):
+        if end := skippable_end(view, at):
+            at = end
+            continue
         end = frame_end(view, at)
-        try:
-            record = unpacker.decompress(view[at:end])
-        except zstandard.ZstdError as e:
-            raise WarcError(str(e)) from e
-        yield parsed_record(record)
+        yield parsed_record(decompressed(unpacker, view[at:end], most))
         at = end
 
 
+def dechunked(body: bytes) -> bytes | None:
+    """The body without the marks of chunked transfer, or None if it has none."""
+    out, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:line].partition(b";")[0], 16)
+        except ValueError:
+            return None
+        if not size:
+            return b"".join(out)
+        out.append(body[line + 2 : line + 2 + size])
+        at = line + 4 + size
+    return None
+
+
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Header lines by lower-case name; a line that starts with white space goes on with the one before."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise WarcError(f"bad header line {line!r}")
+        fields[name] = value.strip()
+    return fields
+
+
+def checked_digest(named: str | None, content: bytes, of: str) -> None:
+    """Raise if a SHA-1 digest, in base32 or hex, isn't that of the content; other algorithms pass."""
+    algorithm, _, digest = (named or "").partition(":")
+    if algorithm.lower() != "sha1":
+        return
+    own = hashlib.sha1(content).digest()
+    if digest.upper() not in (base64.b32encode(own).decode(), own.hex().upper()):
+        raise WarcError(f"the {of}'s digest is not the header's")
+
+
+def response_payload(block: bytes, fields: dict[str, str]) -> bytes:
+    """The body after an HTTP head, or the whole block of another protocol."""
+    kind = fields.get("content-type", "application/http")
+    return block.partition(b"\r\n\r\n")[2] if kind.lower().startswith("application/http") else block
+
+
+def page_number(record_id: str | None) -> int | None:
+    number = (record_id or "").removeprefix(RECORD_ID) if (record_id or "").startswith(RECORD_ID) else ""
+    return int(number) if number.removeprefix("-").isdecimal() else None
+
+
 def parsed_record(record: bytes) -> dict:
     head, mark, block = record.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not mark or not lines[0].startswith("WARC/1."):
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not mark or not lines[0].startswith("WARC/"):
         raise WarcError("no WARC header")
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise WarcError(f"bad header line {line!r}")
-        fields[name.strip().lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-payload-digest", "content-length"):
+    fields = header_fields(lines[1:])
+    for name in ("warc-type", "warc-record-id", "content-length"):
         if name not in fields:
             raise WarcError(f"{name} is missing")
-    if not fields["content-length"].isdigit() or len(block) != int(fields["content-length"]) + 4 or block[-4:] != b"\r\n\r\n":
+    length = fields["content-length"]
+    if not length.isdecimal() or len(block) != int(length) + 4 or block[-4:] != b"\r\n\r\n":
         raise WarcError("the block's length is not its Content-Length")
-    block = block[:-4]
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    kind = fields["warc-type"]
-    payload = None
+    block, kind = block[:-4], fields["warc-type"].lower()
+    checked_digest(fields.get("warc-block-digest"), block, "block")
+    named = fields.get("warc-payload-digest")
+    payload = None if kind == "revisit" else response_payload(block, fields) if kind == "response" else block
     if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if payload_digest(payload) != digest:
-            raise WarcError("the payload's digest is not the header's")
-    elif kind != "revisit" or "warc-refers-to" not in fields:
-        raise WarcError(f"record type {kind} is not handled")
-    size = int(fields.get("warc-payload-length", -1 if payload is None else len(payload)))
-    if payload is not None and size != len(payload):
+        try:
+            checked_digest(named, payload, "payload")
+        except WarcError:
+            if (plain := dechunked(payload)) is None:
+                raise
+            checked_digest(named, plain, "payload")
+    size = fields.get("warc-payload-length")
+    if size is not None and (not size.isdecimal() or payload is not None and int(size) != len(payload)):
         raise WarcError("the payload's length is not the header's")
-    number = lambda x: None if (i := x.strip("<>").removeprefix(RECORD_ID)) == "-" else int(i)
+    record_id, refers_to = (fields[n].strip("<>") if n in fields else None for n in ("warc-record-id", "warc-refers-to"))
     return {
-        "page_id": number(fields["warc-record-id"]),
-        "payload_bytes": size,
-        "payload_digest": digest,
+        "page_id": page_number(record_id),
+        "payload_bytes": int(size) if size is not None else None if payload is None else len(payload),
+        "payload_digest": None if named is None else named.removeprefix("sha1:"),
         "record_type": kind,
-        "refers_to": number(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": page_number(refers_to),
+        "record_id": record_id,
+        "refers_to_id": refers_to,
         "url": fields.get("warc-target-uri"),
         "payload": payload,
     }
@@ -215,7 +302,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     kept = names if with_payload else names[:-1]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"payload": pa.binary(), "url": pa.string(), "payload_digest": pa.string(), "record_type": pa.string()}
+        types = {"payload": pa.binary()} | dict.fromkeys(("url", "payload_digest", "record_type", "record_id", "refers_to_id"), pa.string())
         schema = pa.schema([(c, types.get(c, pa.int64())) for c in kept])
         for b in batches:
             for data in b.column(0):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -11,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -183,7 +187,7 @@ def test_archive_round_trip_and_damage():
     data = warc.write_archive(records)
     read = list(warc.read_archive(data))
     assert [r["payload"] for r in read[:20]] == payloads * 5
-    assert read[-1] == {"page_id": None, "payload_bytes": len(payloads[1]), "payload_digest": warc.payload_digest(payloads[1]), "record_type": "revisit", "refers_to": 1, "url": None, "payload": None}
+    assert read[-1] == {"page_id": None, "payload_bytes": len(payloads[1]), "payload_digest": warc.payload_digest(payloads[1]), "record_type": "revisit", "refers_to": 1, "record_id": "urn:lexstrata:page:-", "refers_to_id": "urn:lexstrata:page:1", "url": None, "payload": None}
     for bad in (data[:-1], data[:-200] + b"x" * 200, data[:6], b"\0" * 10):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(bad))
@@ -194,6 +198,49 @@ def test_archive_round_trip_and_damage():
     assert list(warc.read_archive(b"")) == []
 
 
+def foreign_record(kind, block, *more, uuid="0"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid}>", f"Content-Length: {len(block)}", *more]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def sha1(x):
+    return base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+
+def test_archives_of_other_writers():
+    """Built by hand, without the writer: warcinfo, uuids, frames without a size, compressed dictionaries, folded headers, chunked bodies."""
+    body = b"<p>" + b"word " * 400
+    chunks = b"5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
+    records = [
+        foreign_record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", uuid="info"),
+        foreign_record("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        foreign_record("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, "Content-Type: application/http;", " msgtype=response", "WARC-Target-URI: http://e/\xff", f"WARC-Payload-Digest: sha1:{sha1(body)}", uuid="a"),
+        foreign_record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks, f"WARC-Payload-Digest: sha1:{sha1(b'hello world')}"),
+        foreign_record("response", b"a dns answer", "Content-Type: text/dns", f"WARC-Block-Digest: sha1:{hashlib.sha1(b'a dns answer').hexdigest()}", "WARC-Payload-Digest: md5:0"),
+        foreign_record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Refers-To: <urn:uuid:a>"),
+        foreign_record("revisit", b"", "WARC-Refers-To-Target-URI: http://e/"),
+    ]
+    content = zstandard.train_dictionary(2000, [bytes([i % 251]) * 5 + body + str(i).encode() * 9 for i in range(300)]).as_bytes()
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content))
+    frames = []
+    for r in records:
+        one = packer.compressobj()
+        frames.append(one.compress(r) + one.flush())  # sizeless
+    for stored in (content, zstandard.ZstdCompressor(write_content_size=False).compress(content)):
+        data = struct.pack("<II", 0x184D2A5D, len(stored)) + stored + frames[0] + struct.pack("<II", 0x184D2A50, 3) + b"any" + b"".join(frames[1:])
+        got = list(warc.read_archive(data))
+        assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "response", "revisit", "revisit"]
+        assert [r["payload"] for r in got] == [b"software: x\r\n", b"GET / HTTP/1.1\r\n\r\n", body, chunks, b"a dns answer", None, None]
+        assert got[0]["record_id"] == "urn:uuid:info" and got[2]["page_id"] is None and got[2]["payload_bytes"] == len(body)
+        assert (got[5]["refers_to_id"], got[6]["refers_to_id"], got[5]["payload_bytes"]) == ("urn:uuid:a", None, None)
+        with pytest.raises(warc.WarcError, match="more than 100 bytes"):
+            list(warc.read_archive(zstandard.compress(records[2]), most=100))
+    assert [r["record_type"] for r in warc.read_archive(b"".join(zstandard.compress(r) for r in records))][:2] == ["warcinfo", "request"]
+    for bad in (records[2].replace(b"word", b"ward"), records[4].replace(b"dns a", b"dnsxa"), records[0].replace(b"WARC-Type", b"WARC-Kind"), records[0].replace(b"WARC/1.0\r\n", b"WARC/1.0\r\nno colon\r\n"), records[3].replace(b"hello", b"jello")):
+        with pytest.raises(warc.WarcError):
+            warc.parsed_record(bad)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
