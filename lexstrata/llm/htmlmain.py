@@ -4,8 +4,12 @@ Each page is parsed into containers, which are scored by the text they hold
 and by how little of it is links.  The best containers vote with
 their generalised path (tags and classes, numbers masked) for the page's host;
 votes are summed in Spark, and every page is extracted again from the
-containers on its host's winning path.  A page without them, or of which they
-hold only a small part, is extracted from its own best container.
+containers on its host's winning path together with its own best container.
+
+Parsing takes time and memory in proportion to the page, however deep its
+elements are nested: a container knows its parent and its own step, and equal
+paths share a number within the page.  A tag ends at the first ``>`` outside
+quotes; in a page with a quote that never closes, at the first ``>`` from there on.
 
 Cases: a null or empty html, or one without text, gives an empty text; a null
 url is a host of its own; repeated rows are extracted each; unclosed and
@@ -17,7 +21,9 @@ the empty table gives no rows.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -29,14 +35,15 @@ from lexstrata.llm.shared import stored
 
 # The HTML elements of each kind, and words that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes"
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp"
     " math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mstyle mpadded mphantom mtable mtr mtd semantics".split()
 )
 CONTAINERS = frozenset("body main article section div td".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+#: Elements that end an open one of the same group, and those that such groups don't reach across.
+GROUPS = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "cell", "th": "cell", "option": "option"}
 SCOPES = frozenset("table ul ol dl select body html div article section main".split())
 DROPPED = frozenset("head nav footer aside form script style title textarea xmp iframe noembed noframes noscript template svg annotation annotation-xml button select object audio video canvas dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -45,57 +52,76 @@ BOILERPLATE = frozenset(
     " newsletter subscribe subscription signup sidebar rail aside nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus"
     " reply replies respond discussion share sharing social related recommended recommendations widget widgets pagination pager toolbar skip alert paywall legal copyright login search".split()
 )
-ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORED = HEADINGS | {"p", "section"}
 CONTENT = frozenset("article content post entry story main text body articlebody".split())
 
-_EVENT = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-z][^>]*+>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+_QUOTED = re.compile(r"<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+_UNQUOTED = re.compile(r"<(/?)([a-z][^\s/>]*+)([^>]*+)>", re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*+>", re.I) for t in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NEGATED = re.compile(r"\b(?:has|with|without|no|is)[-_]?\w+(?:-\w+)*", re.I)
 _NUMBER = re.compile(r"\d+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
+#: Best containers of a page that vote for the host's path.
 VOTES = 3
-#: Winning containers with less than this share of the page's own best are passed over.
-LEAST_SHARE = 0.3
 LARGE_HOSTS = 512
 
 
+# How doubtful a node is by names of classes and ids, its own and its parents'.
+CLEAN, IN_HEADER, NAMED = 0, 1, 2
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
     parent: int
-    path: str
+    path: int  # number of the path in the page
+    step: str
     dropped: bool  # by its tag or role, or a parent's
-    doubtful: bool  # by its class or id, or a parent's
+    doubt: int
     link: bool
-    heading: bool
     in_article: bool
+    owner: int  # the node that owns text directly inside
+    near: dict[str, int]  # depth of the open element of each group that a new one ends
     content: int = 0
     total: int = 0
     bonus: float = 1.0
 
 
-@dataclass(slots=True)
 class Page:
-    nodes: list[Node] = field(default_factory=list)
-    blocks: list[tuple[int, str, int, bool]] = field(default_factory=list)  # node, text, link characters, by tag kept
+    def __init__(self) -> None:
+        root = Node("html", -1, 0, "", False, CLEAN, False, False, 0, {})
+        self.nodes: list[Node] = [root]
+        self.blocks: list[tuple[int, str, int, bool]] = []  # owner, text, link characters, kept
+        self.paths: dict[tuple[int, str], int] = {}  # (parent's path, step) to the path's number
+
+    def path(self, i: int) -> str:
+        """The steps from the top, each after a ``>``."""
+        steps = []
+        while i > 0:
+            steps.append(self.nodes[i].step)
+            i = self.nodes[i].parent
+        return "".join(">" + x for x in reversed(steps))
+
+    def number(self, path: str | None) -> int:
+        """The number of a path in this page, or -1."""
+        at = 0 if path is not None else -1
+        for step in (path or "").split(">")[1:]:
+            at = self.paths.get((at, step), -1)
+        return at
 
 
 def _names(text: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(text)} | set(re.split(r"[^a-z]+", text.lower()))
 
 
-def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
-    up = nodes[parent] if parent >= 0 else None
+def _node(tag: str, rest: str, parent: int, depth: int, page: Page) -> Node:
+    up = page.nodes[parent]
     classes, named, role = "", "", ""
-    anchored = bool(up and up.in_article) and tag in ANCHORED  # ids are the names of the article's own parts
+    anchored = up.in_article and tag in ANCHORED  # ids are the names of the article's own parts
     if "=" in rest:
         for m in _ATTRIBUTE.finditer(rest):
             value = unescape(m[2] or m[3] or m[4] or "")
@@ -106,42 +132,83 @@ def _node(tag: str, rest: str, parent: int, nodes: list[Node]) -> Node:
                 role = value.lower()
             elif kind != "id" or not anchored:
                 named += " " + value
-    in_article = bool(up and up.in_article) or tag in ("article", "main")
-    dropped = tag in DROPPED or role in ROLES
-    doubtful, bonus = False, {"article": 1.5, "main": 1.4, "body": 0.8}.get(tag, 1.0)
+    in_article = up.in_article or tag in ("article", "main")
+    dropped = up.dropped or tag in DROPPED or role in ROLES
+    doubt, bonus = CLEAN, {"article": 1.5, "main": 1.4, "body": 0.8}.get(tag, 1.0)
     if tag == "header":
         dropped = dropped or not in_article
-        doubtful = in_article
+        doubt = IN_HEADER
     elif named and tag not in ("html", "body", "main", "article"):
         words = _names(_NEGATED.sub(" ", named))
-        doubtful = not BOILERPLATE.isdisjoint(words)
-        if not doubtful and not CONTENT.isdisjoint(words):
+        if not BOILERPLATE.isdisjoint(words):
+            doubt = NAMED
+        elif not CONTENT.isdisjoint(words):
             bonus = 1.3
     elif tag == "article" and named:
-        words = _names(named)
-        doubtful = not {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"}.isdisjoint(words)
-    heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    doubtful = (doubtful or bool(up and up.doubtful)) and not (heading and up is not None and _only_header(parent, nodes))
-    step = tag + "".join(sorted("." + _NUMBER.sub("#", c) for c in set(classes.split())))
-    return Node(tag, parent, f"{up.path}>{step}" if up else step, dropped or bool(up and up.dropped), doubtful, tag == "a" or bool(up and up.link), heading, in_article, bonus=bonus)
-
-
-def _only_header(parent: int, nodes: list[Node]) -> bool:
-    """Whether nothing but a header element inside an article makes the parent doubtful."""
-    while parent >= 0 and nodes[parent].doubtful:
-        up = nodes[parent].parent
-        if not (up >= 0 and nodes[up].doubtful):
-            return nodes[parent].tag == "header"
-        parent = up
-    return False
+        if not {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"}.isdisjoint(_names(named)):
+            doubt = NAMED
+    doubt = max(doubt, up.doubt)
+    if tag in HEADINGS and doubt == IN_HEADER:
+        doubt = CLEAN  # an article's headings are its own, the rest of its header isn't
+    step = tag + "".join(sorted("." + _NUMBER.sub("#", c.replace(">", "")) for c in set(classes.split())))
+    path = page.paths.setdefault((up.path, step), len(page.paths) + 1)
+    owner = up.owner if tag in INLINE and not dropped and doubt == CLEAN else len(page.nodes)
+    near = up.near
+    if tag in SCOPES:
+        near = {}
+    if tag in GROUPS:
+        near = {**near, GROUPS[tag]: depth}
+    return Node(tag, parent, path, step, dropped, doubt, up.link or tag == "a", in_article, owner, near, bonus=bonus)
+
+
+def events(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag, rest) of texts, start and end tags; comments, declarations and the content of raw elements are left out.
+
+    A text is (``text``, itself, empty).
+    """
+    at, size, closed, tags = 0, len(html), html.rfind(">") + 1, _QUOTED
+    while at < size:
+        lt = html.find("<", at, closed)
+        if lt < 0:
+            break
+        mark = html[lt + 1 : lt + 2]
+        if mark.isascii() and mark.isalpha() or mark == "/" and (after := html[lt + 2 : lt + 3]).isascii() and after.isalpha():
+            if lt > at:
+                yield "text", html[at:lt], ""
+            m = tags.match(html, lt)
+            if m is None:  # a quote that never closes: quotes don't count from here on
+                tags = _UNQUOTED
+                m = tags.match(html, lt)
+            end, tag = m[1], m[2].lower()
+            at = m.end()
+            if not end and tag in RAW:
+                close = _RAW_END[tag].search(html, at)
+                at = close.end() if close else size
+                yield "raw", tag, ""
+            else:
+                yield "end" if end else "start", tag, m[3]
+        elif mark in ("!", "?", "/"):
+            if lt > at:
+                yield "text", html[at:lt], ""
+            if html.startswith("<!--", lt):
+                close = html.find("-->", lt + 4)
+                at = close + 3 if close >= 0 else size
+            else:
+                at = html.find(">", lt) + 1
+        else:
+            yield "text", html[at : lt + 1], ""
+            at = lt + 1
+    if at < size:
+        yield "text", html[at:], ""
 
 
 def parsed(html: str) -> Page:
     """The page's containers with their sums, and its text blocks in order."""
     page = Page()
     nodes, blocks = page.nodes, page.blocks
-    nodes.append(Node("html", -1, "", False, False, False, False, False))
-    stack, pieces, links, at = [0], [], 0, 0
+    stack, pieces, links, owner = [0], [], 0, 0
+    open_tags: Counter[str] = Counter()
+    inline_tags: list[dict[str, int] | None] = [None]  # how many inline elements of each kind are open inside each open block element
 
     def close_block() -> None:
         nonlocal links
@@ -152,86 +219,77 @@ def parsed(html: str) -> Page:
             pieces.clear()
             links = 0
 
-    def say(raw: str) -> None:
-        nonlocal owner, links
-        node = nodes[stack[-1]]
-        text = unescape(raw) if "&" in raw else raw
-        if not pieces:
-            if not text.strip():
-                return
-            owner = stack[-1]
-            while nodes[owner].tag in INLINE and not nodes[owner].dropped and not nodes[owner].doubtful:
-                owner = nodes[owner].parent
-        pieces.append(text)
-        if node.link:
-            links += len(text)
-
-    owner = 0
-    for m in _EVENT.finditer(html):
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    def cut(depth: int) -> None:
+        """Close the open elements from this depth on."""
+        for i in reversed(stack[depth:]):
+            tag = nodes[i].tag
+            open_tags[tag] -= 1
+            if tag in INLINE:
+                inline_tags[-1][tag] -= 1
+            else:
+                inline_tags.pop()
+        del stack[depth:]
+
+    def look(i: int) -> tuple[bool, int]:
+        return nodes[i].dropped, nodes[i].doubt
+
+    for kind, tag, rest in events(html):
+        if kind == "text":
+            text = unescape(tag) if "&" in tag else tag
+            if pieces or text.strip():
+                node = nodes[stack[-1]]
+                owner = owner if pieces else node.owner
+                pieces.append(text)
+                if node.link:
+                    links += len(text)
             continue
-        tag = tag.lower()
         inline = tag in INLINE
         if tag == "br":
             pieces and pieces.append(" ")
             continue
         if not inline:
             close_block()
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[i]].tag
-                if open_tag == tag:
-                    if inline and _breaks(nodes, stack[i:]):
-                        close_block()
-                    del stack[i:]
-                    break
-                if inline and open_tag not in INLINE:
-                    break
+        if kind == "raw":
+            continue
+        if kind == "end":
+            if not ((inline_tags[-1] or {}).get(tag) if inline else open_tags[tag]):
+                continue
+            depth = len(stack) - 1
+            while nodes[stack[depth]].tag != tag:
+                depth -= 1
+            if inline and look(stack[depth]) != look(stack[depth - 1]):
+                close_block()
+            cut(depth)
             continue
-        if tag in CLOSES_P:
-            _close(stack, nodes, ("p",))
-        if tag in SIBLINGS and tag != "p":
-            _close(stack, nodes, SIBLINGS[tag])
-        if tag in VOID or m["rest"].endswith("/") and tag not in CONTAINERS and tag != "p" and not inline:
+        ends = [GROUPS[tag]] if tag in GROUPS and tag != "p" else []
+        for group in (["p", *ends] if tag in CLOSES_P else ends):
+            depth = nodes[stack[-1]].near.get(group, 0)
+            if depth:
+                cut(depth)
+        if tag in VOID or rest.endswith("/") and tag not in CONTAINERS and tag != "p" and not inline:
             continue
-        node = _node(tag, m["rest"], stack[-1], nodes)
-        if inline and (node.dropped, node.doubtful) != (nodes[stack[-1]].dropped, nodes[stack[-1]].doubtful):
+        node = _node(tag, rest, stack[-1], len(stack), page)
+        if inline and (node.dropped, node.doubt) != look(stack[-1]):
             close_block()
         nodes.append(node)
         stack.append(len(nodes) - 1)
-    if at < len(html):
-        say(html[at:])
+        open_tags[tag] += 1
+        if not inline:
+            inline_tags.append(None)
+        elif (inside := inline_tags[-1]) is None:
+            inline_tags[-1] = {tag: 1}
+        else:
+            inside[tag] = inside.get(tag, 0) + 1
     close_block()
     _sum(page)
     return page
 
 
-def _breaks(nodes: list[Node], closing: list[int]) -> bool:
-    first = nodes[closing[0]]
-    up = nodes[first.parent]
-    return (first.dropped, first.doubtful) != (up.dropped, up.doubtful)
-
-
-def _close(stack: list[int], nodes: list[Node], tags: tuple[str, ...]) -> None:
-    """Close the open elements of these kinds that the next start tag ends."""
-    for i in range(len(stack) - 1, 0, -1):
-        tag = nodes[stack[i]].tag
-        if tag in tags:
-            del stack[i:]
-            return
-        if tag in SCOPES:
-            return
-
-
 def _sum(page: Page) -> None:
     nodes = page.nodes
-    clean = any(not (nodes[o].dropped or nodes[o].doubtful) for o, *_ in page.blocks)
+    clean = any(not (nodes[o].dropped or nodes[o].doubt) for o, *_ in page.blocks)
     for k, (owner, text, links, _) in enumerate(page.blocks):
-        kept = not nodes[owner].dropped and not (clean and nodes[owner].doubtful)
+        kept = not nodes[owner].dropped and not (clean and nodes[owner].doubt)
         page.blocks[k] = (owner, text, links, kept)
         if kept:
             nodes[owner].total += len(text)
@@ -259,19 +317,15 @@ def _text(page: Page, roots: set[int]) -> str:
 
 
 def extracted(html: str | None, winner: str | None) -> str:
-    """The main text, from the containers on the winning path if the page has them."""
+    """The main text: what the containers on the winning path hold, and the page's own best container."""
     if not html:
         return ""
     page = parsed(html)
     best = scored(page)
     if not best:
         return ""
-    own = best[0][1]
-    on_path = {i for _, i in best if page.nodes[i].path == winner}
-    if on_path and sum(page.nodes[i].content for i in on_path) >= LEAST_SHARE * page.nodes[own].content:
-        # Within an article or main the host's path adds to the page's own container and takes nothing from it.
-        return _text(page, on_path | {own} if page.nodes[own].in_article else on_path)
-    return _text(page, {own})
+    number = page.number(winner)
+    return _text(page, {best[0][1]} | {i for _, i in best if page.nodes[i].path == number})
 
 
 def votes(html: str | None) -> list[tuple[str, int]]:
@@ -282,7 +336,7 @@ def votes(html: str | None) -> list[tuple[str, int]]:
     out: dict[str, int] = {}
     best = scored(page)
     for score, i in best[:VOTES]:
-        out.setdefault(page.nodes[i].path, round(1000 * score / best[0][0]))
+        out.setdefault(page.path(i), round(1000 * score / best[0][0]))
     return list(out.items())
 
 

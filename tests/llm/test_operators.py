@@ -395,6 +395,28 @@ def test_main_text(spark):
     assert got == [(1, "one", 3), (1, "one", 3), (2, "", 0), (3, "x < y", 5), (4, "", 0)]
 
 
+@pytest.mark.parametrize("large", [1, 512])
+def test_host_votes_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(htmlmain, "LARGE_HOSTS", large)
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        box = rng.choice(["div class='story n%d'" % i, "section id='s'", "div class='pane'"])
+        said = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(3, 60)))
+        more = " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(0, 30)))
+        rows.append((i, rng.choice(["http://a.org/x", "https://A.org/y", "http://b.org", None, "no url"]), f"<body><nav>top</nav><{box}><p>{said}</p></{box.split()[0]}><div class='pane'><p>{more}</p></div>"))
+    tally = defaultdict(Counter)
+    for _, url, html in rows:
+        for path, n in htmlmain.votes(html):
+            tally[htmlmain.host(url)][path] += n
+    winner = {h: min(c, key=lambda p: (-c[p], p)) for h, c in tally.items()}  # noqa: B023
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmlmain.main_text(pages).collect()}
+    want = {i: htmlmain.extracted(html, winner[htmlmain.host(url)]) for i, url, html in rows}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert any(t != htmlmain.extracted(html, None) for (_, _, html), t in zip(rows, want.values(), strict=True))
+
+
 def test_empty_tables(spark, labelled):
     docs, labels, _ = labelled
     none, bench = docs.limit(0), spark.createDataFrame(BENCH, "item_id long, text string")

@@ -7,8 +7,10 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
+from html import escape
 
 import numpy as np
 import pyarrow as pa
@@ -258,13 +260,42 @@ def test_extraction(html, text):
     assert htmlmain.extracted(html, None) == text
 
 
-def test_winning_path_is_used():
-    page = "<body><div class='x'><p>short but right</p></div><div class='y'><p>some other text, and it is longer</p></div>"
+def test_winning_path_adds_to_the_own_container():
+    longer = "some other text, and it is longer " * 9 + "by far"
+    page = f"<body><div class='x'><p>short but right</p></div><div class='y'><p>{longer}</p></div><div class='z'>small</div>"
     path = next(p for p, _ in htmlmain.votes("<body><div class='x'><p>words of the article go here</p></div>") if p.endswith("div.x"))
-    assert htmlmain.extracted(page, path) == "short but right"
+    assert htmlmain.extracted(page, None) == longer
+    assert htmlmain.extracted(page, path) == f"short but right\n\n{longer}"
+    assert htmlmain.extracted(page, ">no>such") == htmlmain.extracted(page, None)
     assert htmlmain.host("HTTP://user@Ex.org:80/a") == "ex.org:80" and htmlmain.host(None) == ""
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 100_000 + "x", "<blockquote>" * 100_000 + "x", "<b>" * 100_000 + "x", "<li>x" * 100_000, "<a" * 500_000, "<a b=\"> " * 100_000 + "'", "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x",
+        "<p>" + "<b>" * 50_000 + "<hr>" * 50_000 + "x", "<!--" * 300_000, "<script>" * 100_000, "&" * 1_000_000, "< " * 300_000, "<div class='a b c'>" * 100_000 + "x", "</p>" * 200_000 + "x",
+    ],
+)
+def test_hostile_pages_take_linear_time(html):
+    began = time.perf_counter()
+    assert htmlmain.extracted(html, htmlmain.votes(html)[0][0] if "x" in html else None) is not None
+    assert time.perf_counter() - began < 15
+
+
+WORD = st.text(alphabet="abcdé&<>\"'", min_size=1, max_size=6)
+SENTENCE = st.lists(WORD, min_size=1, max_size=8).map(" ".join)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "li", "blockquote", "pre"]), SENTENCE), min_size=1, max_size=6), st.booleans(), st.sampled_from([" ", "\n", "\t \n"]))
+def test_article_blocks_come_back(blocks, nested, gap):
+    body = "".join(f"<{t}>{gap}" + gap.join(f"<em>{escape(w)}</em>" for w in s.split(" ")) + f"{gap}</{t}>" for t, s in blocks)
+    inner = f"<div class='wrap'>{body}</div>" if nested else body
+    page = f"<html><head><title>t</title><style>p {{}}</style></head><body><nav><a href='/'>home</a></nav><!-- no --><article><header><p>by me</p></header>{inner}<form>mail <input></form><div class='share-bar'>share</div></article><aside>more</aside><footer>end</footer><script>x('<p>no</p>')</script></body></html>"
+    assert htmlmain.extracted(page, None) == "\n\n".join(s for _, s in blocks)
+
+
 def test_winning_path_drops_no_part_of_an_article():
     page = "<body><main><article><p>four of ten words are here</p></article><section><p>and the six others of the page are in this one</p></section></main>"
     path = next(p for p, _ in htmlmain.votes("<body><main><article><p>words of the article go here</p></article></main>") if p.endswith("main>article"))
