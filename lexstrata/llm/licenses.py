@@ -1,119 +1,156 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file, its leading block (the lines before the first blank
-one) and the file as a whole are each a sparse TF-IDF vector, which is compared with the notices and licence texts below.  The
-document frequencies of the templates' terms are counted over all files; a
-term outside the templates counts as seen once.  A file has the licence of its
-best vector if that reaches the threshold.  A file without one takes that of the
-nearest directory at or above its own that has a licence file, found by joining
-directories with their ancestors; of several licence files in a directory the
-best match counts, then the first path.
-
+The file as a whole, its leading block (the lines before the first blank one)
+and each of its lines are sparse TF-IDF vectors of words, which are compared
+with the notices and licence texts of ``licence_texts``.  The document
+frequencies of all words are counted over all files, in ``2 ** DF_BITS`` buckets
+of their hashes; words of a bucket share its frequency.  A vector may only match
+a template whose name and version numbers it has, as far as the template says
+them, and whose distinguishing words (``MARKS``) it has and no others of that family: so a version or variant without
+a template matches nothing rather than its relative.  A file has the licence of
+the largest part that reaches the threshold: the whole, the leading block, or
+else the best line.
+
+A file without a licence takes that of the nearest directory at or above its own
+that has a licence file, found by joining directories with their ancestors; of
+several licence files in a directory the best match counts, then the first path.
 A licence file is one named like one (LICENSE, LICENCE, COPYING, NOTICE,
-UNLICENSE, with any extension), or one whose first line with a word, or leading block, is a notice.
+UNLICENSE, with any extension), or one whose first line with a word, or leading
+block, is a notice.
 
 Cases: null and empty texts match nothing; ties between templates go to the one
 listed first; a null path has no directory and inherits nothing; repeated rows
-are scanned each; extra columns are ignored; the empty table gives no rows.
+are scanned each; extra columns are kept, but those named like a result
+(``RESULTS``) are replaced by it; the empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lexstrata.llm.licence_texts import MARKS, TEMPLATES
 from lexstrata.llm.memory import tidy
-from lexstrata.llm.shared import stored
-from lexstrata.llm.wordspans import FOLDED_WORDS, PLAIN_WORDS, Block, _spans, text_blocks
+from lexstrata.llm.shared import spread_join, stored
+from lexstrata.llm.wordspans import FOLDED_WORDS, PLAIN_WORDS, Block, RollingHash, _spans, text_blocks
 
 THRESHOLD = 0.7
+DF_BITS = 16
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)([.-][^/]*)?$"
+RESULTS = ("licence", "how", "from_path", "cosine", "n_lines")
 
-# Licence identifiers and phrases of their public notices.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+_HASH = RollingHash(0x11CE)
 _LINES = np.ones(256, bool)
 _LINES[0x0A] = False
 
 
+def _block(texts: list[str]) -> Block:
+    return next(text_blocks(pa.array(texts, pa.string()), FOLDED_WORDS, fold=True, block_bytes=1 << 62))
+
+
 def _words(text: str) -> list[str]:
-    block = next(text_blocks(pa.array([text]), FOLDED_WORDS, fold=True))
+    block = _block([text])
     raw = block.data.tobytes()
     return [raw[i:j].decode() for i, j in zip(block.starts, block.ends, strict=True)]
 
 
-VOCABULARY = {w: i for i, w in enumerate(sorted({w for _, t in TEMPLATES for w in _words(t)}))}
+def _hashes(words: list[str]) -> np.ndarray:
+    return _HASH.words(_block([" ".join(words)]))
+
+
+class Templates:
+    """The templates' terms: counts, the words of name and version that each needs, and those that bar it."""
+
+    def __init__(self) -> None:
+        words = [_words(t) for _, t in TEMPLATES]
+        listed = sorted({w for ws in words for w in ws} | {w for _, marks in MARKS for w in marks.split()})
+        hashes = _hashes(listed)
+        order = np.argsort(hashes)
+        self.hashes, self.words = hashes[order], [listed[i] for i in order]
+        self.number = {w: i for i, w in enumerate(self.words)}
+        self.licences = [licence for licence, _ in TEMPLATES]
+        size = (len(TEMPLATES), len(self.words))
+        self.counts, self.needs, self.bars = (np.zeros(size, np.float32) for _ in range(3))
+        for k, (licence, ws) in enumerate(zip(self.licences, words, strict=True)):
+            for w in ws:
+                self.counts[k, self.number[w]] += 1
+            version = re.search(r"-(\d+(?:\.\d+)*)$", licence)
+            named = {w for w in _words(licence) if w.isalpha()} | set(version[1].split(".") if version else ())
+            if "clause" in ws:  # else a number in a text counts its conditions
+                named |= set(_words(licence))
+            for w in named & set(ws):
+                self.needs[k, self.number[w]] = 1
+            for family, marks in MARKS:
+                if any(licence == name or licence.startswith(name + "-") for name in family.split()) or family == "CC" and licence.startswith("CC"):
+                    for w in marks.split():
+                        (self.needs if w in ws else self.bars)[k, self.number[w]] = 1
+
+    def terms(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word by its hash, or -1."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+_KNOWN = Templates()
 
 
-def terms(block: Block) -> np.ndarray:
-    """The vocabulary number of each word, or -1."""
-    n = len(block.starts)
-    offsets = np.empty(2 * n + 1, np.int64)
-    offsets[0:-1:2], offsets[1::2], offsets[-1] = block.starts, block.ends, len(block.data)
-    pieces = pa.Array.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(offsets), pa.py_buffer(block.data)])
-    coded = pieces.take(pa.array(np.arange(0, 2 * n, 2))).dictionary_encode()
-    known = pa.array([w.encode() for w in VOCABULARY], pa.large_binary())
-    number = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)
-    return number[coded.indices.to_numpy(zero_copy_only=False)] if n else np.zeros(0, np.int64)
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
 
 
 @dataclass
 class Weights:
-    """Inverse document frequencies, and the templates as unit vectors."""
+    """Inverse document frequencies of the buckets, and the templates as unit vectors."""
 
     idf: np.ndarray
-    rare: float
     templates: np.ndarray
 
     @classmethod
-    def of(cls, n_files: int, files_with: dict[int, int]) -> Weights:
-        idf = np.array([np.log((1 + n_files) / (1 + files_with.get(i, 0))) + 1 for i in range(len(VOCABULARY))])
-        rows = np.zeros((len(TEMPLATES), len(VOCABULARY)))
-        for k, (_, text) in enumerate(TEMPLATES):
-            for w in _words(text):
-                rows[k, VOCABULARY[w]] += 1
-        rows *= idf
-        return cls(idf, float(np.log((1 + n_files) / 2) + 1), rows / np.linalg.norm(rows, axis=1, keepdims=True))
-
-    def cosines(self, term: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, template) of the best template for each of n groups of words.
-
-        A group with less than half the threshold in known terms is passed over.
-        """
-        known = term >= 0
-        square = self.rare**2 * np.bincount(group[~known], minlength=n)
-        key, tf = np.unique(group[known].astype(np.int64) * len(VOCABULARY) + term[known], return_counts=True)
-        at, word = key // len(VOCABULARY), key % len(VOCABULARY)
-        weight = tf * self.idf[word]
-        square = square + np.bincount(at, weight * weight, n)
-        best, which = np.zeros(n), np.full(n, -1)
-        for k, template in enumerate(self.templates):
-            cosine = np.bincount(at, weight * template[word], n) / np.sqrt(np.maximum(square, 1e-12))
-            better = cosine > best + 1e-9
-            best[better], which[better] = cosine[better], k
-        return best, which
+    def of(cls, n_files: int, buckets: np.ndarray, files_with: np.ndarray) -> Weights:
+        seen = np.zeros(1 << DF_BITS)
+        seen[buckets] = files_with
+        idf = (np.log((1 + n_files) / (1 + seen)) + 1).astype(np.float32)
+        rows = _KNOWN.counts * idf[bucket_of(_KNOWN.hashes)]
+        return cls(idf, (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32))
+
+    def best(self, h: np.ndarray, term: np.ndarray, group: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, template) of the best template for each of n groups of words; 0 and -1 under the threshold."""
+        cosine, which = np.zeros(n), np.full(n, -1)
+        known, size = term >= 0, len(_KNOWN.words)
+        weight = self.idf[bucket_of(h)].astype(np.float64)
+        # Repeats only add to a norm, so words outside the templates are worth at least this much.
+        other = np.bincount(group[~known], weight[~known] ** 2, n)
+        key, tf = np.unique(group[known].astype(np.int64) * size + term[known], return_counts=True)
+        at, word = key // size, key % size
+        value = tf * self.idf[bucket_of(_KNOWN.hashes)][word].astype(np.float64)
+        inside = np.bincount(at, value * value, n)
+        likely = np.flatnonzero((inside > 0) & (inside >= threshold**2 * (inside + other) * (1 - 1e-6)))
+        if not len(likely):
+            return cosine, which
+        mine = np.flatnonzero(np.isin(group, likely) & ~known)
+        order = mine[np.lexsort((h[mine], group[mine]))]
+        first = np.flatnonzero(np.append(True, (group[order][1:] != group[order][:-1]) | (h[order][1:] != h[order][:-1]))) if len(order) else order
+        times = np.diff(np.append(first, len(order)))
+        other = np.bincount(group[order][first], (times * weight[order][first]) ** 2, n)
+        for lo in range(0, len(likely), 2048):
+            some = likely[lo : lo + 2048]
+            rows = np.zeros((len(some), size), np.float32)
+            here = np.isin(at, some)
+            rows[np.searchsorted(some, at[here]), word[here]] = value[here]
+            has = (rows > 0).astype(np.float32)
+            score = rows @ self.templates.T / np.sqrt(inside[some] + other[some])[:, None]
+            score[((1 - has) @ _KNOWN.needs.T > 0) | (has @ _KNOWN.bars.T > 0)] = 0
+            top = np.round(score, 5).argmax(1)
+            cosine[some], which[some] = np.minimum(score[np.arange(len(some)), top], 1.0), top
+        low = cosine < threshold
+        cosine[low], which[low] = 0, -1
+        return cosine, which
 
 
 def line_of_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +172,22 @@ def in_leading_block(block: Block) -> np.ndarray:
 
 
 def files_with_terms(files: DataFrame) -> Weights:
-    """Count in how many files each template term occurs."""
+    """Count in how many files each bucket of words occurs; a row per bucket and task is shuffled."""
 
     def count(batches):
+        n, files_seen = np.zeros(1 << DF_BITS, np.int64), 0
         for b in batches:
-            n = np.zeros(len(VOCABULARY), np.int64)
+            files_seen += b.num_rows
             for block in text_blocks(b.column(0), FOLDED_WORDS, fold=True):
-                term, text = terms(block), block.text_of_word()
-                known = term >= 0
-                key = np.unique(text[known].astype(np.int64) * len(VOCABULARY) + term[known])
-                n += np.bincount(key % len(VOCABULARY), minlength=len(VOCABULARY))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(n)), -1), pa.int32()), pa.array(np.append(n, b.num_rows))], names=["term", "n"])
+                key = np.unique(block.text_of_word() << DF_BITS | bucket_of(_HASH.words(block)))
+                n += np.bincount(key & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], files_seen))], names=["bucket", "n"])
 
-    found = {r["term"]: r["n"] for r in files.select("text").mapInArrow(tidy(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per template term
-    return Weights.of(found.pop(-1, 0), found)
+    rows = files.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), "bucket long, n long")
+    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** DF_BITS + 1 rows
+    bucket, n = (found.column(c).to_numpy() for c in ("bucket", "n"))
+    return Weights.of(int(n[bucket < 0].sum()), bucket[bucket >= 0], n[bucket >= 0])
 
 
 def matches(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,29 +198,30 @@ def matches(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) ->
         for b in batches:
             licence, cosine, n_lines, heads = [], [], [], []
             for block in text_blocks(b.column("text"), FOLDED_WORDS, fold=True):
-                n, term = len(block), terms(block)
+                n, h, owner = len(block), _HASH.words(block), block.text_of_word()
+                term, lead = _KNOWN.terms(h), in_leading_block(block)
                 line, text = line_of_words(block)
-                score, which = weights.cosines(term, line, len(text))
-                whole, whole_which = weights.cosines(term, block.text_of_word(), n)
-                lead = in_leading_block(block)
-                header, header_which = weights.cosines(term[lead], block.text_of_word()[lead], n)
-                hit = score >= threshold
+                score, which = weights.best(h, term, line, len(text), threshold)
+                top, of = weights.best(h, term, owner, n, threshold)
+                header, header_of = weights.best(h[lead], term[lead], owner[lead], n, threshold)
+                take = (of < 0) & (header_of >= 0)
+                top[take], of[take] = header[take], header_of[take]
+                larger = of >= 0
+                hits = np.flatnonzero(which >= 0)
+                for i in hits.tolist():
+                    t = text[i]
+                    if not larger[t] and score[i] > top[t] + 1e-6:
+                        top[t], of[t] = score[i], which[i]
                 first = np.zeros(len(text), bool)
                 first[np.flatnonzero(np.insert(text[1:] != text[:-1], 0, True)) if len(text) else []] = True
-                best, of = np.where(whole >= threshold, whole, 0.0), whole_which.copy()
-                better = (header >= threshold) & (header > best + 1e-9)
-                best[better], of[better] = header[better], header_which[better]
-                for i in np.flatnonzero(hit).tolist():
-                    if score[i] > best[text[i]] + 1e-9:
-                        best[text[i]], of[text[i]] = score[i], which[i]
-                licence += [TEMPLATES[k][0] if c else None for k, c in zip(of.tolist(), best.tolist(), strict=True)]
-                cosine += [round(c, 6) if c else None for c in best.tolist()]
-                n_lines += np.bincount(text[hit], minlength=n).tolist()
-                heads += ((np.bincount(text[hit & first], minlength=n) > 0) | (header >= threshold)).tolist()
+                licence += [_KNOWN.licences[k] if k >= 0 else None for k in of.tolist()]
+                cosine += [round(c, 6) if c else None for c in top.tolist()]
+                n_lines += np.bincount(text[hits], minlength=n).tolist()
+                heads += ((np.bincount(text[hits[first[hits]]], minlength=n) > 0) | (header_of >= 0)).tolist()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(licence, pa.string()), pa.array(cosine, pa.float64()), pa.array(n_lines, pa.int64()), pa.array(heads, pa.bool_())], names=[*names, "licence", "cosine", "n_lines", "heads"])
 
-    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in names)
-    return files.mapInArrow(tidy(scan), f"{schema}, licence string, cosine double, n_lines long, heads boolean")
+    schema = StructType([files.schema[c] for c in names]).add("licence", "string").add("cosine", "double").add("n_lines", "long").add("heads", "boolean")
+    return files.mapInArrow(tidy(scan), schema)
 
 
 def directory(path: Column) -> Column:
@@ -190,25 +230,31 @@ def directory(path: Column) -> Column:
 
 
 def directory_licences(found: DataFrame) -> DataFrame:
-    """dir, inherited, from_path: for each directory of a file, the nearest licence file at or above it."""
-    declared = found.where("licence is not null and path is not null").where(F.col("heads") | F.col("path").rlike(LICENCE_FILE))
+    """dir, n_files, inherited, from_path: for each directory of a file, the nearest licence file at or above it, if any."""
+    declared = found.where("licence is not null").where(F.col("heads") | F.col("path").rlike(LICENCE_FILE))
     best = F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("p"), F.col("licence").alias("l"))
     declared = declared.groupBy("dir").agg(F.min(best).alias("best")).select(F.col("dir").alias("above"), F.col("best.l").alias("inherited"), F.col("best.p").alias("from_path"))
-    dirs = found.where("path is not null").select("dir").distinct()
+    dirs = found.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
-    every = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.above").distinct()
-    near = every.join(declared, "above").groupBy("dir").agg(F.max_by(F.struct("inherited", "from_path"), "depth").alias("near"))
-    return near.select("dir", "near.inherited", "near.from_path")
+    every = dirs.select("dir", "n_files", F.explode(above).alias("a")).select("dir", "n_files", "a.depth", "a.above").dropDuplicates(["dir", "above"])
+    near = every.join(declared, "above", "left").groupBy("dir").agg(F.first("n_files").alias("n_files"), F.max_by(F.struct("inherited", "from_path"), F.when(F.col("inherited").isNotNull(), F.col("depth"))).alias("near"))
+    return near.select("dir", "n_files", "near.inherited", "near.from_path")
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The licence of every file (columns path, text and an optional id): how is own, inherited or none."""
-    found = stored(matches(files, files_with_terms(files), threshold).withColumn("dir", directory(F.col("path"))), "licences")
-    joined = found.join(directory_licences(found), "dir", "left")
+    """The licence of every file (columns path, text and any others): how is own, inherited or none."""
+    others = [c for c in files.columns if c not in ("path", "text", *RESULTS)]
+    carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(True)
+    rows = files.select(carried.alias("carried"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    found = stored(matches(rows, files_with_terms(rows), threshold).withColumn("dir", directory(F.col("path"))), "licences")
+    placed = found.where("path is not null")
+    joined = spread_join(placed, stored(directory_licences(placed), "directories"), "dir", "n_files")
+    nowhere = found.where("path is null").withColumns({"inherited": F.lit(None).cast("string"), "from_path": F.lit(None).cast("string")})
     own = F.col("licence").isNotNull()
-    return joined.select(
-        *(c for c in files.columns if c != "text"),
+    return joined.unionByName(nowhere).select(
+        *(F.col(f"carried.`{c}`").alias(c) for c in others),
+        "path",
         F.coalesce("licence", "inherited").alias("licence"),
         F.when(own, "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none").alias("how"),
         F.when(own, F.col("path")).otherwise(F.col("from_path")).alias("from_path"),

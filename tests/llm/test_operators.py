@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexstrata.llm import chat, decontam, htmlmain, licenses, nbsvm, packing, queries, rules, shared, simhash, substrings, warc
+from lexstrata.llm import chat, decontam, htmlmain, licence_texts, licenses, nbsvm, packing, queries, rules, shared, simhash, substrings, warc
 from lexstrata.llm.components import components
 from lexstrata.llm.shared import vocabulary_path
 from lexstrata.llm.wordspans import PLAIN_WORDS, text_blocks
@@ -330,14 +330,81 @@ def test_licenses(spark):
         (1, "MIT", "own", "a/LICENSE"), (2, "MIT", "inherited", "a/LICENSE"), (3, "GPL-3.0", "own", "a/b/c/y.txt"), (4, "", "none", ""), (5, "GPL-3.0", "own", "a/q/COPYING.txt"),
         (6, "GPL-3.0", "inherited", "a/q/COPYING.txt"), (6, "GPL-3.0", "inherited", "a/q/COPYING.txt"), (7, "MIT", "own", ""), (8, "", "none", ""), (9, "", "none", ""), (10, "MIT", "own", "h/f.txt"), (11, "MIT", "inherited", "h/f.txt"),
     ]
-    for name, text in licenses.TEMPLATES:
-        found = licenses.scan(spark.createDataFrame([(1, "p/q", "intro words\n" + text)], "doc_id long, path string, text string")).first()
-        assert found["licence"] == name and found["cosine"] > 0.99
+
+
+def licences_of(spark, texts):
+    files = spark.createDataFrame([(i, f"d{i}/f.c", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    return [r["licence"] for r in licenses.scan(files).orderBy("doc_id").collect()]
+
+
+def test_templates_and_relatives_are_told_apart(spark):
+    """Every template as a line of a file, as its first lines, and alone; then notices as projects write them."""
+    body = "\n\n" + "\n".join(f"value{i} = call{i}(other{i})" for i in range(60))
+    wrapped = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    for form in (lambda t: f"intro words\n{t}{body}", lambda t: f"/*\n{wrapped(t)}\n */{body}", lambda t: t):
+        assert licences_of(spark, [form(t) for _, t in licence_texts.TEMPLATES]) == [name for name, _ in licence_texts.TEMPLATES]
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+    bsd = next(t for name, t in licence_texts.TEMPLATES if name == "BSD-3-Clause" and "DAMAGE" in t)
+    cases = [
+        ("GPL-2.0", wrapped("Copyright (C) 2001 A. Person\n" + gnu.format("General Public License", 2)) + body),
+        ("GPL-3.0", wrapped(gnu.format("General Public License", 3)) + body),
+        ("AGPL-3.0", wrapped(gnu.format("Affero General Public License", 3)) + body),
+        ("LGPL-2.1", wrapped(gnu.format("Lesser General Public License", "2.1")) + body),
+        ("LGPL-3.0", wrapped(gnu.format("Lesser General Public License", 3).replace("program", "library")) + body),
+        ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + "text of it " * 50),
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nbody"),
+        ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nbody"),
+        ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nbody"),
+        ("BSD-3-Clause", "Copyright (c) 2010, The Authors. All rights reserved.\n" + wrapped(bsd)),
+        ("BSD-2-Clause", "Copyright (c) 2010, The Authors. All rights reserved.\n" + wrapped(bsd.replace(bsd[bsd.index("3. Neither") : bsd.index("THIS SOFTWARE")], ""))),
+        ("BSD-2-Clause", bsd[: bsd.index(" 1. ")] + "\n" + bsd[bsd.index("1. Red") : bsd.index("3. Neither")] + body),
+        ("ISC", "Copyright 2020 X\n" + wrapped("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")),
+        ("MIT", "The MIT License (MIT)\nCopyright (c) 2015 Some One\n" + wrapped(next(t for name, t in licence_texts.TEMPLATES if name == "MIT" and "LIABLE" in t))),
+        ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+        ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License\n\nBy exercising"),
+        ("CC-BY-NC-ND-3.0", "x\nLicensed under CC BY-NC-ND 3.0.\ny"),
+        ("LGPL-3.0", "x\n// SPDX-License-Identifier: LGPL-3.0-or-later\ny"),
+        ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only" + body),
+        (None, "// SPDX-License-Identifier: GPL-4.0" + body),
+        (None, "This work is licensed under a Creative Commons Attribution 9.1 International License."),
+        (None, "The licence of this version of the work is general and public.\nThe software is provided with a copy of the manual."),
+    ]
+    assert licences_of(spark, [t for _, t in cases]) == [name for name, _ in cases]
+
+
+def test_cosines_equal_brute_force(spark):
+    texts = ["alpha mit license released under the the", "under the mit license", "alpha beta beta", None, "", "released under MIT license released", "the beta alpha zeta zeta zeta mit license", "mit"]
+    words = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+    idf = lambda w: np.log((1 + len(texts)) / (1 + sum(w in ws for ws in words))) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    want = []
+    for ws in words:
+        v, best = vector(ws), 0.0
+        for name, t in licence_texts.TEMPLATES:
+            u = vector(re.findall(r"[a-z0-9]+", t.lower()))
+            if name == "MIT" and ws:
+                best = max(best, sum(x * u.get(w, 0) for w, x in v.items()) / norm(v) / norm(u))
+        want.append(round(best, 4) if best >= 0.3 else None)
+    files = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["cosine"] for r in licenses.scan(files, threshold=0.3).collect() if r["licence"] in ("MIT", None)}
+    assert {i: c and round(c, 4) for i, c in got.items()} == {i: want[i] for i in got} and sum(c is not None for c in got.values()) > 3
+
+
+def test_clashing_columns_and_hot_directories(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_SHARE", 2)
+    notice = "Released under the MIT License."
+    rows = [(i, f"big/f{i}", "x", "mine", 1.0, "d") for i in range(40)] + [(90, "big/LICENSE", notice, "mine", 1.0, "d"), (91, "o/x", "y", "mine", 1.0, "d"), (92, None, "y", "mine", 1.0, "d")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string, licence string, cosine double, dir string").withColumns({c: F.lit(7) for c in ("n_lines", "heads", "inherited", "above", "n_files", "carried", "a.b")})
+    got = licenses.scan(files)
+    assert sorted(got.columns) == sorted({*files.columns, "how", "from_path"} - {"text"})
+    found = {r["doc_id"]: (r["licence"], r["how"], r["dir"], r["heads"], r["inherited"], r["a.b"]) for r in got.collect()}
+    assert found == {i: ("MIT", "inherited", "d", 7, 7, 7) for i in range(40)} | {90: ("MIT", "own", "d", 7, 7, 7), 91: (None, "none", "d", 7, 7, 7), 92: (None, "none", "d", 7, 7, 7)}
 
 
 def test_wrapped_notices_lead_long_files(spark):
     code = "\n\n" + "\n".join(f"value{i} = call{i}(other{i})" for i in range(400))
-    mit, bsd = (next(t for name, t in licenses.TEMPLATES if name == k and len(t) > 100).split() for k in ("MIT", "BSD-3-Clause"))
+    mit, bsd = (next(t for name, t in licence_texts.TEMPLATES if name == k and len(t) > 100).split() for k in ("MIT", "BSD-3-Clause"))
     wrapped = lambda words: "\n".join("# " + " ".join(words[i : i + 6]) for i in range(0, len(words), 6))
     rows = [(1, "a/x.py", wrapped(mit) + code), (2, "b/x.py", "\n\n" + wrapped(bsd).replace("\n", "\r\n") + "\r\n \r\n" + code), (3, "c/x.py", "first words" + code), (4, "d/x.py", None), (5, "e/x.py", "")]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string")
