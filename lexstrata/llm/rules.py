@@ -1,10 +1,11 @@
 """Quality rules: counts with fixed thresholds, and a learned rule.
 
-The learned rule is a logistic regression on hashed word and character
-n-grams (relative frequencies), fitted on labelled quality rows, with a
-logistic calibration of its margins.  Texts are measured and scored in Arrow
-batches; a text is kept if it passes the count rules and its calibrated
-probability reaches the threshold.
+The learned rule is a logistic regression on hashed n-grams of words and of
+characters (relative frequencies), fitted on three quarters of the labelled
+quality rows.  A logistic curve turns its margins into probabilities; the curve
+is fitted to the same model's margins on the last quarter, which the model
+hasn't seen.  Texts are measured and scored in Arrow batches; a text is kept if
+it passes the count rules and its probability reaches the threshold.
 
 Cases: null and empty texts have no words, so they fail the count rules; a
 text with words but no 3-gram is scored by its words and the bias; repeated
@@ -15,6 +16,7 @@ rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +29,10 @@ from lexstrata.llm.memory import tidy
 from lexstrata.llm.wordspans import PLAIN_WORDS, Block, RollingHash, _spans, mix, text_blocks, whole_runs
 
 BITS = 17
+COST = 1.0
+EPOCHS = 40
+#: Added to a bucket's mean share before shares are scaled by its root.
+LEAST_SHARE = 1e-4
 WORD_GRAMS = (1, 2)
 CHAR_GRAMS = (2, 3, 4)
 MIN_WORDS = 20
@@ -42,30 +48,45 @@ _LINES = np.ones(256, bool)
 _LINES[0x0A] = False
 
 
+def characters(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of a block's texts, n + 1 offsets of the texts in them)."""
+    lead = (block.data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = block.data[at].astype(np.uint32)
+    out = first.copy()
+    follow = np.concatenate([block.data, np.zeros(3, np.uint8)]).astype(np.uint32) & 0x3F
+    for size, low, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        wide = np.flatnonzero((first >= low) & (first < (0x100 if size == 4 else low + (0x20 >> (size - 2)))))
+        point = first[wide] & mask
+        for k in range(1, size):
+            point = point << np.uint32(6) | follow[at[wide] + k]
+        out[wide] = point
+    return out, np.concatenate([[0], np.cumsum(lead)])[block.text_at]
+
+
 def grams(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of every n-gram occurrence, one pair of arrays for each kind.
 
-    Character n-grams are taken on bytes, from the first to the last byte of a
-    text, white space included.
+    Character n-grams are runs of code points from the first to the last one of
+    a text, white space included.
     """
     out, words, text = [], _HASH.words(block), block.text_of_word()
     for n in WORD_GRAMS:
         at = whole_runs(block, n)
         key = _HASH.runs(words, n)[at] if len(at) else np.zeros(0, np.uint64)
         out.append((text[at], mix(key + np.uint64(n)) >> np.uint64(64 - BITS)))
-    size = np.diff(block.text_at)
-    owner = np.repeat(np.arange(len(block), dtype=np.int32), size)
-    data = block.data.astype(np.uint32)
+    points, text_at = characters(block)
+    owner = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(text_at))
     for n in CHAR_GRAMS:
-        m = len(data) - n + 1
+        m = len(points) - n + 1
         if m <= 0:
             out.append((np.zeros(0, np.int32), np.zeros(0, np.uint32)))
             continue
-        key = np.zeros(m, np.uint32)
+        key = np.full(m, n, np.uint32)
         for j in range(n):
-            key = key << np.uint32(8) | data[j : j + m]
+            key = (key ^ points[j : j + m]) * np.uint32(0x01000193) + (key >> np.uint32(17))
         inside = owner[:m] == owner[n - 1 :]
-        key = (key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
+        key = (key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         key = (key ^ (key >> np.uint32(12))) * np.uint32(0x297A2D39)
         out.append((owner[:m][inside], key[inside] >> np.uint32(32 - BITS)))
     return out
@@ -108,47 +129,67 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.select("label", "text").mapInArrow(tidy(features), "label int, buckets binary, shares binary")
 
 
-def logistic_regression(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, size: int, steps: int = 150, penalty: float = 1e-4, rate: float = 0.5, part: int = 1 << 20) -> np.ndarray:
-    """Weights and bias by full-batch gradient steps with per-weight scaling (Adam).
+def logistic_regression(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS, seed: int = 3) -> np.ndarray:
+    """Weights and bias of min |w|^2 / 2 + sum of cost * log loss, by dual coordinate descent.
 
-    rows: (bucket, value) arrays.  They are gone through about ``part``
-    features at a time, so a step's temporaries stay small.
+    rows: (bucket, share) arrays.  Shares are scaled by the root of a bucket's
+    mean share, so that rare n-grams count beside frequent ones; the scales go
+    into the weights.  Both classes weigh the same.
     """
-    w, m, v = (np.zeros(size + 1) for _ in range(3))
-    n1 = max(1, label.sum())
-    cost = np.where(label == 1, len(label) / (2 * n1), len(label) / (2 * max(1, len(label) - n1))) / len(label)
-    ends = np.cumsum([len(k) for k, _ in rows])
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(part, ends[-1] + part, part)) + 1, [len(rows)]]))
-    cuts = cuts[cuts <= len(rows)]
-    parts = [(lo, hi, np.repeat(np.arange(hi - lo, dtype=np.int32), [len(k) for k, _ in rows[lo:hi]])) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    for t in range(1, steps + 1):
-        g = penalty * w
-        for lo, hi, row in parts:
-            key, value = (np.concatenate([r[i] for r in rows[lo:hi]]) for i in (0, 1))
-            r = cost[lo:hi] * (sigmoid(np.bincount(row, value * w[key], hi - lo) + w[-1]) - label[lo:hi])
-            g[:-1] += np.bincount(key, value * r[row], size)
-            g[-1] += r.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return w
+    mean = np.full(size, LEAST_SHARE)
+    for key, share in rows:
+        mean[key] += share / len(rows)
+    scale = 1 / np.sqrt(mean)
+    values = [(share * scale[key]).astype(np.float32) for key, share in rows]
+    square = [float(v @ v) + 1 for v in values]
+    n1 = max(1, int(label.sum()))
+    most = [cost * len(label) / (2 * (n1 if y else max(1, len(label) - n1))) for y in label]
+    sign = np.where(label == 1, 1.0, -1.0).tolist()
+    alpha = [c / 2 for c in most]
+    w, bias = np.zeros(size), 0.0
+    for (key, _), v, a, y in zip(rows, values, alpha, sign, strict=True):
+        w[key] += a * y * v
+        bias += a * y
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in order.permutation(len(rows)).tolist():
+            key, v, q, c, a, y = rows[i][0], values[i], square[i], most[i], alpha[i], sign[i]
+            # The dual's derivative is zero at new = c * sigmoid(t) with t + q * (new - a) + margin = 0.
+            rest = y * (float(w[key] @ v) + bias) - q * a
+            t = math.log(a / (c - a))
+            for _ in range(12):
+                s = 1 / (1 + math.exp(-max(-35.0, min(35.0, t))))
+                step = (t + q * c * s + rest) / (1 + q * c * s * (1 - s))
+                t -= step
+                if abs(step) < 1e-6:
+                    break
+            new = min(max(c / (1 + math.exp(-max(-35.0, min(35.0, t)))), 1e-12 * c), c * (1 - 1e-12))
+            if new != a:
+                w[key] += (new - a) * y * v
+                bias += (new - a) * y
+                moved = max(moved, abs(new - a) / c)
+                alpha[i] = new
+        if moved < 1e-3:
+            break
+    return np.append(w * scale, bias)
+
+
+def margins(weight: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.array([float(weight[key] @ share) + weight[-1] for key, share in rows])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Rule:
-    """Fit on three quarters, calibrate on the rest, then fit on all with that curve's shape."""
+    """A model of three quarters of the rows, with the curve of its margins on the others."""
     size = (len(WORD_GRAMS) + len(CHAR_GRAMS)) << BITS
     if len(set(label.tolist())) < 2:
         return Rule(np.append(np.zeros(size), 40.0))
-
-    def fitted(keep: np.ndarray) -> np.ndarray:
-        return logistic_regression([rows[i] for i in keep], label[keep], size)
-
     part = np.arange(len(rows)) % 4
     keep, out = np.flatnonzero(part), np.flatnonzero(part == 0)
-    slope, shift = 1.0, 0.0
-    if len(set(label[keep].tolist())) == 2 and len(out):
-        w = fitted(keep)
-        slope, shift = platt(np.array([float(w[rows[i][0]] @ rows[i][1]) + w[-1] for i in out]), label[out])
-    return Rule(fitted(np.arange(len(rows))), slope, shift)
+    if len(set(label[keep].tolist())) < 2 or len(set(label[out].tolist())) < 2:  # too few rows to set some aside
+        return Rule(logistic_regression(rows, label, size))
+    weight = logistic_regression([rows[i] for i in keep], label[keep], size)
+    return Rule(weight, *platt(margins(weight, [rows[i] for i in out]), label[out]))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS // 2) -> Rule:

@@ -115,6 +115,10 @@ def test_deep_nodes(symbols):
     runs = [tuple(symbols[i : i + 13]) for i in starts]
     rank = {r: i for i, r in enumerate(sorted(set(runs)))}
     assert node.tolist() == [rank[r] for r in runs]
+    order, lcp = substrings.suffix_tree(np.array(symbols), starts)
+    assert [runs[i] for i in order] == sorted(runs) and lcp[0] == 0
+    shared = lambda a, b: next((k for k in range(13) if a[k] != b[k]), 13)
+    assert lcp[1:].tolist() == [shared(runs[a], runs[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
 
 
 def test_every_fingerprint_has_one_own_anchor_and_linked_ones_meet():
@@ -174,6 +178,70 @@ def test_rule_counts(texts):
     assert got == [brute_counts(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aé中𝄞 \u07ff\uffff\U0010ffff", max_size=12), st.text(max_size=12)), max_size=6))
+def test_characters(texts):
+    texts = [None if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    got = [points[i:j].tolist() for b in text_blocks(pa.array(texts, pa.string()), PLAIN_WORDS, block_bytes=20) for points, at in [rules.characters(b)] for i, j in zip(at[:-1], at[1:], strict=True)]
+    assert got == [[ord(c) for c in t or ""] for t in texts]
+
+
+def the_block(texts):
+    return next(text_blocks(pa.array(texts, pa.string()), PLAIN_WORDS))
+
+
+def shares(block):
+    """(bucket, share) arrays of each text, counted one by one."""
+    found = [Counter() for _ in range(len(block))]
+    for k, (text, bucket) in enumerate(rules.grams(block)):
+        n = Counter(text.tolist())
+        for t, b in zip(text.tolist(), bucket.tolist(), strict=True):
+            found[t][(k << rules.BITS) + b] += 1 / n[t]
+    return [(np.array(sorted(c), np.int32), np.array([c[x] for x in sorted(c)], np.float32)) for c in found]
+
+
+def test_probabilities_equal_brute_force():
+    rng = np.random.default_rng(4)
+    rule = rules.Rule(rng.normal(size=(5 << rules.BITS) + 1), 1.3, -0.2)
+    texts = ["", "x", "déjà vu déjà vu", "one two  three one two\nthree", "中文 𝄞 text", "ab"]
+    one = lambda gram, kind: int(rules.grams(the_block([gram]))[kind][1][0])
+    want = []
+    for t in texts:
+        total, words = rule.weight[-1], t.split()
+        for kind, n in enumerate((1, 2, 2, 3, 4)):
+            grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if kind < 2 else [t[i : i + n] for i in range(len(t) - n + 1)]
+            total += np.mean([rule.weight[(kind << rules.BITS) + one(g, kind)] for g in grams]) if grams else 0
+        want.append(1 / (1 + np.exp(-(1.3 * total - 0.2))))
+    assert np.allclose(rule.probabilities(the_block(texts)), want, atol=1e-9)
+
+
+def test_logistic_regression_is_at_the_optimum_and_calibrated():
+    rng = random.Random(8)
+    common, good, bad = [f"c{i}" for i in range(30)], [f"g{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    label = np.array([rng.random() < 0.4 for _ in range(900)], int)
+    texts = [" ".join(rng.choice((good if rng.random() < (0.62 if y else 0.38) else bad) if rng.random() < 0.3 else common) for _ in range(24)) for y in label]
+    rows = shares(the_block(texts))
+    weight = rules.logistic_regression(rows[:300], label[:300], 5 << rules.BITS, epochs=300)
+    mean = np.full(5 << rules.BITS, rules.LEAST_SHARE)
+    for key, share in rows[:300]:
+        mean[key] += share / 300
+    pull, bias = np.zeros(5 << rules.BITS), 0.0
+    for (key, share), y in zip(rows[:300], label[:300], strict=True):
+        cost = rules.COST * 300 / (2 * (label[:300] == y).sum())
+        side = 1 if y else -1
+        force = cost * side / (1 + np.exp(side * (weight[key] @ share + weight[-1])))
+        pull[key] += force * share / mean[key]
+        bias += force
+    assert np.abs(weight[:-1] - pull).max() < 0.05 * np.abs(weight[:-1]).max() and abs(weight[-1] - bias) < 0.02 * max(1, abs(bias))
+    rule = rules.fit(rows[:600], label[:600])
+    p = 1 / (1 + np.exp(-(rule.slope * rules.margins(rule.weight, rows[600:]) + rule.shift)))
+    truth = label[600:]
+    assert ((p >= 0.5) == truth).mean() > 0.6 and abs(p.mean() - truth.mean()) < 0.08
+    order = np.argsort(p)
+    for part in np.array_split(order, 3):  # what is said to be likely is as frequent as that
+        assert abs(p[part].mean() - truth[part].mean()) < 0.15
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(np.arange(k * 5, k * 5 + 8), 4, replace=False)) for k in (0, 1) for _ in range(30)]
