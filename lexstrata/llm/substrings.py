@@ -6,21 +6,26 @@ whose word sequence also starts in a document with a smaller doc_id go.
 1. Documents are dealt into blocks by a hash of their id.  In each window one
    anchor is chosen by content, the 5-word run with the least hash, so equal
    windows have equal anchors.  Anchors that lie in one document only can't be
-   part of a repeat; a count over each anchor's blocks finds the others.
-2. Within a block, windows on shared anchors are compared at once: all but
-   those of the smallest document are marked there.  What is left goes on as
-   stretches of words around the anchor, so a passage that very many documents
-   share leaves a block only once.
-3. Stretches are split by the words from the anchor on: by one word, and where
-   too many suffixes start with it, by two or by the whole anchor (the longest
-   prefix that any window holds).  Prefixes are put into groups of bounded
-   size, and each group builds its suffix tree, cut at 13 words: suffixes are
-   ranked by doubling lengths, and suffixes of equal rank lie under one
-   internal node of that depth.  The smallest document under a node is compared
-   with the others.
-
-Words are compared as words in the trees; step 1 and 2 use 64-bit hashes to
-leave out and 128-bit hashes to mark.
+   part of a repeat; partial counts over each anchor's blocks find the others.
+2. A block builds the suffix tree of its windows on shared anchors, cut at 13
+   words: under each of the tree's nodes of that depth, the windows of all
+   documents but the smallest are marked.  What is left goes on as stretches of
+   words around the anchor, so a passage that very many documents share leaves a
+   block only once.
+3. Stretches are split by variable-length prefixes: by one word from the anchor
+   on, and where more than ``GROUP_ROWS`` stretches start with it, by two words
+   or by the whole anchor.  Prefixes are put into groups of that size, whatever
+   the input, and each group builds its suffix tree.
+4. Where even an anchor has too many stretches, each window (suffix) goes by
+   itself, by its whole 13 words: the subtree under such a prefix is one node,
+   and the smallest document under it is a partial aggregate that is joined back,
+   so the copies of a window are never gathered.
+
+In a tree suffixes are ranked by doubling lengths, and the common prefixes of
+neighbours (LCP) cut them into the subtrees under its nodes of 13 words.  Words
+are compared as words; a word of over ``LONG_WORD`` bytes is compared by its
+SHA-256 and length outside its block.  Hashes only choose anchors, blocks and
+groups.
 
 Cases: null and empty texts have no words; documents of fewer than 13 words
 lose none; a window that repeats within one document alone stays; rows that
@@ -30,13 +35,14 @@ all words and takes none; extra columns are kept; the empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from lexstrata.llm.shared import stored
 from lexstrata.llm.simhash import single_spaced
@@ -48,10 +54,12 @@ PREFIXES = (1, 2, ANCHOR)
 BLOCK_BYTES = 2 << 20
 #: Stretches of words in a group; a prefix with more is made longer.
 GROUP_ROWS = 60_000
-#: At most so many prefixes of a length are made longer, whatever the input.
-LONGER_PREFIXES = 4096
+#: Long prefixes are broadcast up to this number (16 MB), and joined by sort and merge beyond.
+BROADCAST_PREFIXES = 1 << 20
+#: Longer words are written as their digest.
+LONG_WORD = 256
 
-_ONE, _TWO = RollingHash(0xA11CE), RollingHash(0xB0B)
+_ONE = RollingHash(0xA11CE)
 
 
 def least_runs(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,14 +117,19 @@ def _runs_of(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.append(first[1:], len(at))[: len(first)] - 1
 
 
-PIECES = "q int, row int, doc_id long, begin int, stop int, at int, words string"
+PREFIX_COLUMNS = [f"prefix_{n}" for n in PREFIXES]
+PIECES = "q int, row int, doc_id long, begin int, stop int, words string" + "".join(f", {c} int" for c in PREFIX_COLUMNS)
 
 
 def block_pieces(table: pa.Table, shared: pa.Table) -> pa.Table:
-    """Rows of PIECES: spans marked within the block (words null), and stretches to compare further."""
-    out: dict[str, list] = {c.split()[0]: [] for c in PIECES.split(", ")}
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-    empty = pa.table([pa.array([], t) for t in types], names=list(out))
+    """Rows of PIECES: spans marked within the block (words null), and stretches to compare further.
+
+    prefix_n is a hash of the n words from the anchor on; it only says what is
+    grouped together.
+    """
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()] + [pa.int32()] * len(PREFIXES)
+    empty = pa.table([pa.array([], t) for t in types], names=names)
     if not len(table) or not len(shared):
         return empty
     table = _sorted(table)
@@ -128,44 +141,94 @@ def block_pieces(table: pa.Table, shared: pa.Table) -> pa.Table:
     starts, at = starts[wanted], at[wanted]
     if not len(starts):
         return empty
-    one, two = _ONE.runs(words, WINDOW)[starts], _TWO.runs(_TWO.words(block), WINDOW)[starts]
     doc = ids[text[starts]]
-    order = np.lexsort((doc, two, one))
-    new = np.ones(len(order), bool)
-    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    least = np.empty(len(order), np.int64)
-    least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = doc > least
+    later = doc > smallest_under(deep_nodes(*windows_only(word_codes(block), starts)), doc)
     row_at = block.word_at[text]
-    local = lambda i: i - row_at[i]  # noqa: E731  word number within its text
 
-    first, last = _runs_of(starts[later], text[starts[later]])
-    begin, stop = starts[later][first], starts[later][last] + WINDOW
-    parts = [pa.table([pa.array(np.full(len(begin), q), pa.int32()), pa.array(text[begin], pa.int32()), pa.array(ids[text[begin]]), pa.array(local(begin), pa.int32()), pa.array(local(begin) + stop - begin, pa.int32()), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.string())], names=list(out))]
+    def rows(begin: np.ndarray, stop: np.ndarray, said: pa.Array, prefixes: list[pa.Array]) -> pa.Table:
+        local = begin - row_at[begin]  # word number within its text
+        return pa.table([pa.array(np.full(len(begin), q), pa.int32()), pa.array(text[begin], pa.int32()), pa.array(ids[text[begin]]), pa.array(local, pa.int32()), pa.array(local + stop - begin, pa.int32()), said, *prefixes], names=names)
 
+    first, last = _runs_of(starts[later], text[starts[later]])
+    marked = rows(starts[later][first], starts[later][last] + WINDOW, pa.nulls(len(first), pa.string()), [pa.nulls(len(first), pa.int32())] * len(PREFIXES))
     starts, at = starts[~later], at[~later]
     first = np.flatnonzero(np.insert(at[1:] != at[:-1], 0, True)) if len(at) else np.zeros(0, np.int64)
-    begin, stop, anchor = starts[first], np.append(starts[first[1:] - 1], starts[-1:]) + WINDOW, at[first]
+    begin, stop = starts[first], np.append(starts[first[1:] - 1], starts[-1:]) + WINDOW
     raw, word_from, word_to = single_spaced(block)
-    said = [raw[i:j].decode() for i, j in zip(word_from[begin].tolist(), word_to[stop - 1].tolist(), strict=True)]
-    parts.append(pa.table([pa.array(np.full(len(begin), q), pa.int32()), pa.array(text[begin], pa.int32()), pa.array(ids[text[begin]]), pa.array(local(begin), pa.int32()), pa.array(local(begin) + stop - begin, pa.int32()), pa.array(anchor - begin, pa.int32()), pa.array(said, pa.string())], names=list(out)))
-    return pa.concat_tables(parts)
+    long = np.flatnonzero(word_to - word_from > LONG_WORD)
 
+    def said(i: int, j: int) -> str:
+        if not len(long) or np.searchsorted(long, i) == np.searchsorted(long, j):
+            return raw[word_from[i] : word_to[j - 1]].decode()
+        each = (raw[word_from[k] : word_to[k]] for k in range(i, j))
+        return " ".join(w.decode() if len(w) <= LONG_WORD else f"{hashlib.sha256(w).hexdigest()}:{len(w)}:{'_' * LONG_WORD}" for w in each)
 
-def deep_nodes(symbols: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """The rank of the suffix tree's node at ``depth`` above the suffix at each start.
+    short = lambda h: pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    left = rows(begin, stop, pa.array([said(i, j) for i, j in zip(begin.tolist(), stop.tolist(), strict=True)], pa.string()), [short(_ONE.runs(words, n)[at[first]]) for n in PREFIXES])
+    return pa.concat_tables([marked, left])
 
-    Ranks follow the order of the suffixes.  They double in length from one
-    word on; two overlapping ranks then make up the depth.
-    """
-    rank, length = symbols.astype(np.int64), 1
-    pad = np.full(depth, -1, np.int64)
+
+def word_codes(block: Block) -> np.ndarray:
+    """A number for each word, equal for equal words."""
+    n = len(block.starts)
+    offsets = np.empty(2 * n + 1, np.int64)  # of words and what lies between them, in turn
+    offsets[0:-1:2], offsets[1::2], offsets[-1] = block.starts, block.ends, len(block.data)
+    pieces = pa.Array.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(offsets), pa.py_buffer(block.data)])
+    return pieces.take(pa.array(np.arange(0, 2 * n, 2))).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def windows_only(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that lie in the windows at these sorted starts, one after another, and the starts there."""
+    inside = np.zeros(len(symbols) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + WINDOW, -1)
+    keep = np.cumsum(inside[:-1]) > 0
+    return symbols[keep], (np.cumsum(keep) - 1)[starts]
+
+
+def suffix_ranks(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... words, as long as these are at most ``depth``."""
+    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+    length, pad = 1, np.full(depth, -1, np.int64)
     while 2 * length <= depth:
+        rank = ranks[-1]
         second = np.concatenate([rank, pad])[length : length + len(rank)]
-        rank = np.unique((rank + 1) * (len(rank) + 2) + second + 1, return_inverse=True)[1]
+        ranks.append(np.unique((rank + 1) * (len(rank) + 2) + second + 1, return_inverse=True)[1].astype(np.int64))
         length *= 2
-    second = np.concatenate([rank, pad])[starts + depth - length]
-    return np.unique((rank[starts] + 1) * (len(rank) + 2) + second + 1, return_inverse=True)[1]
+    return ranks
+
+
+def suffix_tree(symbols: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of the suffixes at ``starts``, cut at ``depth`` words: (their order, LCP of each with the one before).
+
+    Every start has ``depth`` words after it.
+    """
+    ranks = suffix_ranks(symbols, depth)
+    longest = 1 << (len(ranks) - 1)
+    # Two overlapping runs make up the depth.
+    order = np.lexsort((ranks[-1][starts + depth - longest], ranks[-1][starts]))
+    a, b = starts[order][:-1], starts[order][1:]
+    lcp = np.zeros(len(starts), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        i, j = np.minimum(a + lcp[1:], len(symbols) - 1), np.minimum(b + lcp[1:], len(symbols) - 1)
+        fits = lcp[1:] + (1 << k) <= depth
+        lcp[1:] += np.where(fits & (ranks[k][i] == ranks[k][j]), 1 << k, 0)
+    return order, lcp
+
+
+def deep_nodes(symbols: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """For the suffix at each start, the number of the tree's node at ``depth`` above it, in the order of the suffixes."""
+    order, lcp = suffix_tree(symbols, starts, depth)
+    node = np.empty(len(starts), np.int64)
+    node[order] = np.cumsum(lcp < depth) - 1
+    return node
+
+
+def smallest_under(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each suffix the smallest document under its node."""
+    least = np.full(node.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, doc)
+    return least[node]
 
 
 SPANS = "q int, row int, begin int, stop int"
@@ -180,11 +243,8 @@ def group_spans(table: pa.Table) -> pa.Table:
     n_windows = n_words - WINDOW + 1
     row = np.repeat(np.arange(len(n_words)), n_windows)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    node = deep_nodes(symbols, word_at[row] + nth)
     doc = table.column("doc_id").to_numpy()[row]
-    least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, doc)
-    marked = np.flatnonzero(least[node] < doc)
+    marked = np.flatnonzero(smallest_under(deep_nodes(symbols, word_at[row] + nth), doc) < doc)
     first, last = _runs_of(nth[marked], row[marked])
     of = row[marked][first]
     begin = table.column("begin").to_numpy()[of] + nth[marked][first]
@@ -193,23 +253,32 @@ def group_spans(table: pa.Table) -> pa.Table:
     return pa.table({"q": pick("q"), "row": pick("row"), "begin": pa.array(begin, pa.int32()), "stop": pa.array(stop, pa.int32())})
 
 
-def group_of(pieces: DataFrame, group_rows: int) -> Column:
-    """The group of each stretch, by the shortest of its prefixes that few enough stretches share."""
-    total = pieces.count()
-    listed = F.split("words", " ", -1)
-    prefix = [F.array_join(F.slice(listed, F.col("at") + 1, F.lit(n)), " ") for n in PREFIXES]
-    most = max(group_rows, -(-total // LONGER_PREFIXES))
-    chosen, left = prefix[-1], pieces
-    heavy = []
-    for p in prefix[:-1]:
-        found = [r["p"] for r in left.groupBy(p.alias("p")).count().where(F.col("count") > most).select("p").collect()]  # at most LONGER_PREFIXES rows
-        heavy.append(found)
-        if not found:
+def with_groups(pieces: DataFrame, group_rows: int) -> tuple[DataFrame, bool]:
+    """The stretches with their group (part), by the shortest of their prefixes that few enough stretches share; null if none.  And whether any has none."""
+    n_groups = F.lit(max(1, -(-pieces.count() // group_rows)))
+    out, left, part, size = pieces, pieces.select(*PREFIX_COLUMNS), F.lit(None).cast("long"), 0
+    for c in PREFIX_COLUMNS:
+        # Prefixes of over group_rows stretches: at most a group_rows-th as many as there are stretches.
+        long = stored(left.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select(c), "long_prefixes")
+        size = long.count()
+        group = F.pmod(F.xxhash64(c, F.lit(c)), n_groups)
+        if not size:
+            part = F.coalesce(part, group)
             break
-        left = left.where(p.isin(found))
-    for p, found in reversed(list(zip(prefix, heavy, strict=False))):
-        chosen = F.when(p.isin(found), chosen).otherwise(p) if found else p
-    return F.pmod(F.xxhash64(chosen), F.lit(max(1, -(-total // group_rows)))).cast("long")
+        long = F.broadcast(long) if size <= BROADCAST_PREFIXES else long
+        out = out.join(long.select(c, F.lit(True).alias(f"long_{c}")), c, "left")
+        part = F.coalesce(part, F.when(F.col(f"long_{c}").isNull(), group))
+        left = left.join(long, c, "left_semi")
+    return out.withColumn("part", part).drop(*PREFIX_COLUMNS, *(f"long_{c}" for c in PREFIX_COLUMNS)), size > 0
+
+
+def window_spans(pieces: DataFrame) -> DataFrame:
+    """Marked spans of stretches window by window, through the smallest document of each window."""
+    listed = F.split("words", " ", -1)
+    one = F.transform(F.sequence(F.lit(0), F.size(listed) - WINDOW), lambda i: F.struct((F.col("begin") + i).alias("begin"), F.unhex(F.sha2(F.array_join(F.slice(listed, i + 1, F.lit(WINDOW)), " "), 256)).alias("label")))
+    windows = stored(pieces.select("q", "row", "doc_id", F.explode(one).alias("w")).select("q", "row", "doc_id", "w.begin", "w.label"), "windows")
+    least = windows.groupBy("label").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return windows.join(least, "label").where("least < doc_id").select("q", "row", "begin", (F.col("begin") + WINDOW).alias("stop"))
 
 
 def n_blocks(documents: DataFrame, block_bytes: int) -> int:
@@ -234,24 +303,26 @@ def dedup(documents: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows: int
     number = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))), F.xxhash64("text")), F.lit(n)).cast("int")
     blocks = documents.select(number.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = blocks.groupBy("q").applyInArrow(block_anchors, "anchor long, seen long")
-    here = Window.partitionBy("anchor")
-    shared = seen.select("anchor", "seen", F.count(F.lit(1)).over(here).alias("n"), F.max(F.col("seen") % 2).over(here).alias("many")).where("n > 1 or many = 1")
-    shared = shared.select(F.shiftright("seen", 1).cast("int").alias("q"), "anchor")
+    # Counts are partial within tasks, so an anchor of very many blocks isn't gathered; the join splits where it is skewed.
+    several = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seen") % 2).alias("many")).where("n > 1 or many = 1").select("anchor")
+    shared = seen.join(several, "anchor", "left_semi").select(F.shiftright("seen", 1).cast("int").alias("q"), "anchor")
     pieces = stored(blocks.groupBy("q").cogroup(shared.groupBy("q")).applyInArrow(block_pieces, PIECES), "pieces")
-    further = pieces.where("words is not null")
-    spans = further.withColumn("part", group_of(further, group_rows)).groupBy("part").applyInArrow(group_spans, SPANS)
+    further, hot = with_groups(pieces.where("words is not null"), group_rows)
+    spans = further.where("part is not null").groupBy("part").applyInArrow(group_spans, SPANS)
     spans = pieces.where("words is null").select("q", "row", "begin", "stop").union(spans)
+    if hot:
+        spans = spans.union(window_spans(further.where("part is null").drop("part")))
 
     names = documents.columns
     extra = [StructField(c, LongType()) for c in counts or ()]
     schema = StructType([StructField("text", StringType()) if c == "text" else documents.schema[c] for c in names] + extra)
-    whole = documents.select(number.alias("q"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("key"), F.struct(*names).alias("all"))
+    whole = documents.withColumn("text", F.col("text").cast("string")).select(number.alias("q"), F.col("doc_id").cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"))
 
     def cut(table: pa.Table, marks: pa.Table) -> pa.Table:
-        key = table.column("key").combine_chunks()
-        order = pc.sort_indices(pa.table({"doc_id": key.field("doc_id"), "text": key.field("text")}), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
-        rows = table.column("all").combine_chunks().take(order)
-        texts = key.field("text").take(order)
+        rows = table.column("all").combine_chunks()
+        order = pc.sort_indices(pa.table({"doc_id": table.column("key"), "text": rows.field("text")}), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+        rows = rows.take(order)
+        texts = rows.field("text")
         row, begin, stop = (marks.column(c).to_numpy().astype(np.int64) for c in ("row", "begin", "stop"))
         by_row = np.argsort(row, kind="stable")
         at = np.searchsorted(row[by_row], np.arange(len(rows) + 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,6 +90,26 @@ def test_substrings_equal_brute_force(spark, docs, texts, block, group):
             assert r["text"] == texts[i]
 
 
+def test_hot_anchors_are_split(spark):
+    """One 5-word phrase in very many texts, and one window in many: no group is over its bound, and the result is that of brute force."""
+    rng = random.Random(5)
+    word = lambda: f"x{rng.randrange(10_000)}"
+    code = lambda *words: zlib.crc32(" ".join(words).encode()) >> 1
+    rows = [(0, i, i, 0, 13, "a b c d e " + " ".join(word() for _ in range(8)), code("a"), code("a", "b"), code(*"abcde")) for i in range(4000)]
+    for i in range(4000):
+        w = [f"q{i % 50}", *(word() for _ in range(12))]
+        rows.append((1, i, i, 0, 13, " ".join(w), code(w[0]), code(*w[:2]), code(*w[:5])))
+    found, hot = substrings.with_groups(spark.createDataFrame(rows, substrings.PIECES), 200)
+    parts = {r["part"]: r["count"] for r in found.groupBy("part").count().collect()}
+    assert hot and parts.pop(None) == 4000 and sum(parts.values()) == 4000 and max(parts.values()) < 3 * 200
+    phrase, window = "a b c d e", " ".join(f"same{i}" for i in range(13))
+    texts = [" ".join([*(word() for _ in range(9)), phrase if i % 3 else window, *(word() for _ in range(9))]) for i in range(400)]
+    texts += ["y " * 20 + "z" * 5000 + " " + " ".join(f"t{i}" for i in range(14)), "z" * 5000 + " " + " ".join(f"t{i}" for i in range(14)), "z" * 5001 + " " + " ".join(f"t{i}" for i in range(14))]
+    found = {r["doc_id"]: r for r in substrings.dedup(frame(spark, texts), 3000, 20, counts=("n", "gone")).collect()}
+    for i, (n, kept) in enumerate(brute_kept(texts, range(len(texts)))):
+        assert (found[i]["n"], PLAIN.findall(found[i]["text"])) == (n, kept)
+
+
 def test_substrings_with_odd_ids(spark):
     passage = " ".join(f"p{i}" for i in range(30))
     texts, ids = [passage, passage, passage + " a", passage + " b", passage, "x " * 40], [5, 5, 5, 9, None, 1]
@@ -293,8 +314,6 @@ def test_classifier(spark, labelled):
     rows = {r["doc_id"]: r for r in nbsvm.classify(docs, labels).collect()}
     assert len(rows) == len(texts) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
     assert np.mean([rows[i]["predicted"] == int(i % 3 > 0) for i in range(200, 240)]) > 0.95
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in rows.items())
     alone = nbsvm.classify(docs, labels.where("quality = 1"))
     assert {r["score"] for r in alone.collect()} == {0.5}
