@@ -5,6 +5,9 @@ larger ones, then the smaller ones), which at least squares the reach of the
 smallest node.  Minima are partial aggregates and joined back, so a node with
 very many neighbours is never gathered in a task.  Each round's edges are a
 written table, so lost executors don't bring earlier rounds back.
+
+Cases: edges to itself and repeated edges count for nothing; a node without
+edges isn't returned; nulls are not allowed; the empty table gives no rows.
 """
 
 from __future__ import annotations

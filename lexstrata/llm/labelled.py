@@ -1,4 +1,9 @@
-"""Labelled rows for fitting, hashed n-gram features, and calibration."""
+"""Labelled rows for fitting, hashed n-gram features, and calibration.
+
+Cases: labels without an id or a value are left out; of several labels of an id
+the largest counts; every row of a repeated doc_id is taken; null and empty
+texts have no n-grams; extra columns are ignored; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""The registered queries of the corpus operators and their SQL."""
+"""The registered queries of the corpus operators and their SQL.
+
+Each reads its whole tables and takes only the columns that it names, so extra
+columns of any name don't matter; empty tables give empty results.  Null texts
+count as empty, repeated rows are each judged, and what holds for ties and very
+long texts stands with the operator that each query names.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lexstrata.llm import chat, decontam, htmlmain, licenses, nbsvm, packing, rules, simhash, substrings, warc
 from lexstrata.llm.shared import table, vocabulary_path
 
@@ -16,27 +21,36 @@ MARKED_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op1_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by Naive Bayes support vectors (``nbsvm``); a null doc_id is not held out, an empty text has the bias's score."""
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found by FM-indexes (``decontam``); a null item is no item, a null item_id is hit but not listed."""
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after substring dedup (``substrings``); rows without doc_id keep all words, rows that share one take none from each other."""
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules (``rules``); a text without words fails the base rules."""
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components (``simhash``); texts without words have fingerprint zero and are linked like any other."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: they are laid out as source/lang/id div 10000/id div 100/id, some in the directories above."""
+    """Licences of documents as files (``licenses``).
+
+    They have no paths, so they are laid out as source/lang/id div 10000/id div 100/id,
+    some in the directories above; a document without id has no path.
+    """
     docs = table(spark, sf_dir, "documents")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     leaf = F.concat_ws("/", "source", "lang", F.expr("doc_id div 10000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
@@ -45,15 +59,18 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and their places (``packing``); a null or empty text is its separator alone, ties of a length take any place."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back (``warc``); a null page_id is only a response where no row of the payload has an id."""
     archives = warc.write_pages(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(archives, with_payload=False).drop("url", "record_id", "refers_to_id")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted and read back (``chat``); turns that tie are ordered by role and text, null roles and texts are empty."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -65,9 +82,17 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts by consensus host paths (``htmlmain``); a null url is a host of its own, a null html has no text."""
     return htmlmain.main_text(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline``; cases as in its docstring."""
+    import corpus_pipeline  # stands beside the package; the operators do without it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -132,7 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_chat": op9_chat,
         "op10_host_paths": op10_host_paths,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 

@@ -302,7 +302,7 @@ def dedup(documents: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows: int
     n = n_blocks(documents, block_bytes)
     number = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))), F.xxhash64("text")), F.lit(n)).cast("int")
     blocks = documents.select(number.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = blocks.groupBy("q").applyInArrow(block_anchors, "anchor long, seen long")
+    seen = stored(blocks.groupBy("q").applyInArrow(block_anchors, "anchor long, seen long"), "anchors")
     # Counts are partial within tasks, so an anchor of very many blocks isn't gathered; the join splits where it is skewed.
     several = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seen") % 2).alias("many")).where("n > 1 or many = 1").select("anchor")
     shared = seen.join(several, "anchor", "left_semi").select(F.shiftright("seen", 1).cast("int").alias("q"), "anchor")

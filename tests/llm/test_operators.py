@@ -547,6 +547,37 @@ def test_pipeline_stages(spark, tmp_path, labelled):
     assert total == set(seen["decontamination"])
 
 
+def test_stages_with_nulls_clashes_and_nothing(spark, tmp_path, labelled):
+    """Every stage takes null ids, texts and columns, repeated rows, extra columns of its own names, and no rows at all."""
+    base, labels, _ = labelled
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(9999)}" for _ in range(3000))
+    other = " ".join(f"v{rng.randrange(9999)}" for _ in range(40))
+    odd = [(None, None), (None, ""), (7, None), (None, long), (500, long), (None, other), (501, other + " " + other), (502, other), (502, other), (503, "\n \n")]
+    docs = base.unionByName(spark.createDataFrame([(i, t, None, None, None, None, None, None, None, None) for i, t in odd], DOCS))
+    for c in ("words", "node", "label", "score", "a", "b", "s0", "first", "key", "all", "root", "kept", "anchor", "part", "items", "rank", "length", "a_b"):
+        docs = docs.withColumn(c, F.lit(None).cast("string"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows, folder in ((docs, tmp_path), (docs.limit(0), tmp_path), (docs, tmp_path / "none")):
+            out = stage(spark, rows, str(folder))
+            got = out.collect()
+            assert len(got) == 0 if rows is not docs else len(got) > 0
+            if name != "best_fit_packing":
+                assert out.schema.names == docs.schema.names
+                assert {(r["doc_id"], r["a_b"]) for r in got} <= {(r["doc_id"], None) for r in docs.collect()}
+            if name == "simhash_near_dedup" and rows is docs:
+                texts = Counter(r["text"] for r in got)
+                assert texts[long] == texts[other + " " + other] == 1 and texts[other] == 0 and texts[None] + texts[""] + texts["\n \n"] == 1
+            if name in ("substring_dedup", "decontamination") and rows is docs:
+                assert len(got) >= docs.count() - len(odd)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     same(spark, sf_dir, queries.queries()[name], queries.oracle_sql()[name])

@@ -20,7 +20,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexstrata.llm import decontam, htmlmain, packing, rules, simhash, substrings, warc
+from lexstrata.llm import decontam, htmlmain, labelled, nbsvm, packing, rules, simhash, substrings, warc
 from lexstrata.llm.nbsvm import dual_coordinate_descent
 from lexstrata.llm.shared import vocabulary_path
 from lexstrata.llm.wordspans import FOLDED_WORDS, PLAIN_WORDS, RollingHash, text_blocks, whole_runs
@@ -242,6 +242,47 @@ def test_logistic_regression_is_at_the_optimum_and_calibrated():
         assert abs(p[part].mean() - truth[part].mean()) < 0.15
 
 
+def test_classifier_equals_brute_force():
+    """Features, ratios, margins and scores counted in plain Python; the weights are at the hinge loss's optimum."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("Alpha beta gam9 d-1 beta" if i % 2 else "one Two 22 three: two").split() + ["the", "of", "a"]) for _ in range(rng.randint(0, 12))) for i in range(120)]
+    label = np.array([i % 2 if i % 9 else 1 - i % 2 for i in range(120)])
+    block = the_block(texts)
+    shape = lambda w: re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", w.replace("A", "\0"))).replace("\0", "A")))
+    text, bucket = labelled.distinct(labelled.word_and_shape_grams, block)
+    rows = [bucket[text == i].astype(np.int32) for i in range(len(texts))]
+    for r, t in zip(rows, texts, strict=True):
+        w = t.split()
+        shapes = [(shape(x), i > 0 and w[i - 1] == x) for i, x in enumerate(w)]
+        assert len(r) == len({("w", x) for x in w} | {("s", x) for x in shapes} | {("ww", *p) for p in zip(w, w[1:], strict=False)} | {("ss", *p) for p in zip(shapes, shapes[1:], strict=False)})
+    keep = list(range(80))
+    ratio = nbsvm.log_count_ratios([rows[i] for i in keep], label[keep])
+    n = [Counter(b for i in keep if label[i] == k for b in rows[i].tolist()) for k in (0, 1)]
+    size = 1 << labelled.BITS
+    total = [sum(c.values()) + size for c in n]
+    for b in set(n[0]) | set(n[1]):
+        assert abs(ratio[b] - (np.log((n[1][b] + 1) / total[1]) - np.log((n[0][b] + 1) / total[0]))) < 1e-9
+    values = [ratio[rows[i]] / max(1e-12, np.sqrt((ratio[rows[i]] ** 2).sum())) for i in keep]
+    sign, cost = np.where(label[keep] == 1, 1.0, -1.0), np.ones(80)
+    w = nbsvm.dual_coordinate_descent([rows[i] for i in keep], values, sign, cost, size, epochs=3000)
+    x = np.zeros((80, size // 64 + 1))  # only the buckets in use
+    used = sorted(set(n[0]) | set(n[1]))
+    for k, (i, v) in enumerate(zip(keep, values, strict=True)):
+        x[k, [used.index(b) for b in rows[i].tolist()]] = v
+    x = np.hstack([x[:, : len(used)], np.ones((80, 1))])
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+    found = np.append(w[used], w[-1])
+    best, now = loss(found), np.zeros(len(used) + 1)
+    for t in range(1, 4000):  # plain subgradient steps never get below it
+        now -= (now - x.T @ (cost * sign * (sign * (x @ now) < 1))) / (t + 10)
+        assert loss(now) > best * (1 - 1e-3)
+    assert loss(now) < best * 1.05
+    model = nbsvm.fit(rows, label)
+    margin = [sum(float(model.ratio[b]) * float(model.weight[b]) for b in r) / max(1e-12, np.sqrt(sum(float(model.ratio[b]) ** 2 for b in r))) + model.weight[-1] for r in rows]
+    want = 1 / (1 + np.exp(-(model.slope * np.array(margin) + model.shift)))
+    assert np.allclose(model.scores(text, bucket, len(texts)), want, atol=1e-9)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(np.arange(k * 5, k * 5 + 8), 4, replace=False)) for k in (0, 1) for _ in range(30)]
