@@ -2,10 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last keep the columns of ``documents``.  Between stages the rows are written to
-the shared folder and read again, so each stage starts from a table.
+the shared folder and read again, so each stage starts from a table.  ``run``
+removes what a stage wrote on the way once its result is written, and each
+stage's rows once the next stage's are.
 
 Nulls, ties, repeated rows, empty tables and extra columns are handled as the
-stages' operators say.  Substring dedup keeps the rows of documents it empties.
+stages' operators say.  Near-dedup keeps one of the texts whose sets of 5-word
+shingles are alike at 0.8 or more.  Substring dedup keeps the rows of documents
+it empties.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.llm import decontam, packing, rules, simhash, substrings
-from lexstrata.llm.shared import stored, table, vocabulary_path
+from lexstrata.llm.shared import mark, remove_stored, stored, table, vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies."""
+    """One document, the smallest doc_id, of each group of near copies (5-word shingles alike at 0.8 or more)."""
     return simhash.one_of_each(docs)
 
 
@@ -56,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        remove_stored(spark, since, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
