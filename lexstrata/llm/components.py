@@ -15,15 +15,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.shared import stored
+from lexstrata.llm.shared import HOT_SHARE, stored
 
 ROUNDS = 60
 
 
-def _toward_minimum(edges: DataFrame) -> DataFrame:
-    """(u, v, least): each edge with the smallest of u and its neighbours v."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-    return edges.join(least, "u")
+def _toward_minimum(edges: DataFrame, most: int) -> DataFrame:
+    """(u, v, least): each of at most ``most`` edges with the smallest of u and its neighbours v.
+
+    Nodes with over a HOT_SHARE-th of the edges are fewer than that, so their
+    minima are broadcast and their edges aren't dealt by node.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count(F.lit(1)).alias("n"))
+    hub = F.col("n") * HOT_SHARE > most
+    hubs = F.broadcast(least.where(hub).drop("n"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).drop("n"), "u"))
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -37,8 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     for _ in range(ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        found = _toward_minimum(large)
+        most = 2 * state[0]
+        large = stored(_toward_minimum(both, most).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct(), "large_edges")
+        found = _toward_minimum(large, most)
         small = found.select(F.col("v").alias("u"), F.col("least").alias("v")).union(found.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
         now = stored(small, "edges")
         before, state = state, _state(now)
