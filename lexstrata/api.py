@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata import cursor as cursors
-from lexstrata.errors import EvidenceError, require
+from lexstrata.errors import EvidenceError, error
 from lexstrata.functions.text import MODES, normalize_identifier, parse
 from lexstrata.operators import catalog, diff, graph
 from lexstrata.operators import search as lexical
@@ -36,13 +36,15 @@ class Tables(Protocol):
 
 def budgeted(packet: dict[str, Any], max_bytes: int | None) -> dict[str, Any]:
     """The packet with budget.used, the length of its canonical JSON with that number in it."""
-    require(max_bytes is None or type(max_bytes) is int and max_bytes > 0, "invalid_budget", "A byte budget is a positive integer.")
+    if not (max_bytes is None or type(max_bytes) is int and max_bytes > 0):
+        raise error("invalid_budget", "A byte budget is a positive integer.")
     packet["budget"] = {"unit": "bytes", "limit": max_bytes, "used": 0}
     used = -1
     while used != packet["budget"]["used"]:
         used = packet["budget"]["used"]
         packet["budget"]["used"] = len(cursors.canonical(packet))
-    require(max_bytes is None or packet["budget"]["used"] <= max_bytes, "budget_too_small", "The packet doesn't fit; evidence isn't cut.", needed=packet["budget"]["used"])
+    if not (max_bytes is None or packet["budget"]["used"] <= max_bytes):
+        raise error("budget_too_small", "The packet doesn't fit; evidence isn't cut.", needed=packet["budget"]["used"])
     return packet
 
 
@@ -52,9 +54,11 @@ def locator(package_digest: str, record_id: str) -> str:
 
 def parse_locator(text: str) -> tuple[str, str]:
     m = re.fullmatch(r"lexstrata://packages/([0-9a-f]{64})/records/([A-Za-z0-9_-]+)", text)
-    require(m is not None, "invalid_record_id", "The locator is malformed.")
+    if m is None:
+        raise error("invalid_record_id", "The locator is malformed.")
     record_id = base64.urlsafe_b64decode(m[2] + "=" * (-len(m[2]) % 4)).decode()
-    require(locator(m[1], record_id) == text, "invalid_record_id", "The locator isn't canonical.")
+    if locator(m[1], record_id) != text:
+        raise error("invalid_record_id", "The locator isn't canonical.")
     return m[1], record_id
 
 
@@ -69,21 +73,24 @@ class EvidenceService:
     # Arguments and authorisation -------------------------------------------------------------------
 
     def _served(self, principal: str) -> DataFrame:
-        require(isinstance(principal, str) and bool(principal), "invalid_principal", "A principal is required.")
+        if not (isinstance(principal, str) and bool(principal)):
+            raise error("invalid_principal", "A principal is required.")
         active = self.tables.grants.where((F.col("principal_id") == principal) & F.col("can_serve") & F.col("revoked_at").isNull())
         return self.tables.packages.join(active.select("package_digest", "policy_fingerprint"), "package_digest")
 
     def _package(self, digest: str, principal: str) -> dict[str, Any]:
-        require(isinstance(digest, str) and re.fullmatch("[0-9a-f]{64}", digest) is not None, "invalid_package_pin", "A package digest has 64 hex digits.")
+        if not (isinstance(digest, str) and re.fullmatch("[0-9a-f]{64}", digest) is not None):
+            raise error("invalid_package_pin", "A package digest has 64 hex digits.")
         found = self._served(principal).where(F.col("package_digest") == digest).limit(1).collect()
-        require(bool(found), "not_found", "No such package is served.")
+        if not found:
+            raise error("not_found", "No such package is served.")
         return {k: v for k, v in found[0].asDict(recursive=True).items() if k in ("package_digest", "family_id", "edition_id", "identifier", "representation", "coverage")}
 
     def _recheck(self, package: dict[str, Any], principal: str) -> None:
         try:
             self._package(package["package_digest"], principal)
         except EvidenceError as e:
-            raise EvidenceError("authorization_changed", "The package is no longer served.") from e
+            raise error("authorization_changed", "The package is no longer served.") from e
 
     def _records(self, digest: str) -> DataFrame:
         rows = self.tables.records
@@ -96,7 +103,8 @@ class EvidenceService:
 
     @staticmethod
     def _limit(limit: int) -> int:
-        require(type(limit) is int and 1 <= limit <= 100, "invalid_limit", "A limit lies between 1 and 100.")
+        if not (type(limit) is int and 1 <= limit <= 100):
+            raise error("invalid_limit", "A limit lies between 1 and 100.")
         return limit
 
     def visibility(self, principal: str) -> str:
@@ -107,7 +115,8 @@ class EvidenceService:
 
     def search(self, query: str, principal: str, limit: int = 20, package_digest: str | None = None, scope_prefix: str | None = None, query_mode: str = "all_terms") -> dict[str, Any]:
         parsed, limit = parse(query, query_mode), self._limit(limit)
-        require(scope_prefix is None or bool(scope_prefix), "invalid_scope", "A scope is a clause reference.")
+        if not (scope_prefix is None or bool(scope_prefix)):
+            raise error("invalid_scope", "A scope is a clause reference.")
         if package_digest is not None:
             self._package(package_digest, principal)
         found, relaxed = lexical.search(self.tables.records, self._served(principal), query, query_mode, limit, package_digest, scope_prefix)
@@ -123,7 +132,8 @@ class EvidenceService:
         after = cursors.decode(self.secret, cursor, binding) if cursor else None
         rows = catalog.listing(self._served(principal), prefix, after, self._limit(limit) + 1).select(*catalog.KEY).collect()
         page = [r.asDict() for r in rows[:limit]]
-        require(self.visibility(principal) == binding["visibility"], "authorization_changed", "The inventory changed while it was read.")
+        if self.visibility(principal) != binding["visibility"]:
+            raise error("authorization_changed", "The inventory changed while it was read.")
         more = len(rows) > limit
         return {"documents": page, "has_more": more, "next_cursor": cursors.encode(self.secret, binding, {k: page[-1][k] for k in catalog.KEY}) if more else None}
 
@@ -135,11 +145,12 @@ class EvidenceService:
             return {"document": found[0]}
         near = [r.asDict() for r in catalog.near_matches(served, name, catalog.CANDIDATES + 1).select("identifier", "edition_id", "representation", "package_digest", "match_basis").collect()]
         details = {"candidates": near[: catalog.CANDIDATES], "truncated": len(near) > catalog.CANDIDATES}
-        raise EvidenceError("ambiguous_document" if found else "not_found", "The identifier names several documents." if found else "No such document is served.", details)
+        raise error("ambiguous_document" if found else "not_found", "The identifier names several documents." if found else "No such document is served.", **details)
 
     def get_source_pdfs(self, package_digest: str, principal: str) -> dict[str, Any]:
         package = self._package(package_digest, principal)
-        require(self.sources is not None, "not_found", "No source files are attached.")
+        if self.sources is None:
+            raise error("not_found", "No source files are attached.")
         rows = self.sources.where((F.col("package_digest") == package_digest) & F.col("path").rlike(r"^sources/.*\.pdf$")).orderBy("path").select("path", "bytes", "sha256").collect()
         return {"package": package, "files": [r.asDict() for r in rows]}
 
@@ -150,7 +161,8 @@ class EvidenceService:
         order = graph.ordered_closure(roots, self._edges(digest))
         rows = order.join(self._records(digest), "record_id", "left").orderBy("place").collect()
         missing = [r["record_id"] for r in rows if r["text"] is None]
-        require(not missing, "incomplete_dependency", "A required record is missing.", record_ids=missing)
+        if missing:
+            raise error("incomplete_dependency", "A required record is missing.", record_ids=missing)
         inside = order.select(F.col("record_id").alias("source_record_id"), "place")
         edges = self._edges(digest).where("required").join(inside, "source_record_id").orderBy("place", "relationship", "target_record_id").select("source_record_id", "relationship", "target_record_id").collect()
         records = [{k: r[k] for k in FIELDS} | {"text_sha256": cursors.hashlib.sha256(r["text"].encode()).hexdigest(), "locator": locator(digest, r["record_id"])} for r in rows]
@@ -163,20 +175,24 @@ class EvidenceService:
 
     @staticmethod
     def _rendered(packet: dict[str, Any], profile: str | None) -> dict[str, Any]:
-        require(profile in (None, *PROFILES), "invalid_response_profile", "The profile is not supported.")
+        if profile not in (None, *PROFILES):
+            raise error("invalid_response_profile", "The profile is not supported.")
         if profile in (None, "detailed"):
             return packet
         keep = FIELDS if profile == "compact" else ("record_id", "clause_reference", "text")
         return packet | {"profile": profile, "records": [{k: r[k] for k in keep} for r in packet["records"]]}
 
     def get_clause(self, package_digest: str, principal: str, clause_reference: str | None = None, record_id: str | None = None, max_bytes: int | None = None, response_profile: str | None = None) -> dict[str, Any]:
-        require(clause_reference is not None or record_id is not None, "invalid_record_selector", "A clause or a record id is required.")
+        if not (clause_reference is not None or record_id is not None):
+            raise error("invalid_record_selector", "A clause or a record id is required.")
         package = self._package(package_digest, principal)
         rows = self._records(package_digest)
         by = {k: rows.where(F.col(k) == v).select("record_id").limit(1).collect() for k, v in (("clause_reference", clause_reference), ("record_id", record_id)) if v is not None}
-        require(all(by.values()), "not_found", "No such record.")
+        if not all(by.values()):
+            raise error("not_found", "No such record.")
         ids = {r[0]["record_id"] for r in by.values()}
-        require(len(ids) == 1, "record_selector_mismatch", "The clause and the record id name different records.")
+        if len(ids) != 1:
+            raise error("record_selector_mismatch", "The clause and the record id name different records.")
         roots = rows.where(F.col("record_id") == ids.pop()).select("record_id", F.lit(0).cast("long").alias("root_pos"))
         records, edges = self._closure(package_digest, roots)
         packet = self._rendered({"package": package, "records": records, "relationships": edges}, response_profile)
@@ -184,11 +200,13 @@ class EvidenceService:
         return budgeted(packet, max_bytes)
 
     def build_context(self, package_digest: str, clause_references: list[str], principal: str, max_bytes: int | None = None, response_profile: str | None = None) -> dict[str, Any]:
-        require(isinstance(clause_references, list) and 1 <= len(clause_references) <= 64 and all(isinstance(c, str) and c for c in clause_references), "invalid_clause_reference", "1 to 64 clause references are required.")
+        if not (isinstance(clause_references, list) and 1 <= len(clause_references) <= 64 and all(isinstance(c, str) and c for c in clause_references)):
+            raise error("invalid_clause_reference", "1 to 64 clause references are required.")
         package, wanted = self._package(package_digest, principal), list(dict.fromkeys(clause_references))
         roots = self._roots(package_digest, wanted)
         there = {r["clause_reference"] for r in roots.collect()}
-        require(there == set(wanted), "not_found", "A clause is missing.", clause_references=sorted(set(wanted) - there))
+        if there != set(wanted):
+            raise error("not_found", "A clause is missing.", clause_references=sorted(set(wanted) - there))
         records, edges = self._closure(package_digest, roots.drop("clause_reference"))
         packet = self._rendered({"package": package, "requested": wanted, "records": records, "relationships": edges}, response_profile)
         self._recheck(package, principal)
@@ -214,9 +232,12 @@ class EvidenceService:
         return budgeted(packet, max_bytes)
 
     def browse_records(self, package_digest: str, principal: str, relation: str = "all", record_id: str | None = None, kind: str | None = None, scope_prefix: str | None = None, limit: int = 50, cursor: str | None = None, max_bytes: int | None = None) -> dict[str, Any]:
-        require(relation in RELATIONS, "invalid_relation", "The relation is not supported.", relations=list(RELATIONS))
-        require(kind is None or re.fullmatch("[a-z_]{1,64}", kind) is not None, "invalid_kind", "The kind is malformed.")
-        require((record_id is None) == (relation in ("all", "roots")), "invalid_record_id", "This relation needs, or takes no, record id.")
+        if relation not in RELATIONS:
+            raise error("invalid_relation", "The relation is not supported.", relations=list(RELATIONS))
+        if not (kind is None or re.fullmatch("[a-z_]{1,64}", kind) is not None):
+            raise error("invalid_kind", "The kind is malformed.")
+        if (record_id is None) != (relation in ("all", "roots")):
+            raise error("invalid_record_id", "This relation needs, or takes no, record id.")
         package, limit = self._package(package_digest, principal), self._limit(limit)
         binding = {"principal": principal, "scope": [package_digest, relation, record_id, kind, scope_prefix], "operation": "browse"}
         after = cursors.decode(self.secret, cursor, binding) if cursor else -1
@@ -224,7 +245,8 @@ class EvidenceService:
         anchor = None
         if record_id is not None:
             found = rows.where(F.col("record_id") == record_id).limit(1).collect()
-            require(bool(found), "not_found", "No such record.")
+            if not found:
+                raise error("not_found", "No such record.")
             anchor = found[0]
         edges: list[dict[str, Any]] = []
         match relation:
@@ -255,7 +277,8 @@ class EvidenceService:
 
     def select_evidence(self, package_digest: str, record_id: str, principal: str, max_tokens: int | None = None, max_bytes: int | None = None, count_tokens: Any = None) -> dict[str, Any]:
         """The smallest of the profiles that fits."""
-        require(max_tokens is None or count_tokens is not None, "tokenizer_unavailable", "A token budget needs a tokenizer.")
+        if not (max_tokens is None or count_tokens is not None):
+            raise error("tokenizer_unavailable", "A token budget needs a tokenizer.")
         whole = self.get_clause(package_digest, principal, record_id=record_id)
         fits = []
         for profile in PROFILES:
@@ -263,14 +286,16 @@ class EvidenceService:
             tokens = count_tokens(json.dumps(packet, ensure_ascii=False)) if count_tokens else None
             if (max_bytes is None or packet["budget"]["used"] <= max_bytes) and (max_tokens is None or tokens <= max_tokens):
                 fits.append((tokens or packet["budget"]["used"], packet["budget"]["used"], profile, packet))
-        require(bool(fits), "budget_too_small", "No profile fits.")
+        if not fits:
+            raise error("budget_too_small", "No profile fits.")
         return min(fits, key=lambda x: x[:3])[3] | {"selected_profile": min(fits, key=lambda x: x[:3])[2]}
 
     # Comparison --------------------------------------------------------------------------------------
 
     def diff_editions(self, from_digest: str, to_digest: str, principal: str, max_bytes: int | None = None) -> dict[str, Any]:
         old, new = self._package(from_digest, principal), self._package(to_digest, principal)
-        require(old["family_id"] == new["family_id"], "different_document_families", "The packages are of different families.")
+        if old["family_id"] != new["family_id"]:
+            raise error("different_document_families", "The packages are of different families.")
         label = lambda rows: rows.withColumn("package_digest", F.lit("pair"))  # noqa: E731  both sides under one key
         b, a = label(self._records(from_digest)), label(self._records(to_digest))
         if "start_byte" not in b.columns:
@@ -298,13 +323,16 @@ class EvidenceService:
     def follow_references(self, package_digest: str, record_id: str, principal: str, max_bytes: int | None = None) -> dict[str, Any]:
         """One hop over reviewed bindings; both ends must be served, and the target's text must be the bound one."""
         package = self._package(package_digest, principal)
-        require(self.bindings is not None, "reference_bindings_not_configured", "No bindings are configured.")
+        if self.bindings is None:
+            raise error("reference_bindings_not_configured", "No bindings are configured.")
         mine = self.bindings.where((F.col("source_package") == package_digest) & (F.col("source_record_id") == record_id))
         served = self._served(principal).select(F.col("package_digest").alias("target_package"), F.lit(True).alias("served"))
         target = self.tables.records.select(F.col("package_digest").alias("target_package"), F.col("record_id").alias("target_record_id"), "clause_reference", "text")
         rows = mine.join(served, "target_package", "left").join(target, ["target_package", "target_record_id"], "left").orderBy("target_package", "target_record_id").collect()
-        require(all(r["served"] or r["target_package"] is None for r in rows), "not_found", "A referenced package is not served.")
+        if not all(r["served"] or r["target_package"] is None for r in rows):
+            raise error("not_found", "A referenced package is not served.")
         stale = [r["target_record_id"] for r in rows if r["text"] is not None and cursors.hashlib.sha256(r["text"].encode()).hexdigest() != r["text_sha256"]]
-        require(not stale, "stale_reference_binding", "A bound text has changed.", record_ids=stale)
+        if stale:
+            raise error("stale_reference_binding", "A bound text has changed.", record_ids=stale)
         links = [{"target_package": r["target_package"], "record_id": r["target_record_id"], "clause_reference": r["clause_reference"], "text": r["text"], "status": "resolved" if r["text"] is not None else "unresolved"} for r in rows]
         return budgeted({"package": package, "record_id": record_id, "references": links}, max_bytes)

@@ -73,7 +73,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     try:
         out, code = {"ok": True, "result": run(args, spark)}, 0
     except EvidenceError as e:
-        out, code = {"ok": False, "error": e.as_dict()}, 2
+        out, code = {"ok": False, "error": e.report()}, 2
     print(json.dumps(out, ensure_ascii=False, sort_keys=True))
     return code
 

@@ -9,7 +9,7 @@ import json
 import time
 from typing import Any
 
-from lexstrata.errors import require
+from lexstrata.errors import error
 
 LIFETIME = 900
 
@@ -26,17 +26,22 @@ def encode(secret: bytes, binding: dict[str, Any], last: Any, now: float | None
 def decode(secret: bytes, cursor: str, binding: dict[str, Any], now: float | None = None) -> Any:
     """The position of a cursor; tampered, expired and foreign cursors are told apart."""
     parts = cursor.split(".") if isinstance(cursor, str) else []
-    require(len(parts) == 2, "invalid_cursor", "The cursor is malformed.")
+    if len(parts) != 2:
+        raise error("invalid_cursor", "The cursor is malformed.")
     try:
         body, tag = (base64.urlsafe_b64decode(x + "=" * (-len(x) % 4)) for x in parts)
     except ValueError:
         body = tag = b""
-    require(hmac.compare_digest(hmac.digest(secret, body, "sha256"), tag), "invalid_cursor", "The cursor's signature is wrong.")
+    if not hmac.compare_digest(hmac.digest(secret, body, "sha256"), tag):
+        raise error("invalid_cursor", "The cursor's signature is wrong.")
     value = json.loads(body)
-    require(canonical(value) == body and value["expires"] > (time.time() if now is None else now), "expired_cursor", "The cursor has expired.")
+    if not (canonical(value) == body and value["expires"] > (time.time() if now is None else now)):
+        raise error("expired_cursor", "The cursor has expired.")
     for name, code in (("principal", "invalid_cursor"), ("visibility", "cursor_inventory_changed"), ("policy", "cursor_policy_changed"), ("scope", "cursor_scope_mismatch")):
-        require(value["binding"].get(name) == binding.get(name), code, f"The cursor was made for another {name}.")
-    require(value["binding"] == binding, "cursor_scope_mismatch", "The cursor was made for another request.")
+        if value["binding"].get(name) != binding.get(name):
+            raise error(code, f"The cursor was made for another {name}.")
+    if value["binding"] != binding:
+        raise error("cursor_scope_mismatch", "The cursor was made for another request.")
     return value["last"]
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexstrata.errors import require
+from lexstrata.errors import error
 
 # Diacritics of the Latin letters that the index folds, and their letters.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -137,14 +137,18 @@ class Query:
 
 
 def parse(query: str, mode: str, relaxed: bool = False) -> Query:
-    require(isinstance(query, str) and bool(query.strip()) and len(query) <= 4096 and len(query.encode("utf-8", "surrogatepass")) <= 16384, "invalid_query", "A query of 1 to 4096 characters is required.")
-    require(mode in MODES, "invalid_query_mode", "The query mode is not supported.", modes=list(MODES))
+    if not (isinstance(query, str) and bool(query.strip()) and len(query) <= 4096 and len(query.encode("utf-8", "surrogatepass")) <= 16384):
+        raise error("invalid_query", "A query of 1 to 4096 characters is required.")
+    if mode not in MODES:
+        raise error("invalid_query_mode", "The query mode is not supported.", modes=list(MODES))
     found = [t for t in QUERY_TOKEN.findall(query) if any(c.isalnum() for c in t)]
-    require(bool(found) and len(found) <= 32 and all(len(t) <= 256 and len(t.encode()) <= 1024 for t in found), "invalid_query", "A query needs 1 to 32 terms of at most 256 characters.")
+    if not (bool(found) and len(found) <= 32 and all(len(t) <= 256 and len(t.encode()) <= 1024 for t in found)):
+        raise error("invalid_query", "A query needs 1 to 32 terms of at most 256 characters.")
     natural = mode in ("natural_language", "concept_language")
     skip = STOP_WORDS | WRAPPER_WORDS if natural else frozenset()
     kept = [t for t in found if t.casefold() not in skip]
-    require(bool(kept), "invalid_query", "The query has nothing but stop words.")
+    if not kept:
+        raise error("invalid_query", "The query has nothing but stop words.")
     stem = porter if natural else str
 
     def phrase(term: str) -> Phrase:
@@ -252,8 +256,10 @@ def normalized_identifier(column: Column) -> Column:
 
 
 def normalize_identifier(value: str, prefix: bool = False) -> str:
-    require(isinstance(value, str) and bool(value.strip()), "invalid_identifier", "A non-empty identifier is required.")
+    if not (isinstance(value, str) and bool(value.strip())):
+        raise error("invalid_identifier", "A non-empty identifier is required.")
     x = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value).strip().upper())
     x = re.sub(r"\s*/\s*", "/", re.sub(r"\s*-\s*", "-", x))
-    require(re.fullmatch(r"[A-Z0-9][A-Z0-9 () ./_-]{%d,127}" % (not prefix), x) is not None, "invalid_identifier", "The identifier has unsupported characters or length.")
+    if re.fullmatch(r"[A-Z0-9][A-Z0-9 () ./_-]{%d,127}" % (not prefix), x) is None:
+        raise error("invalid_identifier", "The identifier has unsupported characters or length.")
     return x

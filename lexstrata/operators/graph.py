@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexstrata.errors import EvidenceError
+from lexstrata.errors import error
 
 MAX_DEPTH = 64
 EVERY = 3
@@ -44,7 +44,7 @@ def closure(roots: DataFrame, edges: DataFrame, by_root: bool = False) -> DataFr
         seen, frontier = seen.union(nxt), nxt
         if depth % EVERY == 0:
             seen = checkpointed(seen)
-    raise EvidenceError("incomplete_dependency", f"A closure is deeper than {MAX_DEPTH} edges.")
+    raise error("incomplete_dependency", f"A closure is deeper than {MAX_DEPTH} edges.")
 
 
 def ordered_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def ordered_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
             break
         seen, frontier = seen.union(nxt), nxt
     else:
-        raise EvidenceError("incomplete_dependency", f"A closure is deeper than {MAX_DEPTH} edges.")
+        raise error("incomplete_dependency", f"A closure is deeper than {MAX_DEPTH} edges.")
     first = Window.partitionBy("record_id").orderBy("root_pos", "level", "seq")
     rows = seen.withColumn("n", F.row_number().over(first)).where("n = 1")
     everywhere = Window.orderBy("root_pos", "level", "seq")
@@ -85,7 +85,7 @@ def ancestry(records: DataFrame) -> DataFrame:
         now = checkpointed(now.where("at is not null").join(up, ["package_digest", "at"]).select("package_digest", "record_id", F.col("next").alias("at"), F.concat(F.array("at"), "path").alias("path")))
         if now.isEmpty():
             return done
-    raise EvidenceError("invalid_records", "A parent chain has a cycle or is too deep.")
+    raise error("invalid_records", "A parent chain has a cycle or is too deep.")
 
 
 def neighbours(records: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def impact(status: DataFrame, before: DataFrame, after: DataFrame, before_ids: D
             seen = seen.union(nxt.select("package_digest", "start", "node"))
             frontier = nxt.select("package_digest", "start", F.col("node").alias("source_record_id"), "path")
         else:
-            raise EvidenceError("incomplete_dependency", f"A path is longer than {MAX_DEPTH} edges.")
+            raise error("incomplete_dependency", f"A path is longer than {MAX_DEPTH} edges.")
     edge = F.when(F.col("cause_type") != "target_record_changed", F.struct("source_record_id", "relationship"))
     best = out.groupBy("side", "package_digest", F.col("start").alias("record_id"), "cause_type", F.col("target_record_id").alias("cause_record_id"), edge.alias("edge")).agg(F.min(F.struct(F.size("path").alias("depth"), F.col("path"))).alias("best"))
     return best.select("side", "package_digest", "record_id", "cause_type", "cause_record_id", F.col("best.depth").cast("long").alias("depth"), F.col("best.path").alias("path"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.errors import EvidenceError, require
+from lexstrata.errors import error
 from lexstrata.operators.verify import byte_slice
 
 INVENTORY = "schema_version string, algorithm string, files array<struct<path string, sha256 string, bytes long>>"
@@ -155,7 +155,7 @@ class Packs:
         """Itself, or the first violation as an error."""
         first = self.violations.orderBy("pack", "code", "item").limit(1).collect()
         if first:
-            raise EvidenceError(first[0]["code"], "A pack breaks a rule.", {"pack": first[0]["pack"], "item": first[0]["item"]})
+            raise error(first[0]["code"], "A pack breaks a rule.", pack=first[0]["pack"], item=first[0]["item"])
         return self
 
 
@@ -175,17 +175,21 @@ def archive_members(data: bytes) -> Iterator[tuple[str, bytes]]:
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
-        raise EvidenceError("invalid_pack_archive", str(e)) from e
+        raise error("invalid_pack_archive", str(e)) from e
     with archive:
         infos = archive.infolist()
-        require(len(infos) <= MAX_FILES and sum(i.file_size for i in infos) <= MAX_BYTES, "pack_limit_exceeded", "The archive is too large.")
-        require(len({i.filename.lower() for i in infos}) == len(infos), "invalid_pack_archive", "Names repeat.")
+        if not (len(infos) <= MAX_FILES and sum(i.file_size for i in infos) <= MAX_BYTES):
+            raise error("pack_limit_exceeded", "The archive is too large.")
+        if len({i.filename.lower() for i in infos}) != len(infos):
+            raise error("invalid_pack_archive", "Names repeat.")
         for info in infos:
             name = info.filename
-            require(not re.search(r"^/|\\|(^|/)\.{0,2}(/|$)", name) and not info.is_dir(), "invalid_pack_path", "A member's path is not safe.", path=name)
+            if not (not re.search(r"^/|\\|(^|/)\.{0,2}(/|$)", name) and not info.is_dir()):
+                raise error("invalid_pack_path", "A member's path is not safe.", path=name)
             with archive.open(info) as f:
                 content = f.read(info.file_size + 1)
-            require(len(content) == info.file_size, "pack_limit_exceeded", "A member is longer than it says.", path=name)
+            if len(content) != info.file_size:
+                raise error("pack_limit_exceeded", "A member is longer than it says.", path=name)
             yield name, content
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexstrata.cursor import digest
-from lexstrata.errors import require
+from lexstrata.errors import error
 from lexstrata.sources.packs import Packs
 
 GRANT = "principal_id string, package_digest string, generation long, can_serve boolean, revoked_at string, policy_fingerprint string"
@@ -76,9 +76,11 @@ class Store:
         """Check and write packs that the policy allows; returns their digests."""
         packs.checked()
         found = packs.packages.select("package_digest", "pack_id", "content_class").collect()  # a row per pack of this call
-        require(policy.allow_admin_install and policy.allow_serve, "policy_denied", "The policy doesn't allow installing.")
+        if not (policy.allow_admin_install and policy.allow_serve):
+            raise error("policy_denied", "The policy doesn't allow installing.")
         for r in found:
-            require(r["pack_id"] in policy.allowed_pack_ids and r["content_class"] in policy.allowed_content_classes, "policy_denied", "The policy doesn't allow this pack.", pack_id=r["pack_id"])
+            if not (r["pack_id"] in policy.allowed_pack_ids and r["content_class"] in policy.allowed_content_classes):
+                raise error("policy_denied", "The policy doesn't allow this pack.", pack_id=r["pack_id"])
         generation = self.generation
         new = [r["package_digest"] for r in found]
         if generation:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from lexstrata.operators import coverage, graph, outline
 from lexstrata.streaming.ingest import ingest
 
@@ -21,25 +24,52 @@ PAGE = "\n".join(
 )
 
 
-def test_candidates():
-    kinds = [(c.kind, c.label) for c in outline.candidates(PAGE)]
-    assert kinds == [("method", "METHOD 501.2"), ("numbered", "1"), ("numbered", "1.1"), ("list_item", "a"), ("note", "NOTE 1"), ("caption", "TABLE I"), ("ambiguous_numbered", "1"), ("ambiguous_numbered", "2"), ("caption", "FIGURE 2"), ("ambiguous_numbered", "3.4")]
-    assert outline.heading("Purpose. This clause says why.", "1.1") == "Purpose"
-    assert outline.candidates("") == []
+COLUMNS = "component string, page long, text string"
+
+
+def test_candidates(spark):
+    found = outline.page_candidates(spark.createDataFrame([("x", 1, PAGE), ("x", 2, ""), ("x", 3, None)], COLUMNS)).orderBy("start_byte").collect()
+    assert [(r["kind"], r["label"]) for r in found] == [
+        ("method", "M E T H O D  501.2"), ("numbered", "1"), ("numbered", "1.1"), ("list_item", "a"), ("note", "NOTE 1"), ("caption", "TABLE I"), ("ambiguous_numbered", "1"), ("ambiguous_numbered", "2"),
+        ("caption", "FIGURE 2"), ("ambiguous_numbered", "3.4"),
+    ]
+    raw = PAGE.encode()
+    assert all(raw[r["start_byte"] :].startswith(r["label"].encode()) for r in found)
+    said = spark.createDataFrame([("Purpose. This clause says why.", "1.1"), ("  ", " 7 "), ("x" * 300, "l"), ("a  b\tc...", "l")], "body string, label string")
+    assert [r[0] for r in said.select(outline.heading(F.col("body"), F.col("label"))).collect()] == ["Purpose", "7", "x" * 240, "a b c"]
+
+
+def test_parts_need_their_first_clause(spark):
+    pages = [("PART ONE - General\n1.1  Scope", ["part", "numbered"]), ("PART TWO -- x\n2.1  Scope", ["numbered"]), ("P A R T  T H R E E – y\n1.1  Scope ..... 4\n1.1  Scope", ["numbered"]), ("PART ONE - x\n" + "y" * 4100 + "\n1.1  Scope", ["numbered"]), ("PART ONE - x", [])]
+    rows = outline.page_candidates(spark.createDataFrame([("x", i, t) for i, (t, _) in enumerate(pages)], COLUMNS)).orderBy("page", "start_byte").collect()
+    assert [[r["kind"] for r in rows if r["page"] == i] for i in range(len(pages))] == [k for _, k in pages]
 
 
-def test_outline_keeps_all_text(spark):
-    pages = spark.createDataFrame([("x", 1, PAGE), ("x", 2, "1.3  More\nM E T H O D  501.2\n1.1  Again"), ("y", 1, "nothing here"), ("y", 2, None)], "component string, page long, text string")
+@pytest.mark.parametrize("page_range", [1, 2, 1024])
+def test_outline_keeps_all_text(spark, monkeypatch, page_range):
+    monkeypatch.setattr(outline, "PAGE_RANGE", page_range)
+    second = "1.3  Möre\nM E T H O D  501.2\n1.1  Again\n1.1.1  Deeper"
+    third = "PART ONE - General\n1.1  Scope\n4.2  Stray\nNOTE 2: x\nAPPENDIX B\n1  Top\n1.1  Sub"
+    pages = spark.createDataFrame([("x", 1, PAGE), ("x", 2, second), ("x", 3, third), ("y", 1, "nothing here"), ("y", 2, None), ("z", 5, " \n é\n1  One")], COLUMNS)
     rows = outline.compile_outline(pages).orderBy("component", "seq").collect()
     x = [r for r in rows if r["component"] == "x"]
+    assert [r["seq"] for r in x] == list(range(len(x)))
     assert {r["kind"] for r in x} == {"section", "clause", "list_item", "note", "table", "figure", "unsupported_region"}
-    by_ref = {r["reference"]: r for r in x}
-    assert by_ref["1.1"]["parent_seq"] == by_ref["1"]["seq"] and by_ref["1"]["parent_seq"] == by_ref["METHOD 501.2"]["seq"]
-    assert by_ref["1.1:occurrence-2"]["page"] == 2 and "page-0002-repeated-method-header" in by_ref
-    for page, text in ((1, PAGE), (2, "1.3  More\nM E T H O D  501.2\n1.1  Again")):
-        kept = "".join("".join(r["text"].split()) for r in x if r["page"] == page)
-        assert kept == "".join(text.split())
+    by_ref = {(r["context"], r["reference"]): r for r in x}
+    parent = lambda c, r: next(((p["context"], p["reference"]) for p in x if p["seq"] == by_ref[c, r]["parent_seq"]), None)
+    method, part, appendix = "METHOD-501.2", "PART-ONE", "APPENDIX-B"
+    assert parent(method, "1") == (method, "METHOD 501.2") and parent(method, "1.1") == (method, "1") and parent(method, "a-item") == (method, "1.1")
+    assert parent(method, "1.1:occurrence-2") == (method, "1") and parent(method, "1.1.1") == (method, "1.1:occurrence-2") and by_ref[method, "1.1:occurrence-2"]["page"] == 2
+    assert (method, "page-0002-repeated-method-header") in by_ref and by_ref[method, "page-0002-repeated-method-header"]["kind"] == "unsupported_region"
+    assert parent(part, "1.1") == (part, "PART-ONE") and parent(part, "4.2") == (part, "PART-ONE") and parent(part, "NOTE-2") == (part, "4.2") and parent(part, "PART-ONE") is None
+    assert parent(appendix, "1") == (appendix, "APPENDIX B") and parent(appendix, "1.1") == (appendix, "1")
+    assert by_ref[method, "TABLE-I"]["kind"] == "table" and by_ref[method, "page-0001-ambiguous-numbered-7"]["parent_seq"] is None
+    for page, text in ((1, PAGE), (2, second), (3, third)):
+        mine = [r for r in x if r["page"] == page]
+        assert "".join("".join(r["text"].split()) for r in mine) == "".join(text.split())
+        assert all(text.encode()[r["start_byte"] : r["end_byte"]].decode() == r["text"] for r in mine)
     assert [r["reference"] for r in rows if r["component"] == "y"] == ["page-0001-unparsed"]
+    assert [(r["reference"], r["start_byte"], r["text"]) for r in rows if r["component"] == "z"] == [("page-0005-prefix", 3, "é"), ("1", 6, "1  One")]
 
 
 def test_interval_union_and_partitions(spark):

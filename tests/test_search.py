@@ -13,10 +13,10 @@ from lexstrata.functions import text as T
 from lexstrata.operators import search
 
 ROWS = [
-    ("p1", "r1", "4.2.1", "Connector retention", "The unit shall retain the connector under a steady axial load of 80 N.", 0),
-    ("p1", "r2", "4.2.1 NOTE 1", "Governing condition", "Apply the load after conditioning at 23 °C for two hours; see MIL-STD-810H.", 1),
-    ("p1", "r3", "4.2.2", "Interface sealing", "The unit shall prevent visible water ingress. Load load load, axial loads of 800 N.", 2),
-    ("p2", "r4", "9", "Hidden", "steady axial load load steady axial load", 0),
+    ("p1", "r1", "7.3", "Buoy mooring", "The harbour shall moor the buoy with a heavy iron chain of 60 m.", 0),
+    ("p1", "r2", "7.3 REMARK", "Governing tide", "Lay the chain after counting at low tide for two days; see HBR-CODE-310K.", 1),
+    ("p1", "r3", "7.4", "Harbour lighting", "The harbour shall prevent drifting lamps. Chain chain chain, iron chains of 600 m.", 2),
+    ("p2", "r4", "9", "Hidden", "heavy iron chain chain heavy iron chain", 0),
 ]
 
 
@@ -37,18 +37,18 @@ def ids(found):
 @pytest.mark.parametrize(
     ("query", "mode", "want"),
     [
-        ("steady axial load", "exact_phrase", {"r1"}),
-        ("axial steady load", "exact_phrase", set()),
-        ("axial load", "all_terms", {"r1", "r3"}),
-        ("axial conditioning", "all_terms", set()),
-        ("conditioning ingress", "any_terms", {"r2", "r3"}),
-        ("4.2.1 water", "any_terms", {"r1", "r2", "r3"}),
-        ("retention connector", "all_terms", {"r1"}),
-        ("How should connectors be retained under loads?", "natural_language", {"r1", "r2", "r3"}),
-        ("MIL-STD-810", "natural_language", {"r2"}),
-        ("80", "natural_language", {"r1"}),
+        ("heavy iron chain", "exact_phrase", {"r1"}),
+        ("iron heavy chain", "exact_phrase", set()),
+        ("iron chain", "all_terms", {"r1", "r3"}),
+        ("iron counting", "all_terms", set()),
+        ("counting drifting", "any_terms", {"r2", "r3"}),
+        ("7.3 lamps", "any_terms", {"r1", "r2", "r3"}),
+        ("mooring buoy", "all_terms", {"r1"}),
+        ("How should buoys be moored on chains?", "natural_language", {"r1", "r2", "r3"}),
+        ("HBR-CODE-310", "natural_language", {"r2"}),
+        ("60", "natural_language", {"r1"}),
         ("duration", "concept_language", set()),
-        ("axial nonexistenttopic", "natural_language", {"r1", "r3"}),
+        ("iron nonexistenttopic", "natural_language", {"r1", "r3"}),
     ],
 )
 def test_modes(records, packages, query, mode, want):
@@ -63,7 +63,7 @@ def test_concept_finds_alternatives(spark, packages):
 
 def test_hidden_rows_do_not_move_scores(spark, records, packages):
     both = spark.createDataFrame([("p1",), ("p2",)], "package_digest string")
-    score = lambda p: {r["record_id"]: r["score"] for r in search.search(records, p, "axial load", "all_terms")[0].collect()}
+    score = lambda p: {r["record_id"]: r["score"] for r in search.search(records, p, "iron chain", "all_terms")[0].collect()}
     alone, shared = score(packages), score(both)
     assert alone == {k: v for k, v in shared.items() if k in alone} and "r4" in shared
 
@@ -76,11 +76,11 @@ def test_invalid_queries(query, mode, code):
 
 
 def test_snippets_are_verbatim(records, packages):
-    q = T.parse("axial load", "all_terms")
+    q = T.parse("iron chain", "all_terms")
     for r in search.snippets(search.ranked(records, packages, q), q).collect():
         body = r["matched_snippet"].strip(" …").replace("⟦", "").replace("⟧", "")
         assert body in r["text"] and re.findall("⟦(.*?)⟧", r["matched_snippet"])
-        assert all(m.lower() in ("axial", "load") for m in re.findall("⟦(.*?)⟧", r["matched_snippet"]))
+        assert all(m.lower() in ("iron", "chain") for m in re.findall("⟦(.*?)⟧", r["matched_snippet"]))
 
 
 TEXTS = ["a b a b a b", "a a a a", "b a c", "a b c a b", "", "c c"]

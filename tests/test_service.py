@@ -14,24 +14,24 @@ from lexstrata.sources.store import Policy, Store
 sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
-def make_pack(root, edition, load, note="Condition at 23 °C for two hours.", extra=(), drop_edge=False):
-    rows = [("c1", "clause", "4.2.1", "Retention", f"The unit shall hold a load of {load} N.", "obligation"), ("n1", "note", "4.2.1 NOTE 1", "Condition", note, "governing_note"), ("c2", "clause", "4.2.2", "Sealing", "The unit shall keep water out.", "obligation"), *extra]
+def make_pack(root, edition, load, note="Count the links at low tide – twice.", extra=(), drop_edge=False):
+    rows = [("buoy", "clause", "7.3", "Mooring", f"A buoy shall hang on a chain of {load} links.", "obligation"), ("tide", "note", "7.3 REMARK", "Counting", note, "governing_note"), ("paint", "clause", "7.4", "Colour", "A buoy shall be yellow all over.", "obligation"), *extra]
     source = "\n".join(r[4] for r in rows)
     records = [
         {
             "record_id": i, "edition_id": edition, "kind": k, "clause_reference": c, "heading": h, "text": t,
-            "source": {"path": "sources/spec.txt", "sha256": sha(source), "page": 1, "locator": c, "quote_sha256": sha(t)},
+            "source": {"path": "sources/rules.txt", "sha256": sha(source), "page": 1, "locator": c, "quote_sha256": sha(t)},
             "derivation": {"statement_role": role, "method": "authored", "review_status": "reviewed"},
-            "dependencies": [{"relationship": "governed_by", "target_record_id": "n1", "required": True}] if i == "c1" and not drop_edge else [],
+            "dependencies": [{"relationship": "governed_by", "target_record_id": "tide", "required": True}] if i == "buoy" and not drop_edge else [],
         }
         for i, k, c, h, t, role in rows
     ]
     coverage = dict.fromkeys(("corpus_scope", "edition_composition", "parsed_source_coverage", "dependency_closure", "enumeration_traversal", "output_budget_coverage"), "complete")
     files = {
-        "manifest.json": json.dumps({"schema_version": "0.1.0", "pack_id": f"pack.{edition}", "document_family_id": "fam", "edition_id": edition, "publisher": "p", "identifier": "SPEC-1", "title": "t", "revision": "A", "publication_date": "2025-01-01", "category": "c", "coverage": coverage}),
+        "manifest.json": json.dumps({"schema_version": "0.1.0", "pack_id": f"pack.{edition}", "document_family_id": "fam", "edition_id": edition, "publisher": "p", "identifier": "BUOY-RULES-1", "title": "t", "revision": "A", "publication_date": "2025-01-01", "category": "c", "coverage": coverage}),
         "rights.json": json.dumps({"rights_schema_version": "0.1.0", "content_class": "synthetic", "redistribution": "yes", "processing": [], "model_use": "yes", "statement": "s"}),
         "records.json": json.dumps({"schema_version": "0.1.0", "records": records}, ensure_ascii=False),
-        "sources/spec.txt": source,
+        "sources/rules.txt": source,
     }
     listed = [{"path": p, "sha256": sha(c), "bytes": len(c.encode())} for p, c in sorted(files.items())]
     files["inventory.json"] = json.dumps({"schema_version": "0.1.0", "algorithm": "sha256", "files": listed})
@@ -48,7 +48,7 @@ POLICY = Policy("p", "user", True, True, ("pack.a", "pack.b"), ("synthetic",))
 def installed(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("packs")
     a = make_pack(root / "a", "a", 80)
-    b = make_pack(root / "b", "b", 100, extra=[("c3", "clause", "4.3", "New", "A new clause.", "informative")])
+    b = make_pack(root / "b", "b", 100, extra=[("lamp", "clause", "7.5", "Light", "A lamp is optional.", "informative")])
     store = Store(spark, str(tmp_path_factory.mktemp("store")))
     digests = store.install(P.Packs(spark, str(root)), POLICY)
     assert set(digests) == {a, b}
@@ -57,76 +57,76 @@ def installed(spark, tmp_path_factory):
 
 def test_get_clause_has_its_closure(installed):
     service, _, a, _ = installed
-    packet = service.get_clause(a, "user", clause_reference="4.2.1")
-    assert [r["record_id"] for r in packet["records"]] == ["c1", "n1"]
-    assert packet["relationships"] == [{"source_record_id": "c1", "relationship": "governed_by", "target_record_id": "n1"}]
+    packet = service.get_clause(a, "user", clause_reference="7.3")
+    assert [r["record_id"] for r in packet["records"]] == ["buoy", "tide"]
+    assert packet["relationships"] == [{"source_record_id": "buoy", "relationship": "governed_by", "target_record_id": "tide"}]
     assert packet["budget"]["used"] == len(cursors.canonical(packet))
     with pytest.raises(EvidenceError, match="budget_too_small"):
-        service.get_clause(a, "user", clause_reference="4.2.1", max_bytes=100)
+        service.get_clause(a, "user", clause_reference="7.3", max_bytes=100)
     with pytest.raises(EvidenceError, match="record_selector_mismatch"):
-        service.get_clause(a, "user", clause_reference="4.2.1", record_id="c2")
+        service.get_clause(a, "user", clause_reference="7.3", record_id="paint")
     with pytest.raises(EvidenceError, match="not_found"):
-        service.get_clause(a, "stranger", clause_reference="4.2.1")
+        service.get_clause(a, "stranger", clause_reference="7.3")
 
 
 def test_build_context_and_profiles(installed):
     service, _, a, _ = installed
-    packet = service.build_context(a, ["4.2.1", "4.2.2", "4.2.1"], "user")
-    assert [r["record_id"] for r in packet["records"]] == ["c1", "n1", "c2"]
-    assert service.select_evidence(a, "c1", "user")["selected_profile"] == "concise"
+    packet = service.build_context(a, ["7.3", "7.4", "7.3"], "user")
+    assert [r["record_id"] for r in packet["records"]] == ["buoy", "tide", "paint"]
+    assert service.select_evidence(a, "buoy", "user")["selected_profile"] == "concise"
 
 
 def test_obligations_page_by_page(installed):
     service, _, a, _ = installed
     first = service.enumerate_obligations(a, "user", limit=1)
     assert first["total"] == 2 and not first["traversal_complete"]
-    assert [e["record_id"] for e in first["obligations"][0]["evidence"]] == ["c1", "n1"]
+    assert [e["record_id"] for e in first["obligations"][0]["evidence"]] == ["buoy", "tide"]
     second = service.enumerate_obligations(a, "user", limit=1, cursor=first["next_cursor"])
-    assert [o["record_id"] for o in second["obligations"]] == ["c2"] and second["traversal_complete"]
+    assert [o["record_id"] for o in second["obligations"]] == ["paint"] and second["traversal_complete"]
     with pytest.raises(EvidenceError, match="invalid_cursor"):
         service.enumerate_obligations(a, "user", limit=1, cursor=first["next_cursor"][:-3] + "abc")
     with pytest.raises(EvidenceError, match="cursor_scope_mismatch"):
-        service.enumerate_obligations(a, "user", scope_prefix="4", limit=1, cursor=first["next_cursor"])
+        service.enumerate_obligations(a, "user", scope_prefix="7", limit=1, cursor=first["next_cursor"])
 
 
 def test_browse(installed):
     service, _, a, _ = installed
     ids = lambda **k: [r["record_id"] for r in service.browse_records(a, "user", **k)["records"]]
-    assert ids() == ["c1", "n1", "c2"] and ids(kind="note") == ["n1"]
-    assert ids(relation="outgoing", record_id="c1") == ["n1"] and ids(relation="incoming", record_id="n1") == ["c1"]
-    assert ids(relation="adjacent", record_id="n1") == ["c1", "c2"]
+    assert ids() == ["buoy", "tide", "paint"] and ids(kind="note") == ["tide"]
+    assert ids(relation="outgoing", record_id="buoy") == ["tide"] and ids(relation="incoming", record_id="tide") == ["buoy"]
+    assert ids(relation="adjacent", record_id="tide") == ["buoy", "paint"]
 
 
 def test_diff(installed):
     service, _, a, b = installed
     packet = service.diff_editions(a, b, "user")
     status = {c["record_id"]: c["status"] for c in packet["changes"]}
-    assert status == {"c1": "modified", "n1": "unchanged", "c2": "unchanged", "c3": "added"}
+    assert status == {"buoy": "modified", "tide": "unchanged", "paint": "unchanged", "lamp": "added"}
     assert packet["counts"] == {"added": 1, "removed": 0, "modified": 1, "moved": 0, "unchanged": 2}
     assert packet["dependencies_added"] == [] and packet["dependency_impact_paths"] == []
 
 
 def test_search_list_resolve(installed):
     service, _, a, b = installed
-    hits = service.search("load", "user", query_mode="all_terms")["results"]
-    assert {(h["package_digest"], h["record_id"]) for h in hits} == {(a, "c1"), (b, "c1")}
+    hits = service.search("chain", "user", query_mode="all_terms")["results"]
+    assert {(h["package_digest"], h["record_id"]) for h in hits} == {(a, "buoy"), (b, "buoy")}
     page = service.list_documents("user", limit=1)
     rest = service.list_documents("user", limit=1, cursor=page["next_cursor"])
     assert {d["package_digest"] for d in page["documents"] + rest["documents"]} == {a, b} and not rest["has_more"]
     with pytest.raises(EvidenceError, match="ambiguous_document") as e:
-        service.resolve_document(" spec - 1 ", "user")
+        service.resolve_document(" buoy-rules - 1 ", "user")
     assert len(e.value.details["candidates"]) == 2
-    assert service.resolve_document("SPEC-1", "user", edition_id="a")["document"]["package_digest"] == a
+    assert service.resolve_document("BUOY-RULES-1", "user", edition_id="a")["document"]["package_digest"] == a
 
 
 def test_follow_references(spark, installed):
     service, store, a, b = installed
-    text = "The unit shall hold a load of 100 N."
-    row = lambda s: spark.createDataFrame([(a, "c1", b, "c1", s)], "source_package string, source_record_id string, target_package string, target_record_id string, text_sha256 string")
+    text = "A buoy shall hang on a chain of 100 links."
+    row = lambda s: spark.createDataFrame([(a, "buoy", b, "buoy", s)], "source_package string, source_record_id string, target_package string, target_record_id string, text_sha256 string")
     linked = EvidenceService(store, b"x", bindings=row(sha(text)))
-    assert linked.follow_references(a, "c1", "user")["references"][0]["text"] == text
+    assert linked.follow_references(a, "buoy", "user")["references"][0]["text"] == text
     with pytest.raises(EvidenceError, match="stale_reference_binding"):
-        EvidenceService(store, b"x", bindings=row(sha("other"))).follow_references(a, "c1", "user")
+        EvidenceService(store, b"x", bindings=row(sha("other"))).follow_references(a, "buoy", "user")
 
 
 def test_revoked_packages_are_gone(spark, tmp_path):
@@ -145,11 +145,11 @@ def test_revoked_packages_are_gone(spark, tmp_path):
 @pytest.mark.parametrize(
     ("path", "change", "code"),
     [
-        ("sources/spec.txt", lambda s: s[:-1] + "?", "pack_hash_mismatch"),
+        ("sources/rules.txt", lambda s: s[:-1] + "?", "pack_hash_mismatch"),
         ("sources/more.txt", lambda s: "extra", "untracked_pack_content"),
         ("rights.json", None, "missing_pack_file"),
-        ("records.json", lambda s: s.replace("80 N", "90 N"), "source_quote_missing"),
-        ("records.json", lambda s: s.replace('"target_record_id": "n1"', '"target_record_id": "gone"'), "unresolved_dependency"),
+        ("records.json", lambda s: s.replace("80 links", "90 links"), "source_quote_missing"),
+        ("records.json", lambda s: s.replace('"target_record_id": "tide"', '"target_record_id": "gone"'), "unresolved_dependency"),
     ],
 )
 def test_violations(spark, tmp_path, path, change, code):
@@ -196,7 +196,7 @@ def test_command_line(spark, tmp_path, capsys):
     call = lambda *a: (main(["--store", str(tmp_path / "store"), "--principal", "user", *a], spark), json.loads(capsys.readouterr().out))
     assert call("verify", str(tmp_path / "packs"))[1]["result"] == {"violations": []}
     assert call("install", str(tmp_path / "packs"), str(tmp_path / "policy.json"))[1]["result"]["installed"] == [digest]
-    assert [r["record_id"] for r in call("get-clause", digest, "--clause-reference", "4.2.1")[1]["result"]["records"]] == ["c1", "n1"]
-    assert call("search", "load")[1]["result"]["results"][0]["record_id"] == "c1"
+    assert [r["record_id"] for r in call("get-clause", digest, "--clause-reference", "7.3")[1]["result"]["records"]] == ["buoy", "tide"]
+    assert call("search", "chain")[1]["result"]["results"][0]["record_id"] == "buoy"
     code, out = call("get-clause", digest, "--record-id", "none")
     assert code == 2 and out["error"]["code"] == "not_found"
