@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from lexstrata import cursor as cursors
 from lexstrata.errors import EvidenceError, error
 from lexstrata.functions.text import MODES, normalize_identifier, parse
-from lexstrata.operators import catalog, diff, graph
+from lexstrata.operators import catalog, diff, graph, verify
 from lexstrata.operators import search as lexical
+from lexstrata.render import FORMS, locator, text_digest
 
 RELATIONS = ("all", "roots", "children", "parent", "adjacent", "outgoing", "incoming")
 PROFILES = ("detailed", "compact", "concise")
@@ -48,10 +49,6 @@ def budgeted(packet: dict[str, Any], max_bytes: int | None) -> dict[str, Any]:
     return packet
 
 
-def locator(package_digest: str, record_id: str) -> str:
-    return f"lexstrata://packages/{package_digest}/records/{base64.urlsafe_b64encode(record_id.encode()).decode().rstrip('=')}"
-
-
 def parse_locator(text: str) -> tuple[str, str]:
     m = re.fullmatch(r"lexstrata://packages/([0-9a-f]{64})/records/([A-Za-z0-9_-]+)", text)
     if m is None:
@@ -124,7 +121,11 @@ class EvidenceService:
         rows = lexical.snippets(found, shown).orderBy("score", "package_digest", "ordinal").collect()
         hits = [{k: r[k] for k in ("package_digest", "record_id", "clause_reference", "heading", "score", "matched_snippet")} | {"evidence_selector": {"package_digest": r["package_digest"], "record_id": r["record_id"]}} for r in rows]
         interpretation = {"mode": query_mode, "modes": list(MODES), "effective_terms": list(parsed.terms), "ignored_terms": list(parsed.ignored), "relaxed": relaxed}
-        return {"query_interpretation": interpretation, "results": hits, "complete": False, "limitations": ["discovery only; read evidence before citing"]}
+        filters = {"package_digest": package_digest, "scope_prefix": scope_prefix, "limit": limit}
+        shown_packages = sorted({r["package_digest"] for r in rows})
+        about = self._served(principal).where(F.col("package_digest").isin(shown_packages)).collect() if shown_packages else []
+        coverage = {r["package_digest"]: {k: v for k, v in r.asDict(recursive=True).items() if k in ("identifier", "edition_id", "representation", "coverage")} for r in about}
+        return {"query_interpretation": interpretation, "filters": filters, "packages": coverage, "results": hits, "complete": False, "limitations": ["discovery only; read evidence before citing"]}
 
     def list_documents(self, principal: str, identifier_prefix: str | None = None, limit: int = 50, cursor: str | None = None) -> dict[str, Any]:
         prefix = None if identifier_prefix is None else normalize_identifier(identifier_prefix, prefix=True)
@@ -149,23 +150,31 @@ class EvidenceService:
 
     def get_source_pdfs(self, package_digest: str, principal: str) -> dict[str, Any]:
         package = self._package(package_digest, principal)
-        if self.sources is None:
+        files = self.sources if self.sources is not None else getattr(self.tables, "sources", None)
+        if files is None:
             raise error("not_found", "No source files are attached.")
-        rows = self.sources.where((F.col("package_digest") == package_digest) & F.col("path").rlike(r"^sources/.*\.pdf$")).orderBy("path").select("path", "bytes", "sha256").collect()
-        return {"package": package, "files": [r.asDict() for r in rows]}
+        mine = files.where((F.col("package_digest") == package_digest) & F.col("path").rlike(r"^sources/.*\.pdf$"))
+        same = F.sha2("content", 256) == F.col("sha256") if "content" in files.columns else F.lit(True)
+        rows = mine.select("path", "bytes", "sha256", same.alias("same")).orderBy("path").collect()
+        changed = [r["path"] for r in rows if not r["same"]]
+        if changed:
+            raise error("source_changed", "Stored files are not what was installed.", paths=changed)
+        return {"package": package, "files": [{k: r[k] for k in ("path", "bytes", "sha256")} for r in rows]}
 
     # Evidence ----------------------------------------------------------------------------------------
 
     def _closure(self, digest: str, roots: DataFrame) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
         """The roots' closure in order and the required edges inside it."""
         order = graph.ordered_closure(roots, self._edges(digest))
-        rows = order.join(self._records(digest), "record_id", "left").orderBy("place").collect()
+        found = graph.checkpointed(order.join(self._records(digest), "record_id", "left"))
+        rows = found.orderBy("place").collect()
         missing = [r["record_id"] for r in rows if r["text"] is None]
         if missing:
             raise error("incomplete_dependency", "A required record is missing.", record_ids=missing)
+        self._verified(digest, found)
         inside = order.select(F.col("record_id").alias("source_record_id"), "place")
         edges = self._edges(digest).where("required").join(inside, "source_record_id").orderBy("place", "relationship", "target_record_id").select("source_record_id", "relationship", "target_record_id").collect()
-        records = [{k: r[k] for k in FIELDS} | {"text_sha256": cursors.hashlib.sha256(r["text"].encode()).hexdigest(), "locator": locator(digest, r["record_id"])} for r in rows]
+        records = [{k: r[k] for k in FIELDS} | {"text_sha256": text_digest(r["text"]), "locator": locator(digest, r["record_id"])} for r in rows]
         return records, [e.asDict() for e in edges]
 
     def _roots(self, digest: str, selectors: list[Any]) -> DataFrame:
@@ -177,10 +186,22 @@ class EvidenceService:
     def _rendered(packet: dict[str, Any], profile: str | None) -> dict[str, Any]:
         if profile not in (None, *PROFILES):
             raise error("invalid_response_profile", "The profile is not supported.")
-        if profile in (None, "detailed"):
-            return packet
-        keep = FIELDS if profile == "compact" else ("record_id", "clause_reference", "text")
-        return packet | {"profile": profile, "records": [{k: r[k] for k in keep} for r in packet["records"]]}
+        return FORMS[profile or "detailed"](packet)
+
+    def _verified(self, digest: str, records: DataFrame) -> None:
+        """Raise unless the records' texts are the quotes that were installed, at their places in the stored source files."""
+        if "source" not in records.columns:
+            return
+        quoted = records.where(~F.sha2("text", 256).eqNullSafe(F.col("source.quote_sha256"))).select("record_id")
+        files = getattr(self.tables, "sources", None)
+        if files is not None:
+            path = F.coalesce("source.text_path", "source.path")
+            files = files.where(F.col("package_digest") == digest).select(F.col("path").alias("at_path"), F.sha2("content", 256).alias("now"), "content")
+            cited = records.select("record_id", "text", "source").withColumn("at_path", path).join(files, "at_path", "left")
+            quoted = quoted.union(cited.where(~F.coalesce(verify.still_there(), F.lit(False))).select("record_id"))
+        changed = sorted({r[0] for r in quoted.collect()})  # of the records of one packet
+        if changed:
+            raise error("source_changed", "Texts are not those of their sources any more.", record_ids=changed)
 
     def get_clause(self, package_digest: str, principal: str, clause_reference: str | None = None, record_id: str | None = None, max_bytes: int | None = None, response_profile: str | None = None) -> dict[str, Any]:
         if not (clause_reference is not None or record_id is not None):
@@ -214,7 +235,7 @@ class EvidenceService:
 
     def enumerate_obligations(self, package_digest: str, principal: str, scope_prefix: str | None = None, limit: int = 50, cursor: str | None = None, max_bytes: int | None = None) -> dict[str, Any]:
         package, limit = self._package(package_digest, principal), self._limit(limit)
-        binding = {"principal": principal, "scope": [package_digest, scope_prefix], "operation": "obligations"}
+        binding = {"principal": principal, "scope": [package_digest, scope_prefix], "visibility": self.visibility(principal), "operation": "obligations"}
         after, before = cursors.decode(self.secret, cursor, binding) if cursor else (-1, 0)
         rows = self._records(package_digest).where("statement_role = 'obligation'")
         if scope_prefix is not None:
@@ -224,7 +245,9 @@ class EvidenceService:
         more, page = len(page) > limit, page[:limit]
         ids = [r["record_id"] for r in page]
         found = graph.closure(self._records(package_digest).where(F.col("record_id").isin(ids)), self._edges(package_digest), by_root=True).collect() if ids else []
-        texts = {r["record_id"]: r["text"] for r in self._records(package_digest).where(F.col("record_id").isin(sorted({r["record_id"] for r in found}))).select("record_id", "text").collect()}
+        cited = self._records(package_digest).where(F.col("record_id").isin(sorted({r["record_id"] for r in found})))
+        self._verified(package_digest, cited)
+        texts = {r["record_id"]: r["text"] for r in cited.select("record_id", "text").collect()}
         items = [{k: r[k] for k in FIELDS} | {"evidence": [{"record_id": e["record_id"], "text": texts[e["record_id"]]} for e in sorted((x for x in found if x["root_id"] == r["record_id"]), key=lambda x: (x["depth"], x["record_id"]))]} for r in page]
         seen = before + len(items)
         packet = {"package": package, "obligations": items, "total": total, "returned": seen, "traversal_complete": not more and seen == total, "next_cursor": cursors.encode(self.secret, binding, [page[-1]["ordinal"], seen]) if more else None}
@@ -239,7 +262,7 @@ class EvidenceService:
         if (record_id is None) != (relation in ("all", "roots")):
             raise error("invalid_record_id", "This relation needs, or takes no, record id.")
         package, limit = self._package(package_digest, principal), self._limit(limit)
-        binding = {"principal": principal, "scope": [package_digest, relation, record_id, kind, scope_prefix], "operation": "browse"}
+        binding = {"principal": principal, "scope": [package_digest, relation, record_id, kind, scope_prefix], "visibility": self.visibility(principal), "operation": "browse"}
         after = cursors.decode(self.secret, cursor, binding) if cursor else -1
         rows = self._records(package_digest)
         anchor = None
@@ -331,7 +354,7 @@ class EvidenceService:
         rows = mine.join(served, "target_package", "left").join(target, ["target_package", "target_record_id"], "left").orderBy("target_package", "target_record_id").collect()
         if not all(r["served"] or r["target_package"] is None for r in rows):
             raise error("not_found", "A referenced package is not served.")
-        stale = [r["target_record_id"] for r in rows if r["text"] is not None and cursors.hashlib.sha256(r["text"].encode()).hexdigest() != r["text_sha256"]]
+        stale = [r["target_record_id"] for r in rows if r["text"] is not None and text_digest(r["text"]) != r["text_sha256"]]
         if stale:
             raise error("stale_reference_binding", "A bound text has changed.", record_ids=stale)
         links = [{"target_package": r["target_package"], "record_id": r["target_record_id"], "clause_reference": r["clause_reference"], "text": r["text"], "status": "resolved" if r["text"] is not None else "unresolved"} for r in rows]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -12,7 +13,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from lexstrata.api import PROFILES, RELATIONS, EvidenceService
-from lexstrata.errors import EvidenceError
+from lexstrata.errors import EvidenceError, error
 from lexstrata.functions.text import MODES
 from lexstrata.sources.packs import Packs
 from lexstrata.sources.store import Policy, Store
@@ -63,7 +64,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
             return {"installed": store.install(Packs(spark, args.packs), Policy(*(tuple(v) if isinstance(v := policy[n], list) else v for n in names)))}
         case "revoke":
             return {"revoked": store.revoke(args.principal, args.package_digest)}
-    secret = args.secret_file.read_bytes() if args.secret_file else b"local"
+    if given.get("cursor") and not args.secret_file:
+        raise error("cursor_secret_missing", "A cursor needs the --secret-file that it was signed with.")
+    secret = args.secret_file.read_bytes() if args.secret_file else os.urandom(32)  # cursors of this call then end with it
     return getattr(EvidenceService(store, secret), args.command.replace("-", "_"))(principal=args.principal, **given)
 
 

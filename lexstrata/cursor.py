@@ -1,4 +1,7 @@
-"""Signed keyset cursors: a canonical JSON body and an HMAC tag, bound to what they were made for."""
+"""Signed keyset cursors: a canonical JSON body and an HMAC tag, bound to what they were made for.
+
+The body holds keyed digests of principal, scope and the like, not themselves.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +21,12 @@ def canonical(value: Any) -> bytes:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
 
+def bound(secret: bytes, binding: dict[str, Any]) -> dict[str, str]:
+    return {k: hmac.digest(secret, canonical([k, v]), "sha256").hex()[:32] for k, v in binding.items()}
+
+
 def encode(secret: bytes, binding: dict[str, Any], last: Any, now: float | None = None) -> str:
-    body = canonical({"binding": binding, "last": last, "expires": int((time.time() if now is None else now) + LIFETIME)})
+    body = canonical({"binding": bound(secret, binding), "last": last, "expires": int((time.time() if now is None else now) + LIFETIME)})
     return ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (body, hmac.digest(secret, body, "sha256")))
 
 
@@ -37,10 +44,11 @@ def decode(secret: bytes, cursor: str, binding: dict[str, Any], now: float | Non
     value = json.loads(body)
     if not (canonical(value) == body and value["expires"] > (time.time() if now is None else now)):
         raise error("expired_cursor", "The cursor has expired.")
+    made_for, wanted = value["binding"], bound(secret, binding)
     for name, code in (("principal", "invalid_cursor"), ("visibility", "cursor_inventory_changed"), ("policy", "cursor_policy_changed"), ("scope", "cursor_scope_mismatch")):
-        if value["binding"].get(name) != binding.get(name):
+        if made_for.get(name) != wanted.get(name):
             raise error(code, f"The cursor was made for another {name}.")
-    if value["binding"] != binding:
+    if made_for != wanted:
         raise error("cursor_scope_mismatch", "The cursor was made for another request.")
     return value["last"]
 

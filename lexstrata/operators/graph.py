@@ -20,9 +20,12 @@ LOCAL_FOLDER = "/tmp/checkpoints/lexstrata"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in spark.checkpoint.dir (a local default is set where the session names none)."""
+    """df from files in spark.checkpoint.dir; only a local master has a default for it."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_FOLDER)
     return df.checkpoint()
 

@@ -35,3 +35,11 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 def dangling_edges(edges: DataFrame, records: DataFrame) -> DataFrame:
     there = records.select("package_digest", F.col("record_id").alias("target_record_id"))
     return edges.join(there, ["package_digest", "target_record_id"], "left_anti")
+
+
+def still_there() -> Column:
+    """Whether a record's file (now: its digest, content) is the one cited and holds the text at its bytes, or anywhere if it has none."""
+    start, stop = F.col("source.text_start_byte"), F.col("source.text_end_byte")
+    cited = F.coalesce(F.when(F.col("source.text_path").isNotNull(), F.col("source.text_sha256")), F.col("source.sha256"))
+    at_place = F.substring("content", (start + 1).cast("int"), (stop - start).cast("int")) == F.encode("text", "UTF-8")
+    return (F.col("now") == cited) & F.when(start.isNotNull(), at_place).otherwise(F.contains(F.col("content"), F.encode("text", "UTF-8")))

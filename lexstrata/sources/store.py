@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,11 @@ class Policy:
 class Store:
     """Parquet tables below a path: packages, records and dependencies by package, and grant events.
 
-    A package's rows are written once under its digest; installing it again
-    only adds a grant event.  A revoke is an event too, so no file changes.
+    A package's rows are partitions under its digest.  Its row in packages is
+    written last and so says that all others are there: after a crash in between,
+    the next install writes the same partitions again.  Installing it again only
+    adds a grant event; a revoke is an event too.  Each event takes its number by
+    creating a file that must not exist yet.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -58,20 +62,39 @@ class Store:
     def dependencies(self) -> DataFrame:
         return self._read("dependencies")
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        """package_digest, path, bytes, sha256, content of the installed source files."""
+        return self._read("sources")
+
     @property
     def grants(self) -> DataFrame:
         latest = Window.partitionBy("principal_id", "package_digest").orderBy(F.desc("generation"))
         return self._read("grants", GRANT).withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n")
 
-    @property
-    def generation(self) -> int:
+    def _there(self, name: str, schema: str | None = None) -> DataFrame | None:
+        """A table, or None before its first write."""
         try:
-            return self._read("grants", GRANT).agg(F.max("generation")).first()[0] or 0
-        except Exception as e:  # the first write makes the table
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
+            return self._read(name, schema)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
             raise
 
+    @property
+    def generation(self) -> int:
+        events = self._there("grants", GRANT)
+        return 0 if events is None else events.agg(F.max("generation")).first()[0] or 0
+
+    def _next_generation(self) -> int:
+        """A number that no other event has, whoever writes at the same time."""
+        number = self.generation + 1
+        while True:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/generations/{number}")
+            if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(at):
+                return number
+            number += 1
+
     def install(self, packs: Packs, policy: Policy) -> list[str]:
         """Check and write packs that the policy allows; returns their digests."""
         packs.checked()
@@ -79,30 +102,32 @@ class Store:
         if not (policy.allow_admin_install and policy.allow_serve):
             raise error("policy_denied", "The policy doesn't allow installing.")
         for r in found:
-            if not (r["pack_id"] in policy.allowed_pack_ids and r["content_class"] in policy.allowed_content_classes):
+            if r["pack_id"] not in policy.allowed_pack_ids or r["content_class"] not in policy.allowed_content_classes:
                 raise error("policy_denied", "The policy doesn't allow this pack.", pack_id=r["pack_id"])
-        generation = self.generation
         new = [r["package_digest"] for r in found]
-        if generation:
-            there = {r[0] for r in self._read("packages").select("package_digest").where(F.col("package_digest").isin(new)).collect()}
-            fresh = [d for d in new if d not in there]
-        else:
-            fresh = new
+        whole = self._there("packages")
+        there = set() if whole is None else {r[0] for r in whole.select("package_digest").where(F.col("package_digest").isin(new)).collect()}
+        fresh = [d for d in new if d not in there]
         if fresh:
             parent = packs.records.select("package_digest", F.col("structure.logical_id").alias("parent_logical_id"), F.col("record_id").alias("parent_record_id")).where("parent_logical_id is not null")
             records = packs.records.withColumn("parent_logical_id", F.col("structure.parent_logical_id")).join(parent, ["package_digest", "parent_logical_id"], "left").drop("pack", "dependencies", "parent_logical_id")
-            for name, rows in (("packages", packs.packages.drop("pack")), ("records", records), ("dependencies", packs.dependencies)):
-                rows.where(F.col("package_digest").isin(fresh)).write.mode("append").partitionBy("package_digest").parquet(f"{self.path}/{name}")
-        self._event(policy.principal_id, new, generation + 1, True, None, policy.fingerprint)
-        for name in ("packages", "records", "dependencies"):
+            files = packs.files.where(F.col("path").startswith("sources/")).join(packs.packages.select("pack", "package_digest"), "pack").drop("pack")
+            for name, rows in (("records", records), ("dependencies", packs.dependencies), ("sources", files), ("packages", packs.packages.drop("pack"))):
+                self._write(name, rows.where(F.col("package_digest").isin(fresh)))
+        self._event(policy.principal_id, new, self._next_generation(), True, None, policy.fingerprint)
+        for name in ("packages", "records", "dependencies", "sources"):
             self.__dict__.pop(name, None)
         return new
 
+    def _write(self, name: str, rows: DataFrame) -> None:
+        """The partitions of these packages, in place of what a broken install may have left."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("package_digest").parquet(f"{self.path}/{name}")
+
     def revoke(self, principal_id: str, package_digest: str) -> bool:
         now = self.grants.where((F.col("principal_id") == principal_id) & (F.col("package_digest") == package_digest) & F.col("can_serve")).select("policy_fingerprint").first()
         if now is None:
             return False
-        self._event(principal_id, [package_digest], self.generation + 1, False, datetime.now(UTC).isoformat(), now[0])
+        self._event(principal_id, [package_digest], self._next_generation(), False, datetime.now(UTC).isoformat(), now[0])
         return True
 
     def _event(self, principal: str, digests: list[str], generation: int, serve: bool, revoked_at: str | None, fingerprint: str) -> None:

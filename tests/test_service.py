@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexstrata import cursor as cursors
+from lexstrata import render
 from lexstrata.api import EvidenceService, locator, parse_locator
 from lexstrata.errors import EvidenceError
+from lexstrata.operators import graph
 from lexstrata.sources import packs as P
 from lexstrata.sources.store import Policy, Store
 
@@ -76,6 +80,57 @@ def test_build_context_and_profiles(installed):
     assert service.select_evidence(a, "buoy", "user")["selected_profile"] == "concise"
 
 
+@pytest.mark.parametrize("edges", [[], [("a", "r", "b"), ("b", "r", "x"), ("c", "r", "b")], [("c", "r", "b"), ("a", "r", "b")], [("x", "q", "a"), ("a", "q", "x")]])
+def test_smaller_forms_lose_nothing(edges):
+    records = [{"record_id": i, "kind": k, "clause_reference": None, "text": f"said é {i}", "ordinal": n, "statement_role": role, "text_sha256": sha(f"said é {i}"), "locator": locator("d", i)} for n, (i, k, role) in enumerate([("a", "note", "informative"), ("b", "note", None), ("c", "clause", "informative")])]
+    packet = {"package": {"package_digest": "d"}, "records": records, "relationships": [dict(zip(("source_record_id", "relationship", "target_record_id"), e, strict=True)) for e in edges]}
+    for some in (packet, packet | {"records": []}):
+        sizes = [len(cursors.canonical(form(some))) for form in (lambda p: p, render.compact, render.concise)]
+        assert render.expanded(render.compact(some)) == some and render.expanded(render.concise(some)) == some == render.expanded(some)
+        assert not some["records"] or sizes[2] <= sizes[1] < sizes[0]
+
+
+def test_changed_sources_are_not_shown(spark, tmp_path):
+    digest = make_pack(tmp_path / "packs/a", "a", 80)
+    store = Store(spark, str(tmp_path / "store"))
+    store.install(P.Packs(spark, str(tmp_path / "packs")), POLICY)
+    service = EvidenceService(store, b"x")
+    assert len(service.get_clause(digest, "user", record_id="buoy")["records"]) == 2
+    whole = graph.checkpointed(store.records)
+    store.__dict__["records"] = whole.withColumn("text", F.when(F.col("record_id") == "tide", "other").otherwise(F.col("text")))
+    with pytest.raises(EvidenceError, match="source_changed") as e:
+        service.get_clause(digest, "user", record_id="buoy")
+    assert e.value.details["record_ids"] == ["tide"]
+    assert len(service.get_clause(digest, "user", record_id="paint")["records"]) == 1
+    store.__dict__["records"] = whole
+    store.__dict__["sources"] = graph.checkpointed(store.sources).withColumn("content", F.encode(F.lit("A buoy shall be yellow all over."), "UTF-8"))
+    with pytest.raises(EvidenceError, match="source_changed"):
+        service.enumerate_obligations(digest, "user")
+
+
+def test_install_after_a_crash(spark, tmp_path, monkeypatch):
+    digest = make_pack(tmp_path / "packs/a", "a", 80)
+    for last in ("records", "dependencies", "sources", "packages", "event"):
+        store = Store(spark, str(tmp_path / last))
+        whole, event = Store._write, Store._event
+
+        def broken(self, name, rows, whole=whole, last=last):
+            whole(self, name, rows)
+            if name == last:
+                raise RuntimeError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(Store, "_write", broken)
+            if last == "event":
+                m.setattr(Store, "_event", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                store.install(P.Packs(spark, str(tmp_path / "packs")), POLICY)
+        assert store._there("grants") is None and event is Store._event
+        assert store.install(P.Packs(spark, str(tmp_path / "packs")), POLICY) == [digest]
+        assert (store.packages.count(), store.records.count(), store.dependencies.count(), store.sources.count()) == (1, 3, 1, 1)
+        assert EvidenceService(store, b"x").browse_records(digest, "user")["total"] == 3
+
+
 def test_obligations_page_by_page(installed):
     service, _, a, _ = installed
     first = service.enumerate_obligations(a, "user", limit=1)
@@ -182,6 +237,7 @@ def test_locators_and_cursors():
     d = "a" * 64
     assert parse_locator(locator(d, "ü/1")) == (d, "ü/1")
     c = cursors.encode(b"k", {"principal": "u"}, 5, now=0)
+    assert b"principal" in base64.urlsafe_b64decode(c.split(".")[0] + "==") and b'"u"' not in base64.urlsafe_b64decode(c.split(".")[0] + "==")
     assert cursors.decode(b"k", c, {"principal": "u"}, now=10) == 5
     for now, binding, key, code in ((901, {"principal": "u"}, b"k", "expired_cursor"), (1, {"principal": "v"}, b"k", "invalid_cursor"), (1, {"principal": "u"}, b"j", "invalid_cursor")):
         with pytest.raises(EvidenceError, match=code):
@@ -198,5 +254,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert call("install", str(tmp_path / "packs"), str(tmp_path / "policy.json"))[1]["result"]["installed"] == [digest]
     assert [r["record_id"] for r in call("get-clause", digest, "--clause-reference", "7.3")[1]["result"]["records"]] == ["buoy", "tide"]
     assert call("search", "chain")[1]["result"]["results"][0]["record_id"] == "buoy"
+    assert call("list-documents", "--cursor", "x")[1]["error"]["code"] == "cursor_secret_missing"
     code, out = call("get-clause", digest, "--record-id", "none")
     assert code == 2 and out["error"]["code"] == "not_found"
