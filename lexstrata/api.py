@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexstrata import cursor as cursors
 from lexstrata.errors import EvidenceError, error
 from lexstrata.functions.text import MODES, normalize_identifier, parse
-from lexstrata.operators import catalog, diff, graph, verify
+from lexstrata.operators import catalog, diff, graph, postings, verify
 from lexstrata.operators import search as lexical
 from lexstrata.render import FORMS, locator, text_digest
 
@@ -116,7 +116,12 @@ class EvidenceService:
             raise error("invalid_scope", "A scope is a clause reference.")
         if package_digest is not None:
             self._package(package_digest, principal)
-        found, relaxed = lexical.search(self.tables.records, self._served(principal), query, query_mode, limit, package_digest, scope_prefix)
+        index = getattr(self.tables, "postings", None)
+        if index is None:
+            found, relaxed = lexical.search(self.tables.records, self._served(principal), query, query_mode, limit, package_digest, scope_prefix)
+        else:
+            hits, relaxed = postings.search(index, self._served(principal), query, query_mode, limit, package_digest, scope_prefix)
+            found = postings.with_text(hits, self.tables.records, limit)
         shown = parse(query, query_mode, relaxed) if relaxed else parsed
         rows = lexical.snippets(found, shown).orderBy("score", "package_digest", "ordinal").collect()
         hits = [{k: r[k] for k in ("package_digest", "record_id", "clause_reference", "heading", "score", "matched_snippet")} | {"evidence_selector": {"package_digest": r["package_digest"], "record_id": r["record_id"]}} for r in rows]

@@ -9,24 +9,19 @@ executors.  The depth is bounded, and a walk that doesn't end raises.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.errors import error
+from lexstrata.sources.folder import shared_folder
 
 MAX_DEPTH = 64
 EVERY = 3
-LOCAL_FOLDER = "/tmp/checkpoints/lexstrata"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in spark.checkpoint.dir; only a local master has a default for it."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(LOCAL_FOLDER)
+    """df from files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -44,14 +44,14 @@ def possible(query: Query) -> Column:
     if query.stemmed:
         return F.lit(True)
     row = folded(F.concat_ws("\n", *COLUMNS))
-    return _all([_all([_all([F.contains(row, F.lit(t)) for t in p.tokens], True) for p in group], False) for group in query.groups], query.every)
+    return all_of([all_of([all_of([F.contains(row, F.lit(t)) for t in p.tokens], True) for p in group], False) for group in query.groups], query.every)
 
 
 def _row_has(phrase: Phrase) -> Column:
     return phrase.in_tokens(F.col("clause_tokens")) | phrase.in_tokens(F.col("heading_tokens")) | phrase.in_tokens(F.col("text_tokens"))
 
 
-def _all(parts: list[Column], every: bool) -> Column:
+def all_of(parts: list[Column], every: bool) -> Column:
     out = parts[0]
     for p in parts[1:]:
         out = out & p if every else out | p
@@ -60,7 +60,7 @@ def _all(parts: list[Column], every: bool) -> Column:
 
 def matches(query: Query) -> Column:
     """Terms may match in different columns; a phrase lies in one."""
-    return _all([_all([_row_has(p) for p in group], False) for group in query.groups], query.every)
+    return all_of([all_of([_row_has(p) for p in group], False) for group in query.groups], query.every)
 
 
 def score(query: Query) -> Column:
@@ -70,7 +70,7 @@ def score(query: Query) -> Column:
     exact = F.lit(0.0) if query.stemmed else 0.25 * hits("clause_tokens")
     rank = -(exact + 2.0 * hits("heading_tokens") + hits("text_tokens")) / size
     if query.concepts:
-        n = sum((_all([_row_has(p) for p in g], False).cast("int") for g in query.groups), F.lit(0))
+        n = sum((all_of([_row_has(p) for p in g], False).cast("int") for g in query.groups), F.lit(0))
         rank = -100.0 * n + F.greatest(F.lit(-9.0), rank)
     return rank
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import normalized_identifier, parse, tokens
-from lexstrata.operators import catalog, coverage, diff, graph, outline, verify
+from lexstrata.operators import catalog, coverage, diff, graph, outline, postings, verify
 from lexstrata.operators import search as lexical
 from lexstrata.sources.adapter import Corpus, read
 from lexstrata.sources.html_tables import table_rows
@@ -139,7 +139,9 @@ def coverage_status_dimensions(c: Corpus) -> DataFrame:
 
 @query
 def tokenize_counts(c: Corpus) -> DataFrame:
-    return c.documents.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("n_distinct"))
+    # A generator of one row, so that texts are tokenized once for both columns.
+    listed = c.documents.select("doc_id", F.inline(F.array(F.struct(tokens(F.col("text")).alias("listed")))))
+    return listed.select("doc_id", F.size("listed").cast("long").alias("n_tokens"), F.size(F.array_distinct("listed")).cast("long").alias("n_distinct"))
 
 
 @query
@@ -153,61 +155,72 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("package_digest", "record_id", "clause_reference", "ordinal", "score")
 
 
+def _search(c: Corpus, text: str, mode: str, **narrowed: str) -> tuple[DataFrame, bool]:
+    return postings.search(c.postings, c.authorized(), text, mode, **narrowed)
+
+
 @query
 def search_all_terms(c: Corpus) -> DataFrame:
-    return _hits(lexical.search(c.records, c.authorized(), "that with", "all_terms")[0])
+    return _hits(_search(c, "that with", "all_terms")[0])
 
 
 @query
 def search_any_terms(c: Corpus) -> DataFrame:
-    return _hits(lexical.search(c.records, c.authorized(), "Avec pour which", "any_terms")[0])
+    return _hits(_search(c, "Avec pour which", "any_terms")[0])
 
 
 @query
 def search_exact_phrase(c: Corpus) -> DataFrame:
-    return _hits(lexical.search(c.records, c.authorized(), "to the", "exact_phrase")[0])
+    return _hits(_search(c, "to the", "exact_phrase")[0])
 
 
 @query
 def search_pinned_scoped(c: Corpus) -> DataFrame:
     from hashlib import sha256
 
-    return _hits(lexical.search(c.records, c.authorized(), "the of", "all_terms", package_digest=sha256(b"fam:src1:en").hexdigest(), scope="1")[0])
+    return _hits(_search(c, "the of", "all_terms", package_digest=sha256(b"fam:src1:en").hexdigest(), scope="1")[0])
 
 
 @query
 def search_natural(c: Corpus) -> DataFrame:
-    return _hits(lexical.search(c.records, c.authorized(), "What is the nation of heats?", "natural_language")[0])
+    return _hits(_search(c, "What is the nation of heats?", "natural_language")[0])
 
 
 @query
 def search_natural_relaxed(c: Corpus) -> DataFrame:
-    found, relaxed = lexical.search(c.records, c.authorized(), "nonexistenttopic avec", "natural_language")
+    found, relaxed = _search(c, "nonexistenttopic avec", "natural_language")
     return _hits(found).withColumn("relaxed", F.lit(relaxed))
 
 
 @query
 def search_concept(c: Corpus) -> DataFrame:
-    return _hits(lexical.search(c.records, c.authorized(), "time avec", "concept_language")[0])
+    return _hits(_search(c, "time avec", "concept_language")[0])
+
+
+@query
+def search_scan_all_terms(c: Corpus) -> DataFrame:
+    """The same search without an index: texts are tokenized in the scan."""
+    return _hits(lexical.search(c.records, c.authorized(), "that with", "all_terms")[0])
 
 
 @query
 def search_snippets(c: Corpus) -> DataFrame:
-    found, _ = lexical.search(c.records, c.authorized(), "that with", "all_terms")
-    return lexical.snippets(found, parse("that with", "all_terms")).select("record_id", "matched_snippet", "score")
+    found = graph.checkpointed(_search(c, "that with", "all_terms")[0])
+    return lexical.snippets(postings.with_text(found, c.around(found).unnumbered, 20), parse("that with", "all_terms")).select("record_id", "matched_snippet", "score")
 
 
 @query
 def search_many(c: Corpus) -> DataFrame:
-    """A batch of queries in one scan, the way to use Spark where single look-ups are short."""
+    """A batch of queries, each from the postings of its own tokens."""
     words = {"q1": "that", "q2": "avec", "q3": "from", "q4": "pour"}
-    return lexical.many(c.records, c.authorized(), {k: parse(v, "all_terms") for k, v in words.items()}, 10).select("query", "package_digest", "record_id", "score", F.col("place").cast("long").alias("place"))
+    found = postings.many(c.postings, c.authorized(), {k: parse(v, "all_terms") for k, v in words.items()}, 10)
+    return found.select("query", "package_digest", "record_id", "score", F.col("place").cast("long").alias("place"))
 
 
 @query
 def search_heading_ancestry(c: Corpus) -> DataFrame:
-    found, _ = lexical.search(c.records, c.authorized(), "that with", "all_terms")
-    above = graph.ancestry(c.unnumbered.join(found.select("package_digest", "doc_id").distinct(), ["package_digest", "doc_id"], "left_semi"))
+    found = graph.checkpointed(_search(c, "that with", "all_terms")[0])
+    above = graph.ancestry(c.around(found).unnumbered)
     return found.join(above, ["package_digest", "record_id"]).select("record_id", F.concat_ws("/", "path").alias("ancestors"), "score")
 
 

@@ -17,17 +17,25 @@ ordinal isn't used; Catalyst drops the window then.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexstrata.operators import postings
+from lexstrata.sources.folder import shared_folder
+
 PRINCIPAL = "local-user"
 #: Ids in a range that is numbered by one task.
 ID_RANGE = 4096
 
 
+#: Where the index of an input stands, by application and input.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,6 +110,23 @@ class Corpus:
         rows = self.unnumbered.withColumn("span", span).join(starts, ["package_digest", "span"])
         return rows.withColumn("ordinal", (F.col("first_ordinal") + F.row_number().over(here) - 1).cast("long")).drop("span", "first_ordinal")
 
+    @property
+    def postings(self) -> DataFrame:
+        """The search index of the records: written once in an application, then read."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INDEXES:
+            path = f"{shared_folder(self.spark)}/postings-{uuid.uuid4().hex}"
+            postings.build(self.records).write.parquet(path)
+            _INDEXES[key] = path
+        return self.spark.read.schema(postings.POSTINGS).parquet(_INDEXES[key])
+
+    def around(self, hits: DataFrame) -> Corpus:
+        """The corpus of the documents of some records only; hits are few."""
+        ids = hits.select(F.regexp_extract("record_id", r"^d(\d+)-", 1).cast("long").alias("doc_id")).distinct()
+        out = Corpus(self.spark, self.sf_dir)
+        out.__dict__["documents"] = self.documents.join(F.broadcast(ids), "doc_id", "left_semi")
+        return out
+
     @cached_property
     def roles(self) -> DataFrame:
         """doc_id, statement_role: obligation, informative or (no label) unclassified by default."""

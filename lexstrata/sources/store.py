@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.cursor import digest
 from lexstrata.errors import error
+from lexstrata.operators import postings
 from lexstrata.sources.packs import Packs
 
 GRANT = "principal_id string, package_digest string, generation long, can_serve boolean, revoked_at string, policy_fingerprint string"
@@ -67,6 +68,11 @@ class Store:
         """package_digest, path, bytes, sha256, content of the installed source files."""
         return self._read("sources")
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        """The search index, written with each package."""
+        return self._read("postings", postings.POSTINGS)
+
     @property
     def grants(self) -> DataFrame:
         latest = Window.partitionBy("principal_id", "package_digest").orderBy(F.desc("generation"))
@@ -112,10 +118,11 @@ class Store:
             parent = packs.records.select("package_digest", F.col("structure.logical_id").alias("parent_logical_id"), F.col("record_id").alias("parent_record_id")).where("parent_logical_id is not null")
             records = packs.records.withColumn("parent_logical_id", F.col("structure.parent_logical_id")).join(parent, ["package_digest", "parent_logical_id"], "left").drop("pack", "dependencies", "parent_logical_id")
             files = packs.files.where(F.col("path").startswith("sources/")).join(packs.packages.select("pack", "package_digest"), "pack").drop("pack")
-            for name, rows in (("records", records), ("dependencies", packs.dependencies), ("sources", files), ("packages", packs.packages.drop("pack"))):
+            index = postings.build(records).sortWithinPartitions("package_digest", "form", "token")
+            for name, rows in (("postings", index), ("records", records), ("dependencies", packs.dependencies), ("sources", files), ("packages", packs.packages.drop("pack"))):
                 self._write(name, rows.where(F.col("package_digest").isin(fresh)))
         self._event(policy.principal_id, new, self._next_generation(), True, None, policy.fingerprint)
-        for name in ("packages", "records", "dependencies", "sources"):
+        for name in ("packages", "records", "dependencies", "sources", "postings"):
             self.__dict__.pop(name, None)
         return new
 

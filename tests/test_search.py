@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexstrata.errors import EvidenceError
 from lexstrata.functions import text as T
-from lexstrata.operators import search
+from lexstrata.operators import graph, postings, search
+from lexstrata.sources.adapter import Corpus
 
 ROWS = [
     ("p1", "r1", "7.3", "Buoy mooring", "The harbour shall moor the buoy with a heavy iron chain of 60 m.", 0),
@@ -30,6 +31,11 @@ def packages(spark):
     return spark.createDataFrame([("p1",)], "package_digest string")
 
 
+@pytest.fixture(scope="module")
+def index(records):
+    return graph.checkpointed(postings.build(records))
+
+
 def ids(found):
     return {r["record_id"] for r in found[0].collect()}
 
@@ -51,8 +57,30 @@ def ids(found):
         ("iron nonexistenttopic", "natural_language", {"r1", "r3"}),
     ],
 )
-def test_modes(records, packages, query, mode, want):
-    assert ids(search.search(records, packages, query, mode)) == want
+def test_modes(records, packages, index, query, mode, want):
+    rows = lambda found: sorted((r["record_id"], r["clause_reference"], r["ordinal"], r["score"]) for r in found.collect())
+    scanned, relaxed = search.search(records, packages, query, mode)
+    assert ids((scanned,)) == want
+    found, again = postings.search(index, packages, query, mode)
+    assert rows(found) == rows(scanned) and again == relaxed
+    for scope in ("7.3", "7", "9"):
+        assert rows(postings.search(index, packages, query, mode, scope=scope)[0]) == rows(search.search(records, packages, query, mode, scope=scope)[0])
+
+
+def test_index_equals_scan_on_every_table(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    rows = lambda found: sorted((r["package_digest"], r["record_id"], r["score"]) for r in found.collect())
+    for query, mode in (("to the and the", "exact_phrase"), ("In of the", "any_terms"), ("conditions usual failure", "concept_language"), ("the of in", "all_terms"), ("Which licenses are applied?", "natural_language"), ("a-1 x/2", "natural_language")):
+        want, relaxed = search.search(c.records, c.authorized(), query, mode, 1000)
+        found, again = postings.search(c.postings, c.authorized(), query, mode, 1000)
+        assert rows(found) == rows(want) and again == relaxed
+
+
+def test_index_of_nothing(spark, records, packages):
+    assert postings.build(records.limit(0)).count() == 0
+    odd = spark.createDataFrame([("p1", "a", None, None, None, 0), ("p1", "b", "1", "", "...", 1), ("p1", "c", "1", "H", "x x x", 2), ("p1", "c", "1", "H", "x x x", 2)], records.schema)
+    assert sorted((r["form"], r["token"], r["place"], r["positions"]) for r in postings.build(odd).where("record_id <> 'c'").collect()) == [("word", "1", 0, [0])]
+    assert postings.many(postings.build(odd), packages, {"q": T.parse("x", "all_terms"), "r": T.parse("y", "all_terms")}).count() > 0
 
 
 def test_concept_finds_alternatives(spark, packages):

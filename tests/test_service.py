@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def test_changed_sources_are_not_shown(spark, tmp_path):
 
 def test_install_after_a_crash(spark, tmp_path, monkeypatch):
     digest = make_pack(tmp_path / "packs/a", "a", 80)
-    for last in ("records", "dependencies", "sources", "packages", "event"):
+    for last in ("postings", "records", "packages", "event"):
         store = Store(spark, str(tmp_path / last))
         whole, event = Store._write, Store._event
 
@@ -164,7 +165,10 @@ def test_diff(installed):
 def test_search_list_resolve(installed):
     service, _, a, b = installed
     hits = service.search("chain", "user", query_mode="all_terms")["results"]
-    assert {(h["package_digest"], h["record_id"]) for h in hits} == {(a, "buoy"), (b, "buoy")}
+    assert {(h["package_digest"], h["record_id"]) for h in hits} == {(a, "buoy"), (b, "buoy")} and all("⟦chain⟧" in h["matched_snippet"] for h in hits)
+    scanned = EvidenceService(SimpleNamespace(**{n: getattr(service.tables, n) for n in ("packages", "records", "dependencies", "grants")}), b"x")
+    for mode, said in (("natural_language", "Which buoys are yellow?"), ("any_terms", "tide lamp"), ("exact_phrase", "on a chain")):
+        assert service.search(said, "user", query_mode=mode) == scanned.search(said, "user", query_mode=mode)
     page = service.list_documents("user", limit=1)
     rest = service.list_documents("user", limit=1, cursor=page["next_cursor"])
     assert {d["package_digest"] for d in page["documents"] + rest["documents"]} == {a, b} and not rest["has_more"]
