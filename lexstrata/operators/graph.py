@@ -31,7 +31,8 @@ def closure(roots: DataFrame, edges: DataFrame, by_root: bool = False) -> DataFr
     With ``by_root`` each root has its own closure and rows carry root_id.
     """
     keys = ["package_digest", *(["root_id"] if by_root else []), "record_id"]
-    step = edges.where("required").select("package_digest", F.col("source_record_id").alias("record_id"), F.col("target_record_id").alias("target"))
+    # Edges are written once; each level reads them and not what they were made from.
+    step = checkpointed(edges.where("required").select("package_digest", F.col("source_record_id").alias("record_id"), F.col("target_record_id").alias("target")))
     seen = (roots.withColumn("root_id", F.col("record_id")) if by_root else roots).select(*keys).distinct().withColumn("depth", F.lit(0).cast("long"))
     seen = frontier = checkpointed(seen)
     for depth in range(1, MAX_DEPTH + 1):

@@ -13,14 +13,6 @@ from lexstrata.sources.adapter import Corpus, read
 
 @query
 def structure_assemble(c: Corpus) -> DataFrame:
-    """Records of the first, third and fifth line of each document, put together from byte spans."""
-    spans = _with_spans(c).where("pos in (0, 2, 4)").select("doc_id", F.col("pos").alias("place"), "start_byte", "end_byte")
-    out = structure.assembled(spans, c.documents, ["doc_id"], "doc_id")
-    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "content_sha256")
-
-
-@query
-def structure_assemble_all(c: Corpus) -> DataFrame:
     """Every line of each document, put together again from byte spans."""
     spans = _with_spans(c).select("doc_id", F.col("pos").alias("place"), "start_byte", "end_byte")
     out = structure.assembled(spans, c.documents, ["doc_id"], "doc_id")
@@ -44,14 +36,6 @@ def structure_dependencies(c: Corpus) -> DataFrame:
 
 @query
 def semantic_checks(c: Corpus) -> DataFrame:
-    """Statements made of each line's first 40 characters, with a subject and a modality to look for."""
-    exact = F.substring("text", 1, 40)
-    faults = structure.semantic_faults(exact, F.col("text"), F.lit("the"), F.substring("text", 1, 4))
-    return c.unnumbered.select(F.explode(faults).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query
-def semantic_checks_all(c: Corpus) -> DataFrame:
     """Whole lines as statements; those of every tenth document cite a text without their first character."""
     cited = F.when(F.col("doc_id") % 10 == 3, F.expr("substring(text, 2)")).otherwise(F.col("text"))
     faults = structure.semantic_faults(F.col("text"), cited, F.lit("the"), F.lit("with"))
@@ -133,17 +117,12 @@ def benchmark_cases(c: Corpus) -> DataFrame:
 
 
 SQL = {
-    "structure_assemble": "SELECT doc_id, length(t) AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM span WHERE pos IN (0, 2, 4) GROUP BY doc_id)",
-    "structure_assemble_all": "SELECT doc_id, length(t) AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM span GROUP BY doc_id)",
+    "structure_assemble": "SELECT doc_id, length(t) AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM span GROUP BY doc_id)",
     "structure_span_faults": """, s AS (SELECT doc_id, pos, start_byte - CASE WHEN doc_id % 40 = 9 AND pos = 1 THEN 3 ELSE 0 END AS b, end_byte AS e FROM span),
 f AS (SELECT *, b >= e OR b < lag(e, 1, 0) OVER w OR row_number() OVER w > 64 AS bad FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, count(*) AS n_faults FROM f WHERE bad GROUP BY doc_id""",
     "structure_dependencies": "SELECT package_digest, count(*) AS n_edges, count(DISTINCT parent_record_id) AS n_targets FROM rec WHERE pos > 0 AND pos % 2 = 1 AND pos % 5 <> 4 GROUP BY ALL",
-    "semantic_checks": """, x AS (SELECT substr(text, 1, 40) AS e, text, lower(substr(text, 1, 4)) AS s FROM rec),
-y AS (SELECT unnest([CASE WHEN NOT contains(text, e) THEN 'text_not_cited' END, CASE WHEN NOT contains(lower(e), s) THEN 'subject_not_in_text' END,
-  CASE WHEN NOT list_contains(regexp_split_to_array(lower(e), '\\s+'), 'the') THEN 'modality_not_in_text' END]) AS code FROM x)
-SELECT code, count(*) AS n FROM y WHERE code IS NOT NULL GROUP BY code""",
-    "semantic_checks_all": """, y AS (SELECT unnest([CASE WHEN doc_id % 10 = 3 THEN 'text_not_cited' END, CASE WHEN NOT contains(lower(text), 'with') THEN 'subject_not_in_text' END,
+    "semantic_checks": """, y AS (SELECT unnest([CASE WHEN doc_id % 10 = 3 THEN 'text_not_cited' END, CASE WHEN NOT contains(lower(text), 'with') THEN 'subject_not_in_text' END,
   CASE WHEN NOT list_contains(regexp_split_to_array(lower(text), '\\s+'), 'the') THEN 'modality_not_in_text' END]) AS code FROM rec)
 SELECT code, count(*) AS n FROM y WHERE code IS NOT NULL GROUP BY code""",
     "unresolved_issues": """, x AS (SELECT DISTINCT doc_id % 25 AS part, unnest([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 3 = 0 THEN 'unreviewed' END]) AS issue FROM labels)

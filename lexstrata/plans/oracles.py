@@ -33,7 +33,7 @@ grants AS (SELECT 'local-user' AS principal_id, package_digest, lang <> 'de' AS
 auth AS (SELECT pkg.*, policy_fingerprint FROM pkg JOIN grants USING (package_digest) WHERE can_serve),
 role AS (SELECT rec.*, CASE WHEN quality = 1 THEN 'obligation' WHEN quality IS NOT NULL THEN 'informative' ELSE 'unclassified' END AS statement_role FROM rec LEFT JOIN labels USING (doc_id)),
 before AS (SELECT *, 0 AS start_byte FROM rec WHERE doc_id % 10 <> 0),
-after AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 2 THEN text || ' (amended)' ELSE text END AS text), CASE WHEN doc_id % 10 = 3 THEN 1 ELSE 0 END AS start_byte FROM rec WHERE doc_id % 10 <> 1),
+after AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 2 THEN text || ' (amended)' ELSE text END AS text, CASE WHEN doc_id % 10 = 6 THEN 'e' || substr(record_id, 2) ELSE record_id END AS record_id), CASE WHEN doc_id % 10 = 3 THEN 1 ELSE 0 END AS start_byte FROM rec WHERE doc_id % 10 <> 1),
 status AS (SELECT coalesce(b.package_digest, a.package_digest) AS package_digest, coalesce(b.record_id, a.record_id) AS record_id,
     CASE WHEN b.record_id IS NULL THEN 'added' WHEN a.record_id IS NULL THEN 'removed'
          WHEN b.kind <> a.kind OR b.clause_reference <> a.clause_reference OR b.heading <> a.heading OR b.text <> a.text THEN 'modified'
@@ -134,29 +134,23 @@ SELECT query, package_digest, record_id, score, place FROM (SELECT *, row_number
     "scope_filter": "SELECT record_id, clause_reference FROM rec WHERE clause_reference = '1' OR starts_with(clause_reference, '1.')",
     "obligations_page": f"SELECT record_id, clause_reference, ordinal FROM role WHERE package_digest = {EN} AND statement_role = 'obligation' AND ordinal > 5 ORDER BY ordinal, record_id LIMIT 21",
     "obligations_total_by_package": "SELECT package_digest, count(*) FILTER (statement_role = 'obligation') AS obligations, count(*) FILTER (statement_role = 'informative') AS informative, count(*) AS records FROM role GROUP BY ALL",
-    "closure_required": _CLOSURE.format("pos % 10 = 7") + "SELECT DISTINCT package_digest, record_id FROM near",
-    "closure_multi_root": _CLOSURE.format("pos % 10 = 7") + "SELECT package_digest, root_id, count(*) AS n_records, max(depth)::BIGINT AS depth, min(record_id) AS first_id FROM near GROUP BY ALL",
-    "closure_depth_histogram": _CLOSURE.format("pos % 10 = 7") + "SELECT depth::BIGINT AS depth, count(*) AS n FROM near GROUP BY ALL",
-    "closure_required_all": _CLOSURE.format("true") + "SELECT DISTINCT package_digest, record_id FROM near",
-    "closure_multi_root_all": _CLOSURE.format("true") + "SELECT package_digest, root_id, count(*) AS n_records, max(depth)::BIGINT AS depth, min(record_id) AS first_id FROM near GROUP BY ALL",
-    "closure_depth_histogram_all": _CLOSURE.format("true") + "SELECT depth::BIGINT AS depth, count(*) AS n FROM near GROUP BY ALL",
+    "closure_required": _CLOSURE.format("true") + "SELECT DISTINCT package_digest, record_id FROM near",
+    "closure_multi_root": _CLOSURE.format("true") + "SELECT package_digest, root_id, count(*) AS n_records, max(depth)::BIGINT AS depth, min(record_id) AS first_id FROM near GROUP BY ALL",
+    "closure_depth_histogram": _CLOSURE.format("true") + "SELECT depth::BIGINT AS depth, count(*) AS n FROM near GROUP BY ALL",
     "nav_all": f"SELECT record_id, kind, ordinal FROM rec WHERE package_digest = {EN} ORDER BY ordinal, record_id LIMIT 51",
     "nav_roots": "SELECT package_digest, record_id, heading FROM rec WHERE parent_record_id IS NULL",
     "nav_children": "SELECT record_id, clause_reference, heading FROM rec WHERE parent_record_id = 'd0-l0'",
     "nav_parent": "SELECT parent_record_id, count(*) AS n_children FROM rec WHERE parent_record_id IS NOT NULL GROUP BY ALL",
     "nav_adjacent": "SELECT package_digest, record_id, lag(record_id) OVER w AS previous_id, lead(record_id) OVER w AS next_id FROM rec WINDOW w AS (PARTITION BY package_digest ORDER BY ordinal)",
-    "nav_outgoing": "SELECT DISTINCT source_record_id AS anchor_id, relationship, target_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS source_record_id FROM rec WHERE pos % 10 = 9) USING (package_digest, source_record_id)",
-    "nav_incoming": "SELECT DISTINCT target_record_id AS anchor_id, relationship, source_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS target_record_id FROM rec WHERE pos = 2) USING (package_digest, target_record_id)",
-    "ancestor_paths": "SELECT package_digest, record_id, coalesce(parent_record_id, '') AS ancestors FROM tree WHERE pos < 4",
-    "nav_outgoing_all": "SELECT DISTINCT source_record_id AS anchor_id, relationship, target_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS source_record_id FROM rec) USING (package_digest, source_record_id)",
-    "nav_incoming_all": "SELECT DISTINCT target_record_id AS anchor_id, relationship, source_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS target_record_id FROM rec) USING (package_digest, target_record_id)",
-    "ancestor_paths_all": "SELECT package_digest, record_id, coalesce(parent_record_id, '') AS ancestors FROM tree",
+    "nav_outgoing": "SELECT DISTINCT source_record_id AS anchor_id, relationship, target_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS source_record_id FROM rec) USING (package_digest, source_record_id)",
+    "nav_incoming": "SELECT DISTINCT target_record_id AS anchor_id, relationship, source_record_id AS record_id, required FROM dep SEMI JOIN (SELECT package_digest, record_id AS target_record_id FROM rec) USING (package_digest, target_record_id)",
+    "ancestor_paths": "SELECT package_digest, record_id, coalesce(parent_record_id, '') AS ancestors FROM tree",
     "enumerate_obligations_with_context": _CLOSURE.format(f"(package_digest, record_id) IN (SELECT package_digest, record_id FROM role WHERE package_digest = {EN} AND statement_role = 'obligation' ORDER BY ordinal, record_id LIMIT 50)") + "SELECT root_id, record_id, depth::BIGINT AS depth FROM near",
     "diff_status": "SELECT * FROM status",
     "diff_counts": "SELECT package_digest, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "removed", "modified", "moved", "unchanged")) + " FROM status GROUP BY ALL",
-    "diff_alignment": """, b AS (SELECT package_digest, kind, heading, min(record_id) AS before_record_id FROM before ANTI JOIN after USING (package_digest, record_id) GROUP BY ALL HAVING count(*) = 1),
-a AS (SELECT package_digest, kind, heading, min(record_id) AS after_record_id FROM after ANTI JOIN before USING (package_digest, record_id) GROUP BY ALL HAVING count(*) = 1)
-SELECT * FROM b JOIN a USING (package_digest, kind, heading)""",
+    "diff_alignment": """, b AS (SELECT package_digest, kind, clause_reference, min(record_id) AS before_record_id FROM before ANTI JOIN after USING (package_digest, record_id) GROUP BY ALL HAVING count(*) = 1),
+a AS (SELECT package_digest, kind, clause_reference, min(record_id) AS after_record_id FROM after ANTI JOIN before USING (package_digest, record_id) GROUP BY ALL HAVING count(*) = 1)
+SELECT * FROM b JOIN a USING (package_digest, kind, clause_reference)""",
     "diff_edges_added": f"SELECT DISTINCT {_EDGE} FROM adep ANTI JOIN bdep USING ({_EDGE})",
     "diff_edges_removed": f"SELECT DISTINCT {_EDGE} FROM bdep ANTI JOIN adep USING ({_EDGE})",
     "diff_impact_paths": "".join(_impact_cte(*s) for s in _SIDES) + " SELECT side, package_digest, record_id, cause_type, cause_record_id, depth::BIGINT AS depth FROM (" + " UNION ALL ".join(_impact(*s) for s in _SIDES) + ")",

@@ -243,42 +243,20 @@ def obligations_total_by_package(c: Corpus) -> DataFrame:
     return c.with_roles(c.unnumbered).groupBy("package_digest").agg(F.count_if(F.col("statement_role") == "obligation").alias("obligations"), F.count_if(F.col("statement_role") == "informative").alias("informative"), F.count(F.lit(1)).alias("records"))
 
 
-def _roots(c: Corpus, rest: int) -> DataFrame:
-    return c.unnumbered.where(F.col("pos") % 10 == rest).select("package_digest", "record_id")
-
-
-# Queries named ..._all take every record; those of the same name without it take a part, as their SQL does.
-
 
 @query
 def closure_required(c: Corpus) -> DataFrame:
-    return graph.closure(_roots(c, 7), c.dependencies).select("package_digest", "record_id")
-
-
-@query
-def closure_multi_root(c: Corpus) -> DataFrame:
-    found = graph.closure(_roots(c, 7), c.dependencies, by_root=True)
-    return found.groupBy("package_digest", "root_id").agg(F.count(F.lit(1)).alias("n_records"), F.max("depth").alias("depth"), F.min("record_id").alias("first_id"))
-
-
-@query
-def closure_depth_histogram(c: Corpus) -> DataFrame:
-    return graph.closure(_roots(c, 7), c.dependencies, by_root=True).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query
-def closure_required_all(c: Corpus) -> DataFrame:
     return graph.closure(c.unnumbered, c.dependencies).select("package_digest", "record_id")
 
 
 @query
-def closure_multi_root_all(c: Corpus) -> DataFrame:
+def closure_multi_root(c: Corpus) -> DataFrame:
     found = graph.closure(c.unnumbered, c.dependencies, by_root=True)
     return found.groupBy("package_digest", "root_id").agg(F.count(F.lit(1)).alias("n_records"), F.max("depth").alias("depth"), F.min("record_id").alias("first_id"))
 
 
 @query
-def closure_depth_histogram_all(c: Corpus) -> DataFrame:
+def closure_depth_histogram(c: Corpus) -> DataFrame:
     return graph.closure(c.unnumbered, c.dependencies, by_root=True).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -315,31 +293,16 @@ def nav_adjacent(c: Corpus) -> DataFrame:
 
 @query
 def nav_outgoing(c: Corpus) -> DataFrame:
-    return graph.edges_of(c.dependencies, c.unnumbered.where("pos % 10 = 9"), "outgoing").select("anchor_id", "relationship", "record_id", "required")
-
-
-@query
-def nav_incoming(c: Corpus) -> DataFrame:
-    return graph.edges_of(c.dependencies, c.unnumbered.where("pos = 2"), "incoming").select("anchor_id", "relationship", "record_id", "required")
-
-
-@query
-def ancestor_paths(c: Corpus) -> DataFrame:
-    return graph.ancestry(c.unnumbered.where("pos < 4")).select("package_digest", "record_id", F.concat_ws("/", "path").alias("ancestors"))
-
-
-@query
-def nav_outgoing_all(c: Corpus) -> DataFrame:
     return graph.edges_of(c.dependencies, c.unnumbered, "outgoing").select("anchor_id", "relationship", "record_id", "required")
 
 
 @query
-def nav_incoming_all(c: Corpus) -> DataFrame:
+def nav_incoming(c: Corpus) -> DataFrame:
     return graph.edges_of(c.dependencies, c.unnumbered, "incoming").select("anchor_id", "relationship", "record_id", "required")
 
 
 @query
-def ancestor_paths_all(c: Corpus) -> DataFrame:
+def ancestor_paths(c: Corpus) -> DataFrame:
     return graph.ancestry(c.unnumbered).select("package_digest", "record_id", F.concat_ws("/", "path").alias("ancestors"))
 
 
@@ -369,11 +332,11 @@ def diff_counts(c: Corpus) -> DataFrame:
 
 @query
 def diff_alignment(c: Corpus) -> DataFrame:
-    return diff.alignment(c.edition("before"), c.edition("after"), ["kind", "heading"])
+    return diff.alignment(c.edition("before"), c.edition("after"), ["kind", "clause_reference"])
 
 
 def _edition_edges(c: Corpus, side: str) -> DataFrame:
-    doc = F.regexp_extract("source_record_id", r"^d(\d+)-", 1).cast("long")
+    doc = F.regexp_extract("source_record_id", r"^d(\d+)-", 1).try_cast("long")  # filters may be tried on other ids
     gone = 0 if side == "before" else 1
     edges = c.dependencies.where(doc % 10 != gone)
     if side == "after":

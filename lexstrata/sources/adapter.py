@@ -161,11 +161,13 @@ class Corpus:
         """Two made-up editions of all records, for comparing: ``before`` and ``after``.
 
         before lacks documents with an id of 0 modulo 10, after those of 1;
-        after, texts of 2 end in a mark and the spans of 3 moved by a byte.
+        after, texts of 2 end in a mark, the spans of 3 moved by a byte and the
+        records of 6 have other ids.
         """
         out = self.unnumbered.withColumn("start_byte", F.lit(0).cast("long"))
         turn = F.col("doc_id") % 10
         if side == "before":
             return out.where(turn != 0)
         text = F.when(turn == 2, F.concat("text", F.lit(" (amended)"))).otherwise(F.col("text"))
-        return out.where(turn != 1).withColumns({"text": text, "start_byte": F.when(turn == 3, F.lit(1)).otherwise(F.lit(0)).cast("long")})
+        renamed = F.when(turn == 6, F.concat(F.lit("e"), F.expr("substring(record_id, 2)"))).otherwise(F.col("record_id"))
+        return out.where(turn != 1).withColumns({"text": text, "record_id": renamed, "start_byte": F.when(turn == 3, F.lit(1)).otherwise(F.lit(0)).cast("long")})

@@ -40,23 +40,23 @@ def rows(spark, corpus, name, *columns):
 
 def test_closures_start_from_every_record(spark, corpus):
     walks = reached()
-    assert rows(spark, corpus, "closure_required_all", "record_id") == sorted((f"d{i}-l{n}",) for i, n in records())
+    assert rows(spark, corpus, "closure_required", "record_id") == sorted((f"d{i}-l{n}",) for i, n in records())
     want = sorted((f"d{i}-l{n}", len(w), max(w.values()), min(f"d{i}-l{k}" for k in w)) for (i, n), w in walks.items())
-    assert rows(spark, corpus, "closure_multi_root_all", "root_id", "n_records", "depth", "first_id") == want
+    assert rows(spark, corpus, "closure_multi_root", "root_id", "n_records", "depth", "first_id") == want
     depths = [d for w in walks.values() for d in w.values()]
-    assert rows(spark, corpus, "closure_depth_histogram_all", "depth", "n") == sorted((d, depths.count(d)) for d in set(depths))
+    assert rows(spark, corpus, "closure_depth_histogram", "depth", "n") == sorted((d, depths.count(d)) for d in set(depths))
 
 
 def test_navigation_takes_every_record(spark, corpus):
     edges = [(f"d{i}-l{n}", f"d{i}-l{n // 2}", n % 3 != 0) for i, n in records() if n]
-    assert rows(spark, corpus, "nav_outgoing_all", "anchor_id", "record_id", "required") == sorted(edges)
-    assert rows(spark, corpus, "nav_incoming_all", "anchor_id", "record_id", "required") == sorted((t, s, r) for s, t, r in edges)
-    assert rows(spark, corpus, "ancestor_paths_all", "record_id", "ancestors") == sorted((f"d{i}-l{n}", f"d{i}-l0" if n else "") for i, n in records())
+    assert rows(spark, corpus, "nav_outgoing", "anchor_id", "record_id", "required") == sorted(edges)
+    assert rows(spark, corpus, "nav_incoming", "anchor_id", "record_id", "required") == sorted((t, s, r) for s, t, r in edges)
+    assert rows(spark, corpus, "ancestor_paths", "record_id", "ancestors") == sorted((f"d{i}-l{n}", f"d{i}-l0" if n else "") for i, n in records())
 
 
 def test_every_line_is_assembled(spark, corpus):
     want = sorted((i, len(t), sha256(t.encode()).hexdigest()) for i, t in TEXTS.items())
-    assert rows(spark, corpus, "structure_assemble_all", "doc_id", "n_chars", "content_sha256") == want
+    assert rows(spark, corpus, "structure_assemble", "doc_id", "n_chars", "content_sha256") == want
 
 
 def test_every_statement_fault_occurs(spark, tmp_path):
@@ -67,4 +67,4 @@ def test_every_statement_fault_occurs(spark, tmp_path):
 
 
 def rows_of(spark, folder):
-    return {r["code"]: r["n"] for r in QUERIES["semantic_checks_all"](spark, folder).collect()}
+    return {r["code"]: r["n"] for r in QUERIES["semantic_checks"](spark, folder).collect()}
