@@ -99,6 +99,12 @@ def neighbours(records: DataFrame) -> DataFrame:
     return rows.join(beside(1, "previous_id"), key, "left").join(beside(-1, "next_id"), key, "left").select("package_digest", "record_id", "previous_id", "next_id")
 
 
+def with_structure(edges: DataFrame, structural: DataFrame) -> DataFrame:
+    """Stored edges and resolved structural relationships as one set of edges."""
+    names = ["package_digest", "source_record_id", "relationship", "target_record_id", "required"]
+    return edges.select(*names).union(structural.select(*names)).distinct()
+
+
 def edges_of(edges: DataFrame, record_ids: DataFrame, direction: str) -> DataFrame:
     """Distinct edges out of, or into, the given records."""
     near, far = ("source_record_id", "target_record_id") if direction == "outgoing" else ("target_record_id", "source_record_id")

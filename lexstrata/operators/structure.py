@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.operators.verify import byte_slice
+from lexstrata.operators.verify import slices
 
 
 def assembled(spans: DataFrame, sources: DataFrame, by: list[str], source_key: str) -> DataFrame:
     """One text per record: its spans (start_byte, end_byte, place) of the source joined by line feeds.
 
-    Only the cut pieces are grouped, never the sources.
+    Only spans and the cut pieces are grouped, never the sources.
     """
-    cut = spans.join(sources.select(source_key, F.col("text").alias("source_text")), source_key)
-    cut = cut.select(*by, F.struct("place", byte_slice(F.col("source_text"), F.col("start_byte"), F.col("end_byte")).alias("said")).alias("s"))
+    cut = slices(spans, sources.select(source_key, F.col("text").alias("source_text")), source_key)
+    cut = cut.select(*by, F.struct("place", "said").alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["said"]), "\n")
     return cut.groupBy(*by).agg(text.alias("text")).withColumn("content_sha256", F.sha2("text", 256))
 

@@ -21,11 +21,25 @@ def spans_of_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("start_byte", start.cast("long")).withColumn("end_byte", (start + F.octet_length("text")).cast("long"))
 
 
+def slices(spans: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """The spans (start_byte, end_byte, any others) with ``said``, what the source (key, source_text) has there.
+
+    All spans of a source are cut in one row, so its bytes are carried and
+    encoded once and not once a span.  Spans without a source are left out.
+    """
+    others = [c for c in spans.columns if c != key]
+    listed = spans.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("spans"))
+    raw = sources.select(key, F.encode("source_text", "UTF-8").alias("raw"))
+    cut = lambda s: F.decode(F.substring(F.col("raw"), (s["start_byte"] + 1).cast("int"), (s["end_byte"] - s["start_byte"]).cast("int")), "UTF-8")
+    # The bytes come out of a generator of one row; a projection would be put into the lambda and encode for each span.
+    once = listed.join(raw, key).select(key, "spans", F.inline(F.array(F.struct("raw"))))
+    return once.select(key, F.inline(F.transform("spans", lambda s: F.struct(*(s[c].alias(c) for c in others), cut(s).alias("said")))))
+
+
 def quote_faults(records: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Records whose span of the source isn't their text, or whose quote digest isn't theirs."""
-    both = records.join(sources, key)
-    said = byte_slice(F.col("source_text"), F.col("start_byte"), F.col("end_byte"))
-    return both.where(~said.eqNullSafe(F.col("text")) | ~F.sha2("text", 256).eqNullSafe(F.col("quote_sha256")))
+    both = slices(records, sources, key)
+    return both.where(~F.col("said").eqNullSafe(F.col("text")) | ~F.sha2("text", 256).eqNullSafe(F.col("quote_sha256")))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

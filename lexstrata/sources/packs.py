@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.errors import error
+from lexstrata.operators.graph import checkpointed
 from lexstrata.operators.verify import byte_slice
 
 INVENTORY = "schema_version string, algorithm string, files array<struct<path string, sha256 string, bytes long>>"
@@ -62,9 +63,18 @@ class Packs:
     def files(self) -> DataFrame:
         """(pack, path, bytes, sha256, content): every file of every directory that has an inventory."""
         raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
+        # A file's directories, each a possible pack, are joined with those that have an inventory.
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
         homes = raw.where(F.col("path").endswith("/inventory.json")).select(F.regexp_replace("path", "/inventory.json$", "").alias("pack"))
-        # Few, short rows next to the files, but unbounded: Spark decides how to join.
-        return raw.join(homes, F.col("path").startswith(F.concat("pack", F.lit("/")))).select("pack", F.expr("substring(path, length(pack) + 2)").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+        of = raw.select(F.col("path").alias("whole_path"), F.explode(above).alias("pack")).join(homes, "pack")
+        named = of.select("pack", "whole_path", F.expr("substring(whole_path, length(pack) + 2)").alias("path"))
+        return named.join(raw.withColumnRenamed("path", "whole_path"), "whole_path").select("pack", "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+
+    @cached_property
+    def listed_files(self) -> DataFrame:
+        """files without their content: hashed once and kept, as most rules need no more."""
+        return checkpointed(self.files.drop("content"))
 
     def _json(self, name: str, schema: str) -> DataFrame:
         text = F.decode("content", "UTF-8")
@@ -112,7 +122,7 @@ class Packs:
             parts.append(rows.select("pack", F.lit(code).alias("code"), item.cast("string").alias("item")))
 
         listed = self.inventory.withColumnsRenamed({"bytes": "said_bytes", "sha256": "said_sha256"})
-        both = self.files.drop("content").where("path <> 'inventory.json'").join(listed, ["pack", "path"], "full_outer")
+        both = self.listed_files.where("path <> 'inventory.json'").join(listed, ["pack", "path"], "full_outer")
         broken(both.where("said_sha256 is null"), "untracked_pack_content", F.col("path"))
         broken(both.where("sha256 is null"), "missing_pack_file", F.col("path"))
         broken(both.where("bytes <> said_bytes"), "pack_size_mismatch", F.col("path"))
@@ -121,10 +131,10 @@ class Packs:
         broken(self.inventory.where(~safe_path(F.col("path"))), "invalid_pack_path", F.col("path"))
         homes = self.inventory.select("pack").distinct()
         needed = homes.select("pack", F.explode(F.array(*map(F.lit, REQUIRED_FILES))).alias("path"))
-        broken(needed.join(self.files.select("pack", "path"), ["pack", "path"], "left_anti"), "missing_pack_file", F.col("path"))
-        sizes = self.files.groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
+        broken(needed.join(self.listed_files.select("pack", "path"), ["pack", "path"], "left_anti"), "missing_pack_file", F.col("path"))
+        sizes = self.listed_files.groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
         broken(sizes.where((F.col("n") > MAX_FILES) | (F.col("total") > MAX_BYTES)), "pack_limit_exceeded", F.col("n"))
-        r = self.records
+        r = checkpointed(self.records)
         for key in ("record_id", "clause_reference"):
             broken(r.groupBy("pack", key).count().where(f"count > 1 and {key} is not null"), "invalid_records", F.col(key))
         editions = self.packages.select("pack", F.col("edition_id").alias("pack_edition"))
@@ -137,7 +147,7 @@ class Packs:
         whole = F.decode("content", "UTF-8")
         said = F.when(F.col("source.text_start_byte").isNotNull(), byte_slice(whole, F.col("source.text_start_byte"), F.col("source.text_end_byte")) == F.col("text")).otherwise(F.contains(whole, F.col("text")))
         broken(cited.where(~F.coalesce(said, F.lit(False))), "source_quote_missing", F.col("record_id"))
-        edges = self.records.select("pack", "record_id", F.inline("dependencies"))
+        edges = r.select("pack", "record_id", F.inline("dependencies"))
         broken(edges.join(r.select("pack", F.col("record_id").alias("target_record_id")), ["pack", "target_record_id"], "left_anti"), "unresolved_dependency", F.col("target_record_id"))
         nodes = r.where("structure is not null").select("pack", "record_id", "structure.logical_id", "structure.parent_logical_id")
         broken(nodes.groupBy("pack", "logical_id").count().where("count > 1"), "invalid_record", F.col("logical_id"))
