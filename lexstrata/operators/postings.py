@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import Phrase, Query, parse, porter, tokens
+from lexstrata.operators.graph import checkpointed
 from lexstrata.operators.search import all_of, in_scope
 
 COLUMNS = ("clause_reference", "heading", "text")
@@ -56,8 +57,8 @@ def build(records: DataFrame) -> DataFrame:
                     arrays = [pa.array([form] * n), pa.array(listed_names).take(pa.array(codes[order][first])), *(b.column(x).take(take) for x in CARRIED), pa.array(np.full(n, place, np.int8)), positions]
                     yield pa.RecordBatch.from_arrays(arrays, names=["form", "token", *CARRIED, "place", "positions"])
 
-    # The record's place spreads tokens that are in very many records.
-    ordered = rows.mapInArrow(posted, POSTINGS).repartitionByRange("form", "token", "package_digest", "ordinal")
+    # Ranges are found from a sample, so what is sampled is written first.  The record's place spreads tokens that are in very many records.
+    ordered = checkpointed(rows.mapInArrow(posted, POSTINGS)).repartitionByRange("form", "token", "package_digest", "ordinal")
     return ordered.sortWithinPartitions("form", "token", "package_digest", "ordinal")
 
 

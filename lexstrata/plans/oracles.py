@@ -191,6 +191,8 @@ SELECT package_digest, sum(base + length('' || used))::BIGINT AS bytes, max(base
 _BEST = SQL["search_all_terms"]
 _CUT = _BEST.rindex("SELECT package_digest")
 SQL["search_scan_all_terms"] = _BEST
+SQL["search_index"] = f""", tok AS (SELECT unnest([0, 1, 2]) AS place, unnest([{_CLAUSE}, {_HEAD}, {_TEXT}]) AS w FROM rec)
+SELECT place::BIGINT AS place, sum(len(list_distinct(w)))::BIGINT AS n_postings, sum(len(w))::BIGINT AS n_tokens, min(list_min(w)) AS first_token FROM tok GROUP BY place"""
 SQL["search_heading_ancestry"] = _BEST[:_CUT].rstrip() + ", hit AS (" + _BEST[_CUT:] + ") SELECT record_id, CASE WHEN record_id LIKE '%-l0' THEN '' ELSE regexp_extract(record_id, '^(d\\d+)', 1) || '-l0' END AS ancestors, score FROM hit"
 
 

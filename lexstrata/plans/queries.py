@@ -155,6 +155,13 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("package_digest", "record_id", "clause_reference", "ordinal", "score")
 
 
+@query
+def search_index(c: Corpus) -> DataFrame:
+    """The stored index, built by the first query of an application that needs it: its size by column."""
+    words = c.postings.where("form = 'word'")
+    return words.groupBy(F.col("place").cast("long").alias("place")).agg(F.count(F.lit(1)).alias("n_postings"), F.sum(F.size("positions")).cast("long").alias("n_tokens"), F.min("token").alias("first_token"))
+
+
 def _search(c: Corpus, text: str, mode: str, **narrowed: str) -> tuple[DataFrame, bool]:
     return postings.search(c.postings, c.authorized(), text, mode, **narrowed)
 
