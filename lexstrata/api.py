@@ -98,6 +98,15 @@ class EvidenceService:
     def _edges(self, digest: str) -> DataFrame:
         return self.tables.dependencies.where(F.col("package_digest") == digest)
 
+    def _linked(self, digest: str) -> DataFrame:
+        """Stored edges and resolved structural relationships."""
+        rows, edges = self._records(digest), self._edges(digest)
+        if "structure" not in rows.columns:
+            return edges
+        target = rows.select(F.col("structure.logical_id").alias("target_logical_id"), F.col("record_id").alias("target_record_id")).where("target_logical_id is not null")
+        related = rows.select("package_digest", F.col("record_id").alias("source_record_id"), F.inline("structure.relationships")).where("target_status = 'resolved'")
+        return graph.with_structure(edges, related.withColumn("required", F.coalesce("required", F.lit(False))).join(target, "target_logical_id"))
+
     @staticmethod
     def _limit(limit: int) -> int:
         if not (type(limit) is int and 1 <= limit <= 100):
@@ -289,7 +298,7 @@ class EvidenceService:
                 rows = rows.where(F.col("ordinal").isin([o for o in near if o is not None]))
             case "outgoing" | "incoming":
                 here = rows.where(F.col("record_id") == record_id)
-                linked = graph.edges_of(self._edges(package_digest), here, relation)
+                linked = graph.edges_of(self._linked(package_digest), here, relation)
                 edges = [r.asDict() for r in linked.select("relationship", "record_id", "required").orderBy("relationship", "record_id").collect()]
                 rows = rows.join(linked.select("record_id").distinct(), "record_id", "left_semi")
         if kind is not None:

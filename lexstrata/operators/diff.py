@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPARED = ("kind", "clause_reference", "heading", "text")
@@ -10,12 +10,30 @@ LOCATION = ("start_byte",)
 STATUSES = ("added", "removed", "modified", "moved", "unchanged")
 
 
+def _sides(rows: DataFrame) -> tuple[list[Column], list[Column]]:
+    """(what a change of is a modification, what a change of is a move) of records with or without roles, derivation and structure.
+
+    Structure counts without its physical spans; these only tell a move.
+    """
+    compared = [F.col(c) for c in (*COMPARED, *(c for c in ("statement_role", "derivation") if c in rows.columns))]
+    location = [F.col(c) for c in LOCATION]
+    if "structure" in rows.columns:
+        bare = F.transform("structure.relationships", lambda r: r.dropFields("evidence_spans"))
+        compared.append(F.when(F.col("structure").isNotNull(), F.col("structure").dropFields("source_spans", "relationships").withField("relationships", bare)).alias("structure"))
+        location += [F.col("structure.source_spans").alias("source_spans"), F.transform("structure.relationships", lambda r: r["evidence_spans"]).alias("evidence_spans")]
+    return compared, location
+
+
 def status(before: DataFrame, after: DataFrame) -> DataFrame:
     """(package_digest, record_id, status, ...): one full outer join by record; identity is the id alone."""
-    pack = lambda side: F.struct(*COMPARED, *LOCATION).alias(side)
-    both = before.select("package_digest", "record_id", pack("b")).join(after.select("package_digest", "record_id", pack("a")), ["package_digest", "record_id"], "full_outer")
-    differs = lambda names: ~F.struct(*(F.col(f"b.{c}") for c in names)).eqNullSafe(F.struct(*(F.col(f"a.{c}") for c in names)))
-    what = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(differs(COMPARED), "modified").when(differs(LOCATION), "moved").otherwise("unchanged")
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        compared, location = _sides(rows)
+        return rows.select("package_digest", "record_id", F.struct(F.struct(*compared).alias("said"), F.struct(*location).alias("place"), "text").alias(side))
+
+    both = packed(before, "b").join(packed(after, "a"), ["package_digest", "record_id"], "full_outer")
+    differs = lambda part: ~F.col(f"b.{part}").eqNullSafe(F.col(f"a.{part}"))
+    what = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(differs("said"), "modified").when(differs("place"), "moved").otherwise("unchanged")
     return both.select("package_digest", "record_id", what.alias("status"), F.sha2("b.text", 256).alias("before_text_sha256"), F.sha2("a.text", 256).alias("after_text_sha256"))
 
 

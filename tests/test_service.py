@@ -162,6 +162,33 @@ def test_diff(installed):
     assert packet["dependencies_added"] == [] and packet["dependency_impact_paths"] == []
 
 
+def with_structure(rows, structure):
+    """The records with these structures (by record id, as JSON values)."""
+    kind, out = rows.schema["structure"].dataType, F.lit(None)
+    for record_id, value in structure.items():
+        out = F.when(F.col("record_id") == record_id, F.from_json(F.lit(json.dumps(value)), kind)).otherwise(out)
+    return rows.withColumn("structure", out.cast(kind))
+
+
+def test_structure_in_navigation_and_comparison(installed):
+    _, store, a, b = installed
+    edge = {"relationship": "see", "target_status": "resolved", "target_logical_id": "T", "required": True, "evidence_spans": [{"start_byte": 1}]}
+    old = {"tide": {"logical_id": "T"}, "paint": {"logical_id": "P", "source_spans": [{"start_byte": 3}], "relationships": [edge, edge | {"target_status": "ambiguous", "target_logical_id": "P"}]}}
+    tables = lambda rows: SimpleNamespace(packages=store.packages, records=rows, dependencies=store.dependencies, grants=store.grants)
+    one = with_structure(store.records.where(F.col("package_digest") == a), old)
+    service = EvidenceService(tables(one), b"x")
+    ids = lambda **k: [r["record_id"] for r in service.browse_records(a, "user", **k)["records"]]
+    assert ids(relation="outgoing", record_id="paint") == ["tide"] and ids(relation="incoming", record_id="tide") == ["buoy", "paint"]
+    assert service.browse_records(a, "user", relation="incoming", record_id="tide")["edges"] == [{"relationship": "governed_by", "record_id": "buoy", "required": True}, {"relationship": "see", "record_id": "paint", "required": True}]
+    paint = old["paint"]
+    for change, want in (({}, "unchanged"), ({"source_spans": [{"start_byte": 4}]}, "moved"), ({"relationships": [edge | {"evidence_spans": []}, paint["relationships"][1]]}, "moved"), ({"relationships": [edge]}, "modified"), ({"parent_logical_id": "T"}, "modified")):
+        other = with_structure(store.records.where(F.col("package_digest") == b), old | {"paint": paint | change})
+        changes = EvidenceService(tables(one.unionByName(other)), b"x").diff_editions(a, b, "user")["changes"]
+        assert next(c["status"] for c in changes if c["record_id"] == "paint") == want
+    role = store.records.withColumn("statement_role", F.when((F.col("package_digest") == b) & (F.col("record_id") == "paint"), "informative").otherwise(F.col("statement_role")))
+    assert next(c["status"] for c in EvidenceService(tables(role), b"x").diff_editions(a, b, "user")["changes"] if c["record_id"] == "paint") == "modified"
+
+
 def test_search_list_resolve(installed):
     service, _, a, b = installed
     hits = service.search("chain", "user", query_mode="all_terms")["results"]
