@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.llm import chat, decontam, htmlmain, licenses, nbsvm, packing, rules, simhash, substrings, warc
+from lexstrata.llm import chat, decontam, htmlmain, licenses, merkle, nbsvm, packing, rules, simhash, substrings, telephony, warc, whitening
 from lexstrata.llm.shared import table, vocabulary_path
 
 #: A conversation that writes the template's own marks.
@@ -86,6 +86,21 @@ def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest with proofs, folded from leaves some of which are tampered with (``merkle``); a null doc_id stays as it is, a null lang is a group."""
+    return merkle.digest_rows(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on their 32 first components, whitened (``whitening``); vectors that aren't whole and finite are left out."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as telephone audio and read back (``telephony``); a null text is padding alone."""
+    return telephony.digest(telephony.documents_as_audio(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline``; cases as in its docstring."""
     import corpus_pipeline  # stands beside the package; the operators do without it
@@ -145,6 +160,37 @@ FROM e GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT doc_id, lang, n_chars, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END AS s, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS g,
+         CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS t, CAST(doc_id AS VARCHAR) AS d, CAST(n_chars AS VARCHAR) AS c, CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR) AS c1 FROM documents),
+l0 AS (
+  SELECT doc_id, lang, sha256(coalesce(strlen(d) || ':' || d, '-') || s || g || coalesce(strlen(c) || ':' || c, '-') || t) AS leaf,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(d, ''), lambda x: CAST(ord(x) AS BIGINT))),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 7 = 0
+              THEN sha256(coalesce(strlen(d) || ':' || d, '-') || s || g || coalesce(strlen(c1) || ':' || c1, '-') || t) END AS tampered FROM v),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l0),
+t AS (SELECT lang, 0 AS lvl, i, leaf AS h, n FROM l
+      UNION ALL SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+b AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, subroot AS h, n FROM b
+      UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+p0 AS (SELECT l.lang, l.i, t.lvl, (l.i >> t.lvl) & 1 AS odd, coalesce(o.h, '') AS other
+       FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.i = l.i >> t.lvl AND t.n > 1
+       LEFT JOIN t AS o ON o.lang IS NOT DISTINCT FROM l.lang AND o.lvl = t.lvl AND o.i = xor(t.i, 1)
+       UNION ALL SELECT l.lang, l.i, 100 + u.lvl, (b.i >> u.lvl) & 1, coalesce(o.h, '')
+       FROM l JOIN b ON b.lang IS NOT DISTINCT FROM l.lang JOIN u ON u.i = b.i >> u.lvl AND u.n > 1 LEFT JOIN u AS o ON o.lvl = u.lvl AND o.i = xor(u.i, 1)),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang, i ORDER BY lvl) AS k FROM p0),
+f AS (SELECT lang, i, 0 AS k, coalesce(tampered, leaf) AS h FROM l
+      UNION ALL SELECT f.lang, f.i, p.k, sha256(CASE WHEN odd = 1 THEN other || h ELSE h || other END) FROM f JOIN p ON p.lang IS NOT DISTINCT FROM f.lang AND p.i = f.i AND p.k = f.k + 1),
+e AS (SELECT lang, i, arg_max(h, k) AS folded_root FROM f GROUP BY lang, i),
+q AS (SELECT lang, i, sha256(string_agg(other, '' ORDER BY k)) AS proof FROM p GROUP BY lang, i)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN b ON b.lang IS NOT DISTINCT FROM l.lang JOIN e ON e.lang IS NOT DISTINCT FROM l.lang AND e.i = l.i
+LEFT JOIN q ON q.lang IS NOT DISTINCT FROM l.lang AND q.i = l.i, (SELECT h AS root FROM u WHERE n = 1)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nbsvm": op1_nbsvm,
@@ -157,9 +203,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_chat": op9_chat,
         "op10_host_paths": op10_host_paths,
+        "op11_merkle": op11_merkle,
+        "op12_whitening": op12_whitening,
+        "op13_telephony": op13_telephony,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fm_index": OP2_SQL, "op3_suffix_trees": OP3_SQL, "op7_warc": OP7_SQL, "op9_chat": OP9_SQL}
+    return {"op2_fm_index": OP2_SQL, "op3_suffix_trees": OP3_SQL, "op7_warc": OP7_SQL, "op9_chat": OP9_SQL, "op11_merkle": OP11_SQL}
