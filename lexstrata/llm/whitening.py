@@ -10,7 +10,7 @@ Three passes over the rows: counts and sums; products of y = x - m, m being the
 sums' rounded means, from which n * n * covariance = n * sum(y y') - r r' with
 r = S - n * m follows exactly; and the projection on the covariance's unit
 eigenvectors, which is stored.  A task gives one row of partial results; they
-meet in at most MERGE groups of tasks, and the driver adds up MERGE rows of
+meet in MERGE groups of tasks and then in one, and the driver gets one row of
 dimensions squared.  ``identity_error`` comes from the projected rows: means and
 centred products of each batch, merged by their counts.
 
@@ -112,17 +112,18 @@ def _merged(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], list[
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([task % MERGE], pa.int32()), pa.array([[str(v) for v in total]], pa.list_(pa.string()))], ["bucket", "total"])
 
-    def added(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for t in tables:
             for row in t.column("total"):
                 v = np.array([int(x) for x in row.as_py()], dtype=object)
                 total = v if total is None else total + v
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([[str(v) for v in total]], pa.list_(pa.string()))], ["bucket", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([[str(v) for v in total]], pa.list_(pa.string()))], ["bucket", "total"])
 
     schema = "bucket int, total array<string>"
-    sums = rows.mapInArrow(tidy(each), schema).groupBy("bucket").applyInArrow(added, schema).collect()
-    return [sum(c) for c in zip(*([int(v) for v in r.total] for r in sums), strict=True)] if sums else None
+    by_task = rows.mapInArrow(tidy(each), schema)
+    sums = by_task.groupBy("bucket").applyInArrow(added, schema).groupBy("bucket").applyInArrow(added, schema).collect()
+    return [int(v) for v in sums[0].total] if sums else None
 
 
 @dataclass(frozen=True)
