@@ -11,6 +11,9 @@ elements are nested: a container knows its parent and its own step, and equal
 paths share a number within the page.  A tag ends at the first ``>`` outside
 quotes; in a page with a quote that never closes, at the first ``>`` from there on.
 
+Boilerplate goes by elements, roles and whole names of classes and ids, but not
+what holds the page's article (``_judge``).
+
 Cases: a null or empty html, or one without text, gives an empty text; a null
 url is a host of its own; repeated rows are extracted each; unclosed and
 misnested tags are closed as browsers do for paragraphs, list items and cells;
@@ -52,6 +55,13 @@ BOILERPLATE = frozenset(
     " newsletter subscribe subscription signup sidebar rail aside nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus"
     " reply replies respond discussion share sharing social related recommended recommendations widget widgets pagination pager toolbar skip alert paywall legal copyright login search".split()
 )
+#: Of these, the names that no layout has around its article: what they name goes even if it is most of a page.
+ADDED = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter comment comments commentlist disqus reply replies respond discussion".split()
+)
+#: Words that leave a name what it is: ``comment-list``, ``share-buttons``.  ``sidebar-right`` or ``search-page`` name a layout.
+PARTS = frozenset("list links link buttons button icons box posts articles stories items slot unit area form thread bar".split())
+OUTER = frozenset("site-header site-footer site-nav main-nav main-menu page-footer global-header global-footer top-nav bottom-nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ANCHORED = HEADINGS | {"p", "section"}
 CONTENT = frozenset("article content post entry story main text body articlebody".split())
@@ -61,17 +71,19 @@ _UNQUOTED = re.compile(r"<(/?)([a-z][^\s/>]*+)([^>]*+)>", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*+>", re.I) for t in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_NEGATED = re.compile(r"\b(?:has|with|without|no|is)[-_]?\w+(?:-\w+)*", re.I)
 _NUMBER = re.compile(r"\d+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
 #: Best containers of a page that vote for the host's path.
 VOTES = 3
 LARGE_HOSTS = 512
+#: Text beside the best container is main text too from this share of it on, if little of it is links.
+BESIDE = 0.2
+PLAIN_TEXT = 0.75
 
 
 # How doubtful a node is by names of classes and ids, its own and its parents'.
-CLEAN, IN_HEADER, NAMED = 0, 1, 2
+CLEAN, IN_HEADER, NAMED, FOREIGN = 0, 1, 2, 3
 
 
 @dataclass(slots=True)
@@ -80,6 +92,8 @@ class Node:
     parent: int
     path: int  # number of the path in the page
     step: str
+    drop: bool  # by its own tag or role
+    named: int  # doubt by its own names: 0, NAMED or, for ADDED ones, FOREIGN
     dropped: bool  # by its tag or role, or a parent's
     doubt: int
     link: bool
@@ -93,7 +107,7 @@ class Node:
 
 class Page:
     def __init__(self) -> None:
-        root = Node("html", -1, 0, "", False, CLEAN, False, False, 0, {})
+        root = Node("html", -1, 0, "", False, CLEAN, False, CLEAN, False, False, 0, {})
         self.nodes: list[Node] = [root]
         self.blocks: list[tuple[int, str, int, bool]] = []  # owner, text, link characters, kept
         self.paths: dict[tuple[int, str], int] = {}  # (parent's path, step) to the path's number
@@ -118,6 +132,16 @@ def _names(text: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(text)} | set(re.split(r"[^a-z]+", text.lower()))
 
 
+def doubt_by(named: str) -> int:
+    """What classes and ids say: a name counts as a whole, if all its words name boilerplate or a part of it."""
+    worst = CLEAN
+    for name in named.split():
+        words = [w.lower() for w in _WORD.findall(name) if len(w) > 1]
+        if name.lower() in OUTER or words and BOILERPLATE.issuperset(set(words) - PARTS) and not PARTS.issuperset(words):
+            worst = max(worst, NAMED if ADDED.isdisjoint(words) else FOREIGN)
+    return worst
+
+
 def _node(tag: str, rest: str, parent: int, depth: int, page: Page) -> Node:
     up = page.nodes[parent]
     classes, named, role = "", "", ""
@@ -133,21 +157,18 @@ def _node(tag: str, rest: str, parent: int, depth: int, page: Page) -> Node:
             elif kind != "id" or not anchored:
                 named += " " + value
     in_article = up.in_article or tag in ("article", "main")
-    dropped = up.dropped or tag in DROPPED or role in ROLES
-    doubt, bonus = CLEAN, {"article": 1.5, "main": 1.4, "body": 0.8}.get(tag, 1.0)
+    bonus = {"article": 1.5, "main": 1.4, "body": 0.8}.get(tag, 1.0)
+    own, drop = CLEAN, tag in DROPPED or role in ROLES
     if tag == "header":
-        dropped = dropped or not in_article
-        doubt = IN_HEADER
-    elif named and tag not in ("html", "body", "main", "article"):
-        words = _names(_NEGATED.sub(" ", named))
-        if not BOILERPLATE.isdisjoint(words):
-            doubt = NAMED
-        elif not CONTENT.isdisjoint(words):
+        drop = drop or not in_article
+    elif named and tag not in ("html", "body", "main"):
+        own = doubt_by(named)
+        if tag == "article":
+            own = own if own == FOREIGN or "related" in named.lower().split() else CLEAN
+        elif own == CLEAN and not CONTENT.isdisjoint(_names(named)):
             bonus = 1.3
-    elif tag == "article" and named:
-        if not {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"}.isdisjoint(_names(named)):
-            doubt = NAMED
-    doubt = max(doubt, up.doubt)
+    dropped = up.dropped or drop
+    doubt = max(own, IN_HEADER if tag == "header" else CLEAN, up.doubt)
     if tag in HEADINGS and doubt == IN_HEADER:
         doubt = CLEAN  # an article's headings are its own, the rest of its header isn't
     step = tag + "".join(sorted("." + _NUMBER.sub("#", c.replace(">", "")) for c in set(classes.split())))
@@ -158,7 +179,7 @@ def _node(tag: str, rest: str, parent: int, depth: int, page: Page) -> Node:
         near = {}
     if tag in GROUPS:
         near = {**near, GROUPS[tag]: depth}
-    return Node(tag, parent, path, step, dropped, doubt, up.link or tag == "a", in_article, owner, near, bonus=bonus)
+    return Node(tag, parent, path, step, drop, own, dropped, doubt, up.link or tag == "a", in_article, owner, near, bonus=bonus)
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
@@ -285,7 +306,65 @@ def parsed(html: str) -> Page:
     return page
 
 
+def _sizes(page: Page, counts: list[bool]) -> list[int]:
+    """Characters below each node, of blocks whose owner counts."""
+    size = [0] * len(page.nodes)
+    for owner, text, _, _ in page.blocks:
+        size[owner] += len(text) if counts[owner] else 0
+    for i in range(len(size) - 1, 0, -1):
+        size[page.nodes[i].parent] += size[i]
+    return size
+
+
+def _below(page: Page, own: list[bool]) -> list[bool]:
+    """Whether a node or one above it is marked."""
+    out = list(own)
+    for i, node in enumerate(page.nodes[1:], 1):
+        out[i] = out[i] or out[node.parent]
+    return out
+
+
+def _above(page: Page, marked: list[int]) -> list[bool]:
+    """Whether a node is one of these or stands above one."""
+    out = [False] * len(page.nodes)
+    for i in marked:
+        while i >= 0 and not out[i]:
+            out[i] = True
+            i = page.nodes[i].parent
+    return out
+
+
+def _judge(page: Page) -> None:
+    """Set what is dropped and doubtful; nothing that holds the page's article is.
+
+    The article is the page's ``main``, or else its largest ``article`` without
+    a doubtful name.  Without either, what a layout's name stands on, and a form
+    with containers in it, isn't dropped if it holds over half of the text.
+    """
+    nodes = page.nodes
+    everything = _sizes(page, [True] * len(nodes))
+    holds_main = _above(page, [i for i, x in enumerate(nodes) if x.tag == "main" and everything[i] * 20 >= everything[0] > 0])
+    inner = _above(page, [i for i, x in enumerate(nodes) if x.tag in CONTAINERS])
+    form = [x.drop and x.tag == "form" and inner[i] for i, x in enumerate(nodes)]
+    gone = _below(page, [x.drop and not form[i] and not (x.tag != "main" and holds_main[i]) for i, x in enumerate(nodes)])
+    live = _sizes(page, [not g for g in gone])
+    holds = holds_main
+    if not holds[0]:
+        foreign = _below(page, [x.named == FOREIGN or x.tag == "article" and x.named > CLEAN for x in nodes])
+        articles = [i for i, x in enumerate(nodes) if x.tag == "article" and not gone[i] and not foreign[i] and live[i] * 20 >= live[0] > 0]
+        holds = _above(page, sorted(articles, key=lambda i: -live[i])[:1])
+    for i, x in enumerate(nodes[1:], 1):
+        up = nodes[x.parent]
+        most = not holds[0] and 2 * live[i] > live[0]
+        x.dropped = up.dropped or x.drop and not ((holds_main if not form[i] else holds)[i] or form[i] and most)
+        own = CLEAN if holds[i] or x.named == NAMED and most else x.named
+        x.doubt = max(own, IN_HEADER if x.tag == "header" else CLEAN, up.doubt)
+        if x.tag in HEADINGS and x.doubt == IN_HEADER:
+            x.doubt = CLEAN
+
+
 def _sum(page: Page) -> None:
+    _judge(page)
     nodes = page.nodes
     clean = any(not (nodes[o].dropped or nodes[o].doubt) for o, *_ in page.blocks)
     for k, (owner, text, links, _) in enumerate(page.blocks):
@@ -316,16 +395,57 @@ def _text(page: Page, roots: set[int]) -> str:
     return "\n\n".join(text for owner, text, _, kept in page.blocks if kept and inside[owner])
 
 
+def _beside(page: Page, best: int) -> set[int]:
+    """Nodes beside the best container, or beside one above it, whose text is like it; what is outside of ``main`` isn't."""
+    nodes, found, at = page.nodes, set(), best
+    children: dict[int, list[int]] = {}
+    chain = set()
+    while at > 0:
+        chain.add(at)
+        if nodes[at].tag == "main":
+            break
+        at = nodes[at].parent
+        children[at] = []
+    for i, node in enumerate(nodes[1:], 1):
+        if node.parent in children and i not in chain and node.content:
+            children[node.parent].append(i)
+    for members in children.values():
+        inner = [i for i in members if nodes[i].tag in CONTAINERS]
+        loose = [i for i in members if nodes[i].tag not in CONTAINERS]
+        for some in [*([i] for i in inner), loose]:
+            content, total = sum(nodes[i].content for i in some), sum(nodes[i].total for i in some)
+            if content >= BESIDE * nodes[best].content and content >= PLAIN_TEXT * total:
+                found.update(some)
+    return found
+
+
+def _common(page: Page, some: set[int]) -> int:
+    """The smallest node around all of these."""
+    count: Counter[int] = Counter()
+    for i in some:
+        while i >= 0:
+            count[i] += 1
+            i = page.nodes[i].parent
+    return max(i for i, c in count.items() if c == len(some))
+
+
 def extracted(html: str | None, winner: str | None) -> str:
-    """The main text: what the containers on the winning path hold, and the page's own best container."""
+    """The main text: what the containers on the winning path and the page's own best container hold, and text like it beside that.
+
+    Where both stand in one container inside the body, all that holds.
+    """
     if not html:
         return ""
     page = parsed(html)
     best = scored(page)
     if not best:
         return ""
-    number = page.number(winner)
-    return _text(page, {best[0][1]} | {i for _, i in best if page.nodes[i].path == number})
+    number, own = page.number(winner), best[0][1]
+    roots = {own} | {i for _, i in best if page.nodes[i].path == number}
+    around = _common(page, roots)
+    if page.nodes[around].tag in CONTAINERS - {"body"}:
+        roots = {around}
+    return _text(page, roots | _beside(page, own))
 
 
 def votes(html: str | None) -> list[tuple[str, int]]:

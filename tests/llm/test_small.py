@@ -419,6 +419,65 @@ def test_ids_and_formulas_of_an_article_stay():
     assert htmlmain.extracted(page, None) == "first words\n\nRelated\n\nsaid here\n\nRights\n\nso x+1 holds"
 
 
+LONG = "words of the article that go on for long. " * 10
+WRAPPERS = ["sidebar-right", "layout-sidebar", "page header-fixed", "site-search-page", "two-col rail", "content-comment-page", "post legal", "banner", "widget notice"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<main><h1>T</h1><p>{}</p></main>", "<article><h1>T</h1><p>{}</p></article>", "<div><h1>T</h1><p>{}</p></div>"])
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_an_article_stays_whatever_its_wrappers_are_called(name, inner, kind):
+    long = LONG.strip()
+    page = f"<body><nav>home</nav><div {kind}='{name}'><div class='ad'>buy</div>{inner.format(long)}</div><div id='x'><p>Powered by</p></div><div class='comments'><p>me too</p></div></body>"
+    assert htmlmain.extracted(page, None) == f"T\n\n{long}"
+    tiny = f"<body><div {kind}='{name}'>{inner.format('tiny')}</div></body>"
+    assert htmlmain.extracted(tiny, None) == "T\n\ntiny"
+
+
+PARTS_OF_ARTICLES = ["<div class='legal-analysis'>{}</div>", "<p class='share-price'>{}</p>", "<div class='related-work'>{}</div>", "<div class='search-results'>{}</div>", "<p class='comment-free'>{}</p>", "<div class='has-sidebar no-comments'>{}</div>", "<p>{}</p>", "<table><tr><td class='header-cell'>{}</table>"]
+BOILERPLATE = ["<div class='ad'>{}</div>", "<div class='comments'><p>{}</p></div>", "<aside>{}</aside>", "<form>{}</form>", "<nav>{}</nav>", "<div class='share-buttons'>{}</div>", "<div id='cookie-banner'>{}</div>", "<ul class='related-posts'><li>{}</ul>", "<div class='newsletter'>{}</div>", "<div class='commentList'>{}</div>", "<div class='ad-slot-3'>{}</div>"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 10)), min_size=1, max_size=12), st.sampled_from(WRAPPERS), st.sampled_from(["main", "article", "div"]), st.randoms(use_true_random=False))
+def test_parts_of_articles_stay_and_boilerplate_goes(parts, wrapper, tag, rng):
+    """The page is made of blocks that say themselves whether they are the article's."""
+    body, want = [f"<h1>Title</h1><p>{LONG * 3}</p>"], ["Title", (LONG * 3).strip()]
+    for k, (mine, which) in enumerate(parts):
+        text = " ".join(f"{rng.choice(['one', 'two', 'three'])}{k}" for _ in range(rng.randint(1, 20)))
+        body.append((PARTS_OF_ARTICLES[which % len(PARTS_OF_ARTICLES)] if mine else BOILERPLATE[which % len(BOILERPLATE)]).format(text))
+        if mine:
+            want.append(text)
+    page = f"<html><body><header>site</header><div class='{wrapper}'><{tag}>{''.join(body)}</{tag}></div><footer>end</footer></body></html>"
+    assert htmlmain.extracted(page, None) == "\n\n".join(want)
+
+
+def test_text_beside_the_best_container_stays():
+    a, b = ("first part of the text. " * 20).strip(), ("second part of the text. " * 8).strip()
+    links = "<a href='/'>an old story of ours</a> " * 9
+    for one, two in (("<article>{}</article>", "<section>{}</section>"), ("<div class='post'>{}</div>", "<div class='post'>{}</div>"), ("<article>{}</article>", "<p>{}</p>"), ("<section>{}</section>", "<td>{}</td>")):
+        page = f"<body>{one.format('<p>' + a)}{two.format(b)}<div>{links}</div><div>Powered by</div></body>"
+        assert htmlmain.extracted(page, None) == f"{a}\n\n{b}"
+        page = f"<body>{one.format('<p>' + b)}{two.format(a)}<div>{links}</div><div>Powered by</div></body>"
+        assert htmlmain.extracted(page, None).startswith(f"{b}\n\n{a}")
+    page = f"<body><main><article><p>{a}</p></article></main><div>{b}</div></body>"
+    assert htmlmain.extracted(page, None) == a  # a page with main says what is outside
+
+
+def test_winner_and_own_container_meet():
+    a, b = ("what the host's path holds here. " * 4).strip(), ("what is longest in this page. " * 12).strip()
+    page = f"<body><div class='page'><div class='x'><p>{a}</p></div><p>between</p><div class='y'><p>{b}</p></div></div><div>Powered by</div></body>"
+    path = next(p for p, _ in htmlmain.votes(f"<body><div class='page'><div class='x'><p>{a}</p></div></div></body>") if p.endswith("div.x"))
+    assert htmlmain.extracted(page, path) == f"{a}\n\nbetween\n\n{b}"
+
+
+def test_forms_and_menus_around_a_whole_page():
+    long = LONG.strip()
+    assert htmlmain.extracted(f"<body><form action='x'><div><p>{long}</p></div><form><input>mail</form></form></body>", None).startswith(long)
+    assert htmlmain.extracted(f"<body><nav>never closed <main><p>{long}</p></main></body>", None) == long
+    assert htmlmain.extracted(f"<body><div class='post'><p>short text</p></div><div id='comments'><p>{long}</p></div></body>", None) == "short text"
+
+
 def test_whole_runs():
     block = next(text_blocks(pa.array(["a b c", "d", "e f"]), PLAIN_WORDS))
     assert whole_runs(block, 2).tolist() == [0, 1, 4] and whole_runs(block, 9).tolist() == []
