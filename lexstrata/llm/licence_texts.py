@@ -22,6 +22,7 @@ NAMED = (
     ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-1.1", "Apache License, Version 1.1"),
     ("MIT", "MIT License"),
+    ("MIT-0", "MIT No Attribution License"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("ISC", "ISC License"),
@@ -38,6 +39,7 @@ _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
 )
+_GRANT_ALONE = _GRANT.replace(", subject to the following conditions:", ".")
 _NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -64,9 +66,10 @@ TEXTS = (
     ("MIT", f"{_GRANT} {_NOTICE}"),
     ("MIT", f"MIT License {_GRANT} {_NOTICE} {_AS_IS}"),
     ("MIT", "Released under the MIT License."),
+    ("MIT-0", f"{_GRANT_ALONE}"),
+    ("MIT-0", f"MIT No Attribution {_GRANT_ALONE} {_AS_IS}"),
     ("BSD-2-Clause", f"{_BSD} {_BSD_TWO}"),
     ("BSD-2-Clause", f"{_BSD} {_BSD_TWO} {_BSD_AS_IS}"),
-    ("BSD-3-Clause", _BSD),
     ("BSD-3-Clause", f"{_BSD} {_BSD_TWO} {_BSD_THREE}"),
     ("BSD-3-Clause", f"{_BSD} {_BSD_TWO} {_BSD_THREE} {_BSD_AS_IS}"),
     ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -109,6 +112,7 @@ MARKS = (
     ("CC", "noncommercial sharealike noderivatives noderivs nc sa nd cc0 universal"),
     ("BSD-2-Clause BSD-3-Clause", "endorse neither"),
     ("ISC 0BSD", "appear provided"),
+    ("MIT", "conditions"),
 )
 
 
@@ -144,7 +148,12 @@ def _families() -> list[tuple[str, str]]:
                 (licence, f"SPDX-License-Identifier: {licence}"),
             ]
     for licence, name in NAMED:
-        out += [(licence, f"Licensed under the {name}."), (licence, f"SPDX-License-Identifier: {licence}")]
+        out += [
+            (licence, f"Licensed under the {name}."),
+            (licence, f"Licensed under the {name}. See LICENSE file in the project root for full license information."),
+            (licence, f"License: {licence}"),
+            (licence, f"SPDX-License-Identifier: {licence}"),
+        ]
     out.append(("0BSD", "SPDX-License-Identifier: 0BSD"))
     return out
 

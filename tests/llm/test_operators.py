@@ -351,6 +351,23 @@ def test_licenses(spark):
     ]
 
 
+def test_only_licence_files_are_inherited(spark):
+    code = "\n".join(f"value{i} = call{i}()" for i in range(30))
+    bsd = "Licensed under the BSD 2-Clause License.\n" + code
+    rows = [
+        (1, "a/f.py", bsd), (2, "a/g.py", code), (3, "a/e.py", "// SPDX-License-Identifier: EUPL-1.2\n" + code), (4, "b/LICENSE", "MIT License\n\nmore"), (5, "b/e.py", "// SPDX-License-Identifier: EUPL-1.2\n" + code),
+        (6, "b/f.py", code), (7, "c/x.py", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nprint(1)"), (8, "c/y.py", code), (9, "d/x", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\n"),
+        (10, "e/x", "License: MIT"), (11, "f/x", "Licensed under the MIT license. See LICENSE file in the project root for full license information.\n" + code),
+        (12, "g/x", "SPDX-License-Identifier: GPL-2.0-only\nprint(1)"), (13, "g/y", "SPDX-License-Identifier: GPL-2.0-or-later\nversion = 3"),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["how"], r["spdx"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("BSD-2-Clause", "own", None), 2: (None, "none", None), 3: (None, "none", "EUPL-1.2"), 4: ("MIT", "own", None), 5: (None, "none", "EUPL-1.2"), 6: ("MIT", "inherited", None),
+        7: ("MIT OR Apache-2.0", "own", "MIT OR Apache-2.0"), 8: (None, "none", None), 9: ("Apache-2.0 AND MIT", "own", None), 10: ("MIT", "own", None), 11: ("MIT", "own", None),
+        12: ("GPL-2.0", "own", "GPL-2.0"), 13: ("GPL-2.0", "own", "GPL-2.0"),
+    }
+
+
 def licences_of(spark, texts):
     files = spark.createDataFrame([(i, f"d{i}/f.c", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
     return [r["licence"] for r in licenses.scan(files).orderBy("doc_id").collect()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -20,7 +21,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexstrata.llm import decontam, htmlmain, labelled, nbsvm, packing, rules, simhash, substrings, warc
+from lexstrata.llm import decontam, htmlmain, labelled, licence_texts, licenses, nbsvm, packing, rules, simhash, substrings, warc
 from lexstrata.llm.nbsvm import dual_coordinate_descent
 from lexstrata.llm.shared import vocabulary_path
 from lexstrata.llm.wordspans import FOLDED_WORDS, PLAIN_WORDS, RollingHash, text_blocks, whole_runs
@@ -481,3 +482,81 @@ def test_forms_and_menus_around_a_whole_page():
 def test_whole_runs():
     block = next(text_blocks(pa.array(["a b c", "d", "e f"]), PLAIN_WORDS))
     assert whole_runs(block, 2).tolist() == [0, 1, 4] and whole_runs(block, 9).tolist() == []
+
+
+GPL_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {0} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    ("tag", "said"),
+    [
+        ("MIT", "MIT"), (" mit */", "MIT"), ("(MIT OR Apache-2.0)", "MIT OR Apache-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("GPL-2.0+ WITH Classpath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"),
+        ("MIT and (isc or EUPL-1.2) -->", "MIT AND (ISC OR EUPL-1.2)"), ("LicenseRef-own", "LicenseRef-own"), ("MIT OR", "MIT"), ("MIT License", "MIT"), ("", None), ("*/", None), ("((MIT)", None), ("(MIT) OR (ISC)", "(MIT) OR (ISC)"), ("MIT-0", "MIT-0"),
+    ],
+)
+def test_spdx_expressions(tag, said):
+    assert licenses.expression(tag) == said
+    assert licenses.tagged(f"x\n# SPDX-License-Identifier: {tag}\ny") == said
+
+
+def brute_weights(files):
+    """Document frequencies by bucket, without the operator's arrays."""
+    n, seen = len(files), Counter()
+    for f in files:
+        seen.update({int(licenses.bucket_of(licenses._hashes([w]))[0]) for w in set(plain_words(f))})
+    return lambda w: math.log((1 + n) / (1 + seen[int(licenses.bucket_of(licenses._hashes([w]))[0])])) + 1
+
+
+def plain_words(text):
+    return [w.translate(LOWER) for w in FOLDED.findall((text or "").translate(LOWER))]
+
+
+def brute_best(words, idf):
+    """The best template by cosine, among those whose name, version in place and marks the words have."""
+    def vector(ws):
+        return {w: c * idf(w) for w, c in Counter(ws).items()}
+
+    mine, best = vector(words), (0.0, None)
+    norm = math.sqrt(sum(v * v for v in mine.values()))
+    beside = set(zip(words, words[1:]))
+    for licence, text in licence_texts.TEMPLATES:
+        ws = plain_words(text)
+        version = re.search(r"-(\d+(?:\.\d+)*)$", licence)
+        digits = version[1].split(".") if version else []
+        need = {w for w in plain_words(licence) if w.isalpha()} | set(digits) | (set(plain_words(licence)) if "clause" in ws else set())
+        if not (need & set(ws)) <= set(words):
+            continue
+        said = max(((n, -p) for p in range(1, len(ws)) for n in range(1, len(digits) + 1) if [ws[p].removeprefix("v"), *ws[p + 1 : p + n]] == digits[:n]), default=None)
+        pairs = {(ws[-said[1] + i - 1], ws[-said[1] + i]) for i in range(said[0])} if said else set()
+        if "clause" in ws:
+            pairs.add((ws[ws.index("clause") - 1], "clause"))
+        if not pairs <= beside:
+            continue
+        marks = [w for family, m in licence_texts.MARKS for w in m.split() if any(licence == f or licence.startswith(f + "-") for f in family.split()) or family == "CC" and licence.startswith("CC")]
+        if any((w in ws) != (w in words) for w in marks):
+            continue
+        theirs = vector(ws)
+        cosine = sum(v * theirs.get(w, 0) for w, v in mine.items()) / norm / math.sqrt(sum(v * v for v in theirs.values()))
+        if round(cosine, 5) > round(best[0], 5):
+            best = (cosine, licence)
+    return best if best[0] >= licenses.THRESHOLD else (0.0, None)
+
+
+def test_licences_equal_brute_force_over_all_templates():
+    rng = random.Random(5)
+    texts = [t for _, t in licence_texts.TEMPLATES]
+    files = [t + "\n" + rng.choice(["x = 1", "x = 2\nversion = 3", "print(1)", "int main(void) { return 3; }", "plain words of some other kind"]) for t in texts]
+    files += [rng.choice(texts)[: rng.randint(20, 200)] for _ in range(60)] + [GPL_NOTICE.format(v) for v in (1, 2, 3, 4)] + ["some text", "license"]
+    block = next(text_blocks(pa.array(files), FOLDED_WORDS, True, 1 << 30))
+    buckets = Counter()
+    for f in files:
+        buckets.update({int(b) for b in licenses.bucket_of(licenses._hashes(plain_words(f)))})
+    weights = licenses.Weights.of(len(files), np.array(list(buckets)), np.array(list(buckets.values())))
+    h = licenses._HASH.words(block)
+    cosine, which = weights.best(h, licenses._KNOWN.terms(h), block.text_of_word(), len(files), licenses.THRESHOLD)
+    idf = brute_weights(files)
+    for f, c, k in zip(files, cosine, which, strict=True):
+        want, licence = brute_best(plain_words(f), idf)
+        assert abs(c - want) < 1e-4 and (licenses._KNOWN.licences[k] if k >= 0 else None) == licence, f
+    found, *_ = licenses.chosen(weights, block, licenses.THRESHOLD)
+    assert [x for x in found[: len(texts)]] == [name for name, _ in licence_texts.TEMPLATES]  # code under a notice changes nothing
