@@ -22,7 +22,9 @@ n * n.
 more: that is a distance of about 39 bits between fingerprints of ``WIDE`` bits,
 too far for any anchors, but such texts have nearly the same words.  So two
 independent 64-bit fingerprints of the distinct words bring the candidates
-together, and the wide fingerprint of the shingles decides.
+together, and wide fingerprints of the shingles say which are worth a look:
+of each cell a spanning forest of the nearest.  The sets themselves, taken
+from the whole texts, decide on each of its edges; only those are links.
 
 Cases: null and empty texts, and those of white space, have fingerprint zero
 and are linked like any other; texts of fewer words than a shingle are one
@@ -56,7 +58,10 @@ CELL_ROWS = 16_384
 #: of the near-dedup stage: words in a shingle, bits of its fingerprint and how many may differ.
 WIDE_SHINGLE = 5
 WIDE = 256
-WIDE_BITS = 40
+WIDE_BITS = 48
+WIDE_LEVELS = 6
+#: Texts whose sets of shingles are alike at NUMERATOR / DENOMINATOR or more are near copies.
+ALIKE = (4, 5)
 #: Candidates differ in at most so many bits in one of the fingerprints of distinct words.
 WORD_BITS = 5
 _WORDS, _HASH_BITS = RollingHash(0x51A5), 42
@@ -189,7 +194,7 @@ def forest(own: np.ndarray, node: np.ndarray, prints: np.ndarray, most_bits: int
 
     Rows are linked at ``most_bits`` or fewer differing bits of their prints,
     if their wide fingerprints (columns of ``wide``, maybe none) differ in at
-    most ``wide_bits``.
+    most ``wide_bits``.  Links of nearer wide fingerprints come first, in WIDE_LEVELS.
     """
     parent = np.arange(len(node))
 
@@ -201,22 +206,29 @@ def forest(own: np.ndarray, node: np.ndarray, prints: np.ndarray, most_bits: int
 
     out, label = [], np.arange(len(node))  # a root once known, to pass over what is joined already
     step = max(1, (1 << 20) // max(1, len(node)))
-    for at in range(0, len(own), step):
-        some = own[at : at + step]
-        near = np.bitwise_count(prints[some][:, None] ^ prints[None, :]) <= most_bits
-        for i in np.flatnonzero(near.sum(1) > 1).tolist():
-            a = int(some[i])
-            ra = root(a)
-            found = np.flatnonzero(near[i])
-            found = found[label[found] != ra]
-            if len(found) and len(wide):
-                found = found[np.bitwise_count(wide[:, found] ^ wide[:, a][:, None]).sum(0) <= wide_bits]
-            for k in found.tolist():
-                rb = root(k)
-                if rb != ra:
-                    parent[rb] = ra
-                    out.append((int(node[a]), int(node[k])))
-            label[found] = ra
+    levels = [wide_bits * k // WIDE_LEVELS for k in range(1, WIDE_LEVELS + 1)] if len(wide) else [0]
+    for nth, bits in enumerate(levels):
+        some_near = []
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            near = np.bitwise_count(prints[some][:, None] ^ prints[None, :]) <= most_bits
+            rows = np.flatnonzero(near.sum(1) > 1)
+            some_near.append(some[rows])
+            for i in rows.tolist():
+                a = int(some[i])
+                ra = root(a)
+                found = np.flatnonzero(near[i])
+                found = found[label[found] != ra]
+                if len(found) and len(wide):
+                    found = found[np.bitwise_count(wide[:, found] ^ wide[:, a][:, None]).sum(0) <= bits]
+                for k in found.tolist():
+                    rb = root(k)
+                    if rb != ra:
+                        parent[rb] = ra
+                        out.append((int(node[a]), int(node[k])))
+                label[found] = ra
+        if not nth:
+            own = np.concatenate([own[:0], *some_near])  # the others have no link at any level
     return out
 
 
@@ -306,14 +318,65 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("string"), 256))
 
 
+def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash of 64 bits) of the distinct 5-word shingles of each text, in this order; a shorter text is one shingle."""
+    counts = block.counts()
+    words, text = _WORDS.words(block), block.text_of_word()
+    place = np.arange(len(words)) - block.word_at[text]
+    shingle, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k in range(1, WIDE_SHINGLE + 1):
+        runs = _WORDS.runs(words, k)
+        i = np.flatnonzero((counts[text] - place >= k) if k == WIDE_SHINGLE else (counts[text] == k) & (place == 0))
+        shingle.append(mix(runs[i] + np.uint64(k)))
+        of.append(text[i])
+    owner, h = np.concatenate(of), np.concatenate(shingle)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))[: len(owner)]
+    return owner[new], h[new]
+
+
+def set_digests(block: Block) -> np.ndarray:
+    """Two sums over each text's set of shingles: equal sets have equal ones, others don't but by chance of 2 ** -128."""
+    owner, h = shingle_sets(block)
+    out = np.zeros((len(block), 2), np.uint64)
+    for k in range(2):
+        np.add.at(out[:, k], owner, mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)))
+    return out
+
+
+def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether the sets of shingles of two texts, row by row, are alike at ALIKE or more; two empty sets are."""
+    out = []
+    for i in range(len(a)):
+        two = next(text_blocks(pa.concat_arrays([a.slice(i, 1), b.slice(i, 1)]), PLAIN_WORDS, True, 1 << 62))
+        owner, h = shingle_sets(two)
+        size = int(np.searchsorted(owner, 1))
+        both = len(np.intersect1d(h[:size], h[size:], assume_unique=True))
+        out.append(ALIKE[1] * both >= ALIKE[0] * (len(h) - both))
+    return np.array(out, bool)
+
+
+def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges (u, v) between texts (node, text) whose sets are alike."""
+    pairs = edges.join(texts.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "b"}), "v")
+
+    def check(batches):
+        for batch in batches:
+            keep = pa.array(alike(batch.column("a"), batch.column("b")))
+            yield batch.select(["u", "v"]).filter(keep)
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(tidy(check), "u long, v long")
+
+
 def with_wide_fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, a, b (fingerprints of the words) and s0.. (the wide fingerprint) of every row."""
-    names = ["a", "b", *(f"s{k}" for k in range(WIDE // 64))]
+    """doc_id, text_key, a, b (fingerprints of the words), s0.. (the wide fingerprint) and t0, t1 (the set's digest) of every row."""
+    names = ["a", "b", *(f"s{k}" for k in range(WIDE // 64)), "t0", "t1"]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def printed(batches):
         for b in batches:
-            found = [wide_fingerprints(block) for block in text_blocks(b.column("text"), PLAIN_WORDS, fold=True)]
+            found = [np.hstack([wide_fingerprints(block), set_digests(block)]) for block in text_blocks(b.column("text"), PLAIN_WORDS, fold=True)]
             fp = np.concatenate([np.zeros((0, len(names)), np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(len(names)))], names=["doc_id", "text_key", *names])
 
@@ -324,20 +387,28 @@ def one_of_each(documents: DataFrame, word_bits: int = WORD_BITS, wide_bits: int
     """The documents' rows, all columns, with one row of each class of texts alike at 0.8 or more: the smallest doc_id's.
 
     Ids may be null or stand for several texts, so the row that stays is found
-    by its id and its text's hash; of rows that share both one stays.
+    by its id and its text's hash; of rows that share both, the one whose columns
+    as JSON sort first.
     """
     prints = with_wide_fingerprints(documents)
     wide = [c for c in prints.columns if c[0] == "s"]
-    rows = prints.groupBy(*wide, "doc_id", "text_key").agg(F.min(F.struct("a", "b")).alias("words"), F.count(F.lit(1)).alias("n"))
+    sets = [*wide, "t0", "t1"]
+    rows = prints.groupBy(*sets, "doc_id", "text_key").agg(F.min(F.struct("a", "b")).alias("words"), F.count(F.lit(1)).alias("n"))
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "n")
     # Numbers are given to a table that is then written once, so they stay what they are.
-    nodes = stored(rows.groupBy(*wide).agg(F.min(first).alias("first"), F.min("words").alias("words")).select(F.monotonically_increasing_id().alias("node"), "words.a", "words.b", *wide, "first"), "nodes")
-    roots = components(links(nodes, ["a", "b"], word_bits, wide, wide_bits))
+    nodes = stored(rows.groupBy(*sets).agg(F.min(first).alias("first"), F.min("words").alias("words")).select(F.monotonically_increasing_id().alias("node"), "words.a", "words.b", *wide, "first"), "nodes")
+    edges = stored(links(nodes, ["a", "b"], word_bits, wide, wide_bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    looked = nodes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key"))
+    hashed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    found = hashed.join(looked, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    texts = stored(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    roots = components(verified(edges, texts))
     members = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = stored(members.agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key", "first.n"), "kept")
     same = documents["doc_id"].eqNullSafe(kept["doc_id"]) & text_key(documents["text"]).eqNullSafe(kept["text_key"])
     # A sort-merge join at every size: a plan that changes with the input hides how it grows.
     once = documents.join(kept.where("n = 1").hint("merge"), same, "left_semi")
-    if kept.where("n > 1").isEmpty():
-        return once
-    return once.union(documents.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    repeated = documents.join(kept.where("n > 1"), same, "left_semi").groupBy(F.col("doc_id").alias("of_id"), text_key(F.col("text")).alias("of_key"))
+    return once.union(repeated.agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*"))

@@ -166,6 +166,37 @@ def test_one_of_each_equals_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
 
+def test_sets_decide_which_texts_go(spark):
+    """Copies on both sides of 0.8: what goes has a partner at 0.8 in its class, and few such pairs both stay."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(150):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 300))]
+        texts.append(" ".join(w))
+        for _ in range(rng.choice([1, 1, 2])):
+            v = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 25))):
+                v[rng.randrange(len(v))] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(j, i) for i in range(len(texts)) for j in range(max(0, i - 3), i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    below = [(j, i) for i in range(len(texts)) for j in range(max(0, i - 3), i) if 0.6 < len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8]
+    assert len(pairs) > 60 and len(below) > 40
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, texts)).collect()}
+    partners = defaultdict(set)
+    for a, b in pairs:
+        partners[a].add(b)
+        partners[b].add(a)
+    assert all(partners[i] for i in range(len(texts)) if i not in kept)
+    assert sum(not {a, b} <= kept for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_which_of_repeated_rows_stays(spark):
+    rows = [(3, "same text here now", x, None) for x in ("b", "a", "c")] * 5 + [(4, "other words entirely apart", "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert sorted(tuple(r) for r in simhash.one_of_each(docs).collect()) == [(3, "same text here now", "a", None), (4, "other words entirely apart", "z", 1)]
+
+
 def test_one_of_repeated_rows_stays(spark):
     rows = frame(spark, ["same text here now", "same text here now", "other words entirely apart"], [3, 3, 8])
     assert sorted(r["doc_id"] for r in simhash.one_of_each(rows).collect()) == [3, 8]
