@@ -129,7 +129,7 @@ class EvidenceService:
         if index is None:
             found, relaxed = lexical.search(self.tables.records, self._served(principal), query, query_mode, limit, package_digest, scope_prefix)
         else:
-            hits, relaxed = postings.search(index, self._served(principal), query, query_mode, limit, package_digest, scope_prefix)
+            hits, relaxed = postings.search(index, self._served(principal), query, query_mode, limit, package_digest, scope_prefix, getattr(self.tables, "blocks", None))
             found = postings.with_text(hits, self.tables.records, limit)
         shown = parse(query, query_mode, relaxed) if relaxed else parsed
         rows = lexical.snippets(found, shown).orderBy("score", "package_digest", "ordinal").collect()

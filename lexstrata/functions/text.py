@@ -6,49 +6,81 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexstrata.errors import error
 
-# Diacritics of the Latin letters that the index folds, and their letters.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 QUERY_TOKEN = re.compile(r"[\w./-]+")
 
+
+def _fold_table() -> tuple[dict[str, str], str]:
+    """Letters that lower-casing alone doesn't fold, and the marks that the index passes over.
+
+    A letter folds to its simple case folding, and from there to its ASCII
+    letter if it is that with one mark.  The marks are those of such letters.
+    """
+    letters, marks = {}, set()
+    for code in range(0x80, 0x20000):
+        c = chr(code)
+        if unicodedata.category(c)[0] not in "LN":
+            continue
+        low = c.casefold() if len(c.casefold()) == 1 else c.lower() if len(c.lower()) == 1 else c
+        parts = unicodedata.normalize("NFD", "\u0069\u0307" if c == "\u0130" else low)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.combining(parts[1]):
+            marks.add(parts[1])
+            low = parts[0]
+        # The capital sigma has two small forms, of which lower-casing takes one by what stands beside it.
+        if low != c.lower() or c == "\u03a3":
+            letters[c] = low
+    return letters, "".join(sorted(marks))
+
+
+_LETTERS, MARKS = _fold_table()
+#: What is translated before lower-casing; what has no partner, the marks, goes.
+FOLD_FROM = "".join(_LETTERS) + MARKS
+FOLD_TO = "".join(_LETTERS.values())
+_FOLD = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, MARKS)
+_TOKENS = regex.compile(TOKEN)
+#: A token as it stands in a text, marks and all.
+WRITTEN_TOKEN = regex.compile(TOKEN[:-1] + "[" + TOKEN[1:-2] + MARKS + "]*")
+
 # Words that natural-language queries pass over.
-STOP_WORDS = frozenset("a about an and are as at be by did do does for from how in is it of on or say that the to what when where which with".split())
-WRAPPER_WORDS = frozenset("document spec specification standard".split())
+STOP_WORDS = frozenset({
+    "a", "about", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "how", "in", "is", "it",
+    "of", "on", "or", "say", "that", "the", "to", "what", "when", "where", "which", "with",
+})
+WRAPPER_WORDS = frozenset({"document", "spec", "specification", "standard"})
 
 # Discovery alternatives of the concept mode.
-CONCEPTS = tuple(
-    tuple(line.split())
-    for line in """
-rationale justification reason basis why
-assumption assumptions premise hypothesis
-tailored tailoring customized adapted
-criterion criteria
-selected chosen selection derived
-environmental environment ambient
-worldwide global world
-polar antarctic arctic
-excluded except exclusion exception
-replace substitute substitutes replacement
-standalone separately separate independent
-failure malfunction fault
-inspect inspection examine examination
-maximum upper ceiling
-minimum lower floor
-duration period time
-""".strip().splitlines()
+CONCEPTS = (
+    ("rationale", "justification", "reason", "basis", "why"),
+    ("assumption", "assumptions", "premise", "hypothesis"),
+    ("tailored", "tailoring", "customized", "adapted"),
+    ("criterion", "criteria"),
+    ("selected", "chosen", "selection", "derived"),
+    ("environmental", "environment", "ambient"),
+    ("worldwide", "global", "world"),
+    ("polar", "antarctic", "arctic"),
+    ("excluded", "except", "exclusion", "exception"),
+    ("replace", "substitute", "substitutes", "replacement"),
+    ("standalone", "separately", "separate", "independent"),
+    ("failure", "malfunction", "fault"),
+    ("inspect", "inspection", "examine", "examination"),
+    ("maximum", "upper", "ceiling"),
+    ("minimum", "lower", "floor"),
+    ("duration", "period", "time"),
 )
 _CONCEPT_OF = {word: group for group in CONCEPTS for word in group}
 MODES = ("exact_phrase", "all_terms", "any_terms", "natural_language", "concept_language")
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case, without diacritics; texts of ASCII alone need no table."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.lower(F.when(ascii_only, text).otherwise(F.translate(text, FOLD_FROM, FOLD_TO)))
 
 
 def tokens(text: Column) -> Column:
@@ -57,12 +89,12 @@ def tokens(text: Column) -> Column:
 
 
 def fold_word(word: str) -> str:
-    return word.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    return word.translate(_FOLD).lower()
 
 
 def index_tokens(text: str) -> list[str]:
     """The same tokens on the driver, for queries."""
-    return [fold_word(t) for t in re.findall(r"[^\W_]+", unicodedata.normalize("NFC", text))]
+    return _TOKENS.findall(fold_word(text))
 
 
 @dataclass(frozen=True)
@@ -192,12 +224,42 @@ def _cvc(w: str) -> bool:
 
 
 # Suffixes of the published Porter algorithm, steps 2 to 4.
-_STEP2 = [x.split(":") for x in "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log".split()]
-_STEP3 = [x.split(":") for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()]
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-
-
-def _replaced(w: str, pairs: list[list[str]]) -> str:
+_STEP2 = [
+    ("ational", "ate"),
+    ("tional", "tion"),
+    ("enci", "ence"),
+    ("anci", "ance"),
+    ("izer", "ize"),
+    ("bli", "ble"),
+    ("alli", "al"),
+    ("entli", "ent"),
+    ("eli", "e"),
+    ("ousli", "ous"),
+    ("ization", "ize"),
+    ("ation", "ate"),
+    ("ator", "ate"),
+    ("alism", "al"),
+    ("iveness", "ive"),
+    ("fulness", "ful"),
+    ("ousness", "ous"),
+    ("aliti", "al"),
+    ("iviti", "ive"),
+    ("biliti", "ble"),
+    ("logi", "log"),
+]
+_STEP3 = [
+    ("icate", "ic"),
+    ("ative", ""),
+    ("alize", "al"),
+    ("iciti", "ic"),
+    ("ical", "ic"),
+    ("ful", ""),
+    ("ness", ""),
+]
+_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+
+
+def _replaced(w: str, pairs: list[tuple[str, str]]) -> str:
     for old, new in sorted(pairs, key=lambda p: -len(p[0])):
         if w.endswith(old):
             stem = w[: len(w) - len(old)]

@@ -1,22 +1,32 @@
-"""Closures, ancestry, navigation and impact paths over edge DataFrames.
+"""Closures, ancestry, cycles, navigation and impact paths over edge DataFrames.
 
 Walks are frontier loops: each level joins the frontier with the edges and
 drops what was seen by an anti join.  Keys are record ids within packages, so
 both sides of a level are hashed alike; every few levels the state is written
 to the cluster's checkpoint folder, which keeps plans short and survives lost
-executors.  The depth is bounded, and a walk that doesn't end raises.
+executors.  No walk has a bound: each ends when it meets nothing new.
+
+Parent chains are followed by pointer doubling: a chain of n records takes
+log2(n) rounds, and one that hasn't ended after more steps than there are
+records runs into a cycle.  Closures of all roots at once (``reaches``) are kept
+as sets of numbers in chunks of CHUNK_BITS bits, not as a row for each root and record.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.errors import error
 from lexstrata.sources.folder import shared_folder
 
-MAX_DEPTH = 64
 EVERY = 3
+#: Records whose numbers agree but for so many low bits share a chunk of a set.
+CHUNK_BITS = 16
+#: Members of cycles that an error names.
+NAMED = 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,7 +45,7 @@ def closure(roots: DataFrame, edges: DataFrame, by_root: bool = False) -> DataFr
     step = checkpointed(edges.where("required").select("package_digest", F.col("source_record_id").alias("record_id"), F.col("target_record_id").alias("target")))
     seen = (roots.withColumn("root_id", F.col("record_id")) if by_root else roots).select(*keys).distinct().withColumn("depth", F.lit(0).cast("long"))
     seen = frontier = checkpointed(seen)
-    for depth in range(1, MAX_DEPTH + 1):
+    for depth in count(1):
         nxt = frontier.join(step, ["package_digest", "record_id"]).withColumn("record_id", F.col("target")).select(*keys).distinct()
         nxt = checkpointed(nxt.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if nxt.isEmpty():
@@ -43,48 +53,148 @@ def closure(roots: DataFrame, edges: DataFrame, by_root: bool = False) -> DataFr
         seen, frontier = seen.union(nxt), nxt
         if depth % EVERY == 0:
             seen = checkpointed(seen)
-    raise error("incomplete_dependency", f"A closure is deeper than {MAX_DEPTH} edges.")
+    return seen
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """package_digest, record_id and ``number``: numbers rise with (package, record), so their order is that of the ids.
+
+    Written once, so numbers stay what they are.
+    """
+    ids = checkpointed(records.select("package_digest", "record_id").distinct())
+    return checkpointed(ids.repartitionByRange("package_digest", "record_id").sortWithinPartitions("package_digest", "record_id").withColumn("number", F.monotonically_increasing_id()))
+
+
+def _chunk(number: Column) -> Column:
+    return F.shiftright(number, CHUNK_BITS)
+
+
+def _low(number: Column) -> Column:
+    return number.bitwiseAND((1 << CHUNK_BITS) - 1).cast("int")
+
+
+def reaches(roots: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(numbers, sets): what each root reaches over required edges, itself included.
+
+    sets has (root, chunk, depth, members): the low bits of the numbers that lie
+    at this depth, the least number of edges from the root; a row has at most
+    2 ** CHUNK_BITS members.  Ids are near to those of the same document, so a
+    closure is a few rows.  A round goes one level up: a root's next level is
+    what its targets have at their last level, less what it has already.
+    """
+    required = edges.where("required").select("package_digest", "source_record_id", "target_record_id").distinct()
+    ends = required.select("package_digest", F.col("source_record_id").alias("record_id")).union(required.select("package_digest", F.col("target_record_id").alias("record_id")))
+    numbers = numbered(roots.select("package_digest", "record_id").union(ends))
+    source = numbers.select("package_digest", F.col("record_id").alias("source_record_id"), F.col("number").alias("source"))
+    target = numbers.select("package_digest", F.col("record_id").alias("target_record_id"), F.col("number").alias("target"))
+    step = checkpointed(required.join(source, ["package_digest", "source_record_id"]).join(target, ["package_digest", "target_record_id"]).select("source", "target"))
+    # Sets are of all numbers, as roots reach through records that aren't roots.
+    own = numbers.select(F.col("number").alias("root"), _chunk(F.col("number")).alias("chunk"), F.array(_low(F.col("number"))).alias("members"))
+    levels = own.withColumn("depth", F.lit(0).cast("long"))
+    last, seen = own, own
+    for depth in count(1):
+        there = step.join(last.withColumnRenamed("root", "target"), "target").select(F.col("source").alias("root"), "chunk", F.explode("members").alias("member"))
+        met = there.groupBy("root", "chunk").agg(F.collect_set("member").alias("met"))
+        new = met.join(seen.withColumnRenamed("members", "old"), ["root", "chunk"], "left")
+        new = new.select("root", "chunk", F.array_except("met", F.coalesce("old", F.array().cast("array<int>"))).alias("members"))
+        last = checkpointed(new.where(F.size("members") > 0))
+        if last.isEmpty():
+            break
+        levels = levels.union(last.withColumn("depth", F.lit(depth).cast("long")))
+        both = seen.union(last).groupBy("root", "chunk").agg(F.flatten(F.collect_list("members")).alias("members"))  # two rows at most
+        seen = checkpointed(both)
+    wanted = roots.select("package_digest", "record_id").distinct().join(numbers, ["package_digest", "record_id"]).select(F.col("number").alias("root"))
+    return numbers, levels.join(wanted, "root", "left_semi").select("root", "chunk", "depth", "members")
+
+
+def reach_summary(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """package_digest, root_id, n_records, depth and first_id (the least id) of each root's closure."""
+    numbers, sets = reaches(roots, edges)
+    least = F.shiftleft(F.col("chunk"), CHUNK_BITS) + F.array_min("members")
+    found = sets.groupBy("root").agg(F.sum(F.size("members")).cast("long").alias("n_records"), F.max("depth").alias("depth"), F.min(least).alias("least"))
+    named = found.join(numbers.withColumnRenamed("number", "root").withColumnRenamed("record_id", "root_id"), "root")
+    first = numbers.select(F.col("number").alias("least"), F.col("record_id").alias("first_id"))
+    return named.join(first, "least").select("package_digest", "root_id", "n_records", "depth", "first_id")
 
 
 def ordered_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root_pos, seq, record_id) of one package's closure in emission order.
+    """(package_digest, request, root_pos, level, record_id, place) of the closures of requests in emission order.
 
-    Roots in request order, each walked breadth first with edges by
-    (relationship, target); a record comes once, where it is met first.
+    A request is some roots of a package in an order (``root_pos``), each walked
+    breadth first with edges by (relationship, target); a record comes once in a
+    request, where it is met first.  Requests are numbered apart; roots without
+    a request, or without a package, are one.
     """
-    step = edges.where("required").select(F.col("source_record_id").alias("record_id"), "relationship", F.col("target_record_id").alias("target"))
-    start = roots.groupBy("record_id").agg(F.min("root_pos").alias("root_pos"))
-    seen = frontier = checkpointed(start.select("root_pos", "record_id", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("seq")))
-    for level in range(1, MAX_DEPTH + 1):
-        met = frontier.join(step, "record_id").select("root_pos", "seq", "relationship", F.col("target").alias("record_id"))
-        first = met.groupBy("root_pos", "record_id").agg(F.min(F.struct("seq", "relationship")).alias("at"))
-        order = Window.partitionBy("root_pos").orderBy("at", "record_id")
-        nxt = first.join(seen, ["root_pos", "record_id"], "left_anti").select("root_pos", "record_id", F.lit(level).cast("long").alias("level"), (F.row_number().over(order) - 1).cast("long").alias("seq"))
+    of = [c for c in ("package_digest", "request") if c in roots.columns]
+    package = of[:1] if "package_digest" in of else []
+    step = checkpointed(edges.where("required").select(*package, F.col("source_record_id").alias("record_id"), "relationship", F.col("target_record_id").alias("target")))
+    start = roots.groupBy(*of, "record_id").agg(F.min("root_pos").alias("root_pos"))
+    seen = frontier = checkpointed(start.select(*of, "root_pos", "record_id", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("seq")))
+    for level in count(1):
+        met = frontier.join(step, [*package, "record_id"]).select(*of, "root_pos", "seq", "relationship", F.col("target").alias("record_id"))
+        first = met.groupBy(*of, "root_pos", "record_id").agg(F.min(F.struct("seq", "relationship")).alias("at"))
+        order = Window.partitionBy(*of, "root_pos").orderBy("at", "record_id")
+        nxt = first.join(seen, [*of, "root_pos", "record_id"], "left_anti").select(*of, "root_pos", "record_id", F.lit(level).cast("long").alias("level"), (F.row_number().over(order) - 1).cast("long").alias("seq"))
         nxt = checkpointed(nxt)
         if nxt.isEmpty():
             break
         seen, frontier = seen.union(nxt), nxt
-    else:
-        raise error("incomplete_dependency", f"A closure is deeper than {MAX_DEPTH} edges.")
-    first = Window.partitionBy("record_id").orderBy("root_pos", "level", "seq")
-    rows = seen.withColumn("n", F.row_number().over(first)).where("n = 1")
-    everywhere = Window.orderBy("root_pos", "level", "seq")
-    return rows.select("root_pos", "level", "record_id", (F.row_number().over(everywhere) - 1).cast("long").alias("place"))
+    rows = seen.groupBy(*of, "record_id").agg(F.min(F.struct("root_pos", "level", "seq")).alias("at"))
+    everywhere = Window.partitionBy(*of).orderBy("at")
+    return rows.select(*of, "at.root_pos", "at.level", "record_id", (F.row_number().over(everywhere) - 1).cast("long").alias("place"))
+
+
+def _chains(records: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """(ended, cyclic): what is known of each record's chain of parents, and the records whose chain never ends.
+
+    ended: package_digest, record_id, depth and, with ``paths``, path (root first).
+    cyclic: package_digest, record_id, at (a member of its cycle) and least (for
+    members, the cycle's least one).  A parent that isn't there ends its chain.
+    """
+    key = ["package_digest", "record_id"]
+    path = [F.array().cast("array<string>").alias("path")] if paths else []
+    now = checkpointed(records.select(*key, F.col("parent_record_id").alias("at"), F.lit(0).cast("long").alias("depth"), F.col("record_id").alias("least"), *path))
+    before, steps, ended = -1, 1, None
+    while True:
+        active = now.where("at is not null")
+        up = now.select("package_digest", F.col("record_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("up_depth"), F.col("least").alias("up_least"), *([F.col("path").alias("up_path")] if paths else []))
+        there = F.col("up_depth").isNotNull()
+        longer = [F.when(there, F.concat("up_path", F.array("at"), "path")).otherwise(F.col("path")).alias("path")] if paths else []
+        went = active.join(up, ["package_digest", "at"], "left").select(*key, F.col("next").alias("at"), F.when(there, F.col("depth") + 1 + F.col("up_depth")).otherwise(F.col("depth")).alias("depth"), F.least("least", F.coalesce("up_least", "least")).alias("least"), *longer)
+        now = checkpointed(now.where("at is null").union(went))
+        steps *= 2
+        left = now.where("at is not null").count()
+        if ended is None and left == before:
+            # A round in which no chain ends shows that all others go on for ever: had one reached an end, it would have ended.
+            ended, now = now.where("at is null"), now.where("at is not null")
+        before = left
+        if not left or ended is not None and steps > left:  # every place of each cycle has been passed, too
+            break
+    out = now.where("at is null") if ended is None else ended
+    return out.select(*key, "depth", *(["path"] if paths else [])), now.where("at is not null").select(*key, "at", "least")
+
+
+def depths(records: DataFrame) -> DataFrame:
+    """(package_digest, record_id, depth): the number of records above; records whose chain runs into a cycle have none."""
+    ended, cyclic = _chains(records, False)
+    return ended.union(cyclic.select("package_digest", "record_id", F.lit(None).cast("long")))
+
+
+def cycles(records: DataFrame) -> DataFrame:
+    """(package_digest, cycle, record_id): the members of each cycle of parents, the cycle named by its least one."""
+    _, cyclic = _chains(records, False)
+    # A chain of more steps than records stands on a cycle, and each member is stepped on by another.
+    members = cyclic.select("package_digest", F.col("at").alias("record_id")).distinct()
+    return members.join(cyclic.select("package_digest", "record_id", F.col("least").alias("cycle")), ["package_digest", "record_id"]).select("package_digest", "cycle", "record_id")
 
 
 def ancestry(records: DataFrame) -> DataFrame:
-    """(package_digest, record_id, path) with the ids of the parents, root first."""
-    parents = records.select("package_digest", "record_id", "parent_record_id")
-    up = parents.select("package_digest", F.col("record_id").alias("at"), F.col("parent_record_id").alias("next"))
-    now = parents.select("package_digest", "record_id", F.col("parent_record_id").alias("at"), F.array().cast("array<string>").alias("path"))
-    done = None
-    for _ in range(MAX_DEPTH):
-        ended = now.where("at is null").select("package_digest", "record_id", "path")
-        done = ended if done is None else done.union(ended)
-        now = checkpointed(now.where("at is not null").join(up, ["package_digest", "at"]).select("package_digest", "record_id", F.col("next").alias("at"), F.concat(F.array("at"), "path").alias("path")))
-        if now.isEmpty():
-            return done
-    raise error("invalid_records", "A parent chain has a cycle or is too deep.")
+    """(package_digest, record_id, path) with the ids of the parents, root first; a cycle is an error that names members."""
+    ended, cyclic = _chains(records, True)
+    if not cyclic.isEmpty():
+        some = cycles(records).orderBy("package_digest", "cycle", "record_id").limit(NAMED).collect()
+        raise error("invalid_records", "Parent chains have cycles.", members=[r["record_id"] for r in some])
+    return ended.select("package_digest", "record_id", "path")
 
 
 def neighbours(records: DataFrame) -> DataFrame:
@@ -135,7 +245,7 @@ def impact(status: DataFrame, before: DataFrame, after: DataFrame, before_ids: D
         start = ids.select("package_digest", F.col("record_id").alias("start"), F.col("record_id").alias("source_record_id"), F.array().cast("array<string>").alias("path"))
         seen = start.select("package_digest", "start", F.col("source_record_id").alias("node"))
         frontier = start
-        for _ in range(MAX_DEPTH):
+        while True:
             met = frontier.join(e, ["package_digest", "source_record_id"])
             met = checkpointed(met.select("package_digest", "start", "source_record_id", "relationship", "target_record_id", "cause_type", F.concat("path", F.array(F.concat_ws(">", "source_record_id", "target_record_id"))).alias("path")))
             hit = met.where("cause_type is not null").withColumn("side", F.lit(side))
@@ -146,8 +256,6 @@ def impact(status: DataFrame, before: DataFrame, after: DataFrame, before_ids: D
                 break
             seen = seen.union(nxt.select("package_digest", "start", "node"))
             frontier = nxt.select("package_digest", "start", F.col("node").alias("source_record_id"), "path")
-        else:
-            raise error("incomplete_dependency", f"A path is longer than {MAX_DEPTH} edges.")
     edge = F.when(F.col("cause_type") != "target_record_changed", F.struct("source_record_id", "relationship"))
     best = out.groupBy("side", "package_digest", F.col("start").alias("record_id"), "cause_type", F.col("target_record_id").alias("cause_record_id"), edge.alias("edge")).agg(F.min(F.struct(F.size("path").alias("depth"), F.col("path"))).alias("best"))
     return best.select("side", "package_digest", "record_id", "cause_type", "cause_record_id", F.col("best.depth").cast("long").alias("depth"), F.col("best.path").alias("path"))

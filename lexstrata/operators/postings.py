@@ -5,11 +5,19 @@ ranks need stand beside them, so a search reads the rows of its tokens and
 nothing else.  Rows are ordered by form and token, so Parquet's statistics leave
 out the rest, and a token of very many records is spread over several files.
 Ranks are those of ``search``: they use the row alone.
+
+``blocks`` has, for each token and each BLOCK consecutive ordinals of a package,
+the most that a column of the token can add to a score.  The best records of a
+query are looked for in the blocks that promise most; the k-th best score found
+there says which other blocks could hold a better one, and only their rows are
+read (``pruned``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,31 +25,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import Phrase, Query, parse, porter, tokens
-from lexstrata.operators.graph import checkpointed
 from lexstrata.operators.search import all_of, in_scope
 
 COLUMNS = ("clause_reference", "heading", "text")
-POSTINGS = "form string, token string, package_digest string, record_id string, clause_reference string, ordinal long, heading_chars int, text_chars int, place byte, positions array<int>"
+POSTINGS = "form string, token string, package_digest string, record_id string, clause_reference string, ordinal long, heading_chars int, text_chars int, place byte, n_hits int, positions array<int>, gain double"
+BLOCKS = "form string, token string, package_digest string, block long, gain double"
 CARRIED = ("package_digest", "record_id", "clause_reference", "ordinal", "heading_chars", "text_chars")
+#: What an occurrence in a column adds to a score, before the row's length divides it.
+WEIGHTS = (0.25, 2.0, 1.0)
+#: Ordinals in a block, and rows of the sample that the index's ranges are taken from.
+BLOCK = 64
+SAMPLE_ROWS = 20_000
+#: Blocks that a search begins with, blocks that the driver may hold, and ranges of ordinals that a scan is told.
+FIRST_BLOCKS, MOST_BLOCKS, MOST_RANGES = 32, 2048, 48
+
 
+def posted(records: DataFrame, bounds: list[str] | None = None) -> DataFrame:
+    """The postings of records, in no order; with bounds also the range of the index that each belongs to.
 
-def build(records: DataFrame) -> DataFrame:
-    """The postings of records, in the order of the index."""
+    A token that reaches over several ranges is dealt to them by blocks of ordinals.
+    """
     sizes = [F.coalesce(F.char_length(c), F.lit(0)).alias(f"{c}_chars") for c in ("heading", "text")]
     listed = [F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"{c}_tokens") for c in COLUMNS]
     rows = records.select("package_digest", "record_id", "clause_reference", F.col("ordinal").cast("long").alias("ordinal"), *sizes, *listed)
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for b in batches:
+            size = 1.0 + b.column("heading_chars").to_numpy() / 200.0 + b.column("text_chars").to_numpy() / 1000.0
+            ordinal = b.column("ordinal").to_numpy()
             for place, c in enumerate(COLUMNS):
                 column = b.column(f"{c}_tokens")
-                size = np.diff(column.offsets.to_numpy())
+                n_tokens = np.diff(column.offsets.to_numpy())
                 words = column.flatten().dictionary_encode()
                 if not len(words):
                     continue
-                row = np.repeat(np.arange(len(size)), size)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                row = np.repeat(np.arange(len(n_tokens)), n_tokens)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
                 code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 names = words.dictionary.to_pylist()
                 forms = [("word", names, code)]
@@ -51,15 +71,42 @@ def build(records: DataFrame) -> DataFrame:
                 for form, listed_names, codes in forms:
                     order = np.lexsort((at, codes, row))
                     first = np.flatnonzero(np.append(True, (row[order][1:] != row[order][:-1]) | (codes[order][1:] != codes[order][:-1])))
-                    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
-                    take = pa.array(row[order][first])
-                    n = len(first)
-                    arrays = [pa.array([form] * n), pa.array(listed_names).take(pa.array(codes[order][first])), *(b.column(x).take(take) for x in CARRIED), pa.array(np.full(n, place, np.int8)), positions]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["form", "token", *CARRIED, "place", "positions"])
+                    ends = np.append(first, len(order))
+                    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))
+                    mine, word = row[order][first], codes[order][first]
+                    take, n = pa.array(mine), len(first)
+                    gain = WEIGHTS[place] * np.diff(ends) / size[mine]
+                    arrays = [pa.array([form] * n), pa.array(listed_names).take(pa.array(word)), *(b.column(x).take(take) for x in CARRIED), pa.array(np.full(n, place, np.int8)), pa.array(np.diff(ends).astype(np.int32)), positions, pa.array(gain)]
+                    if bounds is not None:
+                        keys = [f"{form} {w}" for w in listed_names]
+                        low = np.array([bisect_left(bounds, k) for k in keys])
+                        wide = np.array([bisect_right(bounds, k) for k in keys]) - low + 1
+                        arrays.append(pa.array((low[word] + ordinal[mine] // BLOCK % wide[word]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(arrays, names=names_out)
+
+    names_out = [f.split()[0] for f in POSTINGS.split(", ")] + (["range"] if bounds is not None else [])
+    return rows.mapInArrow(post, POSTINGS + (", range int" if bounds is not None else ""))
+
+
+def build(records: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """The postings of records, in the order of the index, in one pass over them.
 
-    # Ranges are found from a sample, so what is sampled is written first.  The record's place spreads tokens that are in very many records.
-    ordered = checkpointed(rows.mapInArrow(posted, POSTINGS)).repartitionByRange("form", "token", "package_digest", "ordinal")
-    return ordered.sortWithinPartitions("form", "token", "package_digest", "ordinal")
+    The index's ranges are taken from at most SAMPLE_ROWS postings of a sample of
+    records (all of them where none is given).
+    """
+    sample = records if sample is None else sample
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = posted(sample).select(F.concat_ws(" ", "form", "token").alias("key")).orderBy(F.rand(7)).limit(SAMPLE_ROWS).collect()
+    keys = sorted(r["key"] for r in few)
+    bounds = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+    ranged = posted(records, bounds).repartitionById(len(bounds) + 1, F.col("range"))
+    return ranged.sortWithinPartitions("form", "token", "package_digest", "ordinal").drop("range")
+
+
+def blocks(postings: DataFrame) -> DataFrame:
+    """BLOCKS of stored postings: the largest gain of each column in a block, added up over the columns."""
+    most = postings.groupBy("form", "token", "package_digest", F.expr(f"ordinal div {BLOCK}").alias("block"), "place").agg(F.max("gain").alias("gain"))
+    return most.groupBy("form", "token", "package_digest", "block").agg(F.sum("gain").alias("gain"))
 
 
 def _positions(token: str, prefix: bool, place: int) -> Column:
@@ -94,18 +141,25 @@ def _instances(phrases: list[Phrase], place: int) -> Column:
     return F.aggregate(F.array_sort(F.flatten(F.array(*spans))), begin, step, lambda acc: acc["n"])
 
 
-def ranked(postings: DataFrame, packages: DataFrame, query: Query, limit: int | None = 20, package_digest: str | None = None, scope: str | None = None) -> DataFrame:
-    """The best records: package_digest, record_id, clause_reference, ordinal and score."""
+def _wanted(query: Query) -> Column:
+    """The rows of the query's tokens."""
     exact = sorted({t for p in query.phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)})
     wanted = F.col("token").isin(exact) if exact else F.lit(False)
     for begin in sorted({p.tokens[-1] for p in query.phrases if p.prefix}):
         wanted = wanted | F.col("token").startswith(begin)
-    rows = postings.where((F.col("form") == ("stem" if query.stemmed else "word")) & wanted)
+    return (F.col("form") == ("stem" if query.stemmed else "word")) & wanted
+
+
+def ranked(postings: DataFrame, packages: DataFrame, query: Query, limit: int | None = 20, package_digest: str | None = None, scope: str | None = None) -> DataFrame:
+    """The best records: package_digest, record_id, clause_reference, ordinal and score."""
+    rows = postings.where(_wanted(query))
     if package_digest is not None:
         rows = rows.where(F.col("package_digest") == package_digest)
     if scope is not None:
         rows = rows.where(in_scope(F.col("clause_reference"), scope))
     rows = rows.join(packages.select("package_digest"), "package_digest", "left_semi")
+    if all(len(p.tokens) == 1 and not p.prefix for p in query.phrases):
+        return _best(_ranked_words(rows, query), limit)
     # A record has at most one row per token of the query and column.
     rows = rows.groupBy(*CARRIED).agg(F.collect_list(F.struct("place", "token", "positions")).alias("hits"))
     places = range(1, 3) if query.stemmed else range(3)
@@ -113,27 +167,120 @@ def ranked(postings: DataFrame, packages: DataFrame, query: Query, limit: int |
     rows = rows.where(all_of([has(g) for g in query.groups], query.every))
     size = 1.0 + F.col("heading_chars") / 200.0 + F.col("text_chars") / 1000.0
     hits = lambda place: _instances(query.phrases, place)
-    rank = -((F.lit(0.0) if query.stemmed else 0.25 * hits(0)) + 2.0 * hits(1) + hits(2)) / size
+    rank = -((F.lit(0.0) if query.stemmed else WEIGHTS[0] * hits(0)) + WEIGHTS[1] * hits(1) + hits(2)) / size
     if query.concepts:
         rank = -100.0 * sum((has(g).cast("int") for g in query.groups), F.lit(0)) + F.greatest(F.lit(-9.0), rank)
-    rows = rows.withColumn("score", F.round(rank, 6)).select("package_digest", "record_id", "clause_reference", "ordinal", "score")
+    return _best(rows.withColumn("score", F.round(rank, 6)), limit)
+
+
+def _best(rows: DataFrame, limit: int | None) -> DataFrame:
+    rows = rows.select("package_digest", "record_id", "clause_reference", "ordinal", "score")
     return rows if limit is None else rows.orderBy("score", "package_digest", "ordinal").limit(limit)
 
 
-def search(postings: DataFrame, packages: DataFrame, text: str, mode: str = "all_terms", limit: int = 20, package_digest: str | None = None, scope: str | None = None) -> tuple[DataFrame, bool]:
-    """(hits, relaxed), as ``search.search`` gives them."""
-    strict = parse(text, mode)
-    found = ranked(postings, packages, strict, limit, package_digest, scope)
+def _ranked_words(rows: DataFrame, query: Query) -> DataFrame:
+    """Scores of records for phrases of one token each: sums of counts, without positions."""
+    names = {t: f"has{i}" for i, t in enumerate(sorted({p.tokens[0] for p in query.phrases}))}
+    counts = [F.sum(F.when(F.col("place") == place, F.col("n_hits")).otherwise(0)).alias(f"hits{place}") for place in range(3)]
+    rows = rows.groupBy(*CARRIED).agg(*counts, *(F.bool_or(F.col("token") == t).alias(c) for t, c in names.items()))
+    has = lambda group: reduce(lambda x, y: x | y, [F.col(names[p.tokens[0]]) for p in group])
+    size = 1.0 + F.col("heading_chars") / 200.0 + F.col("text_chars") / 1000.0
+    rank = -((F.lit(0.0) if query.stemmed else WEIGHTS[0] * F.col("hits0")) + WEIGHTS[1] * F.col("hits1") + F.col("hits2")) / size
+    if query.concepts:
+        rank = -100.0 * sum((has(g).cast("int") for g in query.groups), F.lit(0)) + F.greatest(F.lit(-9.0), rank)
+    return rows.where(all_of([has(g) for g in query.groups], query.every)).withColumn("score", F.round(rank, 6))
+
+
+def promised(blocks: DataFrame, packages: DataFrame, query: Query, package_digest: str | None = None) -> DataFrame:
+    """package_digest, block and the most that the score of a record in it can be, of blocks that may hold a match."""
+    rows = blocks.where(_wanted(query))
+    if package_digest is not None:
+        rows = rows.where(F.col("package_digest") == package_digest)
+    rows = rows.join(packages.select("package_digest"), "package_digest", "left_semi")
+    names = {t: f"t{i}" for i, t in enumerate(sorted({t for p in query.phrases for t in p.tokens}))}
+    rows = rows.groupBy("package_digest", "block").agg(*(F.sum(F.when(F.col("token") == t, F.col("gain")).otherwise(0.0)).alias(c) for t, c in names.items()))
+    # A phrase occurs at most as often as the rarest of its tokens.
+    most = {p: F.least(*(F.col(names[t]) for t in p.tokens)) if len(p.tokens) > 1 else F.col(names[p.tokens[0]]) for p in query.phrases}
+    there = [reduce(lambda x, y: x | y, [most[p] > 0 for p in g]) for g in query.groups]
+    bound = reduce(lambda x, y: x + y, most.values())
+    if query.concepts:
+        bound = 100.0 * reduce(lambda x, y: x + y, [x.cast("int") for x in there]) + F.least(F.lit(9.0), bound)
+    return rows.where(all_of(there, query.every)).select("package_digest", "block", bound.alias("bound"))
+
+
+def _in_blocks(chosen: list[tuple[str, int]], postings: DataFrame) -> DataFrame:
+    """The postings of these blocks; runs of blocks are said to the scan, so it can pass over the rest."""
+    runs: list[list] = []
+    for package, block in sorted(chosen):
+        if runs and runs[-1][0] == package and block <= runs[-1][2]:
+            runs[-1][2] = block + 1
+        else:
+            runs.append([package, block, block + 1])
+    rows = postings
+    if len(runs) <= MOST_RANGES:
+        here = [(F.col("package_digest") == p) & F.col("ordinal").between(a * BLOCK, b * BLOCK - 1) for p, a, b in runs]
+        return rows.where(reduce(lambda x, y: x | y, here))
+    packages = sorted({p for p, _ in chosen})
+    lowest, highest = min(b for _, b in chosen), max(b for _, b in chosen)
+    few = postings.sparkSession.createDataFrame(chosen, "package_digest string, block long")  # at most MOST_BLOCKS rows
+    rows = rows.where(F.col("package_digest").isin(packages) & F.col("ordinal").between(lowest * BLOCK, (highest + 1) * BLOCK - 1))
+    return rows.withColumn("block", F.expr(f"ordinal div {BLOCK}")).join(F.broadcast(few), ["package_digest", "block"], "left_semi").drop("block")
+
+
+def pruned(postings: DataFrame, blocks: DataFrame, packages: DataFrame, query: Query, limit: int = 20, package_digest: str | None = None, scope: str | None = None) -> DataFrame:
+    """What ``ranked`` gives, reading only blocks that can hold one of the best.
+
+    A query with the beginning of a token isn't pruned: which tokens it has isn't known beforehand.
+    """
+    plain = lambda rows: ranked(rows, packages, query, limit, package_digest, scope)
+    if any(p.prefix for p in query.phrases):
+        return plain(postings)
+    bounds = promised(blocks, packages, query, package_digest)
+    best = bounds.orderBy(F.desc("bound"), "package_digest", "block").limit(MOST_BLOCKS).collect()
+    spark, schema = postings.sparkSession, "package_digest string, record_id string, clause_reference string, ordinal long, score double"
+    if not best:
+        return spark.createDataFrame([], schema)
+    first = best[:FIRST_BLOCKS]
+    found = plain(_in_blocks([(r["package_digest"], r["block"]) for r in first], postings)).collect()
+    # Scores are rounded, so a block that promises as much but for rounding may hold an equal one.
+    least = -found[-1]["score"] - 1e-6 if len(found) == limit else 0.0
+    more = [r for r in best[FIRST_BLOCKS:] if r["bound"] >= least]
+    known = spark.createDataFrame(found, schema)
+    if not more:
+        return known
+    if len(best) == MOST_BLOCKS and best[-1]["bound"] >= least:  # there may be others than those of the driver
+        seen = spark.createDataFrame([(r["package_digest"], r["block"]) for r in first], "package_digest string, block long")
+        others = bounds.where(F.col("bound") >= least).join(F.broadcast(seen), ["package_digest", "block"], "left_anti")
+        rows = postings.where(_wanted(query)).withColumn("block", F.expr(f"ordinal div {BLOCK}")).join(others, ["package_digest", "block"], "left_semi").drop("block")
+    else:
+        rows = _in_blocks([(r["package_digest"], r["block"]) for r in more], postings)
+    return known.union(plain(rows)).orderBy("score", "package_digest", "ordinal").limit(limit)
+
+
+#: How a search ranks: (packages, query, limit, package_digest, scope) to the best records.
+Ranker = Callable[..., DataFrame]
+
+
+def _ranker(postings: DataFrame, blocks: DataFrame | None) -> Ranker:
+    if blocks is None:
+        return lambda *how: ranked(postings, *how)
+    return lambda *how: pruned(postings, blocks, *how)
+
+
+def search(postings: DataFrame, packages: DataFrame, text: str, mode: str = "all_terms", limit: int = 20, package_digest: str | None = None, scope: str | None = None, blocks: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(hits, relaxed), as ``search.search`` gives them; with blocks, by ``pruned``."""
+    strict, rank = parse(text, mode), _ranker(postings, blocks)
+    found = rank(packages, strict, limit, package_digest, scope)
     if mode in ("natural_language", "concept_language") and len(strict.groups) > 1 and found.isEmpty():
-        return ranked(postings, packages, parse(text, mode, relaxed=True), limit, package_digest, scope), True
+        return rank(packages, parse(text, mode, relaxed=True), limit, package_digest, scope), True
     return found, False
 
 
-def many(postings: DataFrame, packages: DataFrame, queries: dict[str, Query], limit: int = 20) -> DataFrame:
+def many(postings: DataFrame, packages: DataFrame, queries: dict[str, Query], limit: int = 20, blocks: DataFrame | None = None) -> DataFrame:
     """The best records of several queries: query, place and what ``ranked`` gives."""
-    out = None
+    out, rank = None, _ranker(postings, blocks)
     for name, query in queries.items():
-        found = ranked(postings, packages, query, limit)
+        found = rank(packages, query, limit)
         mine = found.agg(F.array_sort(F.collect_list(F.struct("score", "package_digest", "ordinal", "record_id"))).alias("best"))  # at most `limit` rows
         mine = mine.select(F.lit(name).alias("query"), F.posexplode("best").alias("place", "r")).select("query", (F.col("place") + 1).alias("place"), "r.*")
         out = mine if out is None else out.union(mine)

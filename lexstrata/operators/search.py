@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from lexstrata.functions.text import Phrase, Query, fold_word, folded, instances, parse, porter, tokens
+from lexstrata.functions.text import WRITTEN_TOKEN, Phrase, Query, fold_word, folded, instances, parse, porter, tokens
 
 COLUMNS = ("clause_reference", "heading", "text")
 
@@ -118,8 +118,6 @@ def many(records: DataFrame, packages: DataFrame, queries: dict[str, Query], lim
 
 def snippets(hits: DataFrame, query: Query, most: int = 20) -> DataFrame:
     """Adds matched_snippet: at most ``most`` tokens of the text around the first match, marked and verbatim."""
-    import re
-
     phrases, stem = [(p.tokens, p.prefix) for p in query.phrases], porter if query.stemmed else str
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +126,7 @@ def snippets(hits: DataFrame, query: Query, most: int = 20) -> DataFrame:
             yield b
 
     def snippet(text: str, wanted: list, stem, most: int) -> str:  # noqa: ANN001
-        found = [(m.start(), m.end(), stem(fold_word(m[0]))) for m in re.finditer(r"[^\W_]+", text)]
+        found = [(m.start(), m.end(), stem(fold_word(m[0]))) for m in WRITTEN_TOKEN.finditer(text)]
         marks: list[tuple[int, int]] = []
         for words, prefix in wanted:
             n = len(words)

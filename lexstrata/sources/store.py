@@ -15,6 +15,8 @@ from lexstrata.errors import error
 from lexstrata.operators import postings
 from lexstrata.sources.packs import Packs
 
+#: Files that the index of a package has at most.
+INDEX_FILES = 8
 GRANT = "principal_id string, package_digest string, generation long, can_serve boolean, revoked_at string, policy_fingerprint string"
 
 
@@ -73,6 +75,11 @@ class Store:
         """The search index, written with each package."""
         return self._read("postings", postings.POSTINGS)
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """What the blocks of the index promise."""
+        return self._read("blocks", postings.BLOCKS)
+
     @property
     def grants(self) -> DataFrame:
         latest = Window.partitionBy("principal_id", "package_digest").orderBy(F.desc("generation"))
@@ -118,11 +125,14 @@ class Store:
             parent = packs.records.select("package_digest", F.col("structure.logical_id").alias("parent_logical_id"), F.col("record_id").alias("parent_record_id")).where("parent_logical_id is not null")
             records = packs.records.withColumn("parent_logical_id", F.col("structure.parent_logical_id")).join(parent, ["package_digest", "parent_logical_id"], "left").drop("pack", "dependencies", "parent_logical_id")
             files = packs.files.where(F.col("path").startswith("sources/")).join(packs.packages.select("pack", "package_digest"), "pack").drop("pack")
-            index = postings.build(records).sortWithinPartitions("package_digest", "form", "token")
-            for name, rows in (("postings", index), ("records", records), ("dependencies", packs.dependencies), ("sources", files), ("packages", packs.packages.drop("pack"))):
+            # A package's postings are dealt to INDEX_FILES by token, so tasks don't each write a file for each package.
+            index = postings.posted(records).repartition("package_digest", F.pmod(F.xxhash64("token"), F.lit(INDEX_FILES))).sortWithinPartitions("package_digest", "form", "token", "ordinal")
+            self._write("postings", index.where(F.col("package_digest").isin(fresh)))
+            promises = postings.blocks(self._read("postings", postings.POSTINGS)).repartition("package_digest").sortWithinPartitions("package_digest", "form", "token")
+            for name, rows in (("blocks", promises), ("records", records), ("dependencies", packs.dependencies), ("sources", files), ("packages", packs.packages.drop("pack"))):
                 self._write(name, rows.where(F.col("package_digest").isin(fresh)))
         self._event(policy.principal_id, new, self._next_generation(), True, None, policy.fingerprint)
-        for name in ("packages", "records", "dependencies", "sources", "postings"):
+        for name in ("packages", "records", "dependencies", "sources", "postings", "blocks"):
             self.__dict__.pop(name, None)
         return new
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexstrata.errors import EvidenceError
 from lexstrata.operators import coverage, graph, outline
 from lexstrata.streaming.ingest import ingest
 
@@ -86,6 +89,48 @@ def test_ordered_closure(spark):
     assert [r["record_id"] for r in graph.ordered_closure(roots, edges).orderBy("place").collect()] == ["c", "a", "b", "d"]
 
 
+def chain(spark, n, loops=()):
+    """Records 0..n-1, each under the one before; loops: (record, parent) instead."""
+    parent = {i: i - 1 if i else None for i in range(n)} | dict(loops)
+    return spark.createDataFrame([("p", f"r{i:05}", None if parent[i] is None else f"r{parent[i]:05}") for i in parent], "package_digest string, record_id string, parent_record_id string")
+
+
+def test_long_chains_and_cycles(spark):
+    got = {r["record_id"]: r["depth"] for r in graph.depths(chain(spark, 10_000)).collect()}
+    assert got == {f"r{i:05}": i for i in range(10_000)}
+    paths = {r["record_id"]: r["path"] for r in graph.ancestry(chain(spark, 100)).collect()}
+    assert paths == {f"r{i:05}": [f"r{k:05}" for k in range(i)] for i in range(100)}
+    # 0..4 a cycle with a tail up to 19; 30 on itself; 40 under one that isn't there
+    looped = chain(spark, 20, [(0, 4), (30, 30), (31, 30), (40, 99), (41, 40), (50, None)])
+    assert sorted(tuple(r)[1:] for r in graph.cycles(looped).collect()) == [("r00000", f"r{i:05}") for i in range(5)] + [("r00030", "r00030")]
+    deep = {r["record_id"]: r["depth"] for r in graph.depths(looped).collect()}
+    assert deep == {f"r{i:05}": None for i in (*range(20), 30, 31)} | {"r00040": 0, "r00041": 1, "r00050": 0}
+    with pytest.raises(EvidenceError) as e:
+        graph.ancestry(looped)
+    assert e.value.code == "invalid_records" and "r00000" in str(e.value.details)
+    assert graph.cycles(chain(spark, 5)).count() == 0 and graph.depths(chain(spark, 0)).count() == 0
+
+
+def test_closures_as_sets(spark, monkeypatch):
+    """Random edges with cycles, hubs and long chains against a walk; chunks of two numbers."""
+    monkeypatch.setattr(graph, "CHUNK_BITS", 1)
+    rng = random.Random(6)
+    edges = {(rng.choice("pq"), f"r{rng.randint(0, 15):02}", f"r{rng.randint(0, 15):02}", rng.random() < 0.8) for _ in range(40)} | {("q", f"s{i:02}", f"s{i + 1:02}", True) for i in range(12)}
+    roots = [(p, f"r{i:02}") for p in "pq" for i in range(0, 16, 2)] + [("q", "s00"), ("p", "alone"), ("q", "s00")]
+    want = {}
+    for p, r in set(roots):
+        depth, level = {r: 0}, [r]
+        while level:
+            level = [t for t in {b for q, a, b, must in edges if q == p and must and a in level} if t not in depth]
+            depth |= dict.fromkeys(level, max(depth.values()) + 1)
+        want[p, r] = (len(depth), max(depth.values()), min(depth))
+    frame = spark.createDataFrame([(p, a, "r", b, must) for p, a, b, must in edges], "package_digest string, source_record_id string, relationship string, target_record_id string, required boolean")
+    found = graph.reach_summary(spark.createDataFrame(roots, "package_digest string, record_id string"), frame)
+    assert {(r["package_digest"], r["root_id"]): (r["n_records"], r["depth"], r["first_id"]) for r in found.collect()} == want
+    deep = spark.createDataFrame([("p", f"r{i}", "r", f"r{i + 1}", True) for i in range(70)], frame.schema)
+    assert graph.closure(spark.createDataFrame([("p", "r0")], "package_digest string, record_id string"), deep).agg({"depth": "max"}).first()[0] == 70
+
+
 def test_impact_paths(spark):
     schema = "package_digest string, source_record_id string, relationship string, target_record_id string, required boolean"
     before = spark.createDataFrame([("p", "a", "r", "b", True), ("p", "b", "r", "c", True)], schema)

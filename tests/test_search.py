@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
 import sqlite3
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -76,6 +78,79 @@ def test_index_equals_scan_on_every_table(spark, sf_dir):
         assert rows(found) == rows(want) and again == relaxed
 
 
+def test_pruned_equals_ranked(spark, monkeypatch):
+    """Small blocks and a small first look, so that all ways through the search are taken."""
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    rng = random.Random(4)
+    words = ["iron", "chain", "heavy", "buoy", "duration", "period", "moored", "x1", "zz"]
+    weights = [9, 7, 5, 3, 2, 2, 1, 1, 1]
+    text = lambda most: " ".join(rng.choices(words, weights, k=rng.randint(0, most)))
+    rows = [(f"p{i % 3}", f"r{i}", rng.choice(["1", "1.2", "iron.3", None]), text(3), text(rng.choice([3, 40])), i // 3) for i in range(400)]
+    frame = spark.createDataFrame(rows, "package_digest string, record_id string, clause_reference string, heading string, text string, ordinal long")
+    served = spark.createDataFrame([("p0",), ("p1",)], "package_digest string")
+    index = graph.checkpointed(postings.build(frame))
+    promises = graph.checkpointed(postings.blocks(index))
+    got = lambda df: [tuple(r) for r in df.collect()]
+    cases = [("iron chain", "all_terms", 1, {}), ("zz moored buoy", "any_terms", 5, {}), ("iron chain", "exact_phrase", 5, {}), ("heavy duration", "concept_language", 5, {}), ("irons mooring", "natural_language", 1000, {"package_digest": "p1"}), ("x-1 iron", "natural_language", 5, {}), ("nothing", "all_terms", 5, {}), ("iron chain", "any_terms", 5, {"scope": "1"})]
+    ways = ((2, 2048, 48), (1, 5, 48), (2, 2048, 1))
+    for i, (query, mode, limit, narrow) in enumerate(cases):
+        q = T.parse(query, mode)
+        want = got(postings.ranked(index, served, q, limit, **narrow))
+        for first, most, ranges in ways if not i else [ways[i % 3]]:
+            monkeypatch.setattr(postings, "FIRST_BLOCKS", first)
+            monkeypatch.setattr(postings, "MOST_BLOCKS", most)
+            monkeypatch.setattr(postings, "MOST_RANGES", ranges)
+            assert got(postings.pruned(index, promises, served, q, limit, **narrow)) == want, (query, mode, first)
+
+
+def test_few_rows_are_read_for_few_results(spark, sf_dir, monkeypatch):
+    c, q, read = Corpus(spark, sf_dir), T.parse("that with", "all_terms"), []
+    whole = postings._in_blocks
+    monkeypatch.setattr(postings, "_in_blocks", lambda chosen, rows: read.extend(chosen) or whole(chosen, rows))
+    monkeypatch.setattr(postings, "FIRST_BLOCKS", 1)
+    sizes = []
+    for limit in (1, 1000):
+        read.clear()
+        assert postings.pruned(c.postings, c.blocks, c.authorized(), q, limit).collect() == postings.ranked(c.postings, c.authorized(), q, limit).collect()
+        sizes.append(len(read))
+    assert sizes[0] < sizes[1]
+
+
+def test_a_changed_input_has_another_index(spark, tmp_path):
+    made = lambda text: spark.createDataFrame([(0, text, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    found = lambda word: postings.search(Corpus(spark, str(tmp_path)).postings, Corpus(spark, str(tmp_path)).authorized(), word, blocks=Corpus(spark, str(tmp_path)).blocks)[0].count()
+    made("first text")
+    assert (found("first"), found("second")) == (1, 0)
+    made("the second text")
+    assert (found("first"), found("second")) == (0, 1)
+
+
+def full_text_tokens(texts):
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(texts))
+    out = [[] for _ in texts]
+    for term, doc in db.execute("SELECT term, doc FROM v ORDER BY doc, offset"):
+        out[doc].append(term)
+    return out
+
+
+#: Characters that the full-text index knows, whose tables are older than Python's: those of Unicode 3.2, but for the letters it takes for separators.
+OLD = [chr(i) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000 and unicodedata.ucd_3_2_0.category(chr(i)) != "Cn" and unicodedata.category(chr(i)) == unicodedata.ucd_3_2_0.category(chr(i))]
+
+
+def test_tokens_equal_full_text_index_on_all_characters(spark):
+    texts = [f"q{c}z" for c in OLD] + [unicodedata.normalize("NFD", f"q{c}z") for c in OLD if len(unicodedata.normalize("NFD", c)) == 2 and unicodedata.normalize("NFD", c)[1] in T.MARKS]
+    texts += ["École e\u0301cole \u0301x", "žlutý kůň ğ", "İstanbul ſtraße", "ΣΑΣ ΟΔΟΣ", "a_b c.d", "x\u0305y"]
+    want = full_text_tokens(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, x string")
+    got = {r[0]: r[1] for r in frame.select("i", T.tokens(F.col("x"))).collect()}
+    wrong = [(t, w, got[i]) for i, (t, w) in enumerate(zip(texts, want, strict=True)) if got[i] != w]
+    assert not wrong, (len(wrong), wrong[:20])
+    assert [T.index_tokens(t) for t in texts] == want
+
+
 def test_index_of_nothing(spark, records, packages):
     assert postings.build(records.limit(0)).count() == 0
     odd = spark.createDataFrame([("p1", "a", None, None, None, 0), ("p1", "b", "1", "", "...", 1), ("p1", "c", "1", "H", "x x x", 2), ("p1", "c", "1", "H", "x x x", 2)], records.schema)
