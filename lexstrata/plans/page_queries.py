@@ -59,19 +59,25 @@ def _as_pages(c: Corpus) -> DataFrame:
 
 @query
 def compiled_pages(c: Corpus) -> DataFrame:
-    return pages.compiled(_as_pages(c)).select("document", "page", "status", "text_sha256", "start_byte", "end_byte")
+    return pages.placed(_as_pages(c)).select("document", "page", "status", "text_sha256", "start_byte", "end_byte")
 
 
 @query
 def compiled_texts(c: Corpus) -> DataFrame:
-    found = pages.extracted_text(pages.compiled(_as_pages(c)))
-    return found.select("document", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"))
+    return pages.text_digests(pages.text_parts(_as_pages(c)))
+
+
+@query
+def compiled_parts(c: Corpus) -> DataFrame:
+    """The extracted texts as ordered parts, here of 16 KB."""
+    found = pages.text_parts(_as_pages(c), 1 << 14)
+    return found.select("document", "part", "start_byte", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query
 def spans_in_pages(c: Corpus) -> DataFrame:
     """The middle third of each page, moved out of it for every eleventh, found again by its bytes in the extracted text."""
-    made = pages.compiled(_as_pages(c)).where("status = 'extracted'")
+    made = pages.placed(_as_pages(c)).where("status = 'extracted'")
     third = F.floor((F.col("end_byte") - F.col("start_byte")) / 3)
     moved = F.when(F.col("page") % 11 == 0, F.col("end_byte") - F.col("start_byte")).otherwise(0)
     spans = made.select(F.concat_ws("/", "document", F.col("page").cast("string")).alias("span"), "document", (F.col("start_byte") + third + moved).cast("long").alias("start_byte"), (F.col("end_byte") - third + moved).cast("long").alias("end_byte"))
@@ -130,6 +136,7 @@ _SQL = {
     "distribution_gate": "SELECT CASE WHEN doc_id % 5 < 2 THEN 'restricted_distribution' WHEN doc_id % 3 = 0 THEN 'not_publicly_exposed' ELSE 'pending' END AS status, count(*) AS components FROM documents GROUP BY ALL",
     "compiled_pages": _PAGES + "SELECT * FROM compiled",
     "compiled_texts": _PAGES + "SELECT document, strlen(t) AS bytes, sha256(t) AS text_sha256 FROM (SELECT document, string_agg(mark || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS t FROM m WHERE there GROUP BY document)",
+    "compiled_parts": _PAGES + "SELECT document, first // 16384 AS part, min(first - strlen(mark) - 1)::BIGINT AS start_byte, strlen(string_agg(mark || chr(10) || text, chr(10) || chr(10) ORDER BY page)) AS bytes, sha256(string_agg(mark || chr(10) || text, chr(10) || chr(10) ORDER BY page)) AS text_sha256 FROM s WHERE there GROUP BY document, first // 16384",
     "spans_in_pages": _PAGES + """, x AS (SELECT document, page, start_byte + third + moved AS a, end_byte - third + moved AS b FROM (SELECT *, (end_byte - start_byte) // 3 AS third, CASE WHEN page % 11 = 0 THEN end_byte - start_byte ELSE 0 END AS moved FROM compiled WHERE status = 'extracted'))
 SELECT x.document || '/' || x.page AS span, c.page, a - c.start_byte AS page_start, b - c.start_byte AS page_end, c.page IS NOT NULL AS held
 FROM x LEFT JOIN compiled c ON c.document = x.document AND a >= c.start_byte AND b <= c.end_byte AND a < b""",

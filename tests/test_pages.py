@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import random
 import unicodedata
 from urllib.parse import quote
 
@@ -59,6 +61,28 @@ def test_pages_are_where_they_are_said_to_be(spark):
     assert got == {1: (1, 0, 3, True)} | dict.fromkeys((2, 3, 4, 5), (None, None, None, False))
 
 
+def test_documents_of_many_pages(spark, monkeypatch):
+    """Small ranges, bins and parts against the whole text in one row."""
+    monkeypatch.setattr(pages, "PAGE_RANGE", 3)
+    monkeypatch.setattr(pages, "BIN_BYTES", 16)
+    rng = random.Random(2)
+    rows = [(d, p, rng.choice([None, "", "é" * rng.randint(1, 90), "line\nother " * rng.randint(1, 5)])) for d in "de" for p in rng.sample(range(200), 60)]
+    frame = spark.createDataFrame(rows, "document string, page long, text string")
+    made = pages.compiled(frame).collect()
+    whole = {r["document"]: r["text"].encode() for r in pages.extracted_text(pages.compiled(frame)).collect()}
+    assert len(made) == len(rows) and all(whole[r["document"]][r["start_byte"] : r["end_byte"]].decode() == r["text"] for r in made if r["status"] == "extracted")
+    parts = sorted(tuple(r) for r in pages.text_parts(frame, 64).select("document", "part", "start_byte", "text").collect())
+    for d, text in whole.items():
+        assert "\n\n".join(x for doc, _, _, x in parts if doc == d).encode() == text
+        assert all(text[start:].startswith(x.encode()) for doc, _, start, x in parts if doc == d)
+    assert {r["document"]: (r["bytes"], r["text_sha256"]) for r in pages.text_digests(pages.text_parts(frame, 64)).collect()} == {d: (len(t), hashlib.sha256(t).hexdigest()) for d, t in whole.items()}
+    spans = [(i, d, a, a + rng.randint(0, 40)) for i, (d, a) in enumerate((rng.choice("de"), rng.randint(0, 3000)) for _ in range(150))] + [(200 + i, r["document"], r["start_byte"], r["end_byte"]) for i, r in enumerate(made) if r["status"] == "extracted"]
+    got = {r["i"]: (r["page"], r["page_start"], r["held"]) for r in pages.in_pages(spark.createDataFrame(spans, "i long, document string, start_byte long, end_byte long"), pages.placed(frame).where("status = 'extracted'"), ["document"]).collect()}
+    for i, d, a, b in spans:
+        inside = [r for r in made if r["document"] == d and r["status"] == "extracted" and r["start_byte"] <= a < b <= r["end_byte"]]
+        assert got[i] == ((inside[0]["page"], a - inside[0]["start_byte"], True) if inside else (None, None, False))
+
+
 def test_claims():
     packet = {"approved": True, "a": [{"Compliance": "yes", "approval": "not_decided", "compliant": None}, {"project_applicability": "applies"}], "b": {"approved": 0, "project_applicability": "not_decided"}}
     assert pages.claims_in(packet) == 3 and pages.claims_in([]) == 0
