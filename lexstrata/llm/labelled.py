@@ -1,7 +1,7 @@
 """Labelled rows for fitting, hashed n-gram features, and calibration.
 
 Cases: labels without an id or a value are left out; of several labels of an id
-the largest counts; every row of a repeated doc_id is taken; null and empty
+the largest counts; each text of a repeated doc_id is taken once; null and empty
 texts have no n-grams; extra columns are ignored; empty tables give no rows.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexstrata.llm.memory import tidy
@@ -19,6 +19,7 @@ from lexstrata.llm.wordspans import PLAIN_WORDS, Block, RollingHash, mix, text_b
 
 BITS = 18
 SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 32 << 20
 
 _HASH = RollingHash(0x5EED)
 #: Bytes to classes: letters, capitals, digits, and every other byte itself.
@@ -33,17 +34,24 @@ def in_fold(doc_id, fold: int = 1, folds: int = 3):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample_rows: int, held_out: bool) -> DataFrame:
-    """At most ``sample_rows`` labelled texts in the order of a hash of their ids.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample_rows: int, held_out: bool, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``sample_rows`` different labelled texts of at most ``sample_bytes`` in all, in the order of a hash of their ids.
 
     With ``held_out``, none of the fold that is scored as held out.  The ids
-    are bounded by ``sample_rows``, so they are broadcast to the documents.
+    are bounded by ``sample_rows``, so they are broadcast to the documents; of
+    their texts the first are taken that fit, each once for its id.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     if held_out:
         rows = rows.where(~in_fold(F.col("doc_id")))
     chosen = rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.sha2("text", 256))
+    sizes = found.groupBy("doc_id", "key").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("size"))
+    place = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("key")]
+    first = sizes.where(F.col("size") <= sample_bytes).orderBy(*place).limit(sample_rows)
+    fits = first.withColumn("so_far", F.sum("size").over(Window.orderBy(*place))).where(F.col("so_far") <= sample_bytes)
+    of = fits.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"))
+    return found.join(F.broadcast(of), (F.col("doc_id") == F.col("of_id")) & F.col("key").eqNullSafe(F.col("of_key"))).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "label")
 
 
 def distinct(keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray]], block: Block) -> tuple[np.ndarray, np.ndarray]:
