@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexstrata.llm import chat, decontam, htmlmain, labelled, licence_texts, licenses, nbsvm, packing, queries, rules, shared, simhash, substrings, warc
+from lexstrata.llm import chat, decontam, htmlmain, licence_texts, licenses, nbsvm, packing, queries, rules, shared, simhash, substrings, warc
 from lexstrata.llm.components import components
+from lexstrata.llm.labelled import labelled_sample
 from lexstrata.llm.shared import vocabulary_path
 from lexstrata.llm.wordspans import PLAIN_WORDS, text_blocks
 from tests.oracle import same
@@ -170,10 +171,10 @@ def test_labelled_sample_is_bounded(spark):
     rows = [(i % 2, f"text {i % 7}") for i in range(2000)] + [(2, "x" * 5000), (3, "short"), (4, None), (4, None), (5, "other"), (6, "no label")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
     labels = spark.createDataFrame([(i, i % 2) for i in range(6)] + [(3, 0)], "doc_id long, quality int")
-    got = labelled.labelled_sample(docs, labels, "quality", 100, False).collect()
+    got = labelled_sample(docs, labels, "quality", 100, False).collect()
     assert sorted((r["doc_id"], r["text"] or "", r["label"]) for r in got) == sorted({(i % 2, f"text {i % 7}", i % 2) for i in range(2000)} | {(2, "x" * 5000, 0), (3, "short", 1), (4, "", 0), (5, "other", 1)})
-    assert len(labelled.labelled_sample(docs, labels, "quality", 2, False).collect()) == 2
-    few = labelled.labelled_sample(docs, labels, "quality", 100, False, sample_bytes=30).collect()
+    assert len(labelled_sample(docs, labels, "quality", 2, False).collect()) == 2
+    few = labelled_sample(docs, labels, "quality", 100, False, sample_bytes=30).collect()
     assert 0 < sum(len(r["text"] or "") for r in few) <= 30
 
 
