@@ -8,19 +8,19 @@ schemas, and every rule that a pack must meet is a DataFrame of violations.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.errors import error
+from lexstrata.errors import EvidenceError, error
 from lexstrata.operators.graph import checkpointed
 from lexstrata.operators.verify import byte_slice
 
@@ -46,10 +46,47 @@ TARGET_STATUSES = ("resolved", "out_of_scope", "unresolved", "ambiguous")
 MAX_FILES, MAX_BYTES, MAX_JSON = 512, 512 << 20, 32 << 20
 
 
+#: Absolute paths, backslashes, . and .. parts, characters and device names that some systems don't take, trailing dots and spaces.
+UNSAFE_PATH = r"^/|\\|(^|/)\.{0,2}(/|$)|[\x00-\x1f<>:\"|?*]|[ .](/|$)|(^|/)(?i:con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"
+
+
 def safe_path(path: Column) -> Column:
-    """Relative, with / only, without . and .. parts, device names or trailing dots and spaces."""
-    bad = r"^/|\\|(^|/)\.{0,2}(/|$)|[\x00-\x1f<>:\"|?*]|[ .](/|$)|(?i)(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"
-    return (F.length(path) > 0) & ~path.rlike(bad)
+    """Relative, with / only, and nothing of UNSAFE_PATH."""
+    return (F.length(path) > 0) & ~path.rlike(UNSAFE_PATH)
+
+
+def members(archives: DataFrame) -> DataFrame:
+    """(path, length, content, fault) of the members of zips (path, content), as files below their archive's path.
+
+    An archive that can't be read, or breaks the bounds on number, sizes and
+    names, has one row with the fault's code instead of its further members.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    for name, content in archive_members(data.as_buffer()):
+                        yield row(f"{path}/{name}", content, None)
+                except EvidenceError as e:
+                    yield row(path, None, e.code)
+
+    def row(path: str, content: bytes | None, fault: str | None) -> pa.RecordBatch:
+        kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("fault", pa.string())])
+        return pa.RecordBatch.from_pylist([{"path": path, "length": None if content is None else len(content), "content": content, "fault": fault}], kinds)
+
+    return archives.select("path", "content").mapInArrow(read, "path string, length long, content binary, fault string")
+
+
+def _decoded(content: Column) -> Column:
+    """Bytes as text, null where they aren't UTF-8: filters on it may be tried on any file."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
+def _above(path: Column) -> Column:
+    """The directories above a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
 @dataclass(frozen=True)
@@ -61,23 +98,30 @@ class Packs:
 
     @cached_property
     def files(self) -> DataFrame:
-        """(pack, path, bytes, sha256, content): every file of every directory that has an inventory."""
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
+        """(pack, path, bytes, sha256, content): every file of every directory, or directory of a zip, that has an inventory."""
+        raw = self._raw.where("fault is null").drop("fault")
         # A file's directories, each a possible pack, are joined with those that have an inventory.
-        parts = F.split("path", "/")
-        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
         homes = raw.where(F.col("path").endswith("/inventory.json")).select(F.regexp_replace("path", "/inventory.json$", "").alias("pack"))
-        of = raw.select(F.col("path").alias("whole_path"), F.explode(above).alias("pack")).join(homes, "pack")
+        of = raw.select(F.col("path").alias("whole_path"), F.explode(_above(F.col("path"))).alias("pack")).join(homes, "pack")
         named = of.select("pack", "whole_path", F.expr("substring(whole_path, length(pack) + 2)").alias("path"))
         return named.join(raw.withColumnRenamed("path", "whole_path"), "whole_path").select("pack", "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
+    @cached_property
+    def _raw(self) -> DataFrame:
+        """(path, length, content, fault) of all files, and of the members of zips that aren't part of a directory's pack."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", "length", "content")
+        homes = found.where(F.col("path").endswith("/inventory.json")).select(F.regexp_replace("path", "/inventory.json$", "").alias("home"))
+        zips = found.where(F.lower("path").endswith(".zip")).select("path", F.explode(_above(F.col("path"))).alias("home")).join(homes, "home", "left_semi").select("path")
+        archives = found.where(F.lower("path").endswith(".zip")).join(zips, "path", "left_anti")
+        return found.join(archives.select("path"), "path", "left_anti").withColumn("fault", F.lit(None).cast("string")).union(members(archives))
+
     @cached_property
     def listed_files(self) -> DataFrame:
         """files without their content: hashed once and kept, as most rules need no more."""
         return checkpointed(self.files.drop("content"))
 
     def _json(self, name: str, schema: str) -> DataFrame:
-        text = F.decode("content", "UTF-8")
+        text = _decoded(F.col("content"))
         return self.files.where(F.col("path") == name).select("pack", F.from_json(text, schema, {"mode": "PERMISSIVE"}).alias("j"))
 
     @cached_property
@@ -106,7 +150,7 @@ class Packs:
         path = F.coalesce("source.text_path", "source.path")
         backed = rows.withColumn("text_path", F.when(F.col("text").isNull(), path)).join(texts, ["pack", "text_path"], "left")
         start, stop = F.col("source.text_start_byte"), F.col("source.text_end_byte")
-        sliced = F.decode(F.substring("content", (start + 1).cast("int"), (stop - start).cast("int")), "UTF-8")
+        sliced = _decoded(F.substring("content", (start + 1).cast("int"), (stop - start).cast("int")))
         return backed.withColumns({"text": F.coalesce("text", sliced), "statement_role": F.col("derivation.statement_role")}).drop("content", "text_path")
 
     @cached_property
@@ -121,6 +165,8 @@ class Packs:
         def broken(rows: DataFrame, code: str, item: Column) -> None:
             parts.append(rows.select("pack", F.lit(code).alias("code"), item.cast("string").alias("item")))
 
+        faults = self._raw.where("fault is not null")
+        parts.append(faults.select(F.col("path").alias("pack"), F.col("fault").alias("code"), F.col("path").alias("item")))
         listed = self.inventory.withColumnsRenamed({"bytes": "said_bytes", "sha256": "said_sha256"})
         both = self.listed_files.where("path <> 'inventory.json'").join(listed, ["pack", "path"], "full_outer")
         broken(both.where("said_sha256 is null"), "untracked_pack_content", F.col("path"))
@@ -144,7 +190,7 @@ class Packs:
         sources = self.files.select("pack", F.col("path").alias("source_path"), F.col("sha256").alias("file_sha256"), "content")
         cited = r.withColumn("source_path", F.coalesce("source.text_path", "source.path")).join(sources, ["pack", "source_path"], "left")
         broken(cited.where("file_sha256 is null or (source.text_path is null and file_sha256 <> source.sha256)"), "source_hash_mismatch", F.col("record_id"))
-        whole = F.decode("content", "UTF-8")
+        whole = _decoded(F.col("content"))
         said = F.when(F.col("source.text_start_byte").isNotNull(), byte_slice(whole, F.col("source.text_start_byte"), F.col("source.text_end_byte")) == F.col("text")).otherwise(F.contains(whole, F.col("text")))
         broken(cited.where(~F.coalesce(said, F.lit(False))), "source_quote_missing", F.col("record_id"))
         edges = r.select("pack", "record_id", F.inline("dependencies"))
@@ -180,7 +226,7 @@ def write_archive(members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def archive_members(data: bytes) -> Iterator[tuple[str, bytes]]:
+def archive_members(data: bytes | pa.Buffer) -> Iterator[tuple[str, bytes]]:
     """The members of a pack's zip, with its bounds on number, sizes and names enforced while reading."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
@@ -194,10 +240,13 @@ def archive_members(data: bytes) -> Iterator[tuple[str, bytes]]:
             raise error("invalid_pack_archive", "Names repeat.")
         for info in infos:
             name = info.filename
-            if not (not re.search(r"^/|\\|(^|/)\.{0,2}(/|$)", name) and not info.is_dir()):
+            if not name or re.search(UNSAFE_PATH, name) or info.is_dir():
                 raise error("invalid_pack_path", "A member's path is not safe.", path=name)
-            with archive.open(info) as f:
-                content = f.read(info.file_size + 1)
+            try:
+                with archive.open(info) as f:
+                    content = f.read(info.file_size + 1)
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:  # damaged, of an unknown method, or encrypted
+                raise error("invalid_pack_archive", str(e)) from e
             if len(content) != info.file_size:
                 raise error("pack_limit_exceeded", "A member is longer than it says.", path=name)
             yield name, content
@@ -205,15 +254,10 @@ def archive_members(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 def unpacked(spark: SparkSession, path: str) -> DataFrame:
     """(archive, path, bytes, sha256, content) of the members of pack archives."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, data in b[["path", "content"]].itertuples(index=False):
-                rows = [(name, p, len(c), hashlib.sha256(c).hexdigest(), c) for p, c in archive_members(bytes(data))]
-                yield pd.DataFrame(rows, columns=["archive", "path", "bytes", "sha256", "content"])
-
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(members, "archive string, path string, bytes long, sha256 string, content binary")
+    found = members(raw).withColumn("archive", F.regexp_extract("path", r"(?i)^(.*?\.zip)/", 1))
+    name = F.when(F.col("fault").isNull(), F.expr("substring(path, length(archive) + 2)")).otherwise(F.raise_error(F.concat_ws(": ", "fault", "path")))
+    return found.select("archive", name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def bundle(files: DataFrame) -> tuple[DataFrame, DataFrame]:

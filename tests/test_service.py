@@ -264,6 +264,36 @@ def test_archives_round_trip(spark, tmp_path):
         list(P.archive_members(P.write_archive({"../x": b""})))
 
 
+def test_zips_are_packs_like_their_directories(spark, tmp_path):
+    make_pack(tmp_path / "dirs/a", "a", 80)
+    make_pack(tmp_path / "dirs/b", "b", 90, extra=())
+    (tmp_path / "dirs/b/sources/rules.txt").write_text("changed")  # a violation
+    (tmp_path / "zips/below").mkdir(parents=True)
+    for name in "ab":
+        home = tmp_path / "dirs" / name
+        files = {str(f.relative_to(home)): f.read_bytes() for f in home.rglob("*") if f.is_file()}
+        # one with its files at the top, one with them in a directory
+        (tmp_path / "zips/below" / f"{name}.ZIP").write_bytes(P.write_archive(files if name == "a" else {f"in/{k}": v for k, v in files.items()}))
+    dirs, zips = P.Packs(spark, str(tmp_path / "dirs")), P.Packs(spark, str(tmp_path / "zips"))
+    rows = lambda df, *without: sorted(map(str, df.drop("pack", *without).collect()))
+    assert rows(zips.packages) == rows(dirs.packages) and len(rows(zips.packages)) == 2
+    assert rows(zips.records) == rows(dirs.records) and rows(zips.dependencies) == rows(dirs.dependencies)
+    assert rows(zips.violations) == rows(dirs.violations) != []
+    good = P.write_archive({"inventory.json": b"{}", "x": b"y" * 1000})
+    bad = {"cut": good[:-30], "device": P.write_archive({"a/con.txt": b""}), "damaged": good[:60] + b"\xff" * 8 + good[68:]}
+    for name, data in bad.items():
+        (tmp_path / f"bad/{name}").mkdir(parents=True)
+        (tmp_path / f"bad/{name}/p.zip").write_bytes(data)
+        codes = {r["code"] for r in P.Packs(spark, str(tmp_path / f"bad/{name}")).violations.collect()}
+        assert codes & {"invalid_pack_archive", "invalid_pack_path"}, name
+    # a zip that is a source of a pack is a file
+    (tmp_path / "dirs/a/sources/x.zip").write_bytes(good)
+    assert any(r["path"] == "sources/x.zip" for r in dirs.files.collect()) and P.Packs(spark, str(tmp_path / "dirs")).packages.count() == 2
+    store = Store(spark, str(tmp_path / "store"))
+    (tmp_path / "zips/below/b.ZIP").unlink()
+    assert len(store.install(P.Packs(spark, str(tmp_path / "zips")), Policy("p", "user", True, True, ("pack.a",), ("synthetic",)))) == 1 and store.records.count() == 3
+
+
 def test_locators_and_cursors():
     d = "a" * 64
     assert parse_locator(locator(d, "ü/1")) == (d, "ü/1")
