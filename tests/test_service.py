@@ -279,8 +279,8 @@ def test_zips_are_packs_like_their_directories(spark, tmp_path):
     assert rows(zips.packages) == rows(dirs.packages) and len(rows(zips.packages)) == 2
     assert rows(zips.records) == rows(dirs.records) and rows(zips.dependencies) == rows(dirs.dependencies)
     assert rows(zips.violations) == rows(dirs.violations) != []
-    good = P.write_archive({"inventory.json": b"{}", "x": b"y" * 1000})
-    bad = {"cut": good[:-30], "device": P.write_archive({"a/con.txt": b""}), "damaged": good[:60] + b"\xff" * 8 + good[68:]}
+    good = P.write_archive({"inventory.json": b"{}", "x": hashlib.shake_256(b"x").digest(1000)})
+    bad = {"cut": good[:-30], "device": P.write_archive({"a/con.txt": b""}), "damaged": good[:400] + b"\xff" * 8 + good[408:]}
     for name, data in bad.items():
         (tmp_path / f"bad/{name}").mkdir(parents=True)
         (tmp_path / f"bad/{name}/p.zip").write_bytes(data)
