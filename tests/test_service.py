@@ -288,7 +288,8 @@ def test_zips_are_packs_like_their_directories(spark, tmp_path):
         assert codes & {"invalid_pack_archive", "invalid_pack_path"}, name
     # a zip that is a source of a pack is a file
     (tmp_path / "dirs/a/sources/x.zip").write_bytes(good)
-    assert any(r["path"] == "sources/x.zip" for r in dirs.files.collect()) and P.Packs(spark, str(tmp_path / "dirs")).packages.count() == 2
+    again = P.Packs(spark, str(tmp_path / "dirs"))
+    assert any(r["path"] == "sources/x.zip" for r in again.files.collect()) and again.packages.count() == 2
     store = Store(spark, str(tmp_path / "store"))
     (tmp_path / "zips/below/b.ZIP").unlink()
     assert len(store.install(P.Packs(spark, str(tmp_path / "zips")), Policy("p", "user", True, True, ("pack.a",), ("synthetic",)))) == 1 and store.records.count() == 3
