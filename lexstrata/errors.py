@@ -60,7 +60,7 @@ class BadPack(EvidenceError):
     """A pack, archive or bundle that breaks a rule."""
 
     codes = (
-        "untracked_pack_content", "missing_pack_file", "pack_size_mismatch", "pack_hash_mismatch", "invalid_inventory", "invalid_pack_path", "invalid_pack_archive", "edition_mismatch", "invalid_record", "invalid_records",
+        "untracked_pack_content", "missing_pack_file", "pack_size_mismatch", "pack_hash_mismatch", "invalid_inventory", "invalid_manifest", "invalid_rights", "invalid_pack_path", "invalid_pack_archive", "edition_mismatch", "invalid_record", "invalid_records",
         "source_quote_missing", "source_hash_mismatch", "unresolved_dependency", "bundle_mismatch",
     )
 
@@ -68,7 +68,7 @@ class BadPack(EvidenceError):
 class BrokenEvidence(EvidenceError):
     """Stored evidence that can't be shown to be whole and unchanged."""
 
-    codes = ("incomplete_dependency", "stale_reference_binding", "source_changed")
+    codes = ("incomplete_dependency", "stale_reference_binding", "source_changed", "object_store_conflict", "corpus_compile_incomplete")
 
 
 _KIND = {code: kind for kind in EvidenceError.__subclasses__() for code in kind.codes}

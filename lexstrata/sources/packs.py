@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.errors import EvidenceError, error
+from lexstrata.functions import closed
+from lexstrata.functions.closed import SHA256, Closed, Day, Flag, Items, Null, Text, Whole
 from lexstrata.operators.graph import checkpointed
 from lexstrata.operators.verify import byte_slice
 
@@ -41,10 +43,45 @@ RECORDS = f"schema_version string, records array<{RECORD}>"
 
 # The closed vocabularies of records.
 ROLES = ("obligation", "governing_note", "informative", "unclassified")
+KINDS = ("clause", "note", "page", "document", "section", "paragraph", "list", "list_item", "table", "table_row", "table_cell", "definition", "figure", "unsupported_region")
+REPRESENTATIONS = ("page_text", "derived_structure", "reviewed_structure", "curated_records")
+RELATIONSHIPS = ("contains", "sequence_after", "governed_by", "defines", "uses_definition", "qualifies", "exception_to", "references", "caption_of", "table_footnote_for", "footnote_for", "header_for", "illustrates", "continues_on")
+DIMENSIONS = ("corpus_scope", "edition_composition", "parsed_source_coverage", "dependency_closure", "enumeration_traversal", "output_budget_coverage")
 REQUIRED_FILES = ("inventory.json", "manifest.json", "rights.json", "records.json")
 TARGET_STATUSES = ("resolved", "out_of_scope", "unresolved", "ambiguous")
 MAX_FILES, MAX_BYTES, MAX_JSON = 512, 512 << 20, 32 << 20
 
+# The shapes of a pack's files.  Paths of the files may be left out of a manifest; if given they are these.
+VERSION = Text(choices=("0.1.0",))
+INVENTORY_SHAPE = Closed({"schema_version": VERSION, "algorithm": Text(choices=("sha256",)), "files": Items(Closed({"path": Text(), "sha256": SHA256, "bytes": Whole()}), least=1, most=MAX_FILES)})
+MANIFEST_SHAPE = Closed(
+    dict.fromkeys(("pack_id", "document_family_id", "edition_id", "publisher", "identifier", "title", "revision", "category"), Text())
+    | {"schema_version": VERSION, "publication_date": Day(), "coverage": Closed(dict.fromkeys(DIMENSIONS, Text()))},
+    {"representation": Text(choices=REPRESENTATIONS), "inventory_path": Text(choices=("inventory.json",)), "rights_path": Text(choices=("rights.json",)), "records_path": Text(choices=("records.json",))},
+)
+RIGHTS_SHAPE = Closed({"rights_schema_version": VERSION, "content_class": Text(), "redistribution": Text(), "processing": Items(Text(least=0)), "model_use": Text(), "statement": Text()})
+SPAN_SHAPE = Closed({"path": Text(), "sha256": SHA256, "text_path": Text(), "text_sha256": SHA256, "physical_page": Whole(1), "start_byte": Whole(), "end_byte": Whole(1), "quote_sha256": SHA256})
+RELATION_SHAPE = Closed({
+    "relationship": Text(choices=RELATIONSHIPS), "target_status": Text(choices=TARGET_STATUSES), "target_logical_id": Null(Text()), "target_locator": Null(Text()), "candidate_logical_ids": Items(Text()),
+    "required": Flag(), "method": Text(), "review_status": Text(), "evidence_spans": Items(SPAN_SHAPE, least=1),
+})
+STRUCTURE_SHAPE = Closed(
+    {"logical_id": Text(), "content_sha256": SHA256, "parent_logical_id": Null(Text()), "ordinal": Whole(), "source_spans": Items(SPAN_SHAPE, least=1, most=64), "relationships": Items(RELATION_SHAPE)},
+    {"semantics": Null(closed.Any()), "review": Null(closed.Any())},
+)
+RECORD_SHAPE = Closed(
+    dict.fromkeys(("record_id", "edition_id", "clause_reference", "heading"), Text())
+    | {
+        "kind": Text(choices=KINDS),
+        "source": Closed({"path": Text(pattern="^sources/"), "sha256": SHA256, "page": Whole(1), "locator": Text(), "quote_sha256": SHA256}, {"text_path": Text(pattern="^sources/"), "text_sha256": SHA256, "text_start_byte": Whole(), "text_end_byte": Whole(1)}),
+        "derivation": Closed({"statement_role": Text(choices=ROLES), "method": Text(), "review_status": Text()}),
+        "dependencies": Items(Closed({"relationship": Text(), "target_record_id": Text(), "required": Flag()})),
+    },
+    {"text": Text(), "structure": Null(STRUCTURE_SHAPE)},
+)
+RECORDS_SHAPE = Closed({"schema_version": Text(choices=("0.1.0", "0.2.0", "0.3.0")), "records": Items(least=1)})
+SHAPES = {"inventory.json": (INVENTORY_SHAPE, "invalid_inventory"), "manifest.json": (MANIFEST_SHAPE, "invalid_manifest"), "rights.json": (RIGHTS_SHAPE, "invalid_rights"), "records.json": (RECORDS_SHAPE, "invalid_records")}
+
 
 #: Absolute paths, backslashes, . and .. parts, characters and device names that some systems don't take, trailing dots and spaces.
 UNSAFE_PATH = r"^/|\\|(^|/)\.{0,2}(/|$)|[\x00-\x1f<>:\"|?*]|[ .](/|$)|(^|/)(?i:con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"
@@ -157,6 +194,18 @@ class Packs:
     def dependencies(self) -> DataFrame:
         return self.records.select("package_digest", F.col("record_id").alias("source_record_id"), F.inline("dependencies"))
 
+    @cached_property
+    def shape_faults(self) -> DataFrame:
+        """(pack, file, code, path, fault): where the JSON files aren't of their closed shapes; a record is a row of its own."""
+        text = _decoded(F.col("content"))
+        out = None
+        for name, (shape, code) in SHAPES.items():
+            mine = self.files.where(F.col("path") == name)
+            found = closed.json_faults(mine, text, shape, ["pack"]).select("pack", F.lit(name).alias("file"), F.lit(code).alias("code"), "path", "fault")
+            out = found if out is None else out.union(found)
+        each = closed.item_faults(self.files.where("path = 'records.json'"), text, "records", RECORD_SHAPE, ["pack"])
+        return out.union(each.select("pack", F.lit("records.json").alias("file"), F.lit("invalid_record").alias("code"), "path", "fault"))
+
     @cached_property
     def violations(self) -> DataFrame:
         """(pack, code, item) of every broken rule; a sound pack has none."""
@@ -167,6 +216,7 @@ class Packs:
 
         faults = self._raw.where("fault is not null")
         parts.append(faults.select(F.col("path").alias("pack"), F.col("fault").alias("code"), F.col("path").alias("item")))
+        parts.append(self.shape_faults.select("pack", "code", F.concat_ws(" ", F.concat(F.col("file"), F.lit("#"), F.col("path")), "fault").alias("item")))
         listed = self.inventory.withColumnsRenamed({"bytes": "said_bytes", "sha256": "said_sha256"})
         both = self.listed_files.where("path <> 'inventory.json'").join(listed, ["pack", "path"], "full_outer")
         broken(both.where("said_sha256 is null"), "untracked_pack_content", F.col("path"))
