@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexstrata.functions import closed
+from lexstrata.functions.closed import Closed, Items, Text, Whole
 from lexstrata.operators import admin, structure
+from lexstrata.operators.graph import checkpointed
 from lexstrata.plans.oracles import CORPUS
 from lexstrata.plans.queries import _with_spans, query
 from lexstrata.sources.adapter import Corpus, read
+from lexstrata.sources.folder import shared_folder
+from lexstrata.sources.ledger import Compile
 
 
 @query
@@ -116,7 +123,51 @@ def benchmark_cases(c: Corpus) -> DataFrame:
     return admin.scored_cases(cases, ["edition_id"])
 
 
+LINED = Closed({"doc_id": Whole(), "n_chars": Whole(), "lang": Text(choices=("en", "de", "fr")), "lines": Items(Closed({"chars": Whole(1)}), least=2)})
+
+
+@query
+def closed_schema_faults(c: Corpus) -> DataFrame:
+    """Every document as JSON with a number for each line, some with a string for a number, a field too many or too few."""
+    d = F.col("doc_id")
+    lines = F.to_json(F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.char_length(x).alias("chars"))))
+    size = F.when(d % 13 == 0, F.format_string('"%d"', "n_chars")).otherwise(F.col("n_chars").cast("string"))
+    lang = F.when(d % 19 == 0, "").otherwise(F.format_string(',"lang":"%s"', "lang"))
+    more = F.when(d % 17 == 0, ',"a/b":[{}]').otherwise("")
+    cut = F.when(d % 31 == 0, "").otherwise("}")
+    text = F.concat(F.lit('{"doc_id":'), d.cast("string"), F.lit(',"n_chars":'), size, lang, more, F.lit(',"lines":'), lines, cut)
+    return closed.json_faults(c.documents.select("doc_id", text.alias("json")), F.col("json"), LINED, ["doc_id"])
+
+
+@query
+def compile_ledger(c: Corpus) -> DataFrame:
+    """Lines counted for each document: a run over two thirds, a run over all of which some documents have changed since."""
+    units = c.documents.select(F.col("doc_id").cast("string").alias("unit"), F.sha2("text", 256).alias("digest"), "doc_id", "text")
+
+    def work(rows: DataFrame) -> DataFrame:
+        bad = F.when(F.col("doc_id") % 50 == 5, "pdf_text_layer_empty")
+        return rows.select("unit", bad.alias("error"), F.explode(F.when(bad.isNull(), F.split("text", "\n", -1)).otherwise(F.array(F.lit(None).cast("string")))).alias("line")).withColumn("n_chars", F.char_length("line")).drop("line")
+
+    compiled = Compile(c.spark, f"{shared_folder(c.spark)}/compiles/{uuid4().hex}")
+    compiled.run(units.where("doc_id % 3 <> 2").withColumn("digest", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("digest"))), work, slices=2)
+    compiled.run(units, work, slices=2)
+    made = compiled.results().groupBy("unit").agg(F.sum("n_chars").cast("long").alias("n_chars"))
+    out = checkpointed(compiled.outcomes.select("unit", "error", "n_rows", "attempts").join(made, "unit", "left"))
+    compiled.remove()
+    return out
+
+
 SQL = {
+    "closed_schema_faults": """, d AS (SELECT *, string_split(text, chr(10)) AS parts, doc_id % 31 <> 0 AS whole FROM documents)
+SELECT doc_id, '' AS path, 'invalid_json' AS fault FROM d WHERE NOT whole
+UNION ALL SELECT doc_id, '/n_chars', 'wrong_type' FROM d WHERE whole AND doc_id % 13 = 0
+UNION ALL SELECT doc_id, '/a~1b', 'unknown_field' FROM d WHERE whole AND doc_id % 17 = 0
+UNION ALL SELECT doc_id, '/lang', CASE WHEN doc_id % 19 = 0 THEN 'missing_field' ELSE 'not_allowed' END FROM d WHERE whole AND (doc_id % 19 = 0 OR lang NOT IN ('en', 'de', 'fr'))
+UNION ALL SELECT doc_id, '/lines', 'out_of_range' FROM d WHERE whole AND len(parts) < 2
+UNION ALL SELECT doc_id, '/lines/' || i || '/chars', 'out_of_range' FROM (SELECT doc_id, parts, whole, unnest(range(len(parts))) AS i FROM d) WHERE whole AND parts[i + 1] = ''""",
+    "compile_ledger": """, d AS (SELECT *, doc_id % 50 = 5 AS bad, string_split(text, chr(10)) AS parts FROM documents)
+SELECT '' || doc_id AS unit, CASE WHEN bad THEN 'pdf_text_layer_empty' END AS error, CASE WHEN bad THEN 1 ELSE len(parts) END::BIGINT AS n_rows, CASE WHEN doc_id % 3 <> 2 AND (bad OR doc_id % 7 = 0) THEN 2 ELSE 1 END::BIGINT AS attempts,
+CASE WHEN NOT bad THEN length(text) - len(parts) + 1 END::BIGINT AS n_chars FROM d""",
     "structure_assemble": "SELECT doc_id, length(t) AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS t FROM span GROUP BY doc_id)",
     "structure_span_faults": """, s AS (SELECT doc_id, pos, start_byte - CASE WHEN doc_id % 40 = 9 AND pos = 1 THEN 3 ELSE 0 END AS b, end_byte AS e FROM span),
 f AS (SELECT *, b >= e OR b < lag(e, 1, 0) OVER w OR row_number() OVER w > 64 AS bad FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos))

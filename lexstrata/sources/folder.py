@@ -32,3 +32,9 @@ def signature(spark: SparkSession, path: str) -> str:
         f = files.next()
         said.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this engine's own tables, on whichever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
