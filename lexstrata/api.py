@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import json
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import wraps
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
@@ -59,6 +61,18 @@ def parse_locator(text: str) -> tuple[str, str]:
     return m[1], record_id
 
 
+def one_state(operation: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any]]:
+    """The operation with one state of the tables for all that it reads; only its last look at the rights is at those of then."""
+
+    @wraps(operation)
+    def run(self: EvidenceService, *args: Any, **named: Any) -> dict[str, Any]:
+        if not hasattr(self.tables, "snapshot"):
+            return operation(self, *args, **named)
+        return operation(replace(self, tables=self.tables.snapshot(), live=self.tables), *args, **named)
+
+    return run
+
+
 @dataclass
 class EvidenceService:
     tables: Tables
@@ -66,6 +80,7 @@ class EvidenceService:
     bindings: DataFrame | None = None  # source_package, source_record_id, target_package, target_record_id, text_sha256
     sources: DataFrame | None = None  # package_digest, path, bytes, sha256
     _visible: dict[str, str] = field(default_factory=dict)
+    live: Any = None  # what rights are looked up in at the end of an operation, where tables is a state of it
 
     # Arguments and authorisation -------------------------------------------------------------------
 
@@ -83,9 +98,12 @@ class EvidenceService:
             raise error("not_found", "No such package is served.")
         return {k: v for k, v in found[0].asDict(recursive=True).items() if k in ("package_digest", "family_id", "edition_id", "identifier", "representation", "coverage")}
 
+    def _now(self) -> EvidenceService:
+        return self if self.live is None else replace(self, tables=self.live.snapshot(), live=None)
+
     def _recheck(self, package: dict[str, Any], principal: str) -> None:
         try:
-            self._package(package["package_digest"], principal)
+            self._now()._package(package["package_digest"], principal)
         except EvidenceError as e:
             raise error("authorization_changed", "The package is no longer served.") from e
 
@@ -119,6 +137,7 @@ class EvidenceService:
 
     # Discovery ---------------------------------------------------------------------------------------
 
+    @one_state
     def search(self, query: str, principal: str, limit: int = 20, package_digest: str | None = None, scope_prefix: str | None = None, query_mode: str = "all_terms") -> dict[str, Any]:
         parsed, limit = parse(query, query_mode), self._limit(limit)
         if not (scope_prefix is None or bool(scope_prefix)):
@@ -141,17 +160,19 @@ class EvidenceService:
         coverage = {r["package_digest"]: {k: v for k, v in r.asDict(recursive=True).items() if k in ("identifier", "edition_id", "representation", "coverage")} for r in about}
         return {"query_interpretation": interpretation, "filters": filters, "packages": coverage, "results": hits, "complete": False, "limitations": ["discovery only; read evidence before citing"]}
 
+    @one_state
     def list_documents(self, principal: str, identifier_prefix: str | None = None, limit: int = 50, cursor: str | None = None) -> dict[str, Any]:
         prefix = None if identifier_prefix is None else normalize_identifier(identifier_prefix, prefix=True)
         binding = {"principal": principal, "scope": prefix, "visibility": self.visibility(principal), "operation": "list_documents"}
         after = cursors.decode(self.secret, cursor, binding) if cursor else None
         rows = catalog.listing(self._served(principal), prefix, after, self._limit(limit) + 1).select(*catalog.KEY).collect()
         page = [r.asDict() for r in rows[:limit]]
-        if self.visibility(principal) != binding["visibility"]:
+        if self._now().visibility(principal) != binding["visibility"]:
             raise error("authorization_changed", "The inventory changed while it was read.")
         more = len(rows) > limit
         return {"documents": page, "has_more": more, "next_cursor": cursors.encode(self.secret, binding, {k: page[-1][k] for k in catalog.KEY}) if more else None}
 
+    @one_state
     def resolve_document(self, identifier: str, principal: str, edition_id: str | None = None, representation: str | None = None) -> dict[str, Any]:
         name = normalize_identifier(identifier)
         served = self._served(principal)
@@ -162,6 +183,7 @@ class EvidenceService:
         details = {"candidates": near[: catalog.CANDIDATES], "truncated": len(near) > catalog.CANDIDATES}
         raise error("ambiguous_document" if found else "not_found", "The identifier names several documents." if found else "No such document is served.", **details)
 
+    @one_state
     def get_source_pdfs(self, package_digest: str, principal: str) -> dict[str, Any]:
         package = self._package(package_digest, principal)
         files = self.sources if self.sources is not None else getattr(self.tables, "sources", None)
@@ -217,6 +239,7 @@ class EvidenceService:
         if changed:
             raise error("source_changed", "Texts are not those of their sources any more.", record_ids=changed)
 
+    @one_state
     def get_clause(self, package_digest: str, principal: str, clause_reference: str | None = None, record_id: str | None = None, max_bytes: int | None = None, response_profile: str | None = None) -> dict[str, Any]:
         if not (clause_reference is not None or record_id is not None):
             raise error("invalid_record_selector", "A clause or a record id is required.")
@@ -234,6 +257,7 @@ class EvidenceService:
         self._recheck(package, principal)
         return budgeted(packet, max_bytes)
 
+    @one_state
     def build_context(self, package_digest: str, clause_references: list[str], principal: str, max_bytes: int | None = None, response_profile: str | None = None) -> dict[str, Any]:
         if not (isinstance(clause_references, list) and 1 <= len(clause_references) <= 64 and all(isinstance(c, str) and c for c in clause_references)):
             raise error("invalid_clause_reference", "1 to 64 clause references are required.")
@@ -247,6 +271,7 @@ class EvidenceService:
         self._recheck(package, principal)
         return budgeted(packet, max_bytes)
 
+    @one_state
     def enumerate_obligations(self, package_digest: str, principal: str, scope_prefix: str | None = None, limit: int = 50, cursor: str | None = None, max_bytes: int | None = None) -> dict[str, Any]:
         package, limit = self._package(package_digest, principal), self._limit(limit)
         binding = {"principal": principal, "scope": [package_digest, scope_prefix], "visibility": self.visibility(principal), "operation": "obligations"}
@@ -268,6 +293,7 @@ class EvidenceService:
         self._recheck(package, principal)
         return budgeted(packet, max_bytes)
 
+    @one_state
     def browse_records(self, package_digest: str, principal: str, relation: str = "all", record_id: str | None = None, kind: str | None = None, scope_prefix: str | None = None, limit: int = 50, cursor: str | None = None, max_bytes: int | None = None) -> dict[str, Any]:
         if relation not in RELATIONS:
             raise error("invalid_relation", "The relation is not supported.", relations=list(RELATIONS))
@@ -312,6 +338,7 @@ class EvidenceService:
         self._recheck(package, principal)
         return budgeted(packet, max_bytes)
 
+    @one_state
     def select_evidence(self, package_digest: str, record_id: str, principal: str, max_tokens: int | None = None, max_bytes: int | None = None, count_tokens: Any = None) -> dict[str, Any]:
         """The smallest of the profiles that fits."""
         if not (max_tokens is None or count_tokens is not None):
@@ -329,6 +356,7 @@ class EvidenceService:
 
     # Comparison --------------------------------------------------------------------------------------
 
+    @one_state
     def diff_editions(self, from_digest: str, to_digest: str, principal: str, max_bytes: int | None = None) -> dict[str, Any]:
         old, new = self._package(from_digest, principal), self._package(to_digest, principal)
         if old["family_id"] != new["family_id"]:
@@ -357,6 +385,7 @@ class EvidenceService:
         self._recheck(new, principal)
         return budgeted(packet, max_bytes)
 
+    @one_state
     def follow_references(self, package_digest: str, record_id: str, principal: str, max_bytes: int | None = None) -> dict[str, Any]:
         """One hop over reviewed bindings; both ends must be served, and the target's text must be the bound one."""
         package = self._package(package_digest, principal)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexstrata.cursor import digest
 from lexstrata.errors import error
 from lexstrata.operators import postings
+from lexstrata.operators.graph import checkpointed
 from lexstrata.sources.packs import Packs
 
 #: Files that the index of a package has at most.
@@ -36,6 +37,12 @@ class Policy:
         return digest({k: list(v) if isinstance(v, tuple) else v for k, v in self.__dict__.items()})
 
 
+def latest(events: DataFrame) -> DataFrame:
+    """The last event of each principal and package."""
+    order = Window.partitionBy("principal_id", "package_digest").orderBy(F.desc("generation"))
+    return events.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
 class Store:
     """Parquet tables below a path: packages, records and dependencies by package, and grant events.
 
@@ -82,8 +89,7 @@ class Store:
 
     @property
     def grants(self) -> DataFrame:
-        latest = Window.partitionBy("principal_id", "package_digest").orderBy(F.desc("generation"))
-        return self._read("grants", GRANT).withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n")
+        return latest(self._read("grants", GRANT))
 
     def _there(self, name: str, schema: str | None = None) -> DataFrame | None:
         """A table, or None before its first write."""
@@ -120,6 +126,9 @@ class Store:
         new = [r["package_digest"] for r in found]
         whole = self._there("packages")
         there = set() if whole is None else {r[0] for r in whole.select("package_digest").where(F.col("package_digest").isin(new)).collect()}
+        other = self._conflicting(packs, sorted(there)) if there else []
+        if other:
+            raise error("object_store_conflict", "The store holds other content under a pack's digest.", package_digests=other)
         fresh = [d for d in new if d not in there]
         if fresh:
             parent = packs.records.select("package_digest", F.col("structure.logical_id").alias("parent_logical_id"), F.col("record_id").alias("parent_record_id")).where("parent_logical_id is not null")
@@ -131,11 +140,35 @@ class Store:
             promises = postings.blocks(self._read("postings", postings.POSTINGS)).repartition("package_digest").sortWithinPartitions("package_digest", "form", "token")
             for name, rows in (("blocks", promises), ("records", records), ("dependencies", packs.dependencies), ("sources", files), ("packages", packs.packages.drop("pack"))):
                 self._write(name, rows.where(F.col("package_digest").isin(fresh)))
-        self._event(policy.principal_id, new, self._next_generation(), True, None, policy.fingerprint)
-        for name in ("packages", "records", "dependencies", "sources", "postings", "blocks"):
-            self.__dict__.pop(name, None)
+        number = self._next_generation()
+        self._event(policy.principal_id, new, number, True, None, policy.fingerprint)
+        self._seen(number, whole=True)
         return new
 
+    def _conflicting(self, packs: Packs, digests: list[str]) -> list[str]:
+        """Those of the digests under which records, edges or source files are stored that aren't the packs'."""
+
+        def marks(records: DataFrame, dependencies: DataFrame, sources: DataFrame) -> DataFrame:
+            mark = lambda rows, *columns: rows.where(F.col("package_digest").isin(digests)).select("package_digest", F.sha2(F.to_json(F.struct(*columns)), 256).alias("mark"))
+            return mark(records, "record_id", "ordinal", "text").union(mark(dependencies, "source_record_id", "relationship", "target_record_id", "required")).union(mark(sources, "path", "hash"))
+
+        files = packs.files.where(F.col("path").startswith("sources/")).join(packs.packages.select("pack", "package_digest"), "pack")
+        given = checkpointed(marks(packs.records, packs.dependencies, files.withColumn("hash", F.col("sha256"))))
+        stored = checkpointed(marks(self._read("records"), self._read("dependencies"), self._read("sources").withColumn("hash", F.sha2("content", 256))))
+        unlike = given.exceptAll(stored).union(stored.exceptAll(given)).select("package_digest").distinct()
+        return sorted(r[0] for r in unlike.collect())  # at most a row per pack of this call
+
+    def _seen(self, number: int, whole: bool = False) -> None:
+        """Tables read before the event of this number are listed anew."""
+        if whole or number != self.__dict__.get("_at"):
+            for name in ("packages", "records", "dependencies", "sources", "postings", "blocks"):
+                self.__dict__.pop(name, None)
+            self._at = number
+
+    def snapshot(self) -> Snapshot:
+        """The store as it is now, whatever is installed or revoked later."""
+        return Snapshot(self)
+
     def _write(self, name: str, rows: DataFrame) -> None:
         """The partitions of these packages, in place of what a broken install may have left."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("package_digest").parquet(f"{self.path}/{name}")
@@ -149,3 +182,45 @@ class Store:
 
     def _event(self, principal: str, digests: list[str], generation: int, serve: bool, revoked_at: str | None, fingerprint: str) -> None:
         self.spark.createDataFrame([(principal, d, generation, serve, revoked_at, fingerprint) for d in digests], GRANT).coalesce(1).write.mode("append").parquet(f"{self.path}/grants")
+
+
+class Snapshot:
+    """One state of a store for all reads of an operation.
+
+    The files of events are listed once, when it is made, and never change; an
+    event is an install's last write.  So grants, and the packages that any of
+    these events names, stay what they are, and a package's rows are those of its
+    digest.
+    """
+
+    def __init__(self, store: Store) -> None:
+        events = store._there("grants", GRANT)
+        events = store.spark.createDataFrame([], GRANT) if events is None else events
+        self.generation: int = events.agg(F.max("generation")).first()[0] or 0
+        store._seen(self.generation)
+        self.store, self.grants = store, latest(events)
+        self._named = events.select("package_digest").distinct()
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        return self.store.packages.join(self._named, "package_digest", "left_semi")
+
+    @property
+    def records(self) -> DataFrame:
+        return self.store.records
+
+    @property
+    def dependencies(self) -> DataFrame:
+        return self.store.dependencies
+
+    @property
+    def sources(self) -> DataFrame:
+        return self.store.sources
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.store.postings
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.store.blocks
