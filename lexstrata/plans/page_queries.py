@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions import scalars
-from lexstrata.operators import graph, pages
+from lexstrata.operators import graph, pages, review
+from lexstrata.operators.graph import checkpointed
 from lexstrata.plans.oracles import CORPUS
 from lexstrata.plans.queries import _edition_edges, _status, query
 from lexstrata.sources.adapter import Corpus, read
@@ -119,6 +120,44 @@ def edges_with_structure(c: Corpus) -> DataFrame:
     return graph.with_structure(c.dependencies, part).groupBy("package_digest", "relationship").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("required").alias("n_required"))
 
 
+@query
+def outline_review(c: Corpus) -> DataFrame:
+    """The first and last line of each page as a candidate; drafts and decisions on them, some changed, missing or twice."""
+    made = checkpointed(pages.compiled(_as_pages(c)).where("status = 'extracted'"))
+    p, lines = F.col("page"), F.split("text", "\n", -1)
+    first, last = F.get(lines, F.lit(0)), F.element_at(lines, -1)
+    one = F.size(lines) == 1
+    span = lambda a, b: F.struct(a.cast("long").alias("start_byte"), b.cast("long").alias("end_byte"))
+    head = span(F.col("start_byte"), F.col("start_byte") + F.octet_length(first) + F.when(p % 13 == 3, 1).otherwise(0))
+    spans = F.when(one, F.array(head)).otherwise(F.array(head, span(F.col("end_byte") - F.octet_length(last), F.col("end_byte"))))
+    text = F.when(one, first).otherwise(F.concat(first, F.lit("\n"), last))
+    name = F.concat(F.lit("page-"), p.cast("string"))
+    kind = F.when(p % 14 == 6, "unsupported_region").otherwise("paragraph")
+    reference = F.when(p % 28 == 6, F.concat(name, F.lit("-ambiguous-numbered-1"))).otherwise(name)
+    candidates = made.select("document", name.alias("record_id"), F.concat(F.lit("log:"), name).alias("logical_id"), kind.alias("kind"), reference.alias("clause_reference"), F.lit("Lines").alias("heading"), F.lit(None).cast("string").alias("parent_logical_id"), text.alias("text"), F.sha2("document", 256).alias("package_digest"), spans.alias("spans"))
+    proposed = checkpointed(review.drafts(candidates, made))
+    number = F.substring_index("record_id", "-", -1).cast("long")
+    given = proposed.where("draft is not null").withColumn("doc_id", number)
+    d = F.col("doc_id")
+    draft = F.when(d % 11 == 4, F.replace("draft", F.lit(review.STATE), F.lit("approved"))).when(d % 15 == 7, F.concat("draft", F.lit(" "))).otherwise(F.col("draft"))
+    given = given.withColumn("draft", draft).withColumn("draft_sha256", F.sha2("draft", 256))
+    node = F.from_json(F.get_json_object("draft", "$.proposed_node"), review.NODE)
+    shifted = F.transform("n.source_spans", lambda s: F.struct(s["physical_page"].alias("physical_page"), F.when(d % 29 == 8, F.sha2(F.lit("other"), 256)).otherwise(s["page_text_sha256"]).alias("page_text_sha256"), s["start_byte"].alias("start_byte"), (s["end_byte"] + F.when(d % 19 == 5, 1 << 30).otherwise(0)).alias("end_byte")))
+    decided = given.withColumn("n", node).where("doc_id % 5 <> 0").select(
+        "doc_id",
+        F.when(d % 17 == 2, F.sha2(F.lit("none"), 256)).otherwise(F.col("draft_sha256")).alias("draft_sha256"),
+        (d % 7 != 1).alias("accepted"),
+        F.struct(F.col("n.logical_id").alias("logical_id"), F.lit("clause").alias("kind"), F.concat(F.lit("c-"), "n.clause_reference").alias("clause_reference"), F.col("n.heading").alias("heading"), F.when(d % 23 == 6, "other").otherwise(F.col("n.exact_text")).alias("exact_text"), shifted.alias("source_spans")).alias("node"),
+        F.struct(F.lit("r1").alias("reviewer_id"), F.when(d % 31 == 9, "nobody").otherwise("human").alias("reviewer_type"), F.lit("2025-01-01").alias("reviewed_at")).alias("review"),
+    )
+    decided = decided.union(decided.where("doc_id % 37 = 10 and doc_id % 17 <> 2"))
+    found = review.promoted(given, decided, candidates, made)
+    at = lambda column, pointer: F.get_json_object(column, pointer)
+    result = found.select("record_id", "status", F.sha2(at("annotation", "$.node.exact_text"), 256).alias("content_sha256"), at("annotation", "$.node.source_spans[0].end_byte").cast("long").alias("end_byte"))
+    refused = proposed.where("draft is null").select("record_id", "status", F.lit(None).cast("string"), F.lit(None).cast("long"))
+    return result.union(refused)
+
+
 _PAGES = r""", p AS (SELECT source || '/' || lang AS document, doc_id AS page, CASE WHEN doc_id % 9 = 0 THEN ' ' || chr(10) || ' ' WHEN doc_id % 4 = 0 THEN chr(13) || chr(10) || replace(text, chr(10), ' ' || chr(13) || chr(10)) ELSE text END AS text FROM documents),
 n AS (SELECT document, page, regexp_replace(array_to_string(list_transform(string_split(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '^\n+|\n+$', '', 'g') AS text FROM p),
 m AS (SELECT document, page, coalesce(text, '') <> '' AS there, text, printf('[[PAGE_%04d]]', page) AS mark FROM n),
@@ -140,6 +179,13 @@ _SQL = {
     "spans_in_pages": _PAGES + """, x AS (SELECT document, page, start_byte + third + moved AS a, end_byte - third + moved AS b FROM (SELECT *, (end_byte - start_byte) // 3 AS third, CASE WHEN page % 11 = 0 THEN end_byte - start_byte ELSE 0 END AS moved FROM compiled WHERE status = 'extracted'))
 SELECT x.document || '/' || x.page AS span, c.page, a - c.start_byte AS page_start, b - c.start_byte AS page_end, c.page IS NOT NULL AS held
 FROM x LEFT JOIN compiled c ON c.document = x.document AND a >= c.start_byte AND b <= c.end_byte AND a < b""",
+    "outline_review": _PAGES + """, l AS (SELECT page AS d, string_split(text, chr(10)) AS w FROM m WHERE there),
+x AS (SELECT d, strlen(w[1]) AS first_bytes, CASE WHEN len(w) = 1 THEN w[1] ELSE w[1] || chr(10) || w[-1] END AS said FROM l),
+y AS (SELECT *, CASE WHEN d % 14 = 6 AND d % 28 <> 6 THEN 'outline_candidate_unsupported' WHEN d % 13 = 3 THEN 'outline_source_mismatch' WHEN d % 11 = 4 THEN 'invalid_outline_review' WHEN d % 5 = 0 OR d % 17 = 2 THEN 'undecided'
+  WHEN d % 37 = 10 THEN 'repeated_decision' WHEN d % 15 = 7 THEN 'outline_review_stale' WHEN d % 7 = 1 THEN 'rejected' WHEN d % 31 = 9 THEN 'invalid_outline_review' WHEN d % 29 = 8 THEN 'outline_review_stale'
+  WHEN d % 19 = 5 THEN 'invalid_outline_review' WHEN d % 23 = 6 THEN 'outline_review_stale' ELSE 'reviewed_annotation_written' END AS status FROM x)
+SELECT 'page-' || d AS record_id, status, CASE WHEN status LIKE 'reviewed%' THEN sha256(said) END AS content_sha256, CASE WHEN status LIKE 'reviewed%' THEN first_bytes END::BIGINT AS end_byte FROM y
+UNION ALL SELECT DISTINCT NULL, 'outline_review_stale', NULL, NULL::BIGINT FROM y WHERE d % 17 = 2 AND d % 5 <> 0 AND status NOT IN ('outline_candidate_unsupported', 'outline_source_mismatch')""",
     "composition_identity": r"SELECT source || '/' || lang AS ident, count(*) AS n_components, sha256(string_agg(doc_id || chr(9) || n_chars || chr(9) || CASE WHEN doc_id % 6 = 0 THEN '\N' ELSE sha256(text) END, chr(10) ORDER BY doc_id)) AS composition_sha256 FROM documents GROUP BY ALL",
     "unequal_totals": "SELECT * FROM (SELECT lang AS status, count(*) AS counted, count(*) + 1 AS said FROM documents WHERE lang = 'fr' GROUP BY ALL) UNION ALL SELECT 'it', 0, 2",
     "coverage_once": "SELECT package_digest, identifier, representation FROM pkg WHERE package_digest IN (SELECT package_digest FROM rec WHERE contains(lower(text), 'the'))",
