@@ -89,6 +89,10 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _named(path: Column, key: str) -> Column:
+    return F.concat(path, F.lit("/" + key.replace("~", "~0").replace("/", "~1")))
+
+
 def _step(path: Column, key: Column) -> Column:
     return F.concat(path, F.lit("/"), F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
 
@@ -131,7 +135,7 @@ def _object(fields: Column, kind: Closed, path: Column) -> Column:
     unknown = F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))
     told = lambda names, fault: F.transform(names, lambda k: F.struct(_step(path, k).alias("path"), F.lit(fault).alias("fault"))).cast(FAULTS)
     # A field that is there is never SQL null: JSON's null is a VARIANT.
-    inner = [F.when(F.map_contains_key(fields, name), faults(fields[name], k, _step(path, F.lit(name)))).otherwise(_none()) for name, k in known.items() if not isinstance(k, Any)]
+    inner = [F.when(F.map_contains_key(fields, name), faults(fields[name], k, _named(path, name))).otherwise(_none()) for name, k in known.items() if not isinstance(k, Any)]
     return F.concat(told(missing, "missing_field"), told(unknown, "unknown_field"), *inner)
 
 
@@ -146,8 +150,15 @@ def _array(items: Column, kind: Items, path: Column) -> Column:
 
 def json_faults(rows: DataFrame, text: Column, kind: Kind, keys: list[str]) -> DataFrame:
     """keys, path and fault of each fault of JSON texts; null text is invalid_json too."""
-    parsed = rows.select(*keys, F.try_parse_json(text).alias("value"))
-    found = F.when(F.col("value").isNull(), _one(F.lit(""), "invalid_json")).otherwise(faults(F.col("value"), kind, F.lit("")))
+    return json_faults_by(rows, text, F.lit(""), {"": kind}, keys)
+
+
+def json_faults_by(rows: DataFrame, text: Column, which: Column, kinds: dict[str, Kind], keys: list[str]) -> DataFrame:
+    """json_faults of texts of several kinds in one pass: which names a text's kind."""
+    parsed = rows.select(*keys, which.alias("_which"), F.try_parse_json(text).alias("value"))
+    found = F.when(F.col("value").isNull(), _one(F.lit(""), "invalid_json"))
+    for name, kind in kinds.items():
+        found = found.when(F.col("_which") == name, faults(F.col("value"), kind, F.lit("")))
     return parsed.select(*keys, F.inline(found))
 
 

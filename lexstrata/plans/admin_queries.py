@@ -16,6 +16,7 @@ from lexstrata.plans.queries import _with_spans, query
 from lexstrata.sources.adapter import Corpus, read
 from lexstrata.sources.folder import shared_folder
 from lexstrata.sources.ledger import Compile
+from lexstrata.sources.packs import bundle, bundle_faults
 
 
 @query
@@ -157,7 +158,23 @@ def compile_ledger(c: Corpus) -> DataFrame:
     return out
 
 
+@query
+def bundle_verify(c: Corpus) -> DataFrame:
+    """Documents as files of a bundle; some blobs are changed or gone, some members have an unsafe path or another size."""
+    d, text = F.col("doc_id"), F.encode("text", "UTF-8")
+    files = c.documents.select(F.concat_ws("/", "source", "lang").alias("pack"), F.format_string("sources/%d.txt", d).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"), text.alias("content"), "doc_id")
+    blobs, _ = bundle(files)
+    kept = blobs.where("sha256 not like '2%'").withColumn("content", F.when(F.col("sha256").startswith("1"), F.concat("content", F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("content")))
+    path = F.when(d % 41 == 3, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
+    members = files.select("pack", path.alias("path"), "sha256", (F.col("bytes") + F.when(d % 43 == 4, 1).otherwise(0)).alias("bytes"))
+    return bundle_faults(kept, members).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sha256").alias("n_blobs"))
+
+
 SQL = {
+    "bundle_verify": """, f AS (SELECT doc_id, sha256(text) AS h FROM documents),
+b AS (SELECT 'blob_hash_mismatch' AS code, h FROM f WHERE h LIKE '1%' GROUP BY h UNION ALL SELECT 'blob_size_mismatch', h FROM f WHERE h LIKE '1%' GROUP BY h UNION ALL SELECT 'blob_missing', h FROM f WHERE h LIKE '2%'
+UNION ALL SELECT 'invalid_pack_path', h FROM f WHERE doc_id % 41 = 3 UNION ALL SELECT 'member_size_mismatch', h FROM f WHERE doc_id % 43 = 4 AND h NOT LIKE '2%')
+SELECT code, count(*) AS n, count(DISTINCT h) AS n_blobs FROM b GROUP BY code""",
     "closed_schema_faults": """, d AS (SELECT *, string_split(text, chr(10)) AS parts, doc_id % 31 <> 0 AS whole FROM documents)
 SELECT doc_id, '' AS path, 'invalid_json' AS fault FROM d WHERE NOT whole
 UNION ALL SELECT doc_id, '/n_chars', 'wrong_type' FROM d WHERE whole AND doc_id % 13 = 0

@@ -198,11 +198,10 @@ class Packs:
     def shape_faults(self) -> DataFrame:
         """(pack, file, code, path, fault): where the JSON files aren't of their closed shapes; a record is a row of its own."""
         text = _decoded(F.col("content"))
-        out = None
-        for name, (shape, code) in SHAPES.items():
-            mine = self.files.where(F.col("path") == name)
-            found = closed.json_faults(mine, text, shape, ["pack"]).select("pack", F.lit(name).alias("file"), F.lit(code).alias("code"), "path", "fault")
-            out = found if out is None else out.union(found)
+        mine = self.files.where(F.col("path").isin(*SHAPES)).withColumnRenamed("path", "file")
+        code = F.coalesce(*(F.when(F.col("file") == name, F.lit(code)) for name, (_, code) in SHAPES.items()))
+        whole = closed.json_faults_by(mine, text, F.col("file"), {name: shape for name, (shape, _) in SHAPES.items()}, ["pack", "file"])
+        out = whole.select("pack", "file", code.alias("code"), "path", "fault")
         each = closed.item_faults(self.files.where("path = 'records.json'"), text, "records", RECORD_SHAPE, ["pack"])
         return out.union(each.select("pack", F.lit("records.json").alias("file"), F.lit("invalid_record").alias("code"), "path", "fault"))
 
@@ -314,3 +313,37 @@ def bundle(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blobs, members): each content once by digest, and where it stands in each pack."""
     blobs = files.groupBy("sha256").agg(F.first("content").alias("content"), F.first("bytes").alias("bytes"))
     return blobs, files.select("pack", "path", "sha256", "bytes")
+
+
+def bundle_faults(blobs: DataFrame, members: DataFrame) -> DataFrame:
+    """(code, pack, path, sha256) of every broken rule of a bundle: each blob is what its digest says and used, each member safe, there and of its size."""
+    none = F.lit(None).cast("string")
+    parts = []
+
+    def broken(rows: DataFrame, code: str, pack: Column = none, path: Column = none) -> None:
+        parts.append(rows.select(F.lit(code).alias("code"), pack.alias("pack"), path.alias("path"), "sha256"))
+
+    # Contents are read once; all other rules need digests and sizes only.
+    seen = checkpointed(blobs.select("sha256", "bytes", F.sha2("content", 256).alias("now"), F.octet_length("content").cast("long").alias("size")))
+    broken(seen.where(~F.col("now").eqNullSafe(F.col("sha256"))), "blob_hash_mismatch")
+    broken(seen.where(~F.col("size").eqNullSafe(F.col("bytes"))), "blob_size_mismatch")
+    broken(seen.groupBy("sha256").count().where("count > 1"), "repeated_blob")
+    broken(seen.select("sha256").distinct().join(members, "sha256", "left_anti"), "unused_blob")
+    pack, path = F.col("pack"), F.col("path")
+    broken(members.join(seen, "sha256", "left_anti"), "blob_missing", pack, path)
+    sizes = seen.groupBy("sha256").agg(F.max("bytes").alias("blob_bytes"))
+    broken(members.join(sizes, "sha256").where(~F.col("bytes").eqNullSafe(F.col("blob_bytes"))), "member_size_mismatch", pack, path)
+    broken(members.where(~F.coalesce(safe_path(path), F.lit(False))), "invalid_pack_path", pack, path)
+    broken(members.groupBy("pack", "path").agg(F.count(F.lit(1)).alias("n"), F.min("sha256").alias("sha256")).where("n > 1"), "repeated_member", pack, path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def materialized(blobs: DataFrame, members: DataFrame) -> DataFrame:
+    """(pack, path, bytes, sha256, content): the files of a sound bundle; of any other the first fault is an error, before a file is made."""
+    first = bundle_faults(blobs, members).orderBy("code", "pack", "path", "sha256").first()
+    if first is not None:
+        raise error("bundle_mismatch", "A bundle breaks a rule.", fault=first["code"], pack=first["pack"], path=first["path"], sha256=first["sha256"])
+    return members.join(blobs.select("sha256", "content"), "sha256").select("pack", "path", "bytes", "sha256", "content")
