@@ -3,7 +3,7 @@
 A draft is the canonical JSON of one candidate with its spans as offsets within
 pages, known by its SHA-256.  A decision names the digest of the draft that the
 reviewer saw.  Promotion makes each draft again from the candidates and pages of
-now, and compares bytes: what has changed since is stale.  Nothing is accepted
+now, and compares digests: what has changed since is stale.  Nothing is accepted
 in silence; every draft and every decision has a status.
 """
 
@@ -100,7 +100,7 @@ def promoted(submitted: DataFrame, decisions: DataFrame, candidates: DataFrame,
     wrong = closed.json_faults(given, F.col("draft"), DRAFT_SHAPE, ["draft_sha256"]).select("draft_sha256").distinct().withColumn("misshapen", F.lit(True))
     decided = decisions.groupBy("draft_sha256").agg(F.first("accepted").alias("accepted"), F.first("node").cast(NODE).alias("node"), F.first("review").alias("review"), F.count(F.lit(1)).alias("n"))
     told = given.join(wrong, "draft_sha256", "left").join(decided, "draft_sha256", "full_outer").withColumn("record_id", F.get_json_object("draft", "$.candidate_record_id"))
-    again = drafts(candidates, pages).where("draft is not null").select("record_id", F.col("draft").alias("replayed"))
+    again = drafts(candidates, pages).where("draft is not null").select("record_id", F.col("draft_sha256").alias("replayed"))
     rows = told.join(again, "record_id", "left").withColumns({"proposed": F.from_json(F.get_json_object("draft", "$.proposed_node"), NODE), "document": F.get_json_object("draft", "$.document_id")})
     rows = checkpointed(rows)
     spans = rows.where(F.size("node.source_spans") <= MAX_SPANS).select("draft_sha256", "document", F.posexplode("node.source_spans").alias("place", "s"))
@@ -120,7 +120,7 @@ def promoted(submitted: DataFrame, decisions: DataFrame, candidates: DataFrame,
         .when(F.col("misshapen"), "invalid_outline_review")
         .when(F.col("n").isNull(), "undecided")
         .when(F.col("n") > 1, "repeated_decision")
-        .when(no(F.col("draft") == F.col("replayed")), "outline_review_stale")
+        .when(no(F.col("draft_sha256") == F.col("replayed")), "outline_review_stale")
         .when(no(F.col("accepted")), "rejected")
         .when(no(F.col("node.logical_id") == F.col("proposed.logical_id")), "outline_review_stale")
         .when(no(F.col("node.kind").isin(*NODE_KINDS) & renamed & named & provenance), "invalid_outline_review")
