@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 import sqlite3
@@ -103,6 +104,43 @@ def test_pruned_equals_ranked(spark, monkeypatch):
             assert got(postings.pruned(index, promises, served, q, limit, **narrow)) == want, (query, mode, first)
 
 
+def test_packed_equals_posted(spark, monkeypatch):
+    """Short runs and small blocks, ordinals out of order, empty and missing columns."""
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "RUN_TOKENS", 50)
+    rng = random.Random(5)
+    text = lambda: rng.choice([None, "", " ".join(rng.choices(["iron", "irons", "ironing", "chain", "9", "été"], k=rng.randint(1, 30)))])
+    rows = [(f"p{i % 3}", f"r{i}", rng.choice(["1", "1.2", "iron.3", None]), text(), text(), i // 3) for i in range(300)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "package_digest string, record_id string, clause_reference string, heading string, text string, ordinal long")
+    index = graph.checkpointed(postings.packed(frame))
+    want, got = (df.where("form = 'word'").select(*(f.split()[0] for f in postings.POSTINGS.split(", "))).collect() for df in (postings.posted(frame), postings.unpacked(index)))
+    shown = lambda rows: sorted(tuple(repr(x) for x in r) for r in rows)
+    assert shown(got) == shown(want)
+    stems = lambda df: sorted(map(repr, df.where("form = 'stem'").select("token", "record_id", "place", F.explode("positions").alias("p")).collect()))
+    assert stems(postings.unpacked(index)) == stems(postings.posted(frame))
+    # What a block promises is at least what its postings have.
+    key = ["form", "token", "package_digest", "block"]
+    least = postings.blocks(postings.unpacked(index)).withColumnRenamed("gain", "least")
+    promised = postings.promises(index).groupBy(*key).agg(F.sum("gain").alias("gain"))
+    assert least.join(promised, key, "left").where("gain is null or gain < least - 1e-9").count() == 0
+    served = spark.createDataFrame([("p0",), ("p1",)], "package_digest string")
+    for query, mode in (("iron chain", "all_terms"), ("iron chain", "exact_phrase"), ("irons", "natural_language"), ("ir-9 chain", "natural_language")):
+        q = T.parse(query, mode)
+        want = postings.ranked(postings.posted(frame), served, q, 7).collect()
+        assert postings.ranked(postings.unpacked(index), served, q, 7).collect() == want
+        for ranges in (48, 1):
+            monkeypatch.setattr(postings, "MOST_RANGES", ranges)
+            monkeypatch.setattr(postings, "FIRST_BLOCKS", 2)
+            assert postings.pruned(postings.unpacked(index), postings.promises(index), served, q, 7).collect() == want
+
+
+def test_index_is_small(spark):
+    c = Corpus(spark, "/root/testdata/sf0.01")
+    bytes_of = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    assert bytes_of(c.postings) < 2.5 * bytes_of(c.documents)
+
+
 def test_few_rows_are_read_for_few_results(spark, sf_dir, monkeypatch):
     c, q, read = Corpus(spark, sf_dir), T.parse("that with", "all_terms"), []
     whole = postings._in_blocks
