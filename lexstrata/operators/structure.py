@@ -11,11 +11,13 @@ from lexstrata.operators.verify import slices
 def assembled(spans: DataFrame, sources: DataFrame, by: list[str], source_key: str) -> DataFrame:
     """One text per record: its spans (start_byte, end_byte, place) of the source joined by line feeds.
 
-    Only spans and the cut pieces are grouped, never the sources.
+    Only spans and the cut pieces are grouped, never the sources.  A record with
+    a span that cuts a character has no text.
     """
     cut = slices(spans, sources.select(source_key, F.col("text").alias("source_text")), source_key)
     cut = cut.select(*by, F.struct("place", "said").alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["said"]), "\n")
+    text = F.when(F.bool_and(F.col("s.said").isNotNull()), text)
     return cut.groupBy(*by).agg(text.alias("text")).withColumn("content_sha256", F.sha2("text", 256))
 
 

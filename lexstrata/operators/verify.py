@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def byte_slice(text: Column, start: Column, stop: Column) -> Column:
-    """The bytes [start, stop) of a text's UTF-8, as text."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (stop - start).cast("int")), "UTF-8")
+    """The bytes [start, stop) of a text's UTF-8, as text; null where they cut a character."""
+    return _text(F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (stop - start).cast("int")))
+
+
+def _text(raw: Column) -> Column:
+    return F.try_validate_utf8(raw.cast("string"))
 
 
 def spans_of_lines(lines: DataFrame) -> DataFrame:
@@ -22,7 +26,12 @@ def spans_of_lines(lines: DataFrame) -> DataFrame:
 
 
 def slices(spans: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """The spans (start_byte, end_byte, any others) with ``said``, what the source (key, source_text) has there.
+    """The spans (start_byte, end_byte, any others) with ``said``, what the source (key, source_text) has there; null where a span cuts a character."""
+    return _cut(spans, sources, key).withColumn("said", _text(F.col("said")))
+
+
+def _cut(spans: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """``slices`` with the bytes.
 
     All spans of a source are cut in one row, so its bytes are carried and
     encoded once and not once a span.  Spans without a source are left out.
@@ -30,7 +39,7 @@ def slices(spans: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     others = [c for c in spans.columns if c != key]
     listed = spans.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("spans"))
     raw = sources.select(key, F.encode("source_text", "UTF-8").alias("raw"))
-    cut = lambda s: F.decode(F.substring(F.col("raw"), (s["start_byte"] + 1).cast("int"), (s["end_byte"] - s["start_byte"]).cast("int")), "UTF-8")
+    cut = lambda s: F.substring(F.col("raw"), (s["start_byte"] + 1).cast("int"), (s["end_byte"] - s["start_byte"]).cast("int"))
     # The bytes come out of a generator of one row; a projection would be put into the lambda and encode for each span.
     once = listed.join(raw, key).select(key, "spans", F.inline(F.array(F.struct("raw"))))
     return once.select(key, F.inline(F.transform("spans", lambda s: F.struct(*(s[c].alias(c) for c in others), cut(s).alias("said")))))
@@ -38,8 +47,10 @@ def slices(spans: DataFrame, sources: DataFrame, key: str) -> DataFrame:
 
 def quote_faults(records: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Records whose span of the source isn't their text, or whose quote digest isn't theirs."""
-    both = slices(records, sources, key)
-    return both.where(~F.col("said").eqNullSafe(F.col("text")) | ~F.sha2("text", 256).eqNullSafe(F.col("quote_sha256")))
+    # Bytes are compared, as a wrong span may cut a character.
+    both = _cut(records, sources, key)
+    faults = both.where(~F.col("said").eqNullSafe(F.encode("text", "UTF-8")) | ~F.sha2("text", 256).eqNullSafe(F.col("quote_sha256")))
+    return faults.withColumn("said", _text(F.col("said")))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

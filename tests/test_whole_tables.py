@@ -5,7 +5,9 @@ from __future__ import annotations
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexstrata.operators import verify
 from lexstrata.plans.registry import QUERIES
 
 TEXTS = {4: "one", 7: "\n".join(f"line {i}" for i in range(13)), 9: "a\n\nb\nc", 0: "x\ny\nz\nw\nv"}
@@ -68,3 +70,11 @@ def test_every_statement_fault_occurs(spark, tmp_path):
 
 def rows_of(spark, folder):
     return {r["code"]: r["n"] for r in QUERIES["semantic_checks"](spark, folder).collect()}
+
+
+def test_spans_that_cut_a_character_are_faults(spark):
+    sources = spark.createDataFrame([(1, "caf\u00e9 \U0001f600")], "doc_id long, source_text string")
+    rows = [(1, 0, 5, "caf\u00e9"), (1, 0, 4, "caf\u00e9"), (1, 4, 5, "\u00e9"), (1, 6, 10, "\U0001f600"), (1, 7, 10, "\ufffd"), (1, 0, 4, None)]
+    spans = spark.createDataFrame(rows, "doc_id long, start_byte long, end_byte long, text string").withColumn("quote_sha256", F.sha2("text", 256))
+    assert sorted((r["start_byte"], r["end_byte"], r["text"] is None, r["said"]) for r in verify.quote_faults(spans, sources, "doc_id").collect()) == [(0, 4, False, None), (0, 4, True, None), (4, 5, False, None), (7, 10, False, None)]
+    assert spark.range(1).select(verify.byte_slice(F.lit("\u00e9"), F.lit(0), F.lit(1)).alias("x")).first()["x"] is None
