@@ -25,16 +25,20 @@ def _sides(rows: DataFrame) -> tuple[list[Column], list[Column]]:
 
 
 def status(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(package_digest, record_id, status, ...): one full outer join by record; identity is the id alone."""
+    """(package_digest, record_id, status, ...): one full outer join by record; identity is the id alone.
+
+    Texts are compared by their digests, so they aren't moved.
+    """
 
     def packed(rows: DataFrame, side: str) -> DataFrame:
+        rows = rows.withColumn("text", F.unhex(F.sha2("text", 256)))
         compared, location = _sides(rows)
-        return rows.select("package_digest", "record_id", F.struct(F.struct(*compared).alias("said"), F.struct(*location).alias("place"), "text").alias(side))
+        return rows.select("package_digest", "record_id", F.struct(F.struct(*compared).alias("said"), F.struct(*location).alias("place")).alias(side))
 
     both = packed(before, "b").join(packed(after, "a"), ["package_digest", "record_id"], "full_outer")
     differs = lambda part: ~F.col(f"b.{part}").eqNullSafe(F.col(f"a.{part}"))
     what = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(differs("said"), "modified").when(differs("place"), "moved").otherwise("unchanged")
-    return both.select("package_digest", "record_id", what.alias("status"), F.sha2("b.text", 256).alias("before_text_sha256"), F.sha2("a.text", 256).alias("after_text_sha256"))
+    return both.select("package_digest", "record_id", what.alias("status"), F.lower(F.hex("b.said.text")).alias("before_text_sha256"), F.lower(F.hex("a.said.text")).alias("after_text_sha256"))
 
 
 def counts(found: DataFrame) -> DataFrame:

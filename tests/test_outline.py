@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexstrata.errors import EvidenceError
-from lexstrata.operators import coverage, graph, outline
+from lexstrata.operators import coverage, diff, graph, outline
+from lexstrata.sources.adapter import Corpus
 from lexstrata.streaming.ingest import ingest
 
 PAGE = "\n".join(
@@ -151,3 +152,11 @@ def test_incremental_ingest(spark, sf_dir, tmp_path):
     docs.limit(5).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert spark.read.parquet(str(tmp_path / "out")).count() > first
+
+
+def test_statuses_move_no_texts(spark, sf_dir):
+    """Above the join of the editions there is nothing left to do with texts but to show their digests."""
+    c = Corpus(spark, sf_dir)
+    plan = diff.status(c.edition("before"), c.edition("after"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join FullOuter" in line)
+    assert not any("sha2(" in line for line in plan[:join]) and any("sha2(" in line for line in plan[join:])
