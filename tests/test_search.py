@@ -107,6 +107,7 @@ def test_pruned_equals_ranked(spark, monkeypatch):
 def test_packed_equals_posted(spark, monkeypatch):
     """Short runs and small blocks, ordinals out of order, empty and missing columns."""
     monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "PACKED_BLOCK", 4)
     monkeypatch.setattr(postings, "RUN_TOKENS", 50)
     rng = random.Random(5)
     text = lambda: rng.choice([None, "", " ".join(rng.choices(["iron", "irons", "ironing", "chain", "9", "été"], k=rng.randint(1, 30)))])
@@ -132,6 +133,7 @@ def test_packed_equals_posted(spark, monkeypatch):
         for ranges in (48, 1):
             monkeypatch.setattr(postings, "MOST_RANGES", ranges)
             monkeypatch.setattr(postings, "FIRST_BLOCKS", 2)
+            monkeypatch.setattr(postings, "MOST_BLOCKS", 2048 if ranges > 1 else 5)
             assert postings.pruned(postings.unpacked(index), postings.promises(index), served, q, 7).collect() == want
 
 
